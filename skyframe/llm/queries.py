@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from skyframe.llm import line_dedup, packing
+from skyframe.llm import line_dedup, packing, quotes, topk
 from skyframe.llm.common import table
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
@@ -16,6 +16,60 @@ def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), WORD_BPE)
 
 
+def mail_form(conversations: DataFrame) -> DataFrame:
+    """The conversations as a mail archive has them: each message below its two predecessors, quoted at levels 2 and 1."""
+    turns = Window.partitionBy("conv_id").orderBy("turn", "text")
+    quote = lambda text, mark: F.concat(F.lit(mark), F.replace(text, F.lit("\n"), F.lit(f"\n{mark}")))
+    return conversations.withColumn("text", F.concat_ws("\n", quote(F.lag("text", 2).over(turns), "> > "), quote(F.lag("text", 1).over(turns), "> "), F.col("text")))
+
+
+def op3_quotation_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quotes.link_quotes(mail_form(table(spark, sf_dir, "conversations")))
+
+
+OP3_SQL = r"""
+WITH mail AS (
+  SELECT conv_id, turn, role, concat_ws(chr(10), '> > ' || replace(lag(text, 2) OVER w, chr(10), chr(10) || '> > '),
+         '> ' || replace(lag(text, 1) OVER w, chr(10), chr(10) || '> '), text) AS raw
+  FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn, text)
+), m AS (
+  SELECT conv_id, turn, raw, min(role) AS role FROM mail GROUP BY conv_id, turn, raw
+), split AS (
+  SELECT conv_id, turn, raw, unnest(string_split(raw, chr(10))) AS x, unnest(range(len(string_split(raw, chr(10))))) AS pos FROM m
+), lines AS (
+  SELECT conv_id, turn, raw, pos, length(regexp_replace(regexp_extract(x, '^((?:[ \t]*>)*)[ \t]?', 1), '[^>]', '', 'g')) AS depth,
+         regexp_replace(x, '^(?:[ \t]*>)+[ \t]?', '') AS line FROM split
+), bodies AS (
+  SELECT conv_id, turn, raw, coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE depth = 0), '') AS body FROM lines GROUP BY ALL
+), said AS (
+  SELECT DISTINCT conv_id, turn, norm FROM (
+    SELECT conv_id, turn, lower(trim(regexp_replace(x, '[\x20\x09-\x0D]+', ' ', 'g'))) AS norm FROM (
+      SELECT conv_id, turn, body AS x FROM bodies UNION ALL SELECT conv_id, turn, unnest(string_split(body, chr(10))) FROM bodies)
+  ) WHERE norm <> ''
+), islands AS (
+  SELECT *, pos - row_number() OVER (PARTITION BY conv_id, turn, raw, depth ORDER BY pos) AS island FROM lines WHERE depth > 0
+), passages AS (
+  SELECT conv_id, turn, raw, depth, island, string_agg(line, chr(10) ORDER BY pos) AS whole FROM islands GROUP BY ALL
+), asked AS (
+  SELECT conv_id, turn, raw, depth, island, kind, lower(trim(regexp_replace(x, '[\x20\x09-\x0D]+', ' ', 'g'))) AS norm FROM (
+    SELECT conv_id, turn, raw, depth, island, 0 AS kind, whole AS x FROM passages
+    UNION ALL SELECT conv_id, turn, raw, depth, island, 1, line FROM islands)
+), hits AS (
+  SELECT a.conv_id, a.turn, a.raw, a.depth, a.island, a.kind, max(s.turn) AS origin
+  FROM asked a JOIN said s ON a.conv_id = s.conv_id AND a.norm = s.norm AND s.turn < a.turn GROUP BY ALL
+), links AS (
+  SELECT conv_id, turn, raw, depth, island, coalesce(max(origin) FILTER (WHERE kind = 0), max(origin)) AS origin FROM hits GROUP BY ALL
+), linked AS (
+  SELECT conv_id, turn, raw, count(origin) AS n_linked, max(origin) FILTER (WHERE depth = 1) AS parent_turn FROM links GROUP BY ALL
+), counted AS (
+  SELECT conv_id, turn, raw, count(*) AS n_passages, max(depth) AS max_depth FROM passages GROUP BY ALL
+)
+SELECT b.conv_id, b.turn, m.role, b.body AS text, coalesce(n_passages, 0) AS n_passages, coalesce(n_linked, 0) AS n_linked,
+       coalesce(max_depth, 0)::INT AS max_depth, parent_turn, (row_number() OVER (PARTITION BY b.conv_id ORDER BY b.turn, b.body))::INT AS position
+FROM bodies b JOIN m USING (conv_id, turn, raw) LEFT JOIN counted USING (conv_id, turn, raw) LEFT JOIN linked USING (conv_id, turn, raw)
+"""
+
+
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = line_dedup.drop_repeated_lines(table(spark, sf_dir, "documents"))
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
@@ -41,5 +95,23 @@ SELECT doc_id, count(*)::BIGINT AS n_lines,
 FROM keyed LEFT JOIN common USING (k) GROUP BY doc_id
 """
 
-QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op6_line_dedup)}
-ORACLES = {"op6_line_dedup": OP6_SQL}
+def op9_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = topk.quantised(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", 256)
+    return topk.top_k(vectors.filter(F.col("id") % 50 == 0), vectors, 5)
+
+
+OP9_SQL = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS e FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), s AS (
+  SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.e, c.e)::BIGINT AS score
+  FROM v q JOIN v c ON q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id
+), r AS (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s
+)
+SELECT query_id, rank::INT AS rank, vec_id, score FROM r WHERE rank <= 5
+"""
+
+QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op3_quotation_linking, op6_line_dedup, op9_exact_top_k)}
+ORACLES = {"op3_quotation_linking": OP3_SQL, "op6_line_dedup": OP6_SQL, "op9_exact_top_k": OP9_SQL}
