@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from skyframe.llm import line_dedup, packing, quotes, topk
+from skyframe.llm import line_dedup, packing, quotes, simhash, topk
 from skyframe.llm.common import table
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
@@ -95,6 +95,11 @@ SELECT doc_id, count(*)::BIGINT AS n_lines,
 FROM keyed LEFT JOIN common USING (k) GROUP BY doc_id
 """
 
+def op8_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.near_duplicates(simhash.fingerprints(table(spark, sf_dir, "documents")))
+    return found.select(F.col("id").alias("doc_id"), simhash.hex_fingerprint(F.col("fp")).alias("fingerprint"), "component_id")
+
+
 def op9_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = topk.quantised(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", 256)
     return topk.top_k(vectors.filter(F.col("id") % 50 == 0), vectors, 5)
@@ -113,5 +118,5 @@ WITH v AS (
 SELECT query_id, rank::INT AS rank, vec_id, score FROM r WHERE rank <= 5
 """
 
-QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op3_quotation_linking, op6_line_dedup, op9_exact_top_k)}
+QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op3_quotation_linking, op6_line_dedup, op8_simhash_near_dedup, op9_exact_top_k)}
 ORACLES = {"op3_quotation_linking": OP3_SQL, "op6_line_dedup": OP6_SQL, "op9_exact_top_k": OP9_SQL}
