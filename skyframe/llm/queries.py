@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from skyframe.llm import line_dedup, packing, quotes, simhash, topk
+from skyframe.llm import decontaminate, line_dedup, packing, quotes, simhash, topk
 from skyframe.llm.common import table
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
@@ -118,5 +118,10 @@ WITH v AS (
 SELECT query_id, rank::INT AS rank, vec_id, score FROM r WHERE rank <= 5
 """
 
-QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op3_quotation_linking, op6_line_dedup, op8_simhash_near_dedup, op9_exact_top_k)}
+def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The benchmark items that each document holds, with the least number of edits."""
+    return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op3_quotation_linking, op6_line_dedup, op8_simhash_near_dedup, op9_exact_top_k, op10_benchmark_decontamination)}
 ORACLES = {"op3_quotation_linking": OP3_SQL, "op6_line_dedup": OP6_SQL, "op9_exact_top_k": OP9_SQL}
