@@ -10,7 +10,10 @@ pieces by their rank within their length, which Spark computes in salted cells.
 
 from __future__ import annotations
 
+import json
 import os
+import re
+import unicodedata
 from array import array
 from collections import defaultdict
 from collections.abc import Iterable, Iterator
@@ -22,35 +25,81 @@ from pyspark.sql import functions as F
 
 from skyframe.llm.common import LOWER, slices, staged
 
-_CACHES: dict[str, tuple] = {}
+_CACHES: dict[str, "WordEncoder"] = {}
 _PIECES = "id {id}, piece int, start long, length long, ids_crc32 long"
 
 
-def _encoder(path: str, most: int = 300_000):
-    """text bytes -> its ids as little-endian unsigned 32-bit bytes. Words between ASCII blanks are encoded
-    once each and kept (at most `most`): this tokenizer's patterns never cross white space."""
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    from tokenizers import Tokenizer
+def _byte_letters() -> dict[int, str]:
+    """The public byte-level alphabet: a byte that prints stands for itself, the others for 256, 257, ... in order."""
+    prints = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    return {b: chr(b) for b in prints} | {b: chr(256 + n) for n, b in enumerate(b for b in range(256) if b not in prints)}
 
+
+class WordEncoder:
+    """text bytes -> its ids as little-endian unsigned 32-bit bytes.
+
+    Words between ASCII blanks are encoded once each and kept, at most `most`: this tokenizer's patterns never
+    cross white space. A word of letters, with or without ASCII marks after it, is one or two pre-tokens and goes
+    straight to the BPE model; anything else goes through the whole tokenizer.
+    """
+
+    LETTERS = re.compile(rb"([a-z\x80-\xff]+)([!-/:-@\[-`{-~]*)")
+
+    def __init__(self, path: str, most: int = 600_000):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        from tokenizers import Tokenizer
+        from tokenizers.models import BPE
+
+        self.whole, self.known, self.most = Tokenizer.from_file(path), {}, most
+        with open(path, encoding="utf-8") as file:
+            model = json.load(file)["model"]
+        merges = [tuple(x.split(" ")) if isinstance(x, str) else tuple(x) for x in model["merges"]]
+        self.bpe = BPE(model["vocab"], merges, cache_capacity=0, end_of_word_suffix=model["end_of_word_suffix"])
+        self.letters = _byte_letters()
+
+    def _all(self, text: bytes) -> bytes:
+        return array("I", self.whole.encode(text.decode("utf-8", "replace"), add_special_tokens=False).ids).tobytes()
+
+    def _pretoken(self, piece: bytes) -> bytes:
+        return array("I", [t.id for t in self.bpe.tokenize(piece.decode("latin-1") if piece.isascii() else "".join(map(self.letters.__getitem__, piece)))]).tobytes()
+
+    def _word(self, word: bytes) -> bytes:
+        if not (m := self.LETTERS.fullmatch(word)):
+            return self._all(word)
+        stem, marks = m.groups()
+        if (ids := self.known.get(stem)) is None:
+            if not stem.isascii():
+                letters = stem.decode("utf-8", "replace")
+                if not letters.isalpha() or max(letters) >= "\u0250" or "\u0130" in letters:  # beyond plain Latin letters
+                    return self._all(word)
+                ids = self._pretoken(unicodedata.normalize("NFC", letters).lower().encode())
+            else:
+                ids = self._pretoken(stem)
+            self.known[stem] = ids
+        if marks and (end := self.known.get(marks)) is None:
+            end = self.known[marks] = self._all(marks)
+        return ids + end if marks else ids
+
+    def __call__(self, texts: list[bytes | None]) -> list[bytes]:
+        out = []
+        for text in texts:
+            if b"<|" in (text or b""):  # may hold the strings of special tokens
+                out.append(self._all(text))
+                continue
+            words = (text or b"").translate(LOWER).split()
+            known = self.known
+            if len(known) > self.most:
+                known.clear()
+            for x in set(words).difference(known):
+                known[x] = self._word(x)
+            out.append(b"".join(map(known.__getitem__, words)))
+        return out
+
+
+def _encoder(path: str) -> WordEncoder:
     if path not in _CACHES:
-        _CACHES[path] = (Tokenizer.from_file(path), {})
-    tokenizer, known = _CACHES[path]
-
-    def raw(ids: list[int]) -> bytes:
-        return array("I", ids).tobytes()
-
-    def encode(texts: list[bytes | None]) -> list[bytes]:
-        whole = [b"<|" in (t or b"") for t in texts]  # texts that may hold the strings of special tokens
-        words = [[] if w else (t or b"").translate(LOWER).split() for t, w in zip(texts, whole, strict=True)]
-        new = list({x for ws in words for x in ws}.difference(known))
-        if len(known) + len(new) > most:
-            known.clear()
-            new = list({x for ws in words for x in ws})
-        for x, e in zip(new, tokenizer.encode_batch_fast([x.decode("utf-8", "replace") for x in new], add_special_tokens=False), strict=True):
-            known[x] = raw(e.ids)
-        return [raw(tokenizer.encode(t.decode("utf-8", "replace"), add_special_tokens=False).ids) if w else b"".join(map(known.__getitem__, ws)) for t, w, ws in zip(texts, whole, words, strict=True)]
-
-    return encode
+        _CACHES[path] = WordEncoder(path)
+    return _CACHES[path]
 
 
 def _tokenise(path: str, end_id: int, capacity: int, id_type: pa.DataType):
