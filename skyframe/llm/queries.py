@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from skyframe.llm import decontaminate, line_dedup, packing, quotes, simhash, topk
+from skyframe.llm import decontaminate, line_dedup, packing, quotes, simhash, topk, toxicity
 from skyframe.llm.common import table
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
@@ -16,6 +16,10 @@ def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), WORD_BPE)
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def mail_form(conversations: DataFrame) -> DataFrame:
     """The conversations as a mail archive has them: each message below its two predecessors, quoted at levels 2 and 1."""
     turns = Window.partitionBy("conv_id").orderBy("turn", "text")
@@ -123,5 +127,5 @@ def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFram
     return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op3_quotation_linking, op6_line_dedup, op8_simhash_near_dedup, op9_exact_top_k, op10_benchmark_decontamination)}
+QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_toxicity, op3_quotation_linking, op6_line_dedup, op8_simhash_near_dedup, op9_exact_top_k, op10_benchmark_decontamination)}
 ORACLES = {"op3_quotation_linking": OP3_SQL, "op6_line_dedup": OP6_SQL, "op9_exact_top_k": OP9_SQL}
