@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from skyframe.llm import decontaminate, line_dedup, packing, quotes, simhash, topk, toxicity
+from skyframe.llm import decontaminate, line_dedup, packing, quality, quotes, simhash, topk, toxicity
 from skyframe.llm.common import table
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
@@ -74,6 +74,10 @@ FROM bodies b JOIN m USING (conv_id, turn, raw) LEFT JOIN counted USING (conv_id
 """
 
 
+def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = line_dedup.drop_repeated_lines(table(spark, sf_dir, "documents"))
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
@@ -127,5 +131,5 @@ def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFram
     return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_toxicity, op3_quotation_linking, op6_line_dedup, op8_simhash_near_dedup, op9_exact_top_k, op10_benchmark_decontamination)}
+QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_toxicity, op3_quotation_linking, op5_quality_classifier, op6_line_dedup, op8_simhash_near_dedup, op9_exact_top_k, op10_benchmark_decontamination)}
 ORACLES = {"op3_quotation_linking": OP3_SQL, "op6_line_dedup": OP6_SQL, "op9_exact_top_k": OP9_SQL}
