@@ -6,9 +6,10 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from skyframe.llm import decontaminate, line_dedup, packing, quality, quotes, simhash, topk, toxicity
+from skyframe.llm import decontaminate, langid, line_dedup, packing, quality, quotes, simhash, topk, toxicity
 from skyframe.llm.common import table
 
+PIECE_BPE = public_tokenizers.path("piece_bpe_32k.model")
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
 
 
@@ -103,6 +104,10 @@ SELECT doc_id, count(*)::BIGINT AS n_lines,
 FROM keyed LEFT JOIN common USING (k) GROUP BY doc_id
 """
 
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.languages(table(spark, sf_dir, "documents"), PIECE_BPE)
+
+
 def op8_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(simhash.fingerprints(table(spark, sf_dir, "documents")))
     return found.select(F.col("id").alias("doc_id"), simhash.hex_fingerprint(F.col("fp")).alias("fingerprint"), "component_id")
@@ -131,5 +136,5 @@ def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFram
     return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_toxicity, op3_quotation_linking, op5_quality_classifier, op6_line_dedup, op8_simhash_near_dedup, op9_exact_top_k, op10_benchmark_decontamination)}
+QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_toxicity, op3_quotation_linking, op5_quality_classifier, op6_line_dedup, op7_language_id, op8_simhash_near_dedup, op9_exact_top_k, op10_benchmark_decontamination)}
 ORACLES = {"op3_quotation_linking": OP3_SQL, "op6_line_dedup": OP6_SQL, "op9_exact_top_k": OP9_SQL}
