@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from skyframe.llm import decontaminate, langid, line_dedup, packing, quality, quotes, simhash, topk, toxicity
+from skyframe.llm import decontaminate, langid, line_dedup, ngram_lm, packing, quality, quotes, simhash, topk, toxicity
 from skyframe.llm.common import table
 
 PIECE_BPE = public_tokenizers.path("piece_bpe_32k.model")
@@ -75,6 +75,10 @@ FROM bodies b JOIN m USING (conv_id, turn, raw) LEFT JOIN counted USING (conv_id
 """
 
 
+def op4_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_lm.score_held_out(table(spark, sf_dir, "documents"))
+
+
 def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -136,5 +140,5 @@ def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFram
     return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_toxicity, op3_quotation_linking, op5_quality_classifier, op6_line_dedup, op7_language_id, op8_simhash_near_dedup, op9_exact_top_k, op10_benchmark_decontamination)}
+QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_toxicity, op3_quotation_linking, op4_lm_scoring, op5_quality_classifier, op6_line_dedup, op7_language_id, op8_simhash_near_dedup, op9_exact_top_k, op10_benchmark_decontamination)}
 ORACLES = {"op3_quotation_linking": OP3_SQL, "op6_line_dedup": OP6_SQL, "op9_exact_top_k": OP9_SQL}

@@ -39,6 +39,16 @@ def _grams(words: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         yield owner[:m][whole], (h[whole] * np.uint32(0x9E3779B1) >> np.uint32(16)).astype(np.intp)
 
 
+def _grams_by_word(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Buckets of all words one after the other, and where each word's begin."""
+    buckets, sizes = [np.zeros(0, np.uint16)], [np.zeros(1, np.int64)]
+    for at in range(0, len(words), 2000):
+        owners, found = map(np.concatenate, zip(*_grams(words[at : at + 2000]), strict=True))
+        buckets.append(found[np.argsort(owners, kind="stable")].astype(np.uint16))
+        sizes.append(np.bincount(owners, minlength=len(words[at : at + 2000])))
+    return np.concatenate(buckets), np.cumsum(np.concatenate(sizes))
+
+
 def _inputs(words: list[bytes], word_odds: np.ndarray, gram_odds: np.ndarray) -> np.ndarray:
     """(words, INPUTS): log-odds of the word; greatest, mean and least of its character grams; length; marks."""
     out = np.zeros((len(words), INPUTS), dtype=np.float32)
@@ -155,7 +165,9 @@ def _train_step(p, x, mask, y, weight):
     return g
 
 
-def _logits(p, x, mask):
+def _logits(p, x, mask, block: int = 1024):
+    if len(x) > block:
+        return np.concatenate([_logits(p, x[at : at + block], mask[at : at + block]) for at in range(0, len(x), block)])
     s = np.concatenate([_gru([(x[:, way] @ p["w" + d] + p["c" + d])[:, t] for t in range(x.shape[1])], mask[:, way], p["u" + d])[way] for d, way in (("f", slice(None)), ("b", slice(None, None, -1)))], axis=2)
     return _pool(p, s, mask)[3]
 
@@ -171,12 +183,10 @@ def fit(rows: list[tuple[bytes, int]], epochs: int = 8, seed: int = 7, folds: in
     vocab = sorted({w for t in texts for w in t})
     place = {w: i for i, w in enumerate(vocab)}
     ids = [np.array([place[w] for w in t], dtype=np.int64) for t in texts]
-    owners, buckets = map(np.concatenate, zip(*_grams(vocab), strict=True)) if vocab else (np.zeros(0, np.int64), np.zeros(0, np.int64))
-    order = np.argsort(owners, kind="stable")
-    buckets, first = buckets[order], np.append(np.searchsorted(owners[order], np.arange(len(vocab))), len(order))
+    buckets, first = _grams_by_word(vocab)
     word_bucket = np.array([crc32(w) % BUCKETS for w in vocab], dtype=np.int64)
     fold = np.array([crc32(t) % folds for t, _ in rows])  # equal texts share a fold
-    words, grams, totals = np.zeros((folds, 2, BUCKETS)), np.zeros((folds, 2, BUCKETS)), np.zeros((folds, 2))
+    words, grams, totals = np.zeros((folds, 2, BUCKETS), np.float32), np.zeros((folds, 2, BUCKETS), np.float32), np.zeros((folds, 2))
     for k, doc in enumerate(ids):
         own = np.unique(doc)
         totals[fold[k], y[k]] += 1
@@ -184,7 +194,6 @@ def fit(rows: list[tuple[bytes, int]], epochs: int = 8, seed: int = 7, folds: in
         if len(own):
             grams[fold[k], y[k], np.unique(np.concatenate([buckets[first[i] : first[i + 1]] for i in own]))] += 1
 
-    x = np.zeros((0, STEPS, INPUTS), np.float32)
     xs, ms, doc_of = [], [], []
     for f in range(folds):
         rest = totals.sum(axis=0) - totals[f]
