@@ -64,27 +64,28 @@ def _reassemble(min_chars: int):
                 kept.append(b"\n".join(stay).decode("utf-8", "replace"))
                 lines.append(len(parts))
                 dropped.append(len(parts) - len(stay))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(kept, pa.string()), pa.array(lines, pa.int64()), pa.array(dropped, pa.int64())], ["id", "kept_text", "n_lines", "n_dropped"])
+            yield pa.RecordBatch.from_arrays([batch.column(3), pa.array(kept, pa.string()), pa.array(lines, pa.int64()), pa.array(dropped, pa.int64())], ["row", "kept_text", "n_lines", "n_dropped"])
 
     return run
 
 
-def drop_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 20, min_docs: int = 3) -> DataFrame:
+def drop_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 20, min_docs: int = 3, keep: tuple[str, ...] | None = None) -> DataFrame:
     """Lines whose key occurs in at least `min_docs` documents stay only in the largest id that holds them.
 
-    Returns (id_col, kept_text, n_lines, n_dropped), a row per row of docs. Null or empty text is one
-    empty line. Rows that repeat an id count as one document. A row with a null id keeps all its lines
-    and counts for none. A line that repeats inside the document that keeps it stays as often as it is there.
+    Returns (id_col, kept_text, n_lines, n_dropped), a row per row of docs; `keep` names the columns of docs to return
+    in place of id_col. Null or empty text is one empty line. Rows that repeat an id count as one document. A row with
+    a null id keeps all its lines and counts for none. A line that repeats inside the document that keeps it stays as
+    often as it is there. An empty table stays empty.
     """
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    id_type = {"int": pa.int32(), "bigint": pa.int64(), "string": pa.string()}[rows.schema["id"].dataType.simpleString()]
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), F.struct(*(F.col(c) for c in keep or (id_col,))).alias("row"))
     kind = rows.schema["id"].dataType.simpleString()
-    keys = staged(rows.mapInArrow(_explode(min_chars, id_type), _KEYS.format(id=kind)), "line-keys")
+    id_type = {"int": pa.int32(), "bigint": pa.int64(), "string": pa.string()}[kind]
+    keys = staged(rows.select("id", "text").mapInArrow(_explode(min_chars, id_type), _KEYS.format(id=kind)), "line-keys")
     common = keys.groupBy("h1", "h2").agg(F.count_distinct("id").alias("n"), F.max("id").alias("keeper")).filter(F.col("n") >= min_docs)
     drops = (
         keys.join(common.select("h1", "h2", "keeper").hint("merge"), ["h1", "h2"])
         .filter(F.col("id") != F.col("keeper"))
         .groupBy("id").agg(F.collect_set(F.struct("h1", "h2")).alias("drops"))
     )
-    out = rows.join(drops.hint("merge"), "id", "left").select("id", "text", "drops").mapInArrow(_reassemble(min_chars), f"id {kind}, kept_text string, n_lines long, n_dropped long")
-    return out.withColumnRenamed("id", id_col)
+    schema = f"row {rows.schema['row'].dataType.simpleString()}, kept_text string, n_lines long, n_dropped long"
+    return rows.join(drops.hint("merge"), "id", "left").select("id", "text", "drops", "row").mapInArrow(_reassemble(min_chars), schema).select("row.*", "kept_text", "n_lines", "n_dropped")

@@ -345,32 +345,19 @@ def toxicity(docs: DataFrame, labels: DataFrame, rows: int = 4000) -> DataFrame:
     return scored.select(F.col("id").alias("doc_id"), (fold_of("id", 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
-def without_toxic(docs: DataFrame, labels: DataFrame, rows: int = 4000, threshold: float = 0.5) -> DataFrame:
-    """The rows of docs whose score is under the threshold, with all their columns."""
-    spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(fit(labelled_sample(docs, labels, "toxic", rows=rows)))
-    return docs.withColumn("_score", _column_scorer(shared)(F.col("text").cast("string"))).filter(F.col("_score") < threshold).drop("_score")
-
-
-def _column_scorer(shared):
-    @F.pandas_udf("double")
-    def score(text):
-        import pandas as pd
-
+def _keep(shared, threshold: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key = id(shared.value)
         if key not in _SCORERS:
             _SCORERS.clear()
             _SCORERS[key] = Scorer(shared.value)
-        values, out = [None if t is None else t.encode("utf-8", "replace") for t in text], []
-        held, size = [], 0
-        for v in values:
-            held.append(v)
-            size += len(v or b"")
-            if size > 1_000_000:
-                out.append(_SCORERS[key](held))
-                held, size = [], 0
-        if held:
-            out.append(_SCORERS[key](held))
-        return pd.Series(np.concatenate(out) if out else np.zeros(0))
-
-    return score
+        for batch, texts in slices(batches, size=1_000_000):
+            yield batch.filter(pa.array(_SCORERS[key](texts) < threshold))
+
+    return run
+
+
+def without_toxic(docs: DataFrame, labels: DataFrame, rows: int = 4000, threshold: float = 0.5) -> DataFrame:
+    """The rows of docs (doc_id, text, ...) whose score is under the threshold, with all their columns."""
+    shared = docs.sparkSession.sparkContext.broadcast(fit(labelled_sample(docs, labels, "toxic", rows=rows)))
+    return docs.mapInArrow(_keep(shared, threshold), docs.schema)
