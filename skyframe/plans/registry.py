@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from skyframe.plans import series_queries  # noqa: F401
+from skyframe.plans.base import ORACLES, QUERIES
+
+__all__ = ["ORACLES", "QUERIES"]
