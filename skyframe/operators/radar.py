@@ -275,15 +275,14 @@ def gate_exceedance(gates: DataFrame, guidance: DataFrame, least: float = 0.25)
 
 
 def cross_section(gates: DataFrame, columns: DataFrame, by: Sequence[str], site_lat: float, site_lon: float, first_m: float, gate_m: float, elevation: Column, bins: int = 720) -> DataFrame:
-    """Per column point (col, lat, lon) and tilt: value and beam height of the gate over it, beams within half a bin."""
+    """Per column point (col, lat, lon) and tilt with a beam within 1.6 degrees: value and beam height of the gate over it."""
     east, north = (F.col("lon") - site_lon) * geo.M_PER_DEG * np.cos(np.radians(site_lat)), (F.col("lat") - site_lat) * geo.M_PER_DEG
     c = columns.withColumns({"dist_m": F.greatest(F.sqrt(east * east + north * north), F.lit(2.0)), "_bin": F.floor(F.pmod(F.degrees(F.atan2(east, north)), F.lit(360.0)) * bins / 360).cast("int")})
-    tilts = gates.select(*by).distinct().withColumn("elevation", elevation)
-    at = c.join(F.broadcast(tilts.limit(64))).withColumn("slant_m", geo.slant_range("dist_m", "elevation"))
+    beams = regrid_azimuth(gates, by, bins, 1.6).filter("azimuth IS NOT NULL").withColumnRenamed("bin", "_bin").withColumn("elevation", elevation)
+    at = c.join(beams.hint("merge"), "_bin").withColumn("slant_m", geo.slant_range("dist_m", "elevation"))
     at = at.withColumns({"_gate": F.floor((F.col("slant_m") - first_m) / gate_m + 0.5).cast("long"), "height_m": geo.beam_height("slant_m", "elevation")})
-    beams = regrid_azimuth(gates, by, bins, 1.6)
-    g = gates.join(beams.hint("merge"), [*by, "azimuth"]).select(*by, F.col("bin").alias("_bin"), F.col("gate").cast("long").alias("_gate"), "value")
-    return at.join(g.hint("merge"), [*by, "_bin", "_gate"], "left").drop("_bin", "_gate")
+    g = gates.select(*by, F.col("azimuth").cast("double").alias("azimuth"), F.col("gate").cast("long").alias("_gate"), "value")
+    return at.join(g.hint("merge"), [*by, "azimuth", "_gate"], "left").drop("_bin", "_gate")
 
 
 def available_products(sweeps: DataFrame, products: dict[str, str]) -> DataFrame:

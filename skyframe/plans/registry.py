@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from skyframe.plans import grid_queries, radar_queries, scalar_queries, series_queries  # noqa: F401
+from skyframe.plans import grid_queries, radar_queries, satellite_queries, scalar_queries, series_queries, shape_queries  # noqa: F401
 from skyframe.plans.base import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
