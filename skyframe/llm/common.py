@@ -22,7 +22,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def fold_of(doc_id: str | Column, folds: int) -> Column:
     """crc32 of the id as text, modulo folds (null ids: fold of the empty text)."""
-    return (F.crc32(F.coalesce(F.col(doc_id) if isinstance(doc_id, str) else doc_id, F.lit("")).cast("string").cast("binary")) % folds).cast("int")
+    key = F.col(doc_id) if isinstance(doc_id, str) else doc_id
+    return (F.crc32(F.coalesce(key.cast("string"), F.lit("")).cast("binary")) % folds).cast("int")
 
 
 def shared_dir(spark: SparkSession) -> str:
