@@ -280,7 +280,7 @@ def near_duplicates(prints: DataFrame, guarantee: int = 3, radius: int | None =
     found = links(nodes, guarantee, guarantee if radius is None else radius, sizes)
     roots = components(found)
     by_print = nodes.join(roots.hint("merge"), "id", "left").select(F.col("fp"), F.coalesce("root", "id").alias("component_id"))
-    out = prints.join(by_print.hint("merge"), "fp")
+    out = prints.join(by_print.hint("merge"), "fp", "left")
     return out.select("id", "fp", F.when(F.col("id").isNotNull(), F.col("component_id")).alias("component_id"))
 
 
