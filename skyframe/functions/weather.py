@@ -10,7 +10,7 @@ encode_gate = Formula("P2: code of value {0} by scale {1}, offset {2}, up to cod
 to_display = Formula("P6: {0} in display units by factor {1} and offset {2}.", "{0} * {1} + {2}")
 above_floor = Formula("P7: {0} is data for a product floor {1}.", "{0} IS NOT NULL AND {0} >= {1}")
 quantize = Formula("P17: 16-bit code of {0} between {1} and {2}; 0 is missing.", "CASE WHEN {0} IS NULL THEN 0 ELSE CAST(1 + floor(least(1, greatest(0, ({0} - {1}) / ({2} - {1}))) * 65534 + 0.5) AS INT) END")
-dequantize = Formula("P17: value of 16-bit code {0} between {1} and {2}.", "CASE WHEN {0} > 0 THEN {1} + ({0} - 1) / 65534.0 * ({2} - {1}) END")
+dequantize = Formula("P17: value of 16-bit code {0} between {1} and {2}.", "CASE WHEN {0} > 0 THEN {1} + ({0} - 1) / 65534e0 * ({2} - {1}) END")
 dewpoint = Formula("M5: dew point (K) from temperature (K) and relative humidity.", "CASE WHEN {1} > 0 THEN 243.04 * (ln(least(100, greatest(1, {1})) / 100) + 17.625 * ({0} - 273.15) / (243.04 + {0} - 273.15)) / (17.625 - (ln(least(100, greatest(1, {1})) / 100) + 17.625 * ({0} - 273.15) / (243.04 + {0} - 273.15))) + 273.15 END")
 relative_humidity = Formula("M6: relative humidity from temperature and dew point (K).", "least(100, greatest(0, 100 * exp(17.625 * ({1} - 273.15) / (243.04 + {1} - 273.15) - 17.625 * ({0} - 273.15) / (243.04 + {0} - 273.15))))")
 _ln = "(ln(least(100, greatest(1, {1})) / 100) + 17.67 * {0} / ({0} + 243.5))"

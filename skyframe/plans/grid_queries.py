@@ -66,9 +66,9 @@ def _(x):
     return out.select("place", "name", F.round(M.to_display("value", "0.0393701", "0"), 4).alias("shown"))
 
 
-@query("w7_masked_box_mean", f"SELECT a.i, a.j, round(avg(b.value) FILTER (WHERE b.value < 265), 6) AS mean FROM {DENSE} a JOIN [cell] b ON b.i BETWEEN a.i - 3 AND a.i + 3 AND b.j BETWEEN a.j - 3 AND a.j + 3 GROUP BY 1, 2")
+@query("w7_masked_box_mean", f"SELECT a.i, a.j, round(avg(b.value) FILTER (WHERE b.value < 265), 6) AS mean FROM {DENSE} a LEFT JOIN [cell] b ON b.i BETWEEN a.i - 3 AND a.i + 3 AND b.j BETWEEN a.j - 3 AND a.j + 3 GROUP BY 1, 2")
 def _(x):
-    return _r(A.box_mean(x.d("cell"), N, N, 3, 265).filter("box_n IS NOT NULL").select("i", "j", "mean"), "mean")
+    return _r(A.box_mean(x.d("cell"), N, N, 3, 265).select("i", "j", "mean"), "mean")
 
 
 @query("w8_box_sum", f"SELECT a.i, a.j, coalesce(sum(b.value), 0) AS sum FROM {DENSE} a LEFT JOIN [cell] b ON b.i BETWEEN a.i - 2 AND a.i + 2 AND b.j BETWEEN a.j - 2 AND a.j + 2 GROUP BY 1, 2")

@@ -38,14 +38,14 @@ scalar("g12_scan_to_lonlat", "cell", "i, j", 5, lon=_S["lon"].sql("(i - 32) * 0.
 scalar("g13_lonlat_to_scan", "place", "place", 8, sx=_S["x"].sql("lat", "lon"), sy=_S["y"].sql("lat", "lon"), x_y=_SY["x"].sql("lat", "lon + 240.0"), row_0=f"({_S['y'].sql('lat', 'lon')} - 0.12) / -0.000056")
 scalar("g17_g18_grid_scale_mercator", "place", "place", 8, km=G.km_per_pixel.sql("0.000056 * (1 + place % 3)", "42164160.0", "6378137.0"), mx=G.merc_x.sql("lon"), my=G.merc_y.sql("lat"))
 scalar("g19_m2_wind_dir_speed", "field", "i, j", 5, speed=G.wind_speed.sql("u", "v"), dir=G.wind_dir.sql("u", "v"), barb=f"CASE WHEN i % 3 = 0 AND j % 3 = 0 THEN {G.wind_speed.sql('u', 'v')} * 1.943844 END")
-scalar("g20_subsolar_day_weight", "place", "place", 3, decl=G.declination.sql("1 + place % 365", "(place % 24) / 24.0"), sublon=G.subsolar_lon.sql("1 + place % 365", "(place % 24) / 24.0"), weight=G.day_weight.sql(G.sun_height.sql("lat", "lon", "1 + place % 365", "(place % 24) / 24.0")))
+scalar("g20_subsolar_day_weight", "place", "place", 3, decl=G.declination.sql("1 + place % 365", "(place % 24) / 24e0"), sublon=G.subsolar_lon.sql("1 + place % 365", "(place % 24) / 24e0"), weight=G.day_weight.sql(G.sun_height.sql("lat", "lon", "1 + place % 365", "(place % 24) / 24e0")))
 scalar("p1_p2_gate_codes", "gate", "sweep, azimuth, gate", 6, v=M.gate_value.sql("code", "2", "30"), v0=M.gate_value.sql("code", "0", "30"), back="@" + M.encode_gate.sql(M.gate_value.sql("code", "2", "30"), "2", "30", "255"))
 scalar("p6_p7_display_floor", "cell", "i, j", 4, shown=M.to_display.sql("value", "0.0393701", "0.5"), data="@" + M.above_floor.sql("value", "100"))
 scalar("p8_lon_range", "place", "place", near="@" + G.in_lon_range.sql("lon", "170", "-100"), inside="@" + G.in_lon_range.sql("lon", "-110", "-90"), wrapped="@" + G.wrap_lon.sql("lon + 360"))
 scalar("p10_boxes_overlap", "place", "place", hit="@" + G.boxes_overlap.sql("lon", "lat", "lon + 2", "lat + 2", "-100", "30", "-90", "40"))
 scalar("p11_crop_and_p12_p13_orientation", "cell", "i, j", 6, inside="@" + "i BETWEEN 10 AND 40 AND j BETWEEN 5 AND 60", north_row="@63 - j", lon=G.wrap_lon.sql("i * 5.625"), kept="@" + "abs(85.06 - j * 2.7) <= 85.06")
 scalar("p15_p16_storm_satellite_box", "place", "place", 4, sat="@" + G.best_satellite.sql("CASE WHEN place % 3 = 0 THEN 'WP' ELSE 'AL' END", "lon * 1.5"), west=G.storm_west.sql("lon"), east=G.storm_east.sql("lon"), south=G.storm_south.sql("lat * 2 - 70"), north=G.storm_north.sql("lat * 2"))
-scalar("p17_quantize", "cell", "i, j", 7, code="@" + M.quantize.sql("value", "0", "500"), v=M.dequantize.sql(M.quantize.sql("value", "0", "500"), "0.0", "500.0"))
+scalar("p17_quantize", "cell", "i, j", 7, code="@" + M.quantize.sql("value", "0", "500"), v=M.dequantize.sql(M.quantize.sql("value", "0", "500"), "0e0", "500e0"))
 scalar("m4_precip_type_rate", "field", "i, j", 5, ptype=M.precip_type_rate.sql("rh / 3600 - 0.005", "1", "i % 3 - 1", "i % 5 - 3", "j % 4 - 2"), phase="@" + M.precip_phase.sql(M.precip_type_rate.sql("rh / 3600 + 0.001", "1", "i % 3 - 1", "i % 5 - 3", "j % 4 - 2")))
 scalar("m5_m6_m7_moisture", "field", "i, j", 5, td=M.dewpoint.sql("t", "rh"), rh2=M.relative_humidity.sql("t", M.dewpoint.sql("t", "rh")), tdc=M.dew_from_rh.sql("t - 273.15", "rh"))
 scalar("m8_feels_like", "field", "i, j", 5, feels=M.feels_like.sql("t + 40", "rh", "u", "v"), cold=M.feels_like.sql("t", "rh", "u", "v"), from_td=M.feels_like_from_dewpoint.sql("t + 40", "t + 30", "u", "v"))

@@ -8,7 +8,14 @@ from skyframe.operators import series as S
 from skyframe.plans.base import Inputs, query
 
 NOW, DAY = "2024-01-20 12:00:00", "2024-01-20"
-_NOW, _DAY = F.lit(NOW).cast("timestamp_ntz"), F.lit(DAY).cast("date")
+
+
+def _now():
+    return F.lit(NOW).cast("timestamp_ntz")
+
+
+def _day():
+    return F.lit(DAY).cast("date")
 
 
 def _pairs(x: Inputs):
@@ -31,17 +38,17 @@ def _(x):
 
 @query("c5_fill_from_previous_day", f"SELECT series, key FROM (SELECT *, row_number() OVER (PARTITION BY series ORDER BY time DESC, key DESC) r FROM [frame] WHERE time::DATE IN (DATE '{DAY}', DATE '{DAY}' - 1)) WHERE r <= 8")
 def _(x):
-    return S.fill_from_previous_day(x.d("frame"), "series", "time", _DAY, 8, "key").select("series", "key")
+    return S.fill_from_previous_day(x.d("frame"), "series", "time", _day(), 8, "key").select("series", "key")
 
 
 @query("c6_latest_nonempty_day", f"SELECT series, strftime(max(time::DATE), '%Y-%m-%d') AS day FROM [frame] WHERE time::DATE BETWEEN DATE '{DAY}' - 7 AND DATE '{DAY}' GROUP BY 1")
 def _(x):
-    return S.latest_nonempty_day(x.d("frame"), "series", "time", _DAY).select("series", F.date_format("day", "yyyy-MM-dd").alias("day"))
+    return S.latest_nonempty_day(x.d("frame"), "series", "time", _day()).select("series", F.date_format("day", "yyyy-MM-dd").alias("day"))
 
 
 @query("c7_site_status", f"SELECT s.site, s.name, epoch_us(max(f.time)) AS last_us, (max(f.time) IS NULL OR max(f.time) < TIMESTAMP '{NOW}' - INTERVAL 60 MINUTE) AS down FROM [site] s LEFT JOIN (SELECT * FROM [frame] WHERE time <= TIMESTAMP '{NOW}' AND time::DATE >= DATE '{DAY}' - 1) f ON f.series = s.site GROUP BY 1, 2")
 def _(x):
-    out = S.site_status(x.d("frame").withColumnRenamed("series", "site"), x.d("site"), "site", "time", _NOW)
+    out = S.site_status(x.d("frame").withColumnRenamed("series", "site"), x.d("site"), "site", "time", _now())
     return out.select("site", "name", S.micros("last_scan").alias("last_us"), "down")
 
 
@@ -76,7 +83,7 @@ def _(x):
 
 @query("p14_fresh_observations", f"SELECT event_id FROM [obs] WHERE time >= TIMESTAMP '{NOW}' - INTERVAL 180 MINUTE AND time <= TIMESTAMP '{NOW}' + INTERVAL 30 MINUTE")
 def _(x):
-    return x.d("obs").filter(S.fresh("time", _NOW, "180 minutes")).select("event_id")
+    return x.d("obs").filter(S.fresh("time", _now(), "180 minutes")).select("event_id")
 
 
 @query("t2_thin_by_cell", "SELECT place, floor(lon / 4)::BIGINT AS cx, floor(lat / 4)::BIGINT AS cy FROM (SELECT *, row_number() OVER (PARTITION BY floor(lon / 4), floor(lat / 4) ORDER BY (lon - floor(lon / 4) * 4 - 2) * (lon - floor(lon / 4) * 4 - 2) + (lat - floor(lat / 4) * 4 - 2) * (lat - floor(lat / 4) * 4 - 2) + 0.04 * (place % 90), place) r FROM [place]) WHERE r = 1")

@@ -21,7 +21,11 @@ def read_stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def drain(stream: DataFrame, mode: str) -> DataFrame:
     """Run a stream over all that is there now and give what it wrote: complete mode the last result, others all batches with their number."""
     spark = stream.sparkSession
-    root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="skyframe-")
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        root = tempfile.mkdtemp(prefix="skyframe-")
     path = f"{root.rstrip('/')}/stream-{uuid.uuid4().hex}"
 
     def put(batch: DataFrame, number: int) -> None:
