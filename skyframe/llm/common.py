@@ -7,6 +7,7 @@ import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -26,12 +27,18 @@ def fold_of(doc_id: str | Column, folds: int) -> Column:
     return (F.crc32(F.coalesce(key.cast("string"), F.lit("")).cast("binary")) % folds).cast("int")
 
 
+_OWN: list[str] = []
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one where none is named, as in tests."""
-    if not (root := spark.conf.get("spark.checkpoint.dir", None)):
-        root = tempfile.mkdtemp(prefix="skyframe-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    return root.rstrip("/")
+    """The folder that driver and executors share; a temporary one where none is named, as in tests on one machine."""
+    if root := spark.conf.get("spark.checkpoint.dir", None):
+        return root.rstrip("/")
+    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    if not _OWN:
+        _OWN.append(tempfile.mkdtemp(prefix="skyframe-"))
+    return _OWN[0]
 
 
 def staged(df: DataFrame, label: str) -> DataFrame:
@@ -45,12 +52,12 @@ def slices(batches: Iterator[pa.RecordBatch], column: str = "text", size: int =
     """Cut record batches so that each slice holds about `size` bytes of text; a longer text comes alone."""
     for batch in batches:
         text = batch.column(batch.schema.get_field_index(column)).cast(pa.large_binary())
-        lengths, first, held = text.fill_null(b"").to_pylist(), 0, 0
-        for i, value in enumerate(lengths):
-            if held and held + len(value) > size:
+        lengths, first, held = pc.fill_null(pc.binary_length(text), 0).to_pylist(), 0, 0
+        for i, length in enumerate(lengths):
+            if held and held + length > size:
                 yield batch.slice(first, i - first), text.slice(first, i - first).to_pylist()
                 first, held = i, 0
-            held += len(value)
+            held += length
         if first < len(lengths):
             yield batch.slice(first), text.slice(first).to_pylist()
 
