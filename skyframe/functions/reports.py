@@ -141,3 +141,43 @@ def parse_discussion(text: Column) -> Column:
         one(r"(?i)Probability of Watch Issuance\.\.\.(\d+)").cast("int").alias("watch_probability"), one(r"(?i)MOST PROBABLE PEAK TORNADO INTENSITY\.\.\.([^\n]*)").alias("peak_tornado"),
         one(r"(?i)MOST PROBABLE PEAK WIND GUST\.\.\.([^\n]*)").alias("peak_wind"), one(r"(?i)MOST PROBABLE PEAK HAIL SIZE\.\.\.([^\n]*)").alias("peak_hail"), one(r"(?is)SUMMARY\.\.\.(.*?)\n\s*\n").alias("summary"),
     )
+
+
+# Impact parameters of alerts and their labels, in order of display.
+TAGS = (
+    ("tornadoDetection", "TORNADO"), ("tornadoDamageThreat", "TORNADO DAMAGE THREAT"), ("waterspoutDetection", "WATERSPOUT"), ("maxHailSize", "MAX HAIL"), ("hailThreat", "HAIL THREAT"),
+    ("maxWindGust", "MAX WIND GUST"), ("windThreat", "WIND THREAT"), ("thunderstormDamageThreat", "THUNDERSTORM DAMAGE THREAT"), ("flashFloodDamageThreat", "FLASH FLOOD DAMAGE THREAT"),
+    ("flashFloodDetection", "FLASH FLOOD"), ("snowSquallImpact", "SNOW SQUALL IMPACT"),
+)
+# Hazards of a convective outlook by day.
+OUTLOOK_TYPES = {1: ("cat", "torn", "wind", "hail"), 2: ("cat", "torn", "wind", "hail"), 3: ("cat", "prob")} | {d: ("prob",) for d in range(4, 9)}
+
+
+def impact_tags(params: Column) -> Column:
+    """array<struct<label, value, strong>> of an alert's impact parameters (map of arrays); hail sizes get their unit."""
+    value = lambda k: F.upper(F.try_element_at(F.try_element_at(params, F.lit(k)), F.lit(1)))
+    with_unit = lambda k: F.when(value(k).contains("IN"), value(k)).otherwise(F.concat(value(k), F.lit(" IN"))) if k == "maxHailSize" else value(k)
+    all_ = F.array(*(F.struct(F.lit(label).alias("label"), with_unit(k).alias("value"), value(k).rlike("CONSIDERABLE|CATASTROPHIC|DESTRUCTIVE|OBSERVED").alias("strong")) for k, label in TAGS))
+    return F.filter(all_, lambda t: F.coalesce(t["value"], F.lit("")) != "")
+
+
+def outlook_types(day: Column) -> Column:
+    """hazards of the outlook of a day, 1 to 8."""
+    return F.try_element_at(F.create_map(*(x for d, names in OUTLOOK_TYPES.items() for x in (F.lit(d), F.array(*map(F.lit, names))))), day.cast("int"))
+
+
+def alert_window(at: Column) -> Column:
+    """struct<start, end> of the history asked for a time: its half hour, 36 hours back and 30 minutes on."""
+    half = F.date_trunc("hour", at) + F.make_dt_interval(F.lit(0), F.lit(0), (F.floor(F.minute(at) / 30) * 30).cast("int"))
+    return F.struct((half - F.expr("INTERVAL 36 HOURS")).alias("start"), (half + F.expr("INTERVAL 30 MINUTES")).alias("end"))
+
+
+def valid_time(run: Column, fhour: Column) -> Column:
+    """run time plus forecast hour."""
+    return run + F.make_dt_interval(F.lit(0), fhour.cast("int"))
+
+
+def shown_report(category: Column, lon: Column, lat: Column, categories: tuple[str, ...]) -> Column:
+    """A report of the chosen categories at a finite place."""
+    fine = lambda c: c.isNotNull() & ~F.isnan(c.cast("double")) & (F.abs(c) < float("inf"))
+    return category.isin(*categories) & fine(lon) & fine(lat)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from skyframe.functions import geo as G
 from skyframe.functions import reports as R
 from skyframe.functions import weather as M
-from skyframe.functions.formula import Formula
+
 from skyframe.plans.base import ORACLES, QUERIES, Inputs, query, sql
 
 
@@ -129,4 +129,42 @@ def _(x):
     return x.d("report").select("id", R.parse_discussion(text).alias("d")).select("id", "d.number", "d.areas", F.col("d.watch_probability").alias("watch"))
 
 
-__all__ = ["Formula", "query"]
+
+
+@query("f11_impact_tags", "SELECT id, CASE WHEN id % 3 = 0 THEN 2 WHEN id % 3 = 1 THEN 1 ELSE 0 END AS n, CASE WHEN id % 3 < 2 THEN (id % 4)::VARCHAR || ' IN' END AS hail, CASE WHEN id % 3 = 0 THEN true WHEN id % 3 = 1 THEN false END AS strong FROM [alert]")
+def _(x):
+    m = F.col("id")
+    hail = F.array((m % 4).cast("string"))
+    params = F.when(m % 3 == 0, F.create_map(F.lit("maxHailSize"), hail, F.lit("tornadoDetection"), F.array(F.lit("observed")))).when(m % 3 == 1, F.create_map(F.lit("maxHailSize"), hail)).otherwise(F.create_map(F.lit("other"), hail))
+    tags = R.impact_tags(params)
+    one = F.try_element_at(F.filter(tags, lambda t: t["label"] == "MAX HAIL"), F.lit(1))["value"]
+    strong = F.when(F.size(tags) > 0, F.exists(tags, lambda t: t["strong"]))
+    return x.d("alert").select("id", F.size(tags).alias("n"), one.alias("hail"), strong.alias("strong"))
+
+
+@query("f21_f22_f25_outlook_windows", """SELECT event_id, CASE WHEN event_id % 8 < 2 THEN 4 WHEN event_id % 8 = 2 THEN 2 ELSE 1 END AS n_types, strftime(time_bucket(INTERVAL 30 MINUTE, ts) - INTERVAL 36 HOUR, '%Y%m%d%H%M') AS a,
+strftime(time_bucket(INTERVAL 30 MINUTE, ts) + INTERVAL 30 MINUTE, '%Y%m%d%H%M') AS b, strftime(date_trunc('hour', ts) + to_hours((event_id % 120)::INT), '%Y%m%d%H') AS valid FROM events""")
+def _(x):
+    e = x.t("events")
+    w, f = R.alert_window(F.col("ts")), F.date_format
+    return e.select("event_id", F.size(R.outlook_types(F.col("event_id") % 8 + 1)).alias("n_types"), f(w["start"], "yyyyMMddHHmm").alias("a"), f(w["end"], "yyyyMMddHHmm").alias("b"), f(R.valid_time(F.date_trunc("hour", "ts"), F.col("event_id") % 120), "yyyyMMddHH").alias("valid"))
+
+
+@query("p18_filter_reports", "SELECT id FROM [report] WHERE typetext IN ('TORNADO', 'FUNNEL CLOUD', 'HAIL') AND id % 5 <> 0")
+def _(x):
+    r = x.d("report").withColumn("lon", F.when(F.col("id") % 5 != 0, F.col("id") * 1.0))
+    return r.filter(R.shown_report(R.report_category(F.col("typetext")), F.col("lon"), F.col("id") * 1.0, ("tornado", "hail"))).select("id")
+
+
+@query("c22_lake_round_trip", "SELECT kind AS source, count(*) AS n, count(DISTINCT station) AS stations FROM [obs] GROUP BY 1")
+def _(x):
+    """Writes the observations as a lake table in the shared folder and reads it back."""
+    import tempfile
+    import uuid
+
+    from skyframe.sources.catalog import write_lake
+
+    root = f"{(x.spark.conf.get('spark.checkpoint.dir', None) or tempfile.mkdtemp(prefix='skyframe-')).rstrip('/')}/lake-{uuid.uuid4().hex}"
+    obs = x.d("obs").withColumnRenamed("kind", "source").withColumn("day", F.to_date("time"))
+    write_lake(obs, root, "obs", sort=("station", "time"))
+    return x.spark.read.parquet(f"{root}/obs").groupBy("source").agg(F.count("*").alias("n"), F.count_distinct("station").alias("stations"))
