@@ -81,7 +81,7 @@ def drop_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     kind = rows.schema["id"].dataType.simpleString()
     id_type = {"int": pa.int32(), "bigint": pa.int64(), "string": pa.string()}[kind]
     keys = staged(rows.select("id", "text").mapInArrow(_explode(min_chars, id_type), _KEYS.format(id=kind)), "line-keys")
-    common = keys.groupBy("h1", "h2").agg(F.count_distinct("id").alias("n"), F.max("id").alias("keeper")).filter(F.col("n") >= min_docs)
+    common = staged(keys.groupBy("h1", "h2").agg(F.count_distinct("id").alias("n"), F.max("id").alias("keeper")).filter(F.col("n") >= min_docs), "common-lines")
     drops = (
         keys.join(common.select("h1", "h2", "keeper").hint("merge"), ["h1", "h2"])
         .filter(F.col("id") != F.col("keeper"))
