@@ -155,6 +155,42 @@ def test_thresholds_keep_the_pigeonhole_sum():
     assert sum(t + 1 for _, t in parts) == 4
 
 
+def test_one_of_each_equals_brute_force(spark, none):
+    rng = np.random.default_rng(9)
+    words = [f"w{k}" for k in range(3000)]
+    texts = []
+    for _ in range(40):
+        base = list(rng.choice(words, 60 + 5 * int(rng.integers(40))))
+        texts.append(base)
+        for share in (0.005, 0.01, 0.02, 0.025, 0.03, 0.04, 0.06):
+            texts.append([str(rng.choice(words)) if rng.random() < share else w for w in base])
+        texts.append(base + base[:20] * 30)  # repeats of shingles do not count
+    texts += [base[:5], base[:6], [*base[:6], "z"], ["a"], ["a"], [], []]
+    ids = rng.permutation(len(texts)).tolist()
+    sets = [{" ".join(t[k : k + 5]) for k in range(max(1, len(t) - 4))} if t else set() for t in texts]
+    root = {k: k for k in ids}
+
+    def find(k):
+        while root[k] != k:
+            k = root[k]
+        return k
+
+    near = 0
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets[:i]):
+            if 10 * len(a & b) >= 8 * len(a | b):
+                x, y = find(ids[i]), find(ids[j])
+                root[max(x, y)] = min(x, y)
+            near += 0.6 <= len(a & b) / max(1, len(a | b)) < 0.8
+    df = spark.createDataFrame([(k, " ".join(t)) for k, t in zip(ids, texts, strict=True)] + [(None, "a")], "doc_id long, text string")
+    got = [r["doc_id"] for r in simhash.one_of_each(df).collect()]
+    assert near > 50 and sorted(k for k in got if k is not None) == sorted(k for k in ids if find(k) == k) and got.count(None) == 1
+    assert simhash.one_of_each(none).count() == 0
+    group = df.filter("doc_id IS NOT NULL").select("doc_id", F.lit(0).alias("root")).toDF("id", "root")
+    cut = components.components(simhash.verified(df.toDF("id", "text"), group, 5, block=50))  # hot groups are cut into blocks
+    assert {r["id"] for r in cut.collect()} == {k for k, t in zip(ids, texts, strict=True) if t and find(k) != k}
+
+
 def test_components_of_a_path(spark):
     path = spark.range(1, 200).select(F.col("id").alias("a"), (F.col("id") - 1).alias("b"))
     assert {r["root"] for r in components.components(path).collect()} == {0}
