@@ -73,13 +73,14 @@ def active(at: Column) -> Column:
 
 
 def active_at(alerts: DataFrame, times: DataFrame, bucket_days: int = 1) -> DataFrame:
-    """Pairs (time, alert) of the alerts active at each time. Both sides meet by day; open ends last `bucket_days` x 30."""
+    """Pairs (time, alert) of the alerts active at each time. Both sides meet by day; an alert without an end lasts to the last day of times."""
     day = lambda c: F.floor(F.datediff(c, F.lit("1970-01-01")) / bucket_days)
     begin = F.greatest(F.col("sent"), F.coalesce("onset", "sent"))
-    end = F.coalesce(F.col("ends"), F.date_add(begin, 30 * bucket_days).cast(alerts.schema["sent"].dataType))
-    a = alerts.filter(~F.col("cancel")).withColumns({"_b": begin, "_e": end}).filter("_e > _b").withColumn("_d", F.explode(F.sequence(day(F.col("_b")), day(F.col("_e")))))
+    last = times.agg(F.max(day(F.col("time"))).alias("_last"))
+    a = alerts.filter(~F.col("cancel")).withColumns({"_b": begin, "_e": F.col("ends")}).filter("_e IS NULL OR _e > _b").crossJoin(F.broadcast(last))
+    a = a.withColumn("_to", F.least(day(F.col("_e")), F.col("_last"))).filter(day(F.col("_b")) <= F.col("_to")).withColumn("_d", F.explode(F.sequence(day(F.col("_b")), F.col("_to"))))
     t = times.withColumn("_d2", day(F.col("time")))
-    return t.join(a.hint("merge"), (F.col("_d2") == F.col("_d")) & (F.col("_b") <= F.col("time")) & (F.col("time") < F.col("_e"))).drop("_d", "_d2", "_b", "_e")
+    return t.join(a.hint("merge"), (F.col("_d2") == F.col("_d")) & (F.col("_b") <= F.col("time")) & (F.col("_e").isNull() | (F.col("time") < F.col("_e")))).drop("_d", "_d2", "_b", "_e", "_last", "_to")
 
 
 def nearest_site(points: DataFrame, sites: DataFrame, key: str, most_sites: int = 20_000) -> DataFrame:

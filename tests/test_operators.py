@@ -128,3 +128,10 @@ def test_wind_at_levels(spark):
     assert tuple(at) == (2.0, 7.0, 12.0)
     parcel = profiles.lift_parcel(p).first()["parcel"]
     assert all(a["p"] > b["p"] and a["t"] > b["t"] for a, b in zip(parcel, parcel[1:]))
+
+
+def test_open_alerts_stay_active(spark):
+    a = spark.sql("SELECT id, sent, CAST(NULL AS TIMESTAMP_NTZ) onset, ends, cancel FROM VALUES (1, TIMESTAMP_NTZ '2024-01-01', NULL, false), (2, TIMESTAMP_NTZ '2024-01-01', TIMESTAMP_NTZ '2024-01-03', false), (3, TIMESTAMP_NTZ '2024-01-01', NULL, true), (4, TIMESTAMP_NTZ '2026-01-01', NULL, false) t(id, sent, ends, cancel)")
+    t = spark.sql("SELECT k, time FROM VALUES (0, TIMESTAMP_NTZ '2023-12-31'), (1, TIMESTAMP_NTZ '2024-01-02'), (2, TIMESTAMP_NTZ '2024-01-03'), (3, TIMESTAMP_NTZ '2025-06-01') t(k, time)")
+    assert sorted((r["k"], r["id"]) for r in shapes.active_at(a, t).collect()) == [(1, 1), (1, 2), (2, 1), (3, 1)]
+    assert shapes.active_at(a, t.limit(0)).count() == 0
