@@ -79,6 +79,13 @@ def _(x):
     return P.active_at(_alerts(x), t).select("event_id", "id")
 
 
+@query("j10_active_at_every_time", "SELECT e.event_id, a.id FROM (SELECT event_id, (SELECT min(o_orderdate) FROM orders) + to_days((event_id % 900)::INT) AS time FROM events) e JOIN [alert] a ON NOT a.cancel AND a.sent <= e.time AND (a.id % 997 = 0 OR e.time < a.sent + to_days(a.days::INT))")
+def _(x):
+    lo = x.t("orders").agg(F.min("o_orderdate")).first()[0]
+    t = x.t("events").select("event_id", (F.lit(lo).cast("timestamp_ntz") + F.make_dt_interval((F.col("event_id") % 900).cast("int"))).alias("time"))
+    return P.active_at(_alerts(x).withColumn("ends", F.when(F.col("id") % 997 != 0, F.col("ends"))), t).select("event_id", "id")
+
+
 @query("j12_nearest_site", f"SELECT place, arg_min(site, (d, site)) AS site, round(min(d), 3) AS dist_m FROM (SELECT p.place, s.site, {G.haversine.sql('p.lat', 'p.lon', 's.lat', 's.lon')} AS d FROM [place] p, [site] s) GROUP BY 1")
 def _(x):
     out = P.nearest_site(x.d("place"), x.d("site"), "place")

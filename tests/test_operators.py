@@ -135,3 +135,10 @@ def test_open_alerts_stay_active(spark):
     t = spark.sql("SELECT k, time FROM VALUES (0, TIMESTAMP_NTZ '2023-12-31'), (1, TIMESTAMP_NTZ '2024-01-02'), (2, TIMESTAMP_NTZ '2024-01-03'), (3, TIMESTAMP_NTZ '2025-06-01') t(k, time)")
     assert sorted((r["k"], r["id"]) for r in shapes.active_at(a, t).collect()) == [(1, 1), (1, 2), (2, 1), (3, 1)]
     assert shapes.active_at(a, t.limit(0)).count() == 0
+
+
+def test_every_event_is_a_time_of_j10(spark):
+    from skyframe.plans.registry import QUERIES
+
+    got = QUERIES["j10_active_at_every_time"](spark, "/root/testdata/sf0.001")
+    assert got.filter("event_id % 50 <> 0").count() > got.filter("event_id % 50 = 0").count() > 0
