@@ -5,6 +5,7 @@ A polygon is array<struct<lon, lat>> (its outer ring); polygons that cross the d
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -83,18 +84,35 @@ def active_at(alerts: DataFrame, times: DataFrame, bucket_days: int = 1) -> Data
     return t.join(a.hint("merge"), (F.col("_d2") == F.col("_d")) & (F.col("_b") <= F.col("time")) & (F.col("_e").isNull() | (F.col("time") < F.col("_e")))).drop("_d", "_d2", "_b", "_e", "_last", "_to")
 
 
-def nearest_site(points: DataFrame, sites: DataFrame, key: str, most_sites: int = 20_000) -> DataFrame:
-    """Each point's nearest site by great circle (ties: least id). The catalogue of sites must be small, which is checked."""
-    held = sites.limit(most_sites + 1).collect()
-    if len(held) > most_sites:
-        raise ValueError(f"more than {most_sites} sites: split them by region")
-    if not held:
-        return points.withColumns({"site": F.lit(None).cast("long"), "dist_m": F.lit(None).cast("double")})
-    table = F.array(*(F.struct(F.lit(float(r["lat"])).alias("lat"), F.lit(float(r["lon"])).alias("lon"), F.lit(r["site"]).alias("site")) for r in held))
+def nearest_site(points: DataFrame, sites: DataFrame, key: str) -> DataFrame:
+    """Each point's nearest site by great circle (ties: least id); null where a point or all sites lack a place.
+
+    Equal places are one. Points meet the sites of their tile and its eight neighbours; a nearest one closer than any
+    site beyond these can be is settled, the other points go on with wider tiles, the last of which hold all sites.
+    """
+    at = lambda c: F.col(c).cast("double")
     rad = lambda c: c * 0.017453292519943295
-    h = lambda s: F.pow(F.sin(rad(s["lat"] - F.col("lat")) / 2), 2) + F.cos(rad(F.col("lat"))) * F.cos(rad(s["lat"])) * F.pow(F.sin(rad(s["lon"] - F.col("lon")) / 2), 2)
-    best = F.array_min(F.transform(table, lambda s: F.struct((2 * geo.R_EARTH * F.asin(F.least(F.lit(1.0), F.sqrt(h(s))))).alias("d"), s["site"].alias("site"))))
-    return points.withColumn("_x", best).withColumns({"site": F.col("_x.site"), "dist_m": F.col("_x.d")}).drop("_x")
+    s = sites.select(at("lat").alias("_sa"), at("lon").alias("_so"), "site").dropna(subset=["_sa", "_so"]).groupBy("_sa", "_so").agg(F.min("site").alias("site"))
+    left = points.select(at("lat").alias("_a"), at("lon").alias("_o")).dropna().distinct()
+    h = F.pow(F.sin(rad(F.col("_sa") - F.col("_a")) / 2), 2) + F.cos(rad(F.col("_a"))) * F.cos(rad(F.col("_sa"))) * F.pow(F.sin(rad(F.col("_so") - F.col("_o")) / 2), 2)
+    dist = 2 * geo.R_EARTH * F.asin(F.least(F.lit(1.0), F.sqrt(h)))
+    finest = min(12, max(1, math.ceil(math.log2(s.count() + 1) / 2)))
+    found = None
+    for k in sorted({*range(finest, 1, -2), 1}, reverse=True):
+        size, around = 360 / 2**k, 2**k
+        tx, ty = (lambda c, z=size: F.floor((F.col(c) + 180) / z)), (lambda c, z=size: F.floor((F.col(c) + 90) / z))
+        p = left.withColumn("_x", F.explode(F.array_distinct(F.array(*(F.pmod(tx("_o") + d, F.lit(around)) for d in (-1, 0, 1)))))).withColumn("_y", F.explode(F.array(*(ty("_a") + d for d in (-1, 0, 1)))))
+        met = p.join(s.withColumns({"_x": F.pmod(tx("_so"), F.lit(around)), "_y": ty("_sa")}).hint("merge"), ["_x", "_y"])
+        best = met.groupBy("_a", "_o").agg(F.min(F.struct(dist.alias("d"), "site")).alias("_best"))
+        beyond = geo.R_EARTH * F.asin(F.cos(rad(F.col("_a"))) * math.sin(math.radians(min(size, 90)))) * (1 - 1e-9)
+        state = left.join(best.hint("merge"), ["_a", "_o"], "left").withColumn("_settled", F.lit(k == 1) | F.coalesce(F.col("_best.d") < beyond, F.lit(False))).persist()
+        settled = state.filter("_settled").select("_a", "_o", "_best")
+        found = settled if found is None else found.union(settled)
+        left = state.filter("NOT _settled").select("_a", "_o")
+        if k > 1 and left.isEmpty():
+            break
+    out = points.withColumns({"_a": at("lat"), "_o": at("lon")}).join(found.hint("merge"), ["_a", "_o"], "left")
+    return out.withColumns({"site": F.col("_best.site"), "dist_m": F.col("_best.d")}).drop("_a", "_o", "_best")
 
 
 def networks_in_view(views: DataFrame, networks: DataFrame, most: int = 12, tile: float = 8.0) -> DataFrame:

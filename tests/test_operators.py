@@ -142,3 +142,19 @@ def test_every_event_is_a_time_of_j10(spark):
 
     got = QUERIES["j10_active_at_every_time"](spark, "/root/testdata/sf0.001")
     assert got.filter("event_id % 50 <> 0").count() > got.filter("event_id % 50 = 0").count() > 0
+
+
+def test_nearest_site_equals_brute_force_beyond_20000_sites(spark):
+    rng = np.random.default_rng(3)
+    lat, lon = np.degrees(np.arcsin(rng.uniform(-1, 1, 21_000))), rng.uniform(-180, 180, 21_000)
+    lat[:9000], lon[:9000] = rng.uniform(40, 41, 9000), rng.uniform(-100, -99, 9000)  # a crowded corner
+    places = [(k, float(a), float(o)) for k, (a, o) in enumerate([(90.0, 0.0), (-89.99, 10.0), (0.0, 180.0), (0.0, -179.999), (40.5, -99.5), *zip(rng.uniform(-90, 90, 45), rng.uniform(-180, 180, 45), strict=True)])]
+    p = spark.createDataFrame([*places, (99, None, 1.0)], "place long, lat double, lon double")
+    for n in (21_000, 9_000, 1):
+        s = spark.createDataFrame(list(zip(range(n), lat[:n].tolist(), lon[:n].tolist(), strict=True)), "site long, lat double, lon double")
+        got = {r["place"]: (r["site"], r["dist_m"]) for r in shapes.nearest_site(p, s, "place").collect()}
+        assert got.pop(99) == (None, None) and len(got) == len(places)
+        for k, a, o in places:
+            x = np.sin(np.radians(lat[:n] - a) / 2) ** 2 + np.cos(np.radians(a)) * np.cos(np.radians(lat[:n])) * np.sin(np.radians(lon[:n] - o) / 2) ** 2
+            d = 2 * geo.R_EARTH * np.arcsin(np.minimum(1, np.sqrt(x)))
+            assert got[k][1] == pytest.approx(d.min(), rel=1e-9, abs=1e-3) and d[got[k][0]] == pytest.approx(d.min(), rel=1e-9, abs=1e-3)
