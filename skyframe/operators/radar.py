@@ -201,8 +201,8 @@ def find_runs(gates: DataFrame, by: Sequence[str], flag: Column) -> DataFrame:
 
 def dedupe_tilts(sweeps: DataFrame, by: Sequence[str], tolerance: float = 0.1) -> DataFrame:
     """Ascending tilts, those within 0.1 degrees of the last kept one merged, the freshest kept: (by, elevation, time)."""
-    s = F.struct(F.col("elevation").cast("double").alias("elevation"), F.col("time").alias("time"))
-    a = sweeps.groupBy(*by).agg(F.array_sort(F.collect_list(s)).alias("_s"))
+    freshest = sweeps.groupBy(*by, F.col("elevation").cast("double").alias("elevation")).agg(F.max("time").alias("time"))
+    a = freshest.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("elevation", "time"))).alias("_s"))
     kind = a.schema["_s"].dataType.simpleString()
     fold = F.aggregate("_s", F.array().cast(kind), lambda acc, x: F.when((F.size(acc) > 0) & (x["elevation"] - F.element_at(acc, -1)["elevation"] <= tolerance), F.when(x["time"] > F.element_at(acc, -1)["time"], F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(x))).otherwise(acc)).otherwise(F.concat(acc, F.array(x))))
     return a.select(*by, F.explode(fold).alias("x")).select(*by, "x.*")

@@ -158,3 +158,16 @@ def test_nearest_site_equals_brute_force_beyond_20000_sites(spark):
             x = np.sin(np.radians(lat[:n] - a) / 2) ** 2 + np.cos(np.radians(a)) * np.cos(np.radians(lat[:n])) * np.sin(np.radians(lon[:n] - o) / 2) ** 2
             d = 2 * geo.R_EARTH * np.arcsin(np.minimum(1, np.sqrt(x)))
             assert got[k][1] == pytest.approx(d.min(), rel=1e-9, abs=1e-3) and d[got[k][0]] == pytest.approx(d.min(), rel=1e-9, abs=1e-3)
+
+
+def test_tilts_are_collected_once_per_elevation(spark):
+    s = spark.range(5000).select(F.lit("a").alias("site"), (F.col("id") % 7 * 0.07).alias("elevation"), (F.col("id") * 37 % 5000).alias("time"))
+    out = radar.dedupe_tilts(s, ["site"])
+    want = []
+    for e, t in sorted({(r["elevation"], r["time"]) for r in s.collect()}):
+        if want and e - want[-1][0] <= 0.1:
+            want[-1] = (e, t) if t > want[-1][1] else want[-1]
+        else:
+            want.append((e, t))
+    assert sorted((r["elevation"], r["time"]) for r in out.collect()) == want
+    assert "max(time" in out._jdf.queryExecution().optimizedPlan().toString()  # repeats go before the array is made
