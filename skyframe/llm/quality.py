@@ -1,7 +1,7 @@
 """Quality: a byte-level convolutional network in numpy.
 
 Texts are read as bytes in chunks that overlap by 64 bytes and cover all of them. Filters of 8 bytes at every
-second place look up learned responses per byte, each filter keeps its greatest response in a chunk, and the
+place look up learned responses per byte, each filter keeps its greatest response in a chunk, and the
 greatest and the mean of these over all chunks make one probability.
 """
 
@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from skyframe.llm.common import fold_of, labelled_sample, slices
 
-CHUNK, OVERLAP, WIDTH, STEP, FILTERS, EMBED = 512, 64, 8, 2, 16, 6
+CHUNK, OVERLAP, WIDTH, STEP, FILTERS, EMBED = 512, 64, 8, 1, 16, 6
 
 
 def chunks(text: bytes) -> list[np.ndarray]:

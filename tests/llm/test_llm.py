@@ -299,6 +299,13 @@ def test_chunks_cover_the_text():
         assert sum(len(c) for c in cut) - 64 * (len(cut) - 1) == max(8, n if n != 5000 else 5120)
 
 
+def test_filters_start_at_every_byte():
+    for n in (8, 9, 20, 1000):
+        cut = quality.chunks(bytes(n))
+        begins = [sum(len(c) for c in cut[:k]) for k in range(len(cut))]
+        assert quality._layout(cut)[2].tolist() == [b + k for b, c in zip(begins, cut, strict=True) for k in range(len(c) - 7)]
+
+
 def test_language_forward_equals_enumeration():
     vocabulary = langid._vocabulary(queries.PIECE_BPE)
     word, start, end, piece, _ = vocabulary.arcs(["la", "größe"])
