@@ -40,7 +40,8 @@ class WordEncoder:
 
     Words between ASCII blanks are encoded once each and kept, at most `most`: this tokenizer's patterns never
     cross white space. A word of letters, with or without ASCII marks after it, is one or two pre-tokens and goes
-    straight to the BPE model; anything else goes through the whole tokenizer.
+    straight to the BPE model; anything else goes through the whole tokenizer. Stems and marks are kept apart from
+    words, since ids depend on where the pre-token ends: what a text gets never depends on what was met before.
     """
 
     LETTERS = re.compile(rb"([a-z\x80-\xff]+)([!-/:-@\[-`{-~]*)")
@@ -50,7 +51,9 @@ class WordEncoder:
         from tokenizers import Tokenizer
         from tokenizers.models import BPE
 
-        self.whole, self.known, self.most = Tokenizer.from_file(path), {}, most
+        self.whole, self.most = Tokenizer.from_file(path), most
+        self.known: dict[bytes, bytes] = {}  # words
+        self.parts: dict[bytes, bytes] = {}  # stems of letters only, and runs of ASCII marks
         with open(path, encoding="utf-8") as file:
             model = json.load(file)["model"]
         merges = [tuple(x.split(" ")) if isinstance(x, str) else tuple(x) for x in model["merges"]]
@@ -63,22 +66,28 @@ class WordEncoder:
     def _pretoken(self, piece: bytes) -> bytes:
         return array("I", [t.id for t in self.bpe.tokenize(piece.decode("latin-1") if piece.isascii() else "".join(map(self.letters.__getitem__, piece)))]).tobytes()
 
+    def _stem(self, stem: bytes) -> bytes | None:
+        """Ids of a stem that is one pre-token of plain Latin letters; None for any other."""
+        if stem.isascii():
+            return self._pretoken(stem)
+        letters = stem.decode("utf-8", "replace")
+        if not letters.isalpha() or max(letters) >= "\u0250" or "\u0130" in letters:
+            return None
+        return self._pretoken(unicodedata.normalize("NFC", letters).lower().encode())
+
     def _word(self, word: bytes) -> bytes:
         if not (m := self.LETTERS.fullmatch(word)):
             return self._all(word)
         stem, marks = m.groups()
-        if (ids := self.known.get(stem)) is None:
-            if not stem.isascii():
-                letters = stem.decode("utf-8", "replace")
-                if not letters.isalpha() or max(letters) >= "\u0250" or "\u0130" in letters:  # beyond plain Latin letters
-                    return self._all(word)
-                ids = self._pretoken(unicodedata.normalize("NFC", letters).lower().encode())
-            else:
-                ids = self._pretoken(stem)
-            self.known[stem] = ids
-        if marks and (end := self.known.get(marks)) is None:
-            end = self.known[marks] = self._all(marks)
-        return ids + end if marks else ids
+        if (ids := self.parts.get(stem)) is None:
+            if (ids := self._stem(stem)) is None:
+                return self._all(word)
+            self.parts[stem] = ids
+        if not marks:
+            return ids
+        if (end := self.parts.get(marks)) is None:
+            end = self.parts[marks] = self._all(marks)
+        return ids + end
 
     def __call__(self, texts: list[bytes | None]) -> list[bytes]:
         out = []
@@ -90,6 +99,7 @@ class WordEncoder:
             known = self.known
             if len(known) > self.most:
                 known.clear()
+                self.parts.clear()
             for x in set(words).difference(known):
                 known[x] = self._word(x)
             out.append(b"".join(map(known.__getitem__, words)))
@@ -102,19 +112,20 @@ def _encoder(path: str) -> WordEncoder:
     return _CACHES[path]
 
 
-def _tokenise(path: str, end_id: int, capacity: int, id_type: pa.DataType):
+def _tokenise(path: str, end_id: int, capacity: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, end = _encoder(path), array("I", [end_id]).tobytes()
         for batch, texts in slices(batches):
             cols: tuple[list, ...] = ([], [], [], [], [])
-            for doc, ids in zip(batch.column(0).to_pylist(), encode(texts), strict=True):
+            for row, ids in enumerate(encode(texts)):
                 ids += end
                 for piece, at in enumerate(range(0, len(ids), 4 * capacity)):
                     part = ids[at : at + 4 * capacity]
-                    for col, value in zip(cols, (doc, piece, at // 4, len(part) // 4, crc32(part)), strict=True):
+                    for col, value in zip(cols, (row, piece, at // 4, len(part) // 4, crc32(part)), strict=True):
                         col.append(value)
-            kinds = (id_type, pa.int32(), pa.int64(), pa.int64(), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["id", "piece", "start", "length", "ids_crc32"])
+            rows = batch.column(0).take(pa.array(cols[0], pa.int64()))
+            numbers = [pa.array(c, k) for c, k in zip(cols[1:], (pa.int32(), pa.int64(), pa.int64(), pa.int64()), strict=True)]
+            yield pa.RecordBatch.from_arrays([rows, *numbers], ["id", "piece", "start", "length", "ids_crc32"])
 
     return run
 
@@ -122,9 +133,7 @@ def _tokenise(path: str, end_id: int, capacity: int, id_type: pa.DataType):
 def token_pieces(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = 2048, end_id: int = 0) -> DataFrame:
     """(id, piece, start, length, ids_crc32): every document's ids and the end id, cut at `capacity`."""
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    kind = rows.schema["id"].dataType.simpleString()
-    id_type = {"int": pa.int32(), "bigint": pa.int64(), "string": pa.string()}[kind]
-    return rows.mapInArrow(_tokenise(tokenizer_path, end_id, capacity, id_type), _PIECES.format(id=kind))
+    return rows.mapInArrow(_tokenise(tokenizer_path, end_id, capacity), _PIECES.format(id=rows.schema["id"].dataType.simpleString()))
 
 
 class CapacityTree:
@@ -190,6 +199,17 @@ def best_fit_rules(counts: Iterable[tuple[int, int]], capacity: int) -> list[tup
     return rules
 
 
+def _before(counts: DataFrame, span: int = 4096) -> DataFrame:
+    """(length, cell, before) from (length, cell, n): rows of this length in the cells below, summed over stretches of `span` cells
+    first, so that the cells of a hot length are spread over tasks."""
+    inner = Window.partitionBy("length", "stretch").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
+    outer = Window.partitionBy("length").orderBy("stretch").rowsBetween(Window.unboundedPreceding, -1)
+    cells = counts.withColumn("stretch", F.floor(F.col("cell") / span))
+    whole = cells.groupBy("length", "stretch").agg(F.sum("n").alias("n")).select("length", "stretch", F.coalesce(F.sum("n").over(outer), F.lit(0)).alias("ahead"))
+    within = cells.withColumn("inside", F.coalesce(F.sum("n").over(inner), F.lit(0)))
+    return within.join(whole.hint("merge"), ["length", "stretch"]).select("length", "cell", (F.col("ahead") + F.col("inside")).alias("before"))
+
+
 def pack(pieces: DataFrame, capacity: int = 2048, cell: int = 256) -> DataFrame:
     """Add sequence_id and offset to pieces (id, piece, start, length, ids_crc32), 1 <= length <= capacity.
 
@@ -201,11 +221,7 @@ def pack(pieces: DataFrame, capacity: int = 2048, cell: int = 256) -> DataFrame:
     cells = spark.createDataFrame([(n, -(-c // cell)) for n, c in counts], "length long, cells long")
     order = [F.col(c) for c in ("id", "piece", "start", "ids_crc32")]
     salted = pieces.join(F.broadcast(cells), "length").withColumn("cell", F.pmod(F.xxhash64(*order), F.col("cells")))
-    before = (
-        salted.groupBy("length", "cell").agg(F.count("*").alias("n"))
-        .withColumn("before", F.sum("n").over(Window.partitionBy("length").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)))
-        .select("length", "cell", F.coalesce("before", F.lit(0)).alias("before"))
-    )
+    before = _before(salted.groupBy("length", "cell").agg(F.count("*").alias("n")))
     ranked = (
         salted.join(before.hint("merge"), ["length", "cell"])
         .withColumn("rank", F.col("before") + F.row_number().over(Window.partitionBy("length", "cell").orderBy(*order)) - 1)
