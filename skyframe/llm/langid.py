@@ -3,6 +3,8 @@
 A word has the probability, per language, of all its segmentations into pieces of a fixed public vocabulary:
 a forward pass sums over them. Piece probabilities are expected counts over all training texts (a forward-backward
 pass under even probabilities), summed per language and piece, so what reaches the driver is bounded by the vocabulary.
+Words go through both passes whole. Many words at a time are summed as plain numbers; words that are too long for one
+table with others, or whose sum gets too small for a plain number, are summed in logarithms, one by one.
 """
 
 from __future__ import annotations
@@ -17,7 +19,8 @@ from pyspark.sql import functions as F
 
 from skyframe.llm.common import fold_of, slices
 
-LONGEST_WORD, SLOTS = 40, 1 << 20
+#: Characters of words that share a table, the least sum that a plain number may hold, and characters to a stretch of a longer word.
+TOGETHER, SMALLEST, STRETCH, SLOTS = 40, 1e-200, 20_000, 1 << 20
 _EDGES = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum())
 _VOCABULARIES: dict[str, "Vocabulary"] = {}
 
@@ -51,12 +54,11 @@ class Vocabulary:
             h = (h * 0x100000001B3 + ord(c) + 1) * 0x9E3779B97F4A7C15 % 2**64
         return h
 
-    def arcs(self, words: list[str]):
-        """(word, start, end, piece) of every piece in the words, each with a word mark in front, sorted by (end, word)."""
-        marked = ["▁" + w for w in words]
+    def arcs(self, marked: list[str]):
+        """(word, start, end, piece) of every piece in the marked words, sorted by (end, word)."""
         sizes = np.array([len(w) for w in marked])
         data = np.frombuffer("".join(marked).encode("utf-32-le", "replace"), dtype=np.uint32).astype(np.uint64) + np.uint64(1)
-        owner, begin = np.repeat(np.arange(len(words)), sizes), np.repeat(np.cumsum(sizes) - sizes, sizes)
+        owner, begin = np.repeat(np.arange(len(marked)), sizes), np.repeat(np.cumsum(sizes) - sizes, sizes)
         place = np.arange(len(data)) - begin
         left = np.repeat(sizes, sizes) - place
         h, out = np.zeros(len(data), dtype=np.uint64), []
@@ -92,9 +94,14 @@ def _steps(place: np.ndarray, word: np.ndarray, reverse: bool):
         yield lo, hi, np.flatnonzero(np.diff(word[lo:hi], prepend=-1))
 
 
+def marked(word: str) -> str:
+    """The word as the vocabulary has it, with a word mark in front."""
+    return "▁" + word
+
+
 def forward(vocabulary: Vocabulary, words: list[str], p: np.ndarray):
     """Sums over all segmentations, alpha[word, place, language]; p is (pieces, languages)."""
-    word, start, end, piece, sizes = arcs = vocabulary.arcs(words)
+    word, start, end, piece, sizes = arcs = vocabulary.arcs([marked(w) for w in words])
     alpha = np.zeros((len(words), sizes.max() + 1, p.shape[1]))
     alpha[:, 0] = 1
     for lo, hi, first in _steps(end, word, False):
@@ -102,18 +109,65 @@ def forward(vocabulary: Vocabulary, words: list[str], p: np.ndarray):
     return arcs, alpha
 
 
+def _log_sum(x: np.ndarray) -> np.ndarray:
+    top = x.max(axis=0)
+    return top + np.log(np.exp(x - top).sum(axis=0))
+
+
+def _stretches(vocabulary: Vocabulary, text: str, reverse: bool = False):
+    """(start, end, piece) of the arcs of one marked word that start in each stretch of it."""
+    begins = range(0, len(text), STRETCH)
+    for at in reversed(begins) if reverse else begins:
+        _, start, end, piece, _ = vocabulary.arcs([text[at : at + STRETCH + vocabulary.longest - 1]])
+        held = start < STRETCH
+        yield start[held] + at, end[held] + at, piece[held]
+
+
+def log_forward(vocabulary: Vocabulary, text: str, logp: np.ndarray) -> np.ndarray:
+    """Natural logs of forward()'s sums for one marked word of any length: (places + 1, languages)."""
+    alpha = np.full((len(text) + 1, logp.shape[1]), -np.inf)
+    alpha[0] = 0
+    for start, end, piece in _stretches(vocabulary, text):
+        cuts = np.flatnonzero(np.diff(end, prepend=-1, append=-1))
+        for lo, hi in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+            # Arcs of the stretch before may have reached this place already.
+            alpha[end[lo]] = np.logaddexp(alpha[end[lo]], _log_sum(alpha[start[lo:hi]] + logp[piece[lo:hi]]))
+    return alpha
+
+
+def _log_backward_counts(vocabulary: Vocabulary, text: str, logp: np.ndarray, total: np.ndarray, times: float) -> None:
+    """Add `times` the expected piece counts of one marked word to total; logp is (pieces, 1)."""
+    alpha = log_forward(vocabulary, text, logp)[:, 0]
+    beta = np.full(len(text) + 1, -np.inf)
+    beta[-1] = 0
+    for start, end, piece in _stretches(vocabulary, text, reverse=True):
+        order = np.argsort(-start, kind="stable")
+        start, end, piece = start[order], end[order], piece[order]
+        cuts = np.flatnonzero(np.diff(start, prepend=-1, append=-1))
+        for lo, hi in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+            beta[start[lo]] = _log_sum(beta[end[lo:hi]] + logp[piece[lo:hi], 0])
+        total += np.bincount(piece, times * np.exp(alpha[start] + logp[piece, 0] + beta[end] - alpha[-1]), len(total))
+
+
 def log_scores(vocabulary: Vocabulary, words: list[str], logp: np.ndarray, block: int = 2000) -> np.ndarray:
     """Natural log of each word's probability per language."""
     out, p = np.zeros((len(words), logp.shape[1])), np.exp(logp)
-    for at in range(0, len(words), block):
-        (_, _, _, _, sizes), alpha = forward(vocabulary, words[at : at + block], p)
-        out[at : at + block] = np.log(np.maximum(alpha[np.arange(len(sizes)), sizes], 1e-300))
+    short = np.array([k for k, w in enumerate(words) if len(w) <= TOGETHER], dtype=np.int64)
+    alone = np.setdiff1d(np.arange(len(words)), short)
+    for at in range(0, len(short), block):
+        part = short[at : at + block]
+        (_, _, _, _, sizes), alpha = forward(vocabulary, [words[k] for k in part], p)
+        z = alpha[np.arange(len(part)), sizes]
+        out[part] = np.log(np.maximum(z, SMALLEST))
+        alone = np.append(alone, part[(z < SMALLEST).any(axis=1)])
+    for k in alone.tolist():
+        out[k] = log_forward(vocabulary, marked(words[k]), logp)[-1]
     return out
 
 
 def expected_counts(vocabulary: Vocabulary, counts: Counter, block: int = 2000) -> np.ndarray:
     """Expected piece counts over all segmentations of the counted words, pieces being even."""
-    total, words = np.zeros(vocabulary.size), list(counts)
+    total, words = np.zeros(vocabulary.size), [w for w in counts if len(w) <= TOGETHER]
     p = np.full((vocabulary.size, 1), 1 / vocabulary.size)
     for at in range(0, len(words), block):
         part = words[at : at + block]
@@ -128,16 +182,15 @@ def expected_counts(vocabulary: Vocabulary, counts: Counter, block: int = 2000)
         n = np.array([counts[x] for x in part], dtype=np.float64)
         z = alpha[np.arange(len(part)), sizes, 0]
         total += np.bincount(piece, alpha[word, start, 0] * p[piece, 0] * beta[word, end] / z[word] * n[word], vocabulary.size)
+    for x, n in counts.items():
+        if len(x) > TOGETHER:
+            _log_backward_counts(vocabulary, marked(x), np.log(p), total, n)
     return total
 
 
 def words_of(text: bytes | None) -> list[str]:
-    """Lower-cased words without marks at their edges; longer ones than 40 characters are cut."""
-    out = []
-    for w in (text or b"").decode("utf-8", "replace").lower().split():
-        if w := w.strip(_EDGES):
-            out += [w] if len(w) <= LONGEST_WORD else [w[i : i + LONGEST_WORD] for i in range(0, len(w), LONGEST_WORD)]
-    return out
+    """Lower-cased words without ASCII marks at their edges."""
+    return [x for w in (text or b"").decode("utf-8", "replace").lower().split() if (x := w.strip(_EDGES))]
 
 
 def _vocabulary(path: str) -> Vocabulary:
@@ -146,7 +199,7 @@ def _vocabulary(path: str) -> Vocabulary:
     return _VOCABULARIES[path]
 
 
-def _learn(path: str, most: int = 150_000):
+def _learn(path: str, most: int = 150_000, most_chars: int = 8_000_000):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary, seen, totals, docs = _vocabulary(path), defaultdict(Counter), {}, Counter()
 
@@ -159,7 +212,7 @@ def _learn(path: str, most: int = 150_000):
             for lang, text in zip(batch.column(0).to_pylist(), texts, strict=True):
                 docs[lang] += 1
                 seen[lang].update(words_of(text))
-            if sum(map(len, seen.values())) > most:
+            if sum(map(len, seen.values())) > most or sum(sum(map(len, counts)) for counts in seen.values()) > most_chars:
                 flush()
         flush()
         for lang, n in docs.items():
@@ -189,11 +242,12 @@ def fit(docs: DataFrame, vocabulary_path: str, lang_col: str = "lang", text_col:
 
 
 class Identifier:
-    """Languages of texts; keeps the scores of words it has met, at most `most` of them."""
+    """Languages of texts; keeps the scores of words it has met, about `most` of them and `most_chars` characters in all."""
 
-    def __init__(self, model: dict, path: str, most: int = 300_000):
-        self.model, self.vocabulary, self.most = model, _vocabulary(path), most
+    def __init__(self, model: dict, path: str, most: int = 300_000, most_chars: int = 16_000_000):
+        self.model, self.vocabulary, self.most, self.most_chars = model, _vocabulary(path), most, most_chars
         self.place: dict[str, int] = {}
+        self.chars = 0
         self.table = np.zeros((0, len(model["langs"])))
 
     def __call__(self, texts: list[bytes | None]) -> tuple[list[str], list[float]]:
@@ -203,10 +257,11 @@ class Identifier:
         if not self.model["langs"]:
             return ["und"] * len(texts), [0.0] * len(texts)
         met = {w for ws in words for w in ws}
-        if len(self.place) + len(met) > self.most:
-            self.place, self.table = {}, self.table[:0]
+        if len(self.place) + len(met) > self.most or self.chars > self.most_chars:
+            self.place, self.table, self.chars = {}, self.table[:0], 0
         new = list(met.difference(self.place))
         if new:
+            self.chars += sum(map(len, new))
             self.place.update(zip(new, range(len(self.place), len(self.place) + len(new)), strict=True))
             self.table = np.concatenate([self.table, log_scores(self.vocabulary, new, self.model["logp"])])
         langs, scores = [], []
@@ -233,7 +288,7 @@ def _identify(shared, path: str):
 
 
 def identify(docs: DataFrame, model: dict, vocabulary_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id_col, lang_pred, score) per row of docs: `und` and 0 for null texts and texts without a letter; ties go to the first language by name."""
+    """(id_col, lang_pred, score) per row of docs, over whole texts and whole words: `und` and 0 for null texts and texts without a letter; ties go to the first language by name."""
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     return rows.mapInArrow(_identify(docs.sparkSession.sparkContext.broadcast(model), vocabulary_path), f"id {kind}, lang_pred string, score double").withColumnRenamed("id", id_col)
