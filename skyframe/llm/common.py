@@ -27,6 +27,23 @@ def fold_of(doc_id: str | Column, folds: int) -> Column:
     return (F.crc32(F.coalesce(key.cast("string"), F.lit("")).cast("binary")) % folds).cast("int")
 
 
+def without(df: DataFrame, column: str, gone: DataFrame) -> DataFrame:
+    """The rows of df whose column is not in the first column of gone; any other column of df may have any name. Null values stay."""
+    taken, name = {c.lower() for c in df.columns}, "gone"
+    while name in taken:
+        name += "_"
+    left_out = gone.toDF(name).filter(F.col(name).isNotNull()).distinct().hint("merge")
+    return df.join(left_out, df[column] == left_out[name], "left_anti")
+
+
+def integral(df: DataFrame, column: str) -> Column:
+    """The column as a long; other ids than whole numbers are refused when the plan is made, not by a task."""
+    kind = df.schema[column].dataType.simpleString()
+    if kind not in ("tinyint", "smallint", "int", "bigint"):
+        raise TypeError(f"{column} is {kind}: give whole-number ids, for instance a table that numbers yours")
+    return df[column].cast("long")
+
+
 _OWN: list[str] = []
 
 

@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skyframe.llm.common import LOWER, slices, staged
+from skyframe.llm.common import LOWER, integral, slices, staged, without
 from skyframe.llm.components import components
 
 _ONES = np.uint64(0x0101010101010101)
@@ -85,8 +85,11 @@ def _fingerprint(ngram: int, bits: int):
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ngram: int = 3, bits: int = 64) -> DataFrame:
-    """(id long, fp binary): little-endian 64-bit words. Null texts and texts without words have fingerprint zero."""
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+    """(id long, fp binary): little-endian 64-bit words. Null texts and texts without words have fingerprint zero.
+
+    Ids are whole numbers or null; any others raise a TypeError.
+    """
+    rows = docs.select(integral(docs, id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     return rows.mapInArrow(_fingerprint(ngram, bits), "id long, fp binary")
 
 
@@ -380,7 +383,7 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     five and four, and 136 bits are 27 %. The sets themselves then decide; equal sets are one node throughout.
     Rows with a null id stay. Texts without words are copies of each other.
     """
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).filter("id IS NOT NULL")
+    rows = docs.select(integral(docs, id_col).alias("id"), F.col(text_col).cast("string").alias("text")).filter("id IS NOT NULL")
     prints = staged(rows.mapInArrow(_shingled(ngram, bits, orders), "id long, digest binary, fp binary, firsts array<long>"), "shingles")
     nodes = staged(prints.groupBy("digest").agg(F.min("id").alias("id"), F.first("fp").alias("fp"), F.first("firsts").alias("firsts")), "nodes")
     signed = nodes.select(F.posexplode("firsts").alias("part", "key"), F.lit(False).alias("probe"), "id", "fp")
@@ -389,8 +392,7 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     same = components(verified(rows, group, ngram))
     by_set = nodes.join(same.hint("merge"), "id", "left").select("digest", F.coalesce("root", "id").alias("component_id"))
     found = prints.select("id", "digest").join(by_set.hint("merge"), "digest")
-    gone = found.filter(F.col("id") != F.col("component_id")).select(F.col("id").alias("_gone")).distinct()
-    return docs.join(gone.hint("merge"), docs[id_col] == F.col("_gone"), "left_anti")
+    return without(docs, id_col, found.filter(F.col("id") != F.col("component_id")).select("id"))
 
 
 def hex_fingerprint(fp):
