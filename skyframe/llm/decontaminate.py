@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skyframe.llm.common import LOWER, slices
+from skyframe.llm.common import LOWER, slices, without
 
 #: ASCII: letters lower-cased, digits as they are, all else a blank; other bytes are left for later.
 _ASCII = bytes(b if b >= 128 or chr(b).isalnum() else 32 for b in LOWER)
@@ -89,15 +89,17 @@ def matches(text: str, automaton, items: list[tuple[int, str, int]]) -> dict[int
 
     Of an item with at most e errors in e + 1 pieces, one half has fewer errors than pieces, and so on down to
     one piece. So a hit must hold in ever longer runs of j pieces with at most j - 1 errors before the whole
-    item is compared.
+    item is compared. An item of budget 0 that starts and ends with a space must be there as whole words.
     """
     spans: dict[int, list[list[int]]] = defaultdict(list)
+    text = f" {text} "
+    last = len(text) - 1
     for end, hits in automaton.iter(text):
         for k, offset, length, runs in hits:
             at = end - length + 1 - offset
-            if all(least_distance(part, text[max(0, at + a - j) : at + a + len(part) + j]) <= j for a, part, j in runs):
+            if all(least_distance(part, text[max(1, at + a - j) : min(last, at + a + len(part) + j)]) <= j for a, part, j in runs):
                 _, item, e = items[k]
-                spans[k].append([max(0, at - e), at + len(item) + e])
+                spans[k].append([max(1, at - e), min(last, at + len(item) + e)] if e else [at, at + len(item)])
     found: dict[int, int] = {}
     for k, ranges in spans.items():
         name, item, e = items[k]
@@ -113,6 +115,14 @@ def matches(text: str, automaton, items: list[tuple[int, str, int]]) -> dict[int
     return found
 
 
+def wanted_item(text: str, rate: float, whole_under: int) -> tuple[str, int] | None:
+    """(what to look for, edits) of an item's text: whole words without edits under `whole_under` characters; None without words."""
+    item = normalise(text)
+    if not item:
+        return None
+    return (f" {item} ", 0) if len(item) < whole_under else (item, int(rate * len(item)))
+
+
 def _automaton(items: list[tuple[int, str, int]]):
     import ahocorasick
 
@@ -129,49 +139,47 @@ def _automaton(items: list[tuple[int, str, int]]):
     return automaton
 
 
-def _scan(shared, name: str, id_type: pa.DataType):
+def _scan(shared, name: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if name not in _BUILT:
             _BUILT.clear()
             _BUILT[name] = (_automaton(shared.value), shared.value)
         automaton, items = _BUILT[name]
         for batch, texts in slices(batches):
-            docs, found, far = [], [], []
-            for doc, text in zip(batch.column(0).to_pylist(), texts, strict=True):
+            rows, found, far = [], [], []
+            for row, text in enumerate(texts):
                 for item, distance in matches(normalise(text or b""), automaton, items).items():
-                    docs.append(doc)
+                    rows.append(row)
                     found.append(item)
                     far.append(distance)
-            yield pa.RecordBatch.from_arrays([pa.array(docs, id_type), pa.array(found, pa.int64()), pa.array(far, pa.int32())], ["id", "item_id", "distance"])
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows, pa.int64())), pa.array(found, pa.int64()), pa.array(far, pa.int32())], ["id", "item_id", "distance"])
 
     return run
 
 
-def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", rate: float = 0.08, min_chars: int = 20, block_chars: int = 1_000_000) -> DataFrame:
+def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", rate: float = 0.08, whole_under: int = 20, block_chars: int = 1_000_000) -> DataFrame:
     """(id_col, item_id, distance): the items (item_id, text) that a document holds with at most floor(rate * length) edits.
 
-    Lengths and edits are of normalised text. Items under `min_chars` normalised characters, null ones included, are too
-    common as text to tell anything and are not looked for. Items go to the workers in blocks of about
-    `block_chars` characters, one pass over docs each, so what is broadcast is bounded however many there are.
-    Null and empty documents hold nothing. Repeated rows are reported each; repeated items once per id.
+    Lengths and edits are of normalised text. Items under `whole_under` normalised characters, which other words hold
+    by chance, have to be there as whole words, without edits. Null items and items without a letter or digit are found
+    nowhere. Items go to the workers in blocks of about `block_chars` characters, one pass over docs each, so what is
+    broadcast is bounded however many there are. Null and empty documents hold nothing. A row per id and item: documents
+    that share an id, null ids included, are one, and an item id with several texts has the least distance of them.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    kind = rows.schema["id"].dataType.simpleString()
-    id_type = {"int": pa.int32(), "bigint": pa.int64(), "string": pa.string()}[kind]
-    schema = f"id {kind}, item_id long, distance int"
+    schema = f"id {rows.schema['id'].dataType.simpleString()}, item_id long, distance int"
     wanted = items.filter(F.col("item_id").isNotNull() & F.col("text").isNotNull()).select(F.col("item_id").cast("long").alias("item_id"), "text")
     blocks = -(-(wanted.agg(F.sum(F.length("text"))).first()[0] or 0) // block_chars)
     out = spark.createDataFrame([], schema)
     for b in range(blocks):
-        held = [(r["item_id"], normalise(r["text"])) for r in wanted.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b).collect()]
-        held = [(i, t, int(rate * len(t))) for i, t in sorted(held) if len(t) >= min_chars]
+        block = wanted.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b).distinct().collect()
+        held = sorted((r["item_id"], *x) for r in block if (x := wanted_item(r["text"], rate, whole_under)))
         if held:
-            out = out.union(rows.mapInArrow(_scan(spark.sparkContext.broadcast(held), uuid.uuid4().hex, id_type), schema))
+            out = out.union(rows.mapInArrow(_scan(spark.sparkContext.broadcast(held), uuid.uuid4().hex), schema))
     return out.groupBy("id", "item_id").agg(F.min("distance").alias("distance")).withColumnRenamed("id", id_col)
 
 
 def without_contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", **rules) -> DataFrame:
-    """The rows of docs that hold no item; rows with a null id stay."""
-    hit = contaminated(docs, items, id_col, **rules).select(F.col(id_col).alias("_hit")).distinct()
-    return docs.join(hit.hint("merge"), docs[id_col] == F.col("_hit"), "left_anti")
+    """The rows of docs that hold no item, with all their columns; rows with a null id stay."""
+    return without(docs, id_col, contaminated(docs, items, id_col, **rules).select(id_col))
