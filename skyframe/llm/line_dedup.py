@@ -13,7 +13,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skyframe.llm.common import LOWER, staged
+from skyframe.llm.common import LOWER, slices, staged
 
 _KEYS = "id {id}, h1 long, h2 long"
 
@@ -35,27 +35,28 @@ def line_hash(line: bytes, min_chars: int) -> tuple[int, int] | None:
     return int.from_bytes(value[:8], "little", signed=True), int.from_bytes(value[8:], "little", signed=True)
 
 
-def _explode(min_chars: int, id_type: pa.DataType):
+def _explode(min_chars: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids, h1, h2 = [], [], []
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.large_binary()).to_pylist(), strict=True):
-                if doc is None or not text:
+        for batch, texts in slices(batches):
+            rows, h1, h2 = [], [], []
+            for row, text in enumerate(texts):
+                if not text:
                     continue
                 found = {line_hash(x, min_chars) for x in text.split(b"\n")} - {None}
-                ids += [doc] * len(found)
+                rows += [row] * len(found)
                 h1 += [x[0] for x in found]
                 h2 += [x[1] for x in found]
-            yield pa.RecordBatch.from_arrays([pa.array(ids, id_type), pa.array(h1, pa.int64()), pa.array(h2, pa.int64())], ["id", "h1", "h2"])
+            ids = batch.column(0).take(pa.array(rows, pa.int64()))
+            yield pa.RecordBatch.from_arrays([ids, pa.array(h1, pa.int64()), pa.array(h2, pa.int64())], ["id", "h1", "h2"])
 
     return run
 
 
 def _reassemble(min_chars: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch, texts in slices(batches):
             kept, lines, dropped = [], [], []
-            for text, drops in zip(batch.column(1).cast(pa.large_binary()).to_pylist(), batch.column(2).to_pylist(), strict=True):
+            for text, drops in zip(texts, batch.column(2).to_pylist(), strict=True):
                 parts = (text or b"").split(b"\n")
                 stay = parts
                 if drops:
@@ -73,14 +74,13 @@ def drop_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     """Lines whose key occurs in at least `min_docs` documents stay only in the largest id that holds them.
 
     Returns (id_col, kept_text, n_lines, n_dropped), a row per row of docs; `keep` names the columns of docs to return
-    in place of id_col. Null or empty text is one empty line. Rows that repeat an id count as one document. A row with
+    in place of id_col. Null or empty text is one empty line: kept_text is then ''. Rows that repeat an id count as one document. A row with
     a null id keeps all its lines and counts for none. A line that repeats inside the document that keeps it stays as
     often as it is there. An empty table stays empty.
     """
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), F.struct(*(F.col(c) for c in keep or (id_col,))).alias("row"))
     kind = rows.schema["id"].dataType.simpleString()
-    id_type = {"int": pa.int32(), "bigint": pa.int64(), "string": pa.string()}[kind]
-    keys = staged(rows.select("id", "text").mapInArrow(_explode(min_chars, id_type), _KEYS.format(id=kind)), "line-keys")
+    keys = staged(rows.filter("id IS NOT NULL").select("id", "text").mapInArrow(_explode(min_chars), _KEYS.format(id=kind)), "line-keys")
     common = staged(keys.groupBy("h1", "h2").agg(F.count_distinct("id").alias("n"), F.max("id").alias("keeper")).filter(F.col("n") >= min_docs), "common-lines")
     drops = (
         keys.join(common.select("h1", "h2", "keeper").hint("merge"), ["h1", "h2"])

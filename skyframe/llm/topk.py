@@ -72,7 +72,8 @@ def top_k(queries: DataFrame, candidates: DataFrame, k: int, candidate_block: in
     """Each query's k highest inner products among the candidates of another id: (query_id, rank, vec_id, score).
 
     Both sides are (id long, v array<long>); |v| must stay below 2**26 so that scores fit in a long. Fewer than
-    k candidates: all of them. Rows that repeat an id are rows of their own. Empty tables give no rows.
+    k candidates: all of them. Candidates that repeat an id are candidates each; queries that repeat an id share one
+    list of k. Vectors of unequal length are filled up with zeros. Empty tables give no rows.
     """
     n_blocks = max(1, -(-candidates.count() // candidate_block))
     q_blocks = max(1, -(-queries.count() // query_block))
