@@ -38,7 +38,7 @@ def _small_star(edges: DataFrame, hub: int) -> DataFrame:
     return moved.union(least.select("c", "m").toDF("a", "b")).filter("a != b").distinct()
 
 
-def components(links: DataFrame, most_rounds: int = 60, least_hub: int = 256) -> DataFrame:
+def components(links: DataFrame, most_rounds: int = 60, least_hub: int = 64) -> DataFrame:
     """(id, root) for every id that a link (a, b) of two longs touches, roots left out: root is the least id reachable.
 
     Direction, repeats and loops do not matter. No links: no rows.
