@@ -79,13 +79,14 @@ def slices(batches: Iterator[pa.RecordBatch], column: str = "text", size: int =
             yield batch.slice(first), text.slice(first).to_pylist()
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, folds: int = 5, held_out: int = 0, rows: int = 4000, max_chars: int = 100_000) -> list[tuple[bytes, int]]:
-    """(text, label) of at most `rows` labelled documents of up to `max_chars` characters outside the held-out fold.
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, folds: int = 5, held_out: int = 0, rows: int = 4000) -> DataFrame:
+    """(place long, text, y int) of at most `rows` labelled documents outside the held-out fold, whatever their length.
 
-    The rows come in the order of a hash of their ids, the same on every run; their ids are few enough to broadcast.
+    The documents are the first in the order of a hash of their ids, the same on every run; place is that order. Their ids are
+    few enough to broadcast, their texts stay with the workers.
     """
     known = labels.filter(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & (fold_of("doc_id", folds) != held_out))
-    drawn = known.groupBy("doc_id").agg(F.max(label).cast("int").alias("y")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
-    held = docs.filter(F.coalesce(F.length("text"), F.lit(0)) <= max_chars).select(F.col("doc_id").alias("id"), F.col("text").cast("string").alias("text"))
-    found = held.join(F.broadcast(drawn), F.col("id") == F.col("doc_id")).select("id", "text", "y").collect()
-    return [((r["text"] or "").encode("utf-8", "replace"), r["y"]) for r in sorted(found, key=lambda r: (r["id"], r["text"] or ""))]
+    drawn = known.groupBy("doc_id").agg((F.max(label) > 0).cast("int").alias("y")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
+    drawn = drawn.select(F.col("doc_id").alias("drawn"), F.xxhash64("doc_id").alias("place"), "y")
+    texts = docs.select(F.col("doc_id").alias("id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    return texts.join(F.broadcast(drawn), F.col("id") == F.col("drawn")).select("place", "text", "y")

@@ -2,12 +2,14 @@
 
 Texts are read as bytes in chunks that overlap by 64 bytes and cover all of them. Filters of 8 bytes at every
 place look up learned responses per byte, each filter keeps its greatest response in a chunk, and the
-greatest and the mean of these over all chunks make one probability.
+greatest and the mean of these over all chunks make one probability. For training, workers cut the sampled texts,
+whatever their length, and send at most `CHUNKS` chunks of each, drawn from all of it.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
@@ -17,6 +19,7 @@ from pyspark.sql import functions as F
 from skyframe.llm.common import fold_of, labelled_sample, slices
 
 CHUNK, OVERLAP, WIDTH, STEP, FILTERS, EMBED = 512, 64, 8, 1, 16, 6
+CHUNKS = 48
 
 
 def chunks(text: bytes) -> list[np.ndarray]:
@@ -51,8 +54,22 @@ def _features(best: np.ndarray, owner_first: np.ndarray):
     return np.concatenate([np.maximum.reduceat(held, owner_first, axis=0), np.add.reduceat(held, owner_first, axis=0) / n[:, None]], axis=1)
 
 
-def fit(rows: list[tuple[bytes, int]], epochs: int = 12, seed: int = 11, sample: int = 4) -> dict:
-    """The model of (text, label) rows; an epoch sees at most `sample` chunks, drawn anew, of each text.
+def drawn_chunks(text: bytes, most: int = CHUNKS) -> list[np.ndarray]:
+    """All chunks of a text, or `most` of them drawn from the whole of it, the same ones on every run."""
+    cut = chunks(text)
+    if len(cut) <= most:
+        return cut
+    return [cut[k] for k in sorted(np.random.default_rng(crc32(text)).choice(len(cut), most, replace=False))]
+
+
+def _draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch, texts in slices(batches):
+        cut = [[c.tobytes() for c in drawn_chunks(t or b"")] for t in texts]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(cut, pa.list_(pa.binary())), batch.column(2)], ["place", "chunks", "y"])
+
+
+def fit(rows: list[tuple[list[np.ndarray], int]], epochs: int = 12, seed: int = 11, sample: int = 4) -> dict:
+    """The model of (chunks of a text, label) rows; an epoch sees at most `sample` chunks, drawn anew, of each text.
 
     Without both labels it scores every text as the share of label 1 (no rows: 0.5).
     """
@@ -60,7 +77,7 @@ def fit(rows: list[tuple[bytes, int]], epochs: int = 12, seed: int = 11, sample:
     if not 0 < y.sum() < len(y):
         return {"prior": float(y.mean()) if len(y) else 0.5}
     rng = np.random.default_rng(seed)
-    cut = [chunks(t) for t, _ in rows]
+    cut = [c for c, _ in rows]
     p = {
         "embed": rng.normal(0, 0.5, (256, EMBED)), "filters": rng.normal(0, 0.3, (WIDTH, EMBED, FILTERS)), "bias": np.zeros(FILTERS),
         "out": rng.normal(0, 0.2, 2 * FILTERS), "shift": np.array(np.log(y.mean() / (1 - y.mean()))),
@@ -138,10 +155,12 @@ def _score(shared):
 def quality(docs: DataFrame, labels: DataFrame, rows: int = 4000, threshold: float = 0.3) -> DataFrame:
     """(doc_id, held_out, score, predicted) per row of docs (doc_id, text), learned from labels (doc_id, quality).
 
-    `rows` bounds the labelled sample; fold 0 of 5 by crc32 of the id is held out. Null and empty texts are
+    `rows` bounds the labelled sample, not the length of its texts; fold 0 of 5 by crc32 of the id is held out. Null and empty texts are
     scored as zero bytes. Rows that repeat an id are scored each, a null id stays null. Only the text enters a score.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(fit(labelled_sample(docs, labels, "quality", rows=rows)))
+    drawn = labelled_sample(docs, labels, "quality", rows=rows).mapInArrow(_draw, "place long, chunks array<binary>, y int").collect()
+    drawn.sort(key=lambda r: (r["place"], r["chunks"]))
+    shared = docs.sparkSession.sparkContext.broadcast(fit([([np.frombuffer(c, np.uint8) for c in r["chunks"]], r["y"]) for r in drawn]))
     kind = docs.schema["doc_id"].dataType.simpleString()
     scored = docs.select(F.col("doc_id").alias("id"), F.col("text").cast("string").alias("text")).mapInArrow(_score(shared), f"id {kind}, score double")
     return scored.select(F.col("id").alias("doc_id"), (fold_of("id", 5) == 0).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))

@@ -4,6 +4,7 @@ A step reads one word as two inputs: the word itself and its character 3- to 5-g
 that hold smoothed log-odds learned from labelled rows (out of fold while the network is trained on them).
 The network reads windows of 32 words, each overlapping the next by 8, that cover the whole text; a text scores as its
 worst window. It is trained on the windows that matter: the worst of each toxic text, the worst few of each clean one.
+Workers read the sampled texts, whatever their length: first they count buckets, then they pick three windows of each.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skyframe.llm.common import LOWER, fold_of, labelled_sample, slices
+from skyframe.llm.common import LOWER, fold_of, labelled_sample, slices, staged
 
 BUCKETS = 1 << 16
 STEPS, STRIDE, HIDDEN, INPUTS = 32, 24, 8, 6
@@ -39,14 +40,13 @@ def _grams(words: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         yield owner[:m][whole], (h[whole] * np.uint32(0x9E3779B1) >> np.uint32(16)).astype(np.intp)
 
 
-def _grams_by_word(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Buckets of all words one after the other, and where each word's begin."""
-    buckets, sizes = [np.zeros(0, np.uint16)], [np.zeros(1, np.int64)]
+def _buckets(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Buckets of these words and of their character n-grams, each once."""
+    grams = np.zeros(BUCKETS, dtype=bool)
     for at in range(0, len(words), 2000):
-        owners, found = map(np.concatenate, zip(*_grams(words[at : at + 2000]), strict=True))
-        buckets.append(found[np.argsort(owners, kind="stable")].astype(np.uint16))
-        sizes.append(np.bincount(owners, minlength=len(words[at : at + 2000])))
-    return np.concatenate(buckets), np.cumsum(np.concatenate(sizes))
+        for _, found in _grams(words[at : at + 2000]):
+            grams[found] = True
+    return np.unique(np.fromiter(map(crc32, words), dtype=np.int64, count=len(words)) % BUCKETS), np.flatnonzero(grams)
 
 
 def _inputs(words: list[bytes], word_odds: np.ndarray, gram_odds: np.ndarray) -> np.ndarray:
@@ -172,52 +172,75 @@ def _logits(p, x, mask, block: int = 1024):
     return _pool(p, s, mask)[3]
 
 
-def fit(rows: list[tuple[bytes, int]], epochs: int = 8, seed: int = 7, folds: int = 4) -> dict:
+# Training
+
+
+def fold_of_text(text: bytes, folds: int) -> int:
+    return crc32(text) % folds  # equal texts share a fold
+
+
+class Counts:
+    """How many clean and toxic documents of each fold have a word or an n-gram in each bucket."""
+
+    def __init__(self, folds: int):
+        self.folds, self.totals = folds, np.zeros((folds, 2))
+        self.words, self.grams = np.zeros((folds, 2, BUCKETS), np.float32), np.zeros((folds, 2, BUCKETS), np.float32)
+
+    def add(self, text: bytes, y: int) -> None:
+        f, own = fold_of_text(text, self.folds), sorted(set(text.translate(LOWER).split()))
+        words, grams = _buckets(own)
+        self.totals[f, y] += 1
+        self.words[f, y, words] += 1
+        self.grams[f, y, grams] += 1
+
+    def odds(self, f: int) -> tuple[np.ndarray, np.ndarray]:
+        """Log-odds of words and n-grams by all other folds, or by all where the others lack a label."""
+        rest = self.totals.sum(axis=0) - self.totals[f]
+        if not rest.all():
+            return self.all_odds()
+        return _odds(self.words.sum(axis=0) - self.words[f], rest), _odds(self.grams.sum(axis=0) - self.grams[f], rest)
+
+    def all_odds(self) -> tuple[np.ndarray, np.ndarray]:
+        return _odds(self.words.sum(axis=0), self.totals.sum(axis=0)), _odds(self.grams.sum(axis=0), self.totals.sum(axis=0))
+
+
+def training_windows(text: bytes, word_odds: np.ndarray, gram_odds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Inputs (n, STEPS, INPUTS) and mask of up to three windows: the two with the strongest words and one drawn from all."""
+    words = text.translate(LOWER).split()
+    vocab = sorted(set(words))
+    place = {w: i for i, w in enumerate(vocab)}
+    table = np.concatenate([_inputs(vocab, word_odds, gram_odds), np.zeros((1, INPUTS), np.float32)])
+    doc = np.fromiter(map(place.__getitem__, words), dtype=np.int64, count=len(words))
+    doc = np.append(doc, np.full(max(0, STEPS - len(doc)), len(vocab)))
+    at = np.array(window_starts(len(words)))
+    value = table[:, :2].sum(axis=1)
+    strength = np.concatenate([np.sort(value[doc[at[k : k + 4096, None] + np.arange(STEPS)]], axis=1)[:, -4:].sum(axis=1) for k in range(0, len(at), 4096)])
+    best = np.argsort(-strength, kind="stable")[:2]
+    pick = np.unique(np.append(best, np.random.default_rng(crc32(text)).integers(len(at))))
+    cut = doc[at[pick, None] + np.arange(STEPS)]
+    mask = cut < len(vocab)
+    mask[:, 0] |= ~mask.any(axis=1)  # an empty text is one blank step
+    return table[cut], mask
+
+
+def fit(rows: list[tuple[bytes, int]], folds: int = 4) -> dict:
     """The model of (text, label) rows. Without both labels it scores every text as the share of toxic rows (0 rows: 0)."""
-    y = np.array([v for _, v in rows], dtype=np.int64)
+    counts = Counts(folds)
+    for text, y in rows:
+        counts.add(text, y)
+    odds = [counts.odds(f) for f in range(folds)]
+    return fit_network(counts, [(*training_windows(t, *odds[fold_of_text(t, folds)]), y) for t, y in rows])
+
+
+def fit_network(counts: Counts, windows: list[tuple[np.ndarray, np.ndarray, int]], epochs: int = 8, seed: int = 7) -> dict:
+    """The model of bucket counts and (inputs, mask, label) of every text's windows."""
+    y = np.array([v for *_, v in windows], dtype=np.int64)
     prior = float(y.mean()) if len(y) else 0.0
     if not 0 < y.sum() < len(y):
         return {"prior": prior}
     rng = np.random.default_rng(seed)
-    texts = [t.translate(LOWER).split() for t, _ in rows]
-    vocab = sorted({w for t in texts for w in t})
-    place = {w: i for i, w in enumerate(vocab)}
-    ids = [np.array([place[w] for w in t], dtype=np.int64) for t in texts]
-    buckets, first = _grams_by_word(vocab)
-    word_bucket = np.array([crc32(w) % BUCKETS for w in vocab], dtype=np.int64)
-    fold = np.array([crc32(t) % folds for t, _ in rows])  # equal texts share a fold
-    words, grams, totals = np.zeros((folds, 2, BUCKETS), np.float32), np.zeros((folds, 2, BUCKETS), np.float32), np.zeros((folds, 2))
-    for k, doc in enumerate(ids):
-        own = np.unique(doc)
-        totals[fold[k], y[k]] += 1
-        words[fold[k], y[k], np.unique(word_bucket[own])] += 1
-        if len(own):
-            grams[fold[k], y[k], np.unique(np.concatenate([buckets[first[i] : first[i + 1]] for i in own]))] += 1
-
-    xs, ms, doc_of = [], [], []
-    for f in range(folds):
-        rest = totals.sum(axis=0) - totals[f]
-        if not (fold == f).any():
-            continue
-        if not rest.all():
-            rest, w, g = totals.sum(axis=0), words.sum(axis=0), grams.sum(axis=0)
-        else:
-            w, g = words.sum(axis=0) - words[f], grams.sum(axis=0) - grams[f]
-        used = np.unique(np.concatenate([np.zeros(0, np.int64), *(ids[k] for k in np.flatnonzero(fold == f))]))
-        table = np.zeros((len(vocab) + 1, INPUTS), dtype=np.float32)
-        table[used] = _inputs([vocab[i] for i in used], _odds(w, rest), _odds(g, rest))
-        for k in np.flatnonzero(fold == f):
-            doc = np.append(ids[k], np.full(max(0, STEPS - len(ids[k])), len(vocab)))
-            at = np.array(window_starts(len(ids[k])))
-            cut = doc[at[:, None] + np.arange(STEPS)]
-            strength = np.sort(table[cut, :2].sum(axis=2), axis=1)[:, -4:].sum(axis=1)
-            best = np.argsort(-strength, kind="stable")[:2]
-            pick = np.unique(np.append(best, rng.integers(len(at))))
-            xs.append(table[cut[pick]])
-            ms.append(cut[pick] < len(vocab))
-            doc_of += [k] * len(pick)
-    x, mask, doc_of = np.concatenate(xs), np.concatenate(ms), np.array(doc_of)
-    mask[:, 0] |= ~mask.any(axis=1)  # an empty text is one blank step
+    x, mask = np.concatenate([w[0] for w in windows]), np.concatenate([w[1] for w in windows])
+    doc_of = np.repeat(np.arange(len(windows)), [len(w[0]) for w in windows])
     p = {}
     for d in "fb":
         p["w" + d] = rng.normal(0, 0.4, (INPUTS, 3 * HIDDEN)).astype(np.float32)
@@ -255,7 +278,52 @@ def fit(rows: list[tuple[bytes, int]], epochs: int = 8, seed: int = 7, folds: in
     f1 = [2 * ((worst >= c) & (y == 1)).sum() / max(1, (worst >= c).sum() + y.sum()) for c in middle]
     top = np.flatnonzero(np.array(f1) >= max(f1) - 1e-9)
     p["bias"] = (p["bias"] - middle[top[len(top) // 2]]).astype(np.float32)
-    return {"prior": prior, "word_odds": _odds(words.sum(axis=0), totals.sum(axis=0)), "gram_odds": _odds(grams.sum(axis=0), totals.sum(axis=0)), "net": p}
+    word_odds, gram_odds = counts.all_odds()
+    return {"prior": prior, "word_odds": word_odds, "gram_odds": gram_odds, "net": p}
+
+
+def _count_buckets(folds: int):
+    """A row per fold and label with the counts of a partition."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = Counts(folds)
+        for batch, texts in slices(batches):
+            for text, y in zip(texts, batch.column(2).to_pylist(), strict=True):
+                counts.add(text or b"", y)
+        held = [(f, y) for f in range(folds) for y in (0, 1) if counts.totals[f, y]]
+        yield pa.RecordBatch.from_arrays([
+            pa.array([f for f, _ in held], pa.int32()), pa.array([y for _, y in held], pa.int32()), pa.array([counts.totals[k] for k in held], pa.float64()),
+            pa.array([counts.words[k].tobytes() for k in held], pa.binary()), pa.array([counts.grams[k].tobytes() for k in held], pa.binary()),
+        ], ["fold", "y", "n", "words", "grams"])
+
+    return run
+
+
+def _pick_windows(shared, folds: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, texts in slices(batches):
+            found = [training_windows(t or b"", *shared.value[fold_of_text(t or b"", folds)]) for t in texts]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x.tobytes() for x, _ in found], pa.binary()), pa.array([m.tobytes() for _, m in found], pa.binary()), batch.column(2)], ["place", "x", "mask", "y"])
+
+    return run
+
+
+def learn(docs: DataFrame, labels: DataFrame, rows: int = 4000, folds: int = 4, parts: int = 8) -> dict:
+    """fit() of a labelled sample that stays with the workers: `parts` tasks read it. What reaches the driver is bounded by `rows` and
+    `parts`, not by the texts: bucket counts of every task, and three windows of every text."""
+    sample = staged(labelled_sample(docs, labels, "toxic", rows=rows).repartition(parts), "toxic-sample")
+    counts = Counts(folds)
+    for r in sample.mapInArrow(_count_buckets(folds), "fold int, y int, n double, words binary, grams binary").collect():
+        counts.totals[r["fold"], r["y"]] += r["n"]
+        counts.words[r["fold"], r["y"]] += np.frombuffer(r["words"], np.float32)
+        counts.grams[r["fold"], r["y"]] += np.frombuffer(r["grams"], np.float32)
+    if not counts.totals.sum(axis=0).all():
+        return fit_network(counts, [(None, None, y) for y in (0, 1) for _ in range(int(counts.totals[:, y].sum()))])
+    odds = docs.sparkSession.sparkContext.broadcast([counts.odds(f) for f in range(folds)])
+    held = sample.mapInArrow(_pick_windows(odds, folds), "place long, x binary, mask binary, y int").collect()
+    held.sort(key=lambda r: (r["place"], r["x"]))
+    shape = (-1, STEPS, INPUTS)
+    return fit_network(counts, [(np.frombuffer(r["x"], np.float32).reshape(shape), np.frombuffer(r["mask"], bool).reshape(-1, STEPS), r["y"]) for r in held])
 
 
 class Scorer:
@@ -294,10 +362,10 @@ class Scorer:
         return _pool(p, np.concatenate(states, axis=2), mask)[3]
 
     def __call__(self, texts: list[bytes | None]) -> np.ndarray:
-        """Scores 0..1; a text without words scores as the share of toxic rows, 0.49 at most."""
-        out = np.full(len(texts), min(self.model["prior"], 0.49))
+        """Scores 0..1; a text without words scores as the share of toxic rows, 0.49 at most. One label only: its share for all."""
         if "net" not in self.model:
-            return out
+            return np.full(len(texts), self.model["prior"])
+        out = np.full(len(texts), min(self.model["prior"], 0.49))
         words = [(t or b"").translate(LOWER).split() for t in texts]
         ids = self._ids([w for ws in words for w in ws])
         first = np.concatenate([[0], np.cumsum([len(ws) for ws in words])])
@@ -320,7 +388,7 @@ class Scorer:
 _SCORERS: dict[int, Scorer] = {}
 
 
-def _score(shared, id_type: pa.DataType):
+def _score(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key = id(shared.value)
         if key not in _SCORERS:
@@ -335,13 +403,14 @@ def _score(shared, id_type: pa.DataType):
 def toxicity(docs: DataFrame, labels: DataFrame, rows: int = 4000) -> DataFrame:
     """(doc_id, held_out, score, predicted) per row of docs (doc_id, text), learned from labels (doc_id, toxic).
 
-    `rows` bounds the labelled sample; fold 0 of 5 by crc32 of the id is held out. Null and empty texts are scored
-    as the share of toxic rows. Rows that repeat an id are scored each, a null id stays null. Only the text enters a score.
+    `rows` bounds the labelled sample, not the length of its texts; fold 0 of 5 by crc32 of the id is held out. Null and empty
+    texts are scored as the share of toxic rows, under 0.5; if the sample has one label only, so is every text (as 0 or 1;
+    without any label as 0). Rows that repeat an id are scored each, a null id stays null. Only the text enters a score.
     """
     spark = docs.sparkSession
-    model = fit(labelled_sample(docs, labels, "toxic", rows=rows))
+    model = learn(docs, labels, rows)
     kind = docs.schema["doc_id"].dataType.simpleString()
-    scored = docs.select(F.col("doc_id").alias("id"), F.col("text").cast("string").alias("text")).mapInArrow(_score(spark.sparkContext.broadcast(model), None), f"id {kind}, score double")
+    scored = docs.select(F.col("doc_id").alias("id"), F.col("text").cast("string").alias("text")).mapInArrow(_score(spark.sparkContext.broadcast(model)), f"id {kind}, score double")
     return scored.select(F.col("id").alias("doc_id"), (fold_of("id", 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
@@ -359,5 +428,5 @@ def _keep(shared, threshold: float):
 
 def without_toxic(docs: DataFrame, labels: DataFrame, rows: int = 4000, threshold: float = 0.5) -> DataFrame:
     """The rows of docs (doc_id, text, ...) whose score is under the threshold, with all their columns."""
-    shared = docs.sparkSession.sparkContext.broadcast(fit(labelled_sample(docs, labels, "toxic", rows=rows)))
+    shared = docs.sparkSession.sparkContext.broadcast(learn(docs, labels, rows))
     return docs.mapInArrow(_keep(shared, threshold), docs.schema)
