@@ -8,7 +8,7 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: ASCII white space as the contracts have it: `[\x20\x09-\x0D]`; bytes.split() and strip() use the same set.
@@ -44,6 +44,21 @@ def integral(df: DataFrame, column: str) -> Column:
     return df[column].cast("long")
 
 
+def sums_before(counts: DataFrame, keys: list[str], at: str, n: str, span: int = 4096) -> DataFrame:
+    """(keys, at, before): the sum of n over the rows of the same keys with a smaller `at`; counts has one row per (keys, at).
+
+    Rows are summed in stretches of `span` values of `at` first, so a hot key is spread over tasks. Null keys are a key.
+    """
+    inner = Window.partitionBy(*keys, "whole").orderBy(at).rowsBetween(Window.unboundedPreceding, -1)
+    outer = Window.partitionBy(*keys).orderBy("whole").rowsBetween(Window.unboundedPreceding, -1)
+    rows = counts.select(*keys, at, F.col(n).alias("n"), F.floor(F.col(at) / span).alias("whole"))
+    sums = rows.groupBy(*keys, "whole").agg(F.sum("n").alias("n")).withColumn("ahead", F.coalesce(F.sum("n").over(outer), F.lit(0)))
+    sums = sums.select(*(F.col(k).alias(f"{k}_of") for k in (*keys, "whole")), "ahead")
+    within = rows.withColumn("inside", F.coalesce(F.sum("n").over(inner), F.lit(0)))
+    same = [F.col(k).eqNullSafe(F.col(f"{k}_of")) for k in (*keys, "whole")]
+    return within.join(sums.hint("merge"), same).select(*keys, at, (F.col("ahead") + F.col("inside")).alias("before"))
+
+
 _OWN: list[str] = []
 
 

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from skyframe.llm.common import LOWER, slices, staged
+from skyframe.llm.common import LOWER, slices, staged, sums_before
 
 _CACHES: dict[str, "WordEncoder"] = {}
 _PIECES = "id {id}, piece int, start long, length long, ids_crc32 long"
@@ -199,17 +199,6 @@ def best_fit_rules(counts: Iterable[tuple[int, int]], capacity: int) -> list[tup
     return rules
 
 
-def _before(counts: DataFrame, span: int = 4096) -> DataFrame:
-    """(length, cell, before) from (length, cell, n): rows of this length in the cells below, summed over stretches of `span` cells
-    first, so that the cells of a hot length are spread over tasks."""
-    inner = Window.partitionBy("length", "stretch").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
-    outer = Window.partitionBy("length").orderBy("stretch").rowsBetween(Window.unboundedPreceding, -1)
-    cells = counts.withColumn("stretch", F.floor(F.col("cell") / span))
-    whole = cells.groupBy("length", "stretch").agg(F.sum("n").alias("n")).select("length", "stretch", F.coalesce(F.sum("n").over(outer), F.lit(0)).alias("ahead"))
-    within = cells.withColumn("inside", F.coalesce(F.sum("n").over(inner), F.lit(0)))
-    return within.join(whole.hint("merge"), ["length", "stretch"]).select("length", "cell", (F.col("ahead") + F.col("inside")).alias("before"))
-
-
 def pack(pieces: DataFrame, capacity: int = 2048, cell: int = 256) -> DataFrame:
     """Add sequence_id and offset to pieces (id, piece, start, length, ids_crc32), 1 <= length <= capacity.
 
@@ -221,7 +210,7 @@ def pack(pieces: DataFrame, capacity: int = 2048, cell: int = 256) -> DataFrame:
     cells = spark.createDataFrame([(n, -(-c // cell)) for n, c in counts], "length long, cells long")
     order = [F.col(c) for c in ("id", "piece", "start", "ids_crc32")]
     salted = pieces.join(F.broadcast(cells), "length").withColumn("cell", F.pmod(F.xxhash64(*order), F.col("cells")))
-    before = _before(salted.groupBy("length", "cell").agg(F.count("*").alias("n")))
+    before = sums_before(salted.groupBy("length", "cell").agg(F.count("*").alias("n")), ["length"], "cell", "n")
     ranked = (
         salted.join(before.hint("merge"), ["length", "cell"])
         .withColumn("rank", F.col("before") + F.row_number().over(Window.partitionBy("length", "cell").orderBy(*order)) - 1)

@@ -75,6 +75,45 @@ FROM bodies b JOIN m USING (conv_id, turn, raw) LEFT JOIN counted USING (conv_id
 """
 
 
+def answer_form(conversations: DataFrame) -> DataFrame:
+    """The conversations as a mailing list has them: message n answers message (n - 1) / 2, quoted whole but with lines broken anew."""
+    asked = conversations.select(F.col("conv_id").alias("c"), (F.col("turn")).alias("t"), F.col("text").alias("quoted"))
+    answered = F.when(F.col("turn") > 0, F.floor((F.col("turn") - 1) / 2))
+    both = conversations.join(asked.hint("merge"), (F.col("conv_id") == F.col("c")) & (answered == F.col("t")), "left")
+    wrapped = F.regexp_replace("quoted", r"([^\n]{30,60}) ", "$1\n")
+    return both.select("conv_id", "turn", "role", F.concat_ws("\n", F.concat(F.lit("> "), F.replace(wrapped, F.lit("\n"), F.lit("\n> "))), F.col("text")).alias("text"))
+
+
+def quoted_mail_chats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Reply-ordered conversations without quotes, from mail in which threads branch and quotes are wrapped."""
+    ordered = quotes.reply_order(quotes.link_quotes(answer_form(table(spark, sf_dir, "conversations"))))
+    line = F.array_join(F.transform("messages", lambda m: F.concat(m["role"], F.lit(": "), m["content"])), "\n\n")
+    return quotes.chats(ordered).select("conv_id", "part", F.size("messages").alias("n_messages"), line.alias("chat"))
+
+
+CHATS_SQL = r"""
+WITH RECURSIVE m AS (
+  SELECT conv_id, turn, min(role) AS role, text FROM conversations GROUP BY conv_id, turn, text
+), said AS (
+  SELECT DISTINCT conv_id, turn, lower(trim(regexp_replace(x, '[\x20\x09-\x0D]+', ' ', 'g'))) AS norm
+  FROM (SELECT conv_id, turn, text AS x FROM m UNION ALL SELECT conv_id, turn, unnest(string_split(text, chr(10))) FROM m)
+), answers AS (
+  SELECT b.conv_id, b.turn, max(s.turn) AS parent
+  FROM m b JOIN m a ON a.conv_id = b.conv_id AND b.turn > 0 AND a.turn = (b.turn - 1) // 2
+  JOIN said s ON s.conv_id = b.conv_id AND s.turn < b.turn AND s.norm = lower(trim(regexp_replace(a.text, '[\x20\x09-\x0D]+', ' ', 'g')))
+  WHERE s.norm <> '' GROUP BY ALL
+), up AS (
+  SELECT conv_id, turn, turn AS root FROM (SELECT DISTINCT conv_id, turn FROM m) ANTI JOIN answers USING (conv_id, turn)
+  UNION ALL
+  SELECT a.conv_id, a.turn, u.root FROM up u JOIN answers a ON a.conv_id = u.conv_id AND a.parent = u.turn
+), placed AS (
+  SELECT m.*, row_number() OVER (PARTITION BY m.conv_id ORDER BY root, m.turn, text) AS place FROM m JOIN up USING (conv_id, turn)
+)
+SELECT conv_id, ((place - 1) // 1000)::INT AS part, count(*)::INT AS n_messages, string_agg(role || ': ' || text, chr(10) || chr(10) ORDER BY place) AS chat
+FROM placed GROUP BY ALL
+"""
+
+
 def op4_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_lm.score_held_out(table(spark, sf_dir, "documents"))
 
@@ -140,5 +179,5 @@ def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFram
     return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_toxicity, op3_quotation_linking, op4_lm_scoring, op5_quality_classifier, op6_line_dedup, op7_language_id, op8_simhash_near_dedup, op9_exact_top_k, op10_benchmark_decontamination)}
-ORACLES = {"op3_quotation_linking": OP3_SQL, "op6_line_dedup": OP6_SQL, "op9_exact_top_k": OP9_SQL}
+QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_toxicity, op3_quotation_linking, op4_lm_scoring, op5_quality_classifier, op6_line_dedup, op7_language_id, op8_simhash_near_dedup, op9_exact_top_k, op10_benchmark_decontamination, quoted_mail_chats)}
+ORACLES = {"op3_quotation_linking": OP3_SQL, "op6_line_dedup": OP6_SQL, "op9_exact_top_k": OP9_SQL, "quoted_mail_chats": CHATS_SQL}

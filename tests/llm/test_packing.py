@@ -6,6 +6,7 @@ from array import array
 from pyspark.sql import functions as F
 
 from skyframe.llm import packing, queries
+from skyframe.llm.common import sums_before
 
 SCRIPTS = (
     "abcxyzABCsttredllvem", "éüßñçøŉǅ", "абвгдЖЯё", "αβγςΣΩ", "अआकखि्ंँ", "日本語中文", "אבגשלום", "ابجده", "̸́̈‍​ 　´",
@@ -58,5 +59,5 @@ def test_ids_of_any_type_and_hot_lengths(spark):
         at[seq] = offset + length
     assert max(at.values()) <= 8 and len(at) == -(-2000 // 2)  # three twos do not fit with two threes: 3 + 3 + 2 = 8
     counts = spark.createDataFrame([(7, k, 1 + k % 3) for k in range(100)], "length long, cell long, n long")
-    got = {r["cell"]: r["before"] for r in packing._before(counts, span=8).collect()}
+    got = {r["cell"]: r["before"] for r in sums_before(counts, ["length"], "cell", "n", span=8).collect()}
     assert got == {k: sum(1 + j % 3 for j in range(k)) for k in range(100)}
