@@ -1,8 +1,13 @@
-"""Registry of gridded products: what fields they read and the Column rule over them."""
+"""Catalogues of gridded products: what fields they read and the Column rule over them.
+
+Fields are long rows (run, hour, i, j, var, level, acc, value), acc being the accumulation text of an index, as in
+"0-6 hour acc fcst". All fields that some products read are laid side by side in one grouping; a field of an earlier
+hour is counted to the hour that asks for it, so there is no join. Missing is null.
+"""
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame
@@ -11,68 +16,268 @@ from pyspark.sql import functions as F
 from skyframe.functions import geo, weather
 
 
+@dataclass(frozen=True)
+class Field:
+    """A (variable, level). `total`: accumulated since the run began; `bucket`: over so many hours up to now; `back`: so many hours earlier."""
+
+    var: str
+    level: str
+    total: bool = False
+    bucket: int = 0
+    back: int = 0
+
+
 @dataclass(frozen=True)
 class Product:
-    """`fields` names the (var, level) pairs the rule reads, in order; `models` those that offer it (none: all)."""
+    """The rule gets the names of the fields' columns, in order; there is a value where the `needed` fields (all, or these places)
+    have one. With a `window` the last field is a total: the rule gets what of it
+    fell in the last `window` hours, or since the run began. Before `min_hour` there are no values."""
 
     id: str
-    fields: tuple[tuple[str, str], ...]
+    fields: tuple[Field, ...]
     rule: Callable[..., Column]
-    models: tuple[str, ...] = ()
     scale: float = 1.0
+    window: int = 0
+    min_hour: int = 0
+    needed: tuple[int, ...] | None = None
+
 
+Catalogue = Mapping[str, Product]
 
-PRODUCTS: dict[str, Product] = {}
-#: Overrides by (model, product): replaced attributes of a product.
-OVERRIDES: dict[tuple[str, str], dict] = {}
 
+def _first(column: str, *_: str) -> Column:
+    return F.col(column)
 
-def register_product(id: str, fields: Sequence[tuple[str, str]], rule: Callable[..., Column] | None = None, models: Sequence[str] = (), scale: float = 1.0) -> None:
-    """K1: a product of the user's own; rule gets the fields' column names and returns a Column. Without one it is the first field (M1)."""
-    PRODUCTS[id] = Product(id, tuple(fields), rule or (lambda c: F.col(c)), tuple(models), scale)
 
+def make_product(id: str, fields: Sequence[tuple | Field], rule: Callable[..., Column] = _first, **how) -> Product:
+    """K1: a product of the user's own; without a rule it is the first field (M1)."""
+    return Product(id, tuple(f if isinstance(f, Field) else Field(*f) for f in fields), rule, **how)
 
-def product_for_model(model: str, id: str) -> Product:
-    """M17"""
-    return replace(PRODUCTS[id], **OVERRIDES.get((model, id), {}))
+
+def with_product(catalogue: Catalogue, id: str, fields: Sequence[tuple | Field], rule: Callable[..., Column] = _first, **how) -> Catalogue:
+    """K1: the catalogue and one more product; the catalogue given stays as it is."""
+    return {**catalogue, id: make_product(id, fields, rule, **how)}
+
+
+def product_for_model(model: str | None, id: str, catalogue: Catalogue, overrides: Mapping[tuple[str, str], dict] | None = None) -> Product:
+    """The product as a model has it: its overrides of sources and rule, and its own names of levels."""
+    held = OVERRIDES if overrides is None else overrides
+    p = replace(catalogue[id], **held.get((model, id), {}))
+    names = LEVEL_NAMES.get(model, {})
+    return replace(p, fields=tuple(replace(f, level=names.get(f.var, f.level)) for f in p.fields))
 
 
 def model_products(model: str, order: Sequence[str] | None = None) -> list[str]:
-    """Products a model offers in display order; REFC comes first if there."""
-    ids = [i for i in (order or PRODUCTS) if not PRODUCTS[i].models or model in PRODUCTS[i].models]
-    return sorted(ids, key=lambda i: (i != "REFC", ids.index(i)))
-
-
-def product(cells: DataFrame, id: str, by: Sequence[str] = ("run", "hour", "i", "j"), model: str | None = None) -> DataFrame:
-    """Cells (by..., var, level, value) of a product as (by..., value): fields side by side in one grouping, then the rule."""
-    p = product_for_model(model, id) if model else PRODUCTS[id]
-    hit = [(F.col("var") == v) & (F.col("level") == lv) for v, lv in p.fields]
-    wide = cells.filter(_any(hit)).groupBy(*by).agg(*(F.max(F.when(h, F.col("value"))).alias(f"_f{k}") for k, h in enumerate(hit)))
-    return wide.select(*by, (p.rule(*(f"_f{k}" for k in range(len(hit)))) * p.scale).alias("value")).filter("value IS NOT NULL")
-
-
-def _any(conditions: list[Column]) -> Column:
-    out = conditions[0]
-    for c in conditions[1:]:
-        out = out | c
-    return out
-
-
-# Direct fields as (product, variable, level).
-DIRECT = (
-    ("REFC", "REFC", "entire atmosphere"), ("TMP", "TMP", "2 m above ground"), ("GUST", "GUST", "surface"), ("RH", "RH", "2 m above ground"), ("TCDC", "TCDC", "entire atmosphere"),
-    ("QPF", "APCP", "surface"), ("SBCAPE", "CAPE", "surface"), ("MLCAPE", "CAPE", "90-0 mb above ground"), ("MUCAPE", "CAPE", "255-0 mb above ground"), ("SRH1", "HLCY", "1000-0 m above ground"),
-    ("SRH3", "HLCY", "3000-0 m above ground"), ("LTNG", "LTNG", "entire atmosphere"), ("VORT500", "ABSV", "500 mb"), ("TMP850", "TMP", "850 mb"), ("TMP700", "TMP", "700 mb"), ("TMP500", "TMP", "500 mb"),
-)
-for _id, _var, _level in DIRECT:
-    register_product(_id, [(_var, _level)])
-for _id, _level in [("WIND", "10 m above ground"), *((f"W{p}", f"{p} mb") for p in (200, 300, 500, 700, 850, 925))]:
-    register_product(_id, [("UGRD", _level), ("VGRD", _level)], geo.wind_speed)
-register_product("DPT", [("TMP", "2 m above ground"), ("RH", "2 m above ground")], weather.dewpoint)
-register_product("FEELS", [("TMP", "2 m above ground"), ("RH", "2 m above ground"), ("UGRD", "10 m above ground"), ("VGRD", "10 m above ground")], weather.feels_like)
-register_product("LAPSE", [("TMP", "700 mb"), ("TMP", "500 mb"), ("HGT", "500 mb"), ("HGT", "700 mb")], weather.lapse_rate)
-register_product("EHI1", [("CAPE", "90-0 mb above ground"), ("HLCY", "1000-0 m above ground")], weather.ehi)
-register_product("SBCIN", [("CIN", "surface")], weather.negate)
-#: Mosaic products whose stored value has a scale: ratios of rain to guidance in hundredths.
-for _id in ("QPE1_FFG", "QPE3_FFG", "QPE6_FFG"):
-    register_product(_id, [(_id, "0 m above mean sea level")], scale=0.01, models=("mosaic",))
+    """Products a model offers in display order; a model without a list of its own offers all."""
+    only = SUPPORT.get(model)
+    return [i for i in (order or MODEL) if only is None or i in only]
+
+
+def default_product(model: str) -> str:
+    """Composite reflectivity if the model has it, else its first product."""
+    offered = model_products(model)
+    return "REFC" if "REFC" in offered or not offered else offered[0]
+
+
+def products(cells: DataFrame, ids: Sequence[str], catalogue: Catalogue | None = None, by: Sequence[str] = ("run", "hour", "i", "j"), hour: str = "hour", model: str | None = None, overrides: Mapping[tuple[str, str], dict] | None = None) -> DataFrame:
+    """(id, by..., value) of products from cells (by..., var, level, value and, for totals, acc). Missing values are left out.
+
+    One grouping for all products. `hour`, one of `by`, is the forecast hour; tables without it can have no windows.
+    Cells without a column acc are taken to match every accumulation.
+    """
+    wanted = [product_for_model(model, i, MODEL if catalogue is None else catalogue, overrides) for i in ids]
+    fields = list(dict.fromkeys(f for p in wanted for f in (*p.fields, *((replace(p.fields[-1], back=p.window),) if p.window else ()))))
+    timed, acc = hour in cells.columns, "acc" in cells.columns
+
+    def holds(f: Field) -> Column:
+        hit = (F.col("var") == f.var) & (F.col("level") == f.level)
+        if acc and f.total:
+            hit &= F.col("acc").startswith("0-")
+        if acc and f.bucket:
+            h = F.col(hour).cast("int")
+            hit &= F.col("acc").startswith(F.concat((h - f.bucket).cast("string"), F.lit("-"), h.cast("string"), F.lit(" hour acc")))
+        return hit
+
+    hits = F.array(*(F.struct(F.when(holds(f), F.lit(k)).alias("k"), F.lit(f.back).alias("back")) for k, f in enumerate(fields)))
+    rows = cells.select(*by, "value", F.explode(F.filter(hits, lambda x: x["k"].isNotNull())).alias("hit"))
+    if timed:
+        rows = rows.withColumn(hour, F.col(hour) + F.col("hit.back"))
+    wide = rows.groupBy(*by).agg(*(F.max(F.when(F.col("hit.k") == k, F.col("value"))).alias(f"_f{k}") for k in range(len(fields))))
+    name = {f: f"_f{k}" for k, f in enumerate(fields)}
+    out = []
+    for k, p in enumerate(wanted):
+        args = [name[f] for f in p.fields]
+        if p.window:
+            now, then = F.col(args[-1]), F.col(name[replace(p.fields[-1], back=p.window)])
+            fell = F.when(F.col(hour) <= p.window, now).when(now.isNotNull() & then.isNotNull(), F.greatest(now - then, F.lit(0.0)))
+            wide, args[-1] = wide.withColumn(f"_w{k}", fell), f"_w{k}"
+        value = p.rule(*args) * p.scale
+        for at in range(len(args)) if p.needed is None else p.needed:
+            value = F.when(F.col(args[at]).isNotNull(), value)
+        if p.min_hour and timed:
+            value = F.when(F.col(hour) >= p.min_hour, value)
+        out.append(F.struct(F.lit(p.id).alias("id"), value.cast("double").alias("value")))
+    return wide.select(*by, F.explode(F.array(*out)).alias("x")).select("x.id", *by, "x.value").filter("value IS NOT NULL")
+
+
+def product(cells: DataFrame, id: str, by: Sequence[str] = ("run", "hour", "i", "j"), model: str | None = None, catalogue: Catalogue | None = None, overrides: Mapping[tuple[str, str], dict] | None = None) -> DataFrame:
+    """One product as (by..., value)."""
+    return products(cells, [id], catalogue, by, model=model, overrides=overrides).drop("id")
+
+
+def first_available(*sources: str | Column) -> Column:
+    """The first source that has a value."""
+    return F.coalesce(*sources)
+
+
+def _windowed(rule: Callable[..., Column], hours: int, *fields: Field) -> dict:
+    return {"fields": fields, "rule": rule, "window": hours}
+
+
+def snow_10_to_1(water: str) -> Column:
+    """Snow (mm) at ten times its water."""
+    return F.greatest(F.col(water), F.lit(0.0)) * 10
+
+
+def snow_kuchera(t2m: str, t925: str, t850: str, t700: str, water: str) -> Column:
+    """Snow (mm) by the warmest of the four temperatures; 10 to 1 without any."""
+    return F.greatest(F.col(water), F.lit(0.0)) * weather.kuchera_ratio(f"greatest({t2m}, {t925}, {t850}, {t700})")
+
+
+def significant_tornado(cape: str, lcl: str, ground: str, srh: str, u: str, v: str, cin: str) -> Column:
+    return weather.stp(cape, f"{lcl} - {ground}", srh, geo.wind_speed.sql(u, v), cin)
+
+
+def supercell(cape: str, srh: str, u: str, v: str) -> Column:
+    return weather.scp(cape, srh, geo.wind_speed.sql(u, v))
+
+
+_2M, _10M, _SFC, _ALL, _ML, _MU = "2 m above ground", "10 m above ground", "surface", "entire atmosphere", "90-0 mb above ground", "255-0 mb above ground"
+_LCL, _SRH1, _SRH3, _SH1, _SH6 = "level of adiabatic condensation from sfc", "1000-0 m above ground", "3000-0 m above ground", "0-1000 m above ground", "0-6000 m above ground"
+_TOTAL, _SNOW = Field("APCP", _SFC, total=True), Field("WEASD", _SFC, total=True)
+_TEMPS = (Field("TMP", _2M), *(Field("TMP", f"{p} mb") for p in (925, 850, 700)))
+_uv = lambda level: [("UGRD", level), ("VGRD", level)]
+_shear = lambda level: [("VUCSH", level), ("VVCSH", level)]
+
+
+def _snow(id: str, hours: int = 0, kuchera: bool = False, water: Field = _SNOW) -> Product:
+    return make_product(id, [*_TEMPS, water] if kuchera else [water], snow_kuchera if kuchera else snow_10_to_1, window=hours, needed=(4,) if kuchera else None)
+
+
+def _snows(water: Field) -> list[Product]:
+    return [_snow(f"{name}{hours or 'T'}", hours, name == "KUCH", water) for name in ("SNOW", "KUCH") for hours in (6, 12, 24, 0)]
+
+
+#: Model products in display order.
+MODEL: Catalogue = {p.id: p for p in (
+    make_product("REFC", [("REFC", _ALL)]),
+    make_product("PTYPE", [(v, _SFC) for v in ("PRATE", "CRAIN", "CFRZR", "CICEP", "CSNOW")], weather.precip_type_rate, needed=(0,)),
+    make_product("TMP", [("TMP", _2M)]),
+    make_product("FEELS", [("TMP", _2M), ("RH", _2M), *_uv(_10M)], weather.feels_like, needed=(0,)),
+    make_product("WIND", _uv(_10M), geo.wind_speed),
+    make_product("GUST", [("GUST", _SFC)]),
+    make_product("RH", [("RH", _2M)]),
+    make_product("DPT", [("TMP", _2M), ("RH", _2M)], weather.dewpoint),
+    make_product("TCDC", [("TCDC", _ALL)]),
+    make_product("QPF1", [Field("APCP", _SFC, bucket=1)], min_hour=1),
+    make_product("QPF6", [_TOTAL], window=6),
+    make_product("QPF24", [_TOTAL], window=24),
+    make_product("QPF", [_TOTAL]),
+    *(make_product(f"W{p}", _uv(f"{p} mb"), geo.wind_speed) for p in (200, 300, 500, 700, 850, 925)),
+    *(make_product(f"VORT{p}", [("ABSV", f"{p} mb")]) for p in (850, 700, 500)),
+    *(make_product(f"TMP{p}", [("TMP", f"{p} mb")]) for p in (925, 850, 700, 500)),
+    make_product("SBCAPE", [("CAPE", _SFC)]),
+    make_product("MLCAPE", [("CAPE", _ML)]),
+    make_product("MUCAPE", [("CAPE", _MU)]),
+    make_product("CAPE3", [("CAPE", "0-3000 m above ground")]),
+    make_product("SBCIN", [("CIN", _SFC)], weather.negate),
+    make_product("MLCIN", [("CIN", _ML)], weather.negate),
+    make_product("LAPSE", [("TMP", "700 mb"), ("TMP", "500 mb"), ("HGT", "500 mb"), ("HGT", "700 mb")], weather.lapse_rate),
+    make_product("LCL", [("HGT", _LCL), ("HGT", _SFC)], weather.lcl_height),
+    make_product("SRH1", [("HLCY", _SRH1)]),
+    make_product("SRH3", [("HLCY", _SRH3)]),
+    make_product("SHEAR1", _shear(_SH1), geo.wind_speed),
+    make_product("SHEAR6", _shear(_SH6), geo.wind_speed),
+    make_product("STORM", [("USTM", _SH6), ("VSTM", _SH6)], geo.wind_speed),
+    make_product("STP", [("CAPE", _SFC), ("HGT", _LCL), ("HGT", _SFC), ("HLCY", _SRH1), *_shear(_SH6), ("CIN", _SFC)], significant_tornado),
+    make_product("SCP", [("CAPE", _MU), ("HLCY", _SRH3), *_shear(_SH6)], supercell),
+    make_product("EHI1", [("CAPE", _ML), ("HLCY", _SRH1)], weather.ehi),
+    make_product("EHI3", [("CAPE", _ML), ("HLCY", _SRH3)], weather.ehi),
+    make_product("LTNG", [("LTNG", _ALL)]),
+    *_snows(_SNOW),
+    make_product("ICET", [Field("FROZR", _SFC, total=True)]),
+    make_product("FZRA", [Field("FRZR", _SFC, total=True)]),
+)}
+
+# Groups of products that models lack or have as a whole.
+_WINDS = [f"W{p}" for p in (200, 300, 500, 700, 850, 925)]
+_AIR = [*_WINDS, *(f"TMP{p}" for p in (925, 850, 700, 500))]
+_VORT = ["VORT850", "VORT700", "VORT500"]
+_SNOWS = [p.id for p in _snows(_SNOW)]
+_QPF = ["QPF6", "QPF24", "QPF"]
+_BASE = ["TMP", "FEELS", "WIND", "DPT", "TCDC"]
+_GROUND = ["REFC", "PTYPE", *_BASE, "GUST", "RH"]
+_STORMS = ["SRH1", "SRH3", "SHEAR6", "STORM", "SCP", "EHI1", "EHI3", "LTNG"]
+_ECMWF = [*_BASE, *_QPF, *_AIR, *_SNOWS]
+_HURRICANE = [*_GROUND, *_AIR, *_VORT, "SBCAPE", "SBCIN", "SRH3"]
+#: Products of each model.
+SUPPORT: dict[str, frozenset[str]] = {model: frozenset(only) for model, only in {
+    "nam": [*_GROUND, *_QPF, *_AIR, *_VORT, "SBCAPE", "SBCIN", "LAPSE", "SRH3", "SHEAR6", "LTNG", *_SNOWS],
+    "namnest": [*_GROUND, *_AIR, *_VORT, "SBCAPE", "MLCAPE", "MUCAPE", "SBCIN", "MLCIN", "LAPSE", "LCL", *_STORMS, "STP"],
+    "rap": [*_GROUND, "QPF1", *_QPF, *_AIR, "VORT500", "SBCAPE", "MLCAPE", "MUCAPE", "CAPE3", "SBCIN", "MLCIN", "LAPSE", *_STORMS, *_SNOWS, "ICET", "FZRA"],
+    "gfs": [*_GROUND, *_QPF, *_AIR, *_VORT, "SBCAPE", "MLCAPE", "MUCAPE", "SBCIN", "MLCIN", "LAPSE", "SRH3", "STORM", "EHI3", *_SNOWS],
+    "hrrrcast": [*_BASE, "REFC", "GUST", "RH", *_AIR, "SBCAPE", "SBCIN", "LAPSE", "SRH1", "SRH3", "STORM"],
+    "ecmwf": [*_ECMWF, "GUST", "MUCAPE"], "ecmwfens": [*_ECMWF, "GUST", "MUCAPE"], "aifs": _ECMWF, "aifsens": _ECMWF,
+    "gefsens": [*_BASE, "PTYPE", "GUST", "RH", "QPF6", *_AIR, "SBCAPE", "MLCAPE", "SBCIN", "MLCIN", "SRH3", *_SNOWS],
+    "aigfs": _AIR, "aigefsens": _AIR, "hgefs": _AIR,
+    "hfsa": _HURRICANE, "hfsaparent": _HURRICANE, "hfsb": _HURRICANE, "hfsbparent": _HURRICANE,
+}.items()}
+#: Levels that a model names otherwise, by (model, variable).
+LEVEL_NAMES: dict[str | None, dict[str, str]] = {m: {"LTNG": _SFC} for m in ("nam", "namnest", "rap")}
+
+_DPT = (Field("DPT", _2M),)
+_DEWPOINT = {"DPT": {"fields": _DPT, "rule": _first}}
+_FROM_DEWPOINT = {**_DEWPOINT, "FEELS": {"fields": (Field("TMP", _2M), *_DPT, *(Field(*f) for f in _uv(_10M))), "rule": weather.feels_like_from_dewpoint}}
+_SNAPSHOTS = {p.id: {"fields": p.fields} for p in _snows(Field("WEASD", _SFC))}
+_GEFS = {
+    **_DEWPOINT, **_SNAPSHOTS, "QPF6": {"fields": (Field("APCP", _SFC, bucket=6),), "window": 0, "min_hour": 6}, "TCDC": {"min_hour": 3},
+    "MLCAPE": {"fields": (Field("CAPE", "180-0 mb above ground"),)}, "MLCIN": {"fields": (Field("CIN", "180-0 mb above ground"),)},
+}
+#: Replaced attributes by (model, product).
+OVERRIDES: Mapping[tuple[str | None, str], dict] = {
+    (model, id): how
+    for models, held in ((("ecmwf", "aifs", "ecmwfens", "aifsens"), _FROM_DEWPOINT), (("gfs",), _SNAPSHOTS), (("gefsens",), _GEFS))
+    for model in models
+    for id, how in held.items()
+}
+
+MOSAIC_LEVEL = "0 m above mean sea level"
+# Mosaic products and the archive folders that hold them, in display order.
+MOSAIC_FOLDERS = {
+    "REFC": "MergedReflectivityQCComposite_00.50", "LLREF": "LowLevelCompositeReflectivity_00.50", "RALA": "MergedReflectivityAtLowestAltitude_00.50", "REF0C": "Reflectivity_0C_00.50", "REFM20C": "Reflectivity_-20C_00.50",
+    "AZSHEAR": "MergedAzShear_0-2kmAGL_00.50", "AZSHEAR36": "MergedAzShear_3-6kmAGL_00.50",
+    **{f"ROT{tag}{h}H": f"RotationTrack{tag}{60 * h}min_00.50" for tag in ("", "ML") for h in (1, 6, 24)},
+    "MESH": "MESH_00.50", **{f"MESH{h}H": f"MESH_Max_{60 * h}min_00.50" for h in (1, 6, 24)}, "POSH": "POSH_00.50", "SHI": "SHI_00.50",
+    **{f"LTG{m}": f"LightningProbabilityNext{m}minGrid_scale_1" for m in (30, 60)}, **{f"CGD{m}": f"NLDN_CG_{m:03}min_AvgDensity_00.00" for m in (1, 5, 15, 30)},
+    "PRATE": "PrecipRate_00.00", **{f"QPE{h}H": f"MultiSensor_QPE_{h:02}H_Pass2_00.00" for h in (1, 3, 6, 12, 24, 48, 72)}, "QPEST": "RadarOnly_QPE_Since12Z_00.00",
+    **{f"ARI{h}H": f"FLASH_QPE_ARI{h:02}H_00.00" for h in (1, 3, 6, 24)}, "ARIMAX": "FLASH_QPE_ARIMAX_00.00", **{f"FFG{h}H": f"FLASH_QPE_FFG{h:02}H_00.00" for h in (1, 3, 6)}, "FFGMAX": "FLASH_QPE_FFGMAX_00.00",
+    **{f"ET{z}": f"EchoTop_{z}_00.50" for z in (18, 30, 50, 60)}, "VIL": "VIL_00.50", "VILD": "VIL_Density_00.50", "VIL2H": "VIL_Max_120min_00.50", "VIL24H": "VIL_Max_1440min_00.50", "VII": "VII_00.50",
+}
+#: Mosaic products; ratios of rain to guidance are stored in hundredths, exceedance is worked out from rain and its ratio.
+MOSAIC: Catalogue = {
+    **{id: make_product(id, [(folder, MOSAIC_LEVEL)], scale=0.01 if id.startswith("FFG") else 1.0) for id, folder in MOSAIC_FOLDERS.items()},
+    **{
+        f"FFGX{h}": make_product(f"FFGX{h}", [(f"RadarOnly_QPE_{h:02}H_00.00", MOSAIC_LEVEL), (f"FLASH_QPE_FFG{h:02}H_00.00", MOSAIC_LEVEL)], lambda rain, ratio: weather.exceedance(rain, f"{ratio} * 0.01"))
+        for h in (1, 3, 6)
+    },
+}
+#: Surface analysis.
+ANALYSIS: Catalogue = {p.id: p for p in (
+    make_product("TMP", [("TMP", _2M)]), make_product("DPT", [("DPT", _2M)]), make_product("RH", [("TMP", _2M), ("DPT", _2M)], weather.relative_humidity), make_product("TCDC", [("TCDC", _ALL)]),
+    make_product("WIND", [("WIND", _10M)]), make_product("GUST", [("GUST", _10M)]), make_product("VIS", [("VIS", _SFC)]),
+)}
+#: Microwave products; brightness temperatures by channel.
+MICROWAVE: Catalogue = {
+    **{id: make_product(id, [("BT", f"channel {c}")]) for id, c in (("BT89", 15), ("BT183", 21))},
+    **{id: make_product(id, [(var, _SFC)]) for id, var in (("RR", "RR"), ("TPW", "TPW"), ("CLW", "CLW"), ("IWP", "IWP"), ("SFR", "SFR"), ("SWE", "SWE"), ("SICE", "SIce"), ("TSKIN", "TSkin"))},
+}

@@ -64,19 +64,122 @@ def _long(x):
 @query("m1_m2_m5_m19_k1_products", f"""SELECT 'TMP' AS id, i, j, round(t, 6) AS value FROM [field] UNION ALL SELECT 'WIND', i, j, round({G.wind_speed.sql('u', 'v')}, 6) FROM [field] UNION ALL SELECT 'DPT', i, j, round({M.dewpoint.sql('t', 'rh')}, 6) FROM [field] WHERE rh > 0
 UNION ALL SELECT 'EHI1', i, j, round({M.ehi.sql('cape', 'srh')}, 6) FROM [field] UNION ALL SELECT 'QPE1_FFG', i, j, round(n * 0.01, 6) FROM [field] UNION ALL SELECT 'OWN', i, j, round(u - v, 6) FROM [field]""")
 def _(x):
-    K.register_product("OWN", [("UGRD", "10 m above ground"), ("VGRD", "10 m above ground")], lambda u, v: F.col(u) - F.col(v))
-    cells, out = _long(x), None
-    for name in ("TMP", "WIND", "DPT", "EHI1", "QPE1_FFG", "OWN"):
-        one = K.product(cells, name).select(F.lit(name).alias("id"), "i", "j", F.round("value", 6).alias("value"))
+    mine = K.with_product(K.MODEL, "OWN", [("UGRD", "10 m above ground"), ("VGRD", "10 m above ground")], lambda u, v: F.col(u) - F.col(v))
+    mine = K.with_product(mine, "QPE1_FFG", [("QPE1_FFG", K.MOSAIC_LEVEL)], scale=0.01)
+    return K.products(_long(x), ["TMP", "WIND", "DPT", "EHI1", "QPE1_FFG", "OWN"], mine).select("id", "i", "j", F.round("value", 6).alias("value"))
+
+
+@query("m17_m24_model_override", f"SELECT i, j, round({M.dewpoint.sql('t', 'rh')} * 1.8, 6) AS value FROM [field] WHERE rh > 0")
+def _(x):
+    return K.product(_long(x), "DPT", model="analysis", overrides={("analysis", "DPT"): {"scale": 1.8}}).select("i", "j", F.round("value", 6).alias("value"))
+
+
+# Fields of the derived forecast grid as (variable, level, accumulation text, expression over q, d, x, n, hour).
+_TOTAL = "concat('0-', CAST(hour AS VARCHAR(9)), ' hour acc fcst')"
+_BUCKET = lambda n: f"concat(CAST(hour - {n} AS VARCHAR(9)), '-', CAST(hour AS VARCHAR(9)), ' hour acc fcst')"
+_FIELDS = [
+    ("REFC", "entire atmosphere", "''", "q + x"), ("TCDC", "entire atmosphere", "''", "2 * q"), ("LTNG", "entire atmosphere", "''", "n / 10"), ("LTNG", "surface", "''", "n / 20"), ("GUST", "surface", "''", "q / 2"),
+    ("TMP", "2 m above ground", "''", "245 + q + x"), ("RH", "2 m above ground", "''", "2 * q - x"), ("DPT", "2 m above ground", "''", "240 + q"), ("UGRD", "10 m above ground", "''", "q - 25"), ("VGRD", "10 m above ground", "''", "x - 4"),
+    ("PRATE", "surface", "''", "(d - 4) / 1000"), ("CRAIN", "surface", "''", "1e0"), ("CFRZR", "surface", "''", "i - 1e0"), ("CICEP", "surface", "''", "i - 2e0"), ("CSNOW", "surface", "''", "j - 1e0"),
+    ("APCP", "surface", _TOTAL, "hour * 2 + q / 10"), ("APCP", "surface", _BUCKET(1), "d / 10"), ("APCP", "surface", _BUCKET(6), "CASE WHEN hour = 6 THEN hour * 2 + q / 10 ELSE d / 2 END"), ("WEASD", "surface", _TOTAL, "hour / 2e0 + q / 5"), ("WEASD", "surface", "concat(CAST(hour AS VARCHAR(9)), ' hour fcst')", "hour / 3e0 + q / 5"),
+    ("FROZR", "surface", _TOTAL, "d + hour"), ("FRZR", "surface", _TOTAL, "x + hour"), ("CAPE", "surface", "''", "q * 60"), ("CAPE", "90-0 mb above ground", "''", "q * 50 - 500"), ("CAPE", "180-0 mb above ground", "''", "q * 45"), ("CAPE", "255-0 mb above ground", "''", "q * 70"),
+    ("CAPE", "0-3000 m above ground", "''", "q * 3"), ("CIN", "surface", "''", "-n * 20"), ("CIN", "90-0 mb above ground", "''", "-n * 25"), ("CIN", "180-0 mb above ground", "''", "-n * 30"), ("HGT", "level of adiabatic condensation from sfc", "''", "q * 60"), ("HGT", "surface", "''", "d * 40"),
+    ("HLCY", "1000-0 m above ground", "''", "q * 8 - 100"), ("HLCY", "3000-0 m above ground", "''", "q * 9 - 100"), ("VUCSH", "0-1000 m above ground", "''", "d"), ("VVCSH", "0-1000 m above ground", "''", "x"), ("VUCSH", "0-6000 m above ground", "''", "q / 2"), ("VVCSH", "0-6000 m above ground", "''", "x"),
+    ("USTM", "0-6000 m above ground", "''", "d - 5"), ("VSTM", "0-6000 m above ground", "''", "x"),
+    *((v, f"{p} mb", "''", e.format(p=p)) for p in (200, 300, 500, 700, 850, 925) for v, e in (("UGRD", "q - {p} / 40e0"), ("VGRD", "x + {p} / 100e0"))), *(("ABSV", f"{p} mb", "''", f"x / {p}") for p in (850, 700, 500)),
+    *(("TMP", f"{p} mb", "''", f"225 + q + {p} / 40e0") for p in (925, 850, 700, 500)), ("HGT", "500 mb", "''", "3000 + q * 50"), ("HGT", "700 mb", "''", "3000 + d * 60"),
+]
+
+
+def _cells(x):
+    """The derived forecast grid as long rows, all its fields at once."""
+    pick = lambda var, level, acc, c: F.struct(F.lit(var).alias("var"), F.lit(level).alias("level"), F.expr(acc).alias("acc"), F.expr(c).cast("double").alias("value"))
+    return x.d("grid").select("run", "hour", "i", "j", F.explode(F.array(*(pick(*f) for f in _FIELDS))).alias("x")).select("run", "hour", "i", "j", "x.*")
+
+
+def _values(frame):
+    return frame.select("id", "run", "hour", "i", "j", F.round("value", 5).alias("value"))
+
+
+_WIDE = """WITH g AS (SELECT run, hour, i, j, q::DOUBLE AS q, d::DOUBLE AS d, x::DOUBLE AS x, n FROM [grid]), w AS (SELECT *, 245 + q + x AS t, 2 * q - x AS rh, q - 25 AS u, x - 4 AS v, q * 2 / 4 AS s6, sqrt(q / 2 * q / 2 + x * x) AS sh6, q * 8 - 100 AS srh1, q * 9 - 100 AS srh3,
+ hour * 2 + q / 10 AS rain, hour / 2e0 + q / 5 AS snow, hour / 3e0 + q / 5 AS snap, greatest(245 + q + x, 225 + q + 925 / 40e0, 225 + q + 850 / 40e0, 225 + q + 700 / 40e0) AS warm FROM g),
+p AS (SELECT a.*, b6.rain AS rain6, b24.rain AS rain24, b6.snow AS snow6, b12.snow AS snow12, b24.snow AS snow24, b6.snap AS snap6, b12.snap AS snap12, b24.snap AS snap24 FROM w a LEFT JOIN w b6 ON (b6.run, b6.i, b6.j, b6.hour) = (a.run, a.i, a.j, a.hour - 6) LEFT JOIN w b12 ON (b12.run, b12.i, b12.j, b12.hour) = (a.run, a.i, a.j, a.hour - 12) LEFT JOIN w b24 ON (b24.run, b24.i, b24.j, b24.hour) = (a.run, a.i, a.j, a.hour - 24)),
+tf AS (SELECT *, CASE WHEN warm <= 271.16 THEN 12 + 2 * (271.16 - warm) ELSE greatest(0, 12 + 271.16 - warm) END AS ratio, t * 1.8 - 459.67 AS f, sqrt(u * u + v * v) * 2.2369362920544 AS mph, ln(least(100, greatest(1, rh)) / 100) + 17.625 * (t - 273.15) / (243.04 + t - 273.15) AS gam FROM p) """
+_FALL = lambda now, h: f"CASE WHEN hour <= {h} THEN {now} ELSE CASE WHEN {now}{h} IS NOT NULL THEN greatest(0, {now} - {now}{h}) END END"
+_HEAT = """CASE WHEN f >= 80 THEN (CASE WHEN (f + 0.5 * (f + 61 + (f - 68) * 1.2 + rh * 0.094)) / 2 < 80 THEN 0.5 * (f + 61 + (f - 68) * 1.2 + rh * 0.094) ELSE
+ -42.379 + 2.04901523 * f + 10.14333127 * rh - 0.22475541 * f * rh - 6.83783e-3 * f * f - 5.481717e-2 * rh * rh + 1.22874e-3 * f * f * rh + 8.5282e-4 * f * rh * rh - 1.99e-6 * f * f * rh * rh
+ - CASE WHEN rh < 13 AND f <= 112 THEN (13 - rh) / 4 * sqrt((17 - abs(f - 95)) / 17) ELSE 0 END + CASE WHEN rh > 85 AND f <= 87 THEN (rh - 85) / 10 * ((87 - f) / 5) ELSE 0 END END)
+ WHEN f <= 50 AND mph > 3 THEN 35.74 + 0.6215 * f - 35.75 * pow(mph, 0.16) + 0.4275 * f * pow(mph, 0.16) ELSE f END"""
+_BY_ID = {
+    "REFC": "q + x", "PTYPE": "CASE WHEN d > 4 THEN (CASE WHEN j > 1 THEN 150 WHEN i > 2 THEN 100 WHEN i > 1 THEN 50 ELSE 0 END) + least(49.99, (d - 4) / 1000 * 3600) END", "TMP": "t", "FEELS": f"(({_HEAT}) + 459.67) / 1.8", "WIND": "sqrt(u * u + v * v)",
+    "GUST": "q / 2", "RH": "rh", "DPT": "CASE WHEN rh > 0 THEN 243.04 * gam / (17.625 - gam) + 273.15 END", "TCDC": "2 * q", "QPF1": "d / 10", "QPF6": _FALL("rain", 6), "QPF24": _FALL("rain", 24), "QPF": "rain",
+    **{f"W{p}": f"sqrt(pow(q - {p} / 40e0, 2) + pow(x + {p} / 100e0, 2))" for p in (200, 300, 500, 700, 850, 925)}, **{f"VORT{p}": f"x / {p}" for p in (850, 700, 500)}, **{f"TMP{p}": f"225 + q + {p} / 40e0" for p in (925, 850, 700, 500)},
+    "SBCAPE": "q * 60", "MLCAPE": "q * 50 - 500", "MUCAPE": "q * 70", "CAPE3": "q * 3", "SBCIN": "n * 20", "MLCIN": "n * 25", "LAPSE": "CASE WHEN q * 50 > d * 60 THEN 5e0 / (q * 50 - d * 60) * 1000 END", "LCL": "greatest(0, q * 60 - d * 40)",
+    "SRH1": "srh1", "SRH3": "srh3", "SHEAR1": "sqrt(d * d + x * x)", "SHEAR6": "sh6", "STORM": "sqrt((d - 5) * (d - 5) + x * x)", "LTNG": "n / 10",
+    "STP": "greatest(0, q * 60 / 1500 * least(1, greatest(0, (2000 - (q * 60 - d * 40)) / 1000)) * srh1 / 150 * CASE WHEN sh6 < 12.5 THEN 0 WHEN sh6 > 30 THEN 1.5 ELSE sh6 / 20 END * CASE WHEN n * 20 > 200 THEN 0 ELSE least(1, (200 - n * 20) / 150) END)",
+    "SCP": "CASE WHEN sh6 < 10 THEN 0 ELSE greatest(0, q * 70 / 1000 * srh3 / 50 * least(sh6, 20) / 20) END", "EHI1": "greatest(0, q * 50 - 500) * srh1 / 160000", "EHI3": "greatest(0, q * 50 - 500) * srh3 / 160000",
+    **{f"SNOW{h}": f"10 * ({_FALL('snow', h)})" for h in (6, 12, 24)}, "SNOWT": "10 * snow", **{f"KUCH{h}": f"ratio * ({_FALL('snow', h)})" for h in (6, 12, 24)}, "KUCHT": "ratio * snow", "ICET": "d + hour", "FZRA": "x + hour",
+}
+
+
+def _sql_of(ids: dict[str, str], source: str = "tf") -> str:
+    """A row per id and cell, values rounded, missing ones left out."""
+    rows = " UNION ALL ".join(f"SELECT '{id}' AS id, run, hour, i, j, round({e}, 5) AS value FROM {source}" for id, e in ids.items())
+    return f"{_WIDE} SELECT * FROM ({rows}) WHERE value IS NOT NULL"
+
+
+@query("m1_m18_all_model_products", _sql_of(_BY_ID))
+def _(x):
+    return _values(K.products(_cells(x), list(K.MODEL)))
+
+
+_RH_TD = "(100 * exp(17.625 * (240 + q - 273.15) / (243.04 + 240 + q - 273.15) - 17.625 * (t - 273.15) / (243.04 + t - 273.15)))"
+_SNAP = {**{f"SNOW{h}": f"10 * ({_FALL('snap', h)})" for h in (6, 12, 24)}, "SNOWT": "10 * snap", **{f"KUCH{h}": f"ratio * ({_FALL('snap', h)})" for h in (6, 12, 24)}, "KUCHT": "ratio * snap"}
+_VARIANTS = {
+    "gefsens": {"DPT": "240 + q", "QPF6": "CASE WHEN hour = 6 THEN rain ELSE d / 2 END", "TCDC": "2 * q", "MLCAPE": "q * 45", "MLCIN": "n * 30", **_SNAP}, "gfs": _SNAP, "rap": {"LTNG": "n / 20"},
+    "ecmwf": {"DPT": "240 + q", "FEELS": f"(({_HEAT.replace('rh', 'rh2')}) + 459.67) / 1.8"},
+}
+
+
+@query("m3_m17_model_variants", _sql_of({f"{m}:{id}": e for m, held in _VARIANTS.items() for id, e in held.items()}, f"(SELECT *, least(100, {_RH_TD}) AS rh2 FROM tf)"))
+def _(x):
+    cells, out = _cells(x), None
+    plain = cells.filter((F.col("var") != "WEASD") | ~F.col("acc").startswith("0-"))  # these models have snapshots in place of totals
+    for model, held in _VARIANTS.items():
+        one = K.products(plain if model in ("gfs", "gefsens") else cells, [i for i in held if i in K.model_products(model)], model=model)
+        one = _values(one.withColumn("id", F.concat(F.lit(f"{model}:"), "id")))
         out = one if out is None else out.unionAll(one)
     return out
 
 
-@query("m17_m24_model_override", f"SELECT i, j, round({M.dewpoint.sql('t', 'rh')} * 1.8, 6) AS value FROM [field] WHERE rh > 0")
+_FOLDERS = {folder: f"q + {k}" for k, folder in enumerate([*K.MOSAIC_FOLDERS.values(), "RadarOnly_QPE_01H_00.00", "RadarOnly_QPE_03H_00.00", "RadarOnly_QPE_06H_00.00"])}
+_MOSAIC_SQL = {id: f"({_FOLDERS[folder]})" + (" * 0.01" if id.startswith("FFG") else "") for id, folder in K.MOSAIC_FOLDERS.items()}
+for _h in (1, 3, 6):
+    _rain, _ratio = _FOLDERS[f"RadarOnly_QPE_{_h:02}H_00.00"], f"(({_FOLDERS[f'FLASH_QPE_FFG{_h:02}H_00.00']}) * 4 * 0.01)"
+    _MOSAIC_SQL[f"FFGX{_h}"] = f"CASE WHEN {_ratio} > 1 THEN ({_rain}) - ({_rain}) / {_ratio} END"
+    _MOSAIC_SQL[f"FFG{_h}H"] = _ratio
+
+
+@query("m19_m21_all_mosaic_products", _sql_of(_MOSAIC_SQL))
+def _(x):
+    stored = {f: f"({e}) * 4" if "FLASH_QPE_FFG0" in f else e for f, e in _FOLDERS.items()}
+    rows = F.array(*(F.struct(F.lit(f).alias("var"), F.lit(K.MOSAIC_LEVEL).alias("level"), F.expr(e).cast("double").alias("value")) for f, e in stored.items()))
+    cells = x.d("grid").select("run", "hour", "i", "j", F.explode(rows).alias("x")).select("run", "hour", "i", "j", "x.*")
+    return _values(K.products(cells, list(K.MOSAIC), K.MOSAIC))
+
+
+_SOUNDER = {("BT", "channel 15"): "200 + q", ("BT", "channel 21"): "180 + q", ("BT", "channel 3"): "q", **{(v, "surface"): f"q / {k}" for k, v in enumerate(("RR", "TPW", "CLW", "IWP", "SFR", "SWE", "SIce", "TSkin"), 2)}}
+_SURFACE = {("TMP", "2 m above ground"): "t", ("DPT", "2 m above ground"): "240 + q", ("TCDC", "entire atmosphere"): "2 * q", ("WIND", "10 m above ground"): "q / 3", ("GUST", "10 m above ground"): "q / 2", ("VIS", "surface"): "q * 300"}
+
+
+@query("m24_m25_analysis_microwave", _sql_of({
+    "TMP": "t", "DPT": "240 + q", "RH": f"least(100, greatest(0, {_RH_TD}))", "TCDC": "2 * q", "WIND": "q / 3", "GUST": "q / 2", "VIS": "q * 300", "BT89": "200 + q", "BT183": "180 + q",
+    **{id: f"q / {k}" for k, id in enumerate(("RR", "TPW", "CLW", "IWP", "SFR", "SWE", "SICE", "TSKIN"), 2)},
+}))
 def _(x):
-    K.OVERRIDES["analysis", "DPT"] = {"scale": 1.8}
-    assert "QPE1_FFG" not in K.model_products("analysis") and K.model_products("analysis")[0] == "REFC"  # U2
-    return K.product(_long(x), "DPT", model="analysis").select("i", "j", F.round("value", 6).alias("value"))
+    rows = lambda held: F.array(*(F.struct(F.lit(v).alias("var"), F.lit(level).alias("level"), F.expr("245 + q + x" if e == "t" else e).cast("double").alias("value")) for (v, level), e in held.items()))
+    cells = lambda held: x.d("grid").select("run", "hour", "i", "j", F.explode(rows(held)).alias("x")).select("run", "hour", "i", "j", "x.*")
+    return _values(K.products(cells(_SURFACE), list(K.ANALYSIS), K.ANALYSIS).unionAll(K.products(cells(_SOUNDER), list(K.MICROWAVE), K.MICROWAVE)))
 
 
 _KEYS = "SELECT event_id, ts, user_id FROM events"

@@ -21,6 +21,7 @@ DERIVED = {
     "cell": "SELECT l_partkey % 64 AS i, (l_suppkey % 32) * 2 + l_linenumber % 2 AS j, SUM(l_quantity) AS value FROM {lineitem} GROUP BY 1, 2",
     "member": "SELECT l_partkey % 64 AS i, (l_suppkey % 32) * 2 + l_linenumber % 2 AS j, l_orderkey % 31 AS member, SUM(l_quantity) AS value FROM {lineitem} GROUP BY 1, 2, 3",
     "field": "SELECT l_partkey % 64 AS i, (l_suppkey % 32) * 2 + l_linenumber % 2 AS j, AVG(l_quantity) - 25 AS u, AVG(l_tax * 500) - 20 AS v, 250 + AVG(l_discount * 500) AS t, 100 * AVG(l_tax) / 0.08 AS rh, AVG(l_extendedprice) / 10 AS cape, AVG(l_quantity) * 8 - 100 AS srh, COUNT(*) AS n FROM {lineitem} GROUP BY 1, 2",
+    "grid": "SELECT l_suppkey AS run, 6 * l_linenumber AS hour, l_partkey % 4 AS i, l_orderkey % 3 AS j, AVG(l_quantity) AS q, AVG(l_discount) * 100 AS d, AVG(l_tax) * 100 AS x, CAST(COUNT(*) AS DOUBLE) AS n FROM {lineitem} GROUP BY 1, 2, 3, 4",
     "accumulation": "SELECT run, hour, SUM(q) OVER (PARTITION BY run ORDER BY hour) AS value FROM (SELECT l_suppkey AS run, l_linenumber * 3 AS hour, SUM(l_quantity) AS q FROM {lineitem} GROUP BY 1, 2) AS x",
     "gate0": "SELECT l_suppkey % 16 AS sweep, (l_orderkey % 720) * 0.5 + 0.25 AS azimuth, l_partkey % 60 AS gate, CASE WHEN (l_orderkey % 720 + l_partkey % 60) % 11 = 0 THEN 0 ELSE MAX(CAST(FLOOR(l_quantity) AS INT)) + 1 END AS code FROM {lineitem} GROUP BY 1, 2, 3, (l_orderkey % 720 + l_partkey % 60) % 11",
     "gate": "SELECT sweep, CAST(azimuth AS DOUBLE) AS azimuth, gate, CAST(code AS INT) AS code, CASE WHEN code >= 2 THEN (code - 30) / CAST(2 AS DOUBLE) END AS value, 2000 + gate * 250 AS range_m FROM [gate0] AS g",
