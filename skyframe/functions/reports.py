@@ -81,20 +81,25 @@ def catalog_name(title: Column, station: Column) -> Column:
     return F.trim(F.regexp_replace(bare, r"^\s*-\s*", ""))
 
 
+# Fixed values: (event, parameter, threat, name) of warnings that a damage threat renames.
+THREAT_NAMES = (
+    ("Tornado Warning", "tornado", "CATASTROPHIC", "Tornado Emergency"), ("Tornado Warning", "tornado", "CONSIDERABLE", "PDS Tornado Warning"),
+    ("Severe Thunderstorm Warning", "storm", "DESTRUCTIVE", "Destructive Severe Thunderstorm Warning"), ("Severe Thunderstorm Warning", "storm", "CONSIDERABLE", "Considerable Severe Thunderstorm Warning"),
+    ("Flash Flood Warning", "flood", "CATASTROPHIC", "Flash Flood Emergency"),
+)
+
+
 def classify_alert(event: Column, tornado_threat: Column, storm_threat: Column, flood_threat: Column, text: Column) -> Column:
-    """the name an alert is shown under."""
-    t, s, f, x = (F.upper(F.coalesce(c, F.lit(""))) for c in (tornado_threat, storm_threat, flood_threat, text))
-    tor, svr, ffw = event == "Tornado Warning", event == "Severe Thunderstorm Warning", event == "Flash Flood Warning"
-    named = (
-        F.when(tor & (t == "CATASTROPHIC"), "Tornado Emergency").when(tor & (t == "CONSIDERABLE"), "PDS Tornado Warning")
-        .when(svr & (s == "DESTRUCTIVE"), "Destructive Severe Thunderstorm Warning").when(svr & (s == "CONSIDERABLE"), "Considerable Severe Thunderstorm Warning")
-        .when(ffw & (f == "CATASTROPHIC"), "Flash Flood Emergency").when(ffw & (f == "CONSIDERABLE"), "PDS Flash Flood Warning")
-    )
-    by_text = (
-        named.when(tor & x.contains("TORNADO EMERGENCY"), "Tornado Emergency").when(ffw & x.contains("FLASH FLOOD EMERGENCY"), "Flash Flood Emergency")
-        .when(tor & x.contains("PARTICULARLY DANGEROUS SITUATION"), "PDS Tornado Warning").when(ffw & x.contains("PARTICULARLY DANGEROUS SITUATION"), "PDS Flash Flood Warning")
-    )
-    return by_text.otherwise(event)
+    """the name an alert is shown under: by its damage threat, else EDS or PDS by the situation its text calls it."""
+    threat = {k: F.upper(F.coalesce(c, F.lit(""))) for k, c in (("tornado", tornado_threat), ("storm", storm_threat), ("flood", flood_threat))}
+    shown, said = F.coalesce(event, F.lit("Alert")), F.upper(F.coalesce(text, F.lit("")))
+    out = None
+    for of, parameter, value, name in THREAT_NAMES:
+        hit = (event == of) & (threat[parameter] == value)
+        out = F.when(hit, name) if out is None else out.when(hit, name)
+    for phrase, mark in (("EXTREMELY DANGEROUS SITUATION", "EDS "), ("PARTICULARLY DANGEROUS SITUATION", "PDS ")):
+        out = out.when(said.contains(phrase), F.concat(F.lit(mark), shown))
+    return out.otherwise(shown)
 
 
 def alert_rank(display: Column) -> Column:
@@ -133,13 +138,20 @@ def parse_mixed_time(text: Column) -> Column:
 
 
 def parse_discussion(text: Column) -> Column:
-    """struct of a mesoscale discussion's fields."""
-    one = lambda p: F.nullif(F.trim(F.regexp_extract(text, p, 1)), F.lit(""))
+    """struct of a mesoscale discussion's fields; absent ones are null. The body is the prose between the header and the signature,
+    the coordinates or the footer."""
+    trim = lambda c: F.regexp_replace(c, r"^\s+|\s+$", "")
+    one = lambda p: F.nullif(F.regexp_replace(trim(F.regexp_extract(text, p, 1)), r"[ \t]+", " "), F.lit(""))
+    concerning = one(r"(?i)Concerning\.\.\.([^\n]+)")
+    parts = F.filter(F.transform(F.split(concerning, r"\.\.\.+"), trim), lambda x: x != "")
+    header = F.when(text.rlike(r"(?i)Probability of Watch Issuance[^\n]*\n"), F.regexp_replace(text, r"(?is)\A.*?Probability of Watch Issuance[^\n]*\n", "")).otherwise(F.regexp_replace(text, r"(?is)\A.*?Valid\s+[0-9]{6}Z[^\n]*\n", ""))
+    body = F.regexp_replace(header, r"(?is)\n\s*(?:\.\.[A-Z][A-Z/. ]*\.\.\s+\d{2}/\d{2}/\d{4}|\.\.\.Please see|ATTN\.\.\.|LAT\.\.\.LON).*\z", "")
     return F.struct(
-        one(r"(?i)Mesoscale Discussion (\d+)").cast("int").alias("number"), one(r"(?is)Areas affected\.\.\.(.*?)\n\s*\n").alias("areas"),
-        one(r"(?is)Concerning\.\.\.(.*?)\n\s*\n").alias("concerning"), one(r"(?i)Valid (\d{6}Z - \d{6}Z)").alias("valid"),
-        one(r"(?i)Probability of Watch Issuance\.\.\.(\d+)").cast("int").alias("watch_probability"), one(r"(?i)MOST PROBABLE PEAK TORNADO INTENSITY\.\.\.([^\n]*)").alias("peak_tornado"),
-        one(r"(?i)MOST PROBABLE PEAK WIND GUST\.\.\.([^\n]*)").alias("peak_wind"), one(r"(?i)MOST PROBABLE PEAK HAIL SIZE\.\.\.([^\n]*)").alias("peak_hail"), one(r"(?is)SUMMARY\.\.\.(.*?)\n\s*\n").alias("summary"),
+        one(r"(?i)Mesoscale Discussion\s+(\d+)").cast("int").alias("number"), one(r"(?i)\n\s*(\d{3,4}\s+(?:AM|PM)\s+\w{2,4}\s+\w{3}\s+\w{3}\s+\d{1,2}\s+\d{4})").alias("issued"),
+        one(r"(?is)Areas affected\.\.\.(.*?)\n\s*\n").alias("areas"), concerning.alias("concerning"), F.coalesce(F.try_element_at(parts, F.lit(1)), concerning).alias("category"),
+        F.nullif(F.array_join(F.slice(parts, 2, 100), " · "), F.lit("")).alias("watch_status"), one(r"(?i)Valid\s+([0-9]{6}Z\s*-\s*[0-9]{6}Z)").alias("valid"),
+        one(r"(?i)Probability of Watch Issuance\.\.\.\s*(\d+)\s*percent").cast("int").alias("watch_probability"), one(r"(?i)MOST PROBABLE PEAK TORNADO INTENSITY\.\.\.\s*([^\n]+)").alias("peak_tornado"),
+        one(r"(?i)MOST PROBABLE PEAK WIND GUST\.\.\.\s*([^\n]+)").alias("peak_wind"), one(r"(?i)MOST PROBABLE PEAK HAIL SIZE\.\.\.\s*([^\n]+)").alias("peak_hail"), F.nullif(trim(body), F.lit("")).alias("body"),
     )
 
 

@@ -264,10 +264,33 @@ def _(x):
     return C.parse_column_table(text).select(F.col("row")["id"].alias("id"), F.col("row")["name"].alias("name"))
 
 
-@query("f23_f24_palettes", "SELECT place AS palette, 'color' AS kind, (place % 80)::DOUBLE AS v, 4 AS n, CASE WHEN place % 2 = 0 THEN 'VEL' ELSE 'REF' END AS target FROM [place]")
+# Hints of derived palettes and, by hand, what they are for.
+_HINTS = (
+    ("BR", "REF"), ("bv", "VEL"), ("Storm CC", "RHO"), ("accuracy", None), ("ZDR dB", "ZDR"), ("differential reflectivity", "ZDR"), ("KDP", "KDP"), ("differential phase", "PHI"), ("SW", "SW"), ("sweep", None),
+    ("spectrum width", "SW"), ("knots", "VEL"), ("m/s", "VEL"), ("dbz", "REF"), ("abrupt", None), ("Z", "REF"), ("relative velocity", "VEL"), ("CORRELATION of V", "RHO"),
+)
+
+
+@query("f23_f24_palettes", f"""WITH h AS (SELECT * FROM (VALUES {", ".join(f"({k}, {'NULL' if t is None else repr(t)})" for k, (_, t) in enumerate(_HINTS))}) v(k, target))
+SELECT place AS palette, CASE WHEN place % 3 > 0 THEN 3 END AS n_colours, CASE WHEN place % 3 = 0 THEN 'no usable Color entries found' END AS error, CASE WHEN place % 3 > 0 THEN (place % 80)::DOUBLE END AS v,
+CASE WHEN place % 3 > 0 THEN '10.0,20.0,30.0,255.0' END AS first, CASE WHEN place % 3 > 0 THEN '1.0,2.0,3.0,4.0>5.0,6.0,7.0,8.0' END AS second, CASE WHEN place % 3 > 0 THEN '9.0,9.0,9.0,255.0>9.0,9.0,9.0,255.0' END AS third,
+'7.0,0.0,0.0,255.0' AS rf, h.target AS target FROM [place] JOIN h ON h.k = place % {len(_HINTS)}""")
 def _(x):
-    lines = x.d("place").select(F.col("place").alias("palette"), F.explode(F.array(F.struct(F.lit(0).alias("pos"), F.concat(F.lit("Color: "), (F.col("place") % 80).cast("string"), F.lit(" 10 20 30 ; note")).alias("value")), F.struct(F.lit(1).alias("pos"), F.lit("; only a comment").alias("value")))).alias("l")).select("palette", "l.*")
-    return C.parse_palette(lines).select("palette", "kind", F.element_at("n", 1).alias("v"), F.size("n").alias("n"), C.palette_target(F.when(F.col("palette") % 2 == 0, "My BV table").otherwise("dbz")).alias("target"))
+    p = F.col("place")
+    text = F.array(
+        F.concat(F.lit("Color: "), (p % 80).cast("string"), F.lit(" 10 20 30 ; note")), F.lit("; only a comment"), F.lit("Color: 10 20 x"), F.lit("Color4: 5 1 2 3"), F.lit("RF: 7"),
+        F.concat(F.lit("Product: "), F.element_at(F.array(*(F.lit(h) for h, _ in _HINTS)), (p % len(_HINTS) + 1).cast("int"))), F.when(p % 3 > 0, "color4: 90,1,2,3,4,5,6,7,8").otherwise("nothing"), F.when(p % 3 > 0, "SolidColor 95 9 9 9").otherwise("Step: 5"),
+    )
+    lines = x.d("place").select(p.alias("palette"), F.posexplode(text).alias("pos", "value"))
+    join = lambda c: F.array_join(F.transform(c, lambda v: v.cast("string")), ",")
+    seg = lambda k: F.try_element_at("segments", F.lit(k))
+    both = lambda k: F.concat_ws(">", join(seg(k)["c1"]), join(seg(k)["c2"]))
+    out = C.palettes(lines)
+    fine = F.col("segments").isNotNull()
+    return out.select(
+        "palette", F.when(fine, F.size("segments")).alias("n_colours"), "error", seg(1)["v"].alias("v"), F.when(fine, both(1)).alias("first"), F.when(fine, both(2)).alias("second"), F.when(fine, both(3)).alias("third"),
+        join("rf").alias("rf"), C.palette_target(F.col("hint"), F.col("units")).alias("target"),
+    )
 
 
 @query("a16_scene_bbox", f"SELECT round(min(lon), 5) AS west, round(max(lat), 5) AS north FROM (SELECT {G.fixed_grid()['lon'].sql('(i - 32) * 0.004', '(j - 32) * 0.004')} AS lon, {G.fixed_grid()['lat'].sql('(i - 32) * 0.004', '(j - 32) * 0.004')} AS lat FROM [cell])")

@@ -83,14 +83,15 @@ def _(x):
 
 
 @query("f9_f10_f11_alert_class_motion", """SELECT id, CASE WHEN event = 'Tornado Warning' AND id % 4 = 0 THEN 'Tornado Emergency' WHEN event = 'Tornado Warning' AND id % 4 = 1 THEN 'PDS Tornado Warning'
-WHEN event = 'Severe Thunderstorm Warning' AND id % 3 = 0 THEN 'Destructive Severe Thunderstorm Warning' WHEN event = 'Flash Flood Warning' AND id % 5 = 0 THEN 'PDS Flash Flood Warning' ELSE event END AS display,
+WHEN event = 'Severe Thunderstorm Warning' AND id % 4 = 0 THEN 'Destructive Severe Thunderstorm Warning' WHEN event = 'Severe Thunderstorm Warning' AND id % 4 = 1 THEN 'Considerable Severe Thunderstorm Warning'
+WHEN event = 'Flash Flood Warning' AND id % 4 = 0 THEN 'Flash Flood Emergency' WHEN id % 5 = 0 THEN 'EDS ' || event WHEN id % 5 = 1 THEN 'PDS ' || event ELSE event END AS display,
 ((id % 360) + 180) % 360 AS heading, floor((id % 60) * 1.151 + 0.5)::INT AS mph FROM [alert]""")
 def _(x):
     m = F.col("id")
-    tor = F.when(m % 4 == 0, "catastrophic").when(m % 4 == 1, "considerable")
-    text = F.concat(F.lit("MOT "), (m % 360).cast("string"), F.lit("DEG AT "), (m % 60).cast("string"), F.lit("KT "), F.when(m % 5 == 0, "This is a PARTICULARLY DANGEROUS SITUATION").otherwise(""))
-    # tornado warnings take their class from the tag alone here: without one, the text is not theirs
-    shown = R.classify_alert(F.col("event"), tor, F.when(m % 3 == 0, "destructive"), F.lit(None).cast("string"), F.when(F.col("event") == "Flash Flood Warning", text))
+    level = lambda top: F.when(m % 4 == 0, top).when(m % 4 == 1, "considerable")
+    said = F.when(m % 5 == 0, "This is an extremely dangerous situation").when(m % 5 == 1, "A PARTICULARLY DANGEROUS SITUATION exists").when(m % 5 == 2, "a tornado emergency was talked of").otherwise("")
+    text = F.concat(F.lit("MOT "), (m % 360).cast("string"), F.lit("DEG AT "), (m % 60).cast("string"), F.lit("KT "), said)
+    shown = R.classify_alert(F.col("event"), level("catastrophic"), level("destructive"), level("Catastrophic"), text)
     motion = R.parse_motion(text)
     return x.d("alert").select("id", shown.alias("display"), motion["heading"].cast("long").alias("heading"), motion["mph"].alias("mph"))
 
@@ -123,12 +124,18 @@ def _(x):
     return e.select("event_id", F.date_format(R.parse_mixed_time(text), "yyyyMMddHHmm").alias("t"))
 
 
-@query("f12_parse_discussion", "SELECT id, (id % 2000)::INT AS number, 'area ' || source AS areas, (id % 100)::INT AS watch FROM [report]")
+@query("f12_parse_discussion", """SELECT id, (id % 2000)::INT AS number, 'area ' || source AS areas, CASE WHEN id % 3 > 0 THEN (id % 100)::INT END AS watch, '0245 PM CDT Sun Jul 12 2026' AS issued, 'Severe potential...Watch likely... soon' AS concerning,
+'Severe potential' AS category, 'Watch likely · soon' AS watch_status, '121200Z - 121400Z' AS valid, 'Storms of ' || source || '.' || chr(10) || chr(10) || 'More follows.' AS body, CASE WHEN id % 2 = 0 THEN '60-70 MPH' END AS wind FROM [report]""")
 def _(x):
-    text = F.concat(F.lit("Mesoscale Discussion "), (F.col("id") % 2000).cast("string"), F.lit("\nNWS\n\nAreas affected...area "), "source", F.lit("\n\nConcerning...Severe potential\n\nValid 121200Z - 121400Z\n\nProbability of Watch Issuance..."), (F.col("id") % 100).cast("string"), F.lit(" percent\n\nSUMMARY...Storms.\n\n"))
-    return x.d("report").select("id", R.parse_discussion(text).alias("d")).select("id", "d.number", "d.areas", F.col("d.watch_probability").alias("watch"))
-
-
+    n = F.col("id")
+    watch = F.when(n % 3 > 0, F.concat(F.lit("Probability of Watch Issuance... "), (n % 100).cast("string"), F.lit(" percent\n"))).otherwise("")
+    end = F.when(n % 3 == 0, "\n   ..SMITH/JONES.. 07/12/2026\n").when(n % 3 == 1, "\n...Please see www for the graphic\n").otherwise("\n LAT...LON 3510 9720")
+    text = F.concat(
+        F.lit("Mesoscale Discussion "), (n % 2000).cast("string"), F.lit("\nNWS\n  0245 PM CDT Sun   Jul 12 2026\n\nAreas affected...area "), "source", F.lit("\n\nConcerning...Severe potential...Watch likely... soon\nValid 121200Z - 121400Z\n"), watch,
+        F.lit("\nStorms of "), "source", F.lit(".\n\nMore follows.\n"), end, F.when(n % 2 == 0, "\nMOST PROBABLE PEAK WIND GUST...60-70  MPH\n").otherwise(""),
+    )
+    d = x.d("report").select("id", R.parse_discussion(text).alias("d"))
+    return d.select("id", "d.number", "d.areas", F.col("d.watch_probability").alias("watch"), "d.issued", "d.concerning", "d.category", "d.watch_status", "d.valid", "d.body", F.col("d.peak_wind").alias("wind"))
 
 
 @query("f11_impact_tags", "SELECT id, CASE WHEN id % 3 = 0 THEN 2 WHEN id % 3 = 1 THEN 1 ELSE 0 END AS n, CASE WHEN id % 3 < 2 THEN (id % 4)::VARCHAR || ' IN' END AS hail, CASE WHEN id % 3 = 0 THEN true WHEN id % 3 = 1 THEN false END AS strong FROM [alert]")

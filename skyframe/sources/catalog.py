@@ -161,16 +161,60 @@ def write_lake(df: DataFrame, path: str, table: str, by: Sequence[str] = ("sourc
     (out.sortWithinPartitions(*by, *sort) if sort else out).write.partitionBy(*by).parquet(f"{path.rstrip('/')}/{table}")
 
 
-def parse_palette(lines: DataFrame) -> DataFrame:
-    """colour stops of palette text (palette, pos, value): Color, Color4, SolidColor(4), RF; comments (;) are dropped."""
+# Patterns of a palette's hint and the products they stand for; the first that occurs decides.
+PALETTE_TARGETS = (
+    (r"\bCC\b|RHOHV|CORRELATION", "RHO"), ("ZDR|DIFFERENTIAL REF", "ZDR"), ("KDP|SPECIFIC DIFFERENTIAL", "KDP"), ("PHI|DIFFERENTIAL PH", "PHI"),
+    (r"\bSW\b|SPECTRUM", "SW"), (r"\bBV\b|\bV\b|VEL|M/S|KT|KNOT", "VEL"), (r"\bBR\b|\bZ\b|DBZ|REFLECT", "REF"),
+)
+NO_COLOURS = "no usable Color entries found"
+
+
+def palette_lines(lines: DataFrame) -> DataFrame:
+    """directives of palette text (palette, pos, value) as (palette, pos, kind, rest, v, c1, c2).
+
+    Colours are arrays of red, green, blue and alpha (255 where there is none): c1 at the value v, c2 at the next entry (the same for
+    SolidColor, null without one). Comments (;) are dropped, and colour lines with too few or unreadable numbers.
+    """
     text = F.trim(F.regexp_replace("value", ";.*$", ""))
-    kind = F.lower(F.regexp_extract(text, r"^(\w+)\s*:", 1))
-    nums = F.transform(F.regexp_extract_all(F.regexp_replace(text, r"^\w+\s*:", ""), F.lit(r"(-?\d+(?:\.\d+)?)"), F.lit(1)), lambda s: s.cast("double"))
-    s = lines.select("palette", "pos", kind.alias("kind"), nums.alias("n"), F.trim(F.regexp_extract(text, r":\s*(.*)$", 1)).alias("rest"))
-    return s.filter(F.col("kind") != "")
+    kind = F.lower(F.regexp_extract(text, r"^(\w+)", 1))
+    s = lines.select("palette", "pos", kind.alias("kind"), F.trim(F.regexp_extract(text, r"^\w+\s*:?\s*(.*)$", 1)).alias("rest")).filter("kind <> ''")
+    s = s.withColumn("n", F.transform(F.split("rest", r"[\s,]+"), lambda x: F.when(x.rlike(r"^[-+]?(\d+\.?\d*|\.\d+)([eE][-+]?\d+)?$"), x).cast("double")))
+    alpha, is_colour = F.col("kind").endswith("4"), F.col("kind").isin("color", "color4", "solidcolor", "solidcolor4")
+    width = F.when(alpha, 4).otherwise(3)
+    pick = lambda at: F.concat(F.slice("n", at, F.lit(3)), F.array(F.when(alpha, F.try_element_at("n", at + 3)).otherwise(F.lit(255.0))))
+    c1 = pick(F.lit(2))
+    c2 = F.when(F.col("kind").startswith("solid"), c1).when(F.size("n") >= 1 + 2 * width, pick((width + 2).cast("int")))
+    whole = (F.size("n") > width) & F.forall(F.concat(F.slice("n", 1, 1), c1), lambda x: x.isNotNull())
+    return s.filter(~is_colour | F.coalesce(whole, F.lit(False))).select(
+        "palette", "pos", "kind", "rest", F.when(is_colour, F.element_at("n", 1)).alias("v"), F.when(is_colour, c1).alias("c1"), F.when(is_colour, c2).alias("c2")
+    )
+
+
+def palettes(lines: DataFrame) -> DataFrame:
+    """a row per palette: (palette, segments array<struct<pos, v, c1, c2>>, units, hint, rf, error), the last line of a kind counting.
+
+    rf is the colour of range-folded gates. A palette under two colours has an error and no segments.
+    """
+    d = palette_lines(lines)
+    last = lambda kind: F.max_by(F.when(F.col("kind") == kind, F.col("rest")), F.when(F.col("kind") == kind, F.col("pos")))
+    out = d.groupBy("palette").agg(
+        F.array_sort(F.collect_list(F.when(F.col("v").isNotNull(), F.struct("pos", "v", "c1", "c2")))).alias("segments"), last("units").alias("units"), last("product").alias("hint"), last("rf").alias("rf_text")
+    )
+    n = F.transform(F.split("rf_text", r"[\s,]+"), lambda x: F.when(x.rlike(r"^-?\d+(\.\d+)?$"), x).cast("double"))
+    rf = F.when(F.col("rf_text").isNotNull(), F.concat(F.transform(F.array(F.lit(1), F.lit(2), F.lit(3)), lambda k: F.coalesce(F.try_element_at(n, k), F.lit(0.0))), F.array(F.coalesce(F.try_element_at(n, F.lit(4)), F.lit(255.0)))))
+    few = F.size("segments") < 2
+    return out.select("palette", F.when(~few, F.col("segments")).alias("segments"), "units", "hint", rf.alias("rf"), F.when(few, NO_COLOURS).alias("error"))
+
+
+def parse_palette(lines: DataFrame) -> DataFrame:
+    """colour stops of palette text as (palette, pos, kind, v, c1, c2)."""
+    return palette_lines(lines).filter("v IS NOT NULL").drop("rest")
 
 
-def palette_target(hint: Column) -> Column:
-    """the product a palette is for, by the first pattern in its hint."""
-    h = F.upper(hint)
-    return F.when(h.rlike("SRV|STORM.?REL"), "SRV").when(h.rlike("VEL|BV"), "VEL").when(h.rlike("ZDR|DIFF.*REF"), "ZDR").when(h.rlike("CC|RHO|CORR"), "CC").when(h.rlike("KDP|PHASE"), "KDP").when(h.rlike("SW|SPECTRUM"), "SW").when(h.rlike("REF|BR|DBZ"), "REF")
+def palette_target(hint: Column, units: Column | None = None) -> Column:
+    """the product a palette is for, by the first pattern in its hint and units; null if none is there."""
+    said = F.upper(F.concat_ws(" ", F.coalesce(hint, F.lit("")), F.coalesce(units, F.lit("")) if units is not None else F.lit("")))
+    out = None
+    for pattern, product in PALETTE_TARGETS:
+        out = F.when(said.rlike(pattern), product) if out is None else out.when(said.rlike(pattern), product)
+    return out
