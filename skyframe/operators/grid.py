@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -61,19 +62,20 @@ def nearest_cell(lon: Column, lat: Column, lon1: float, lat1: float, di: float,
     return F.when(inside, i), F.when(inside, j)
 
 
-def sample_grid(points: DataFrame, cells: DataFrame, **grid) -> DataFrame:
-    """The value of the nearest cell at each point (lon, lat), null outside the grid."""
+def sample_grid(points: DataFrame, cells: DataFrame, by: Sequence[str] = (), **grid) -> DataFrame:
+    """The value of the nearest cell at each point (lon, lat), of the point's own grid (`by`: run, hour, ...); null outside."""
     i, j = nearest_cell(F.col("lon"), F.col("lat"), **grid)
-    c = cells.select(F.col("i").alias("_ci"), F.col("j").alias("_cj"), "value")
+    c = cells.select(F.col("i").alias("_ci"), F.col("j").alias("_cj"), "value", *(F.col(k).alias(f"_{k}_of") for k in by))
     at = points.withColumns({"gi": i, "gj": j})
-    return at.join(c.hint("merge"), (F.col("gi") == F.col("_ci")) & (F.col("gj") == F.col("_cj")), "left").drop("_ci", "_cj")
+    same = [F.col("gi") == F.col("_ci"), F.col("gj") == F.col("_cj"), *(F.col(k) == F.col(f"_{k}_of") for k in by)]
+    return at.join(c.hint("merge"), same, "left").drop("_ci", "_cj", *(f"_{k}_of" for k in by))
 
 
-def align_grids(a: DataFrame, b: DataFrame, ratio: int = 1) -> DataFrame:
-    """Cells of two grids that share geometry, or of a grid whose cells are `ratio` of the other's wide, as (i, j, a, b)."""
-    r = b.select(F.col("i").alias("bi"), F.col("j").alias("bj"), F.col("value").alias("b"))
-    l = a.select("i", "j", F.col("value").alias("a"), F.floor(F.col("i") / ratio).alias("_i"), F.floor(F.col("j") / ratio).alias("_j"))  # noqa: E741
-    return l.join(r.hint("merge"), (F.col("_i") == F.col("bi")) & (F.col("_j") == F.col("bj"))).select("i", "j", "a", "b")
+def align_grids(a: DataFrame, b: DataFrame, ratio: int = 1, by: Sequence[str] = ()) -> DataFrame:
+    """Cells of grids that share geometry, or of grids whose cells are `ratio` of the other's wide, grid by grid: (by..., i, j, a, b)."""
+    r = b.select(F.col("i").alias("bi"), F.col("j").alias("bj"), F.col("value").alias("b"), *(F.col(k).alias(f"_{k}_of") for k in by))
+    l = a.select(*by, "i", "j", F.col("value").alias("a"), F.floor(F.col("i") / ratio).alias("_i"), F.floor(F.col("j") / ratio).alias("_j"))  # noqa: E741
+    return l.join(r.hint("merge"), [F.col("_i") == F.col("bi"), F.col("_j") == F.col("bj"), *(F.col(k) == F.col(f"_{k}_of") for k in by)]).select(*by, "i", "j", "a", "b")
 
 
 def dense(cells: DataFrame, ni: int, nj: int, by: Sequence[str] = ()) -> DataFrame:
@@ -142,21 +144,24 @@ def pressure_centers(cells: DataFrame, ni: int, nj: int, r: int, prominence: flo
     return d.filter(full & (high | low)).select(*by, "i", "j", "value", F.when(high, "H").otherwise("L").alias("kind"), score.alias("score"))
 
 
-def suppress_nearby(df: DataFrame, by: str, score: str, x: str, y: str, min_dist: float, limit: int) -> DataFrame:
-    """By falling score, rows at least min_dist from all kept ones, at most `limit` per field.
+def suppress_nearby(df: DataFrame, by: str | Sequence[str], score: str, x: str, y: str, min_dist: float, limit: int) -> DataFrame:
+    """By falling score, rows at least min_dist from all kept ones, at most `limit` per field (`by`: time, field, kind, ...).
 
     Each choice depends on those before it, so a field is one group; candidates of a field are few (W11's output).
     """
 
     def pick(pdf: pd.DataFrame) -> pd.DataFrame:
-        kept: list[int] = []
-        pdf = pdf.sort_values([score, y, x], ascending=[False, True, True], kind="stable").reset_index(drop=True)
-        for k, (a, b) in enumerate(zip(pdf[x], pdf[y], strict=True)):
-            if len(kept) < limit and all((a - pdf[x][m]) ** 2 + (b - pdf[y][m]) ** 2 >= min_dist**2 for m in kept):
-                kept.append(k)
+        pdf = pdf.sort_values([score, y, x], ascending=[False, True, True], kind="stable")
+        xs, ys = pdf[x].to_numpy(float), pdf[y].to_numpy(float)
+        kept, left = [], np.arange(len(pdf))
+        while len(left) and len(kept) < limit:
+            k = left[0]
+            kept.append(k)
+            left = left[(xs[left] - xs[k]) ** 2 + (ys[left] - ys[k]) ** 2 >= min_dist**2] if min_dist else left[1:]
+            left = left[left != k]
         return pdf.iloc[kept]
 
-    return df.groupBy(by).applyInPandas(pick, df.schema)
+    return df.groupBy(*([by] if isinstance(by, str) else by)).applyInPandas(pick, df.schema)
 
 
 def contour_segments(cells: DataFrame, ni: int, nj: int, interval: float, min_level: float, by: Sequence[str] = ()) -> DataFrame:

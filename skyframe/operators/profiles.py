@@ -5,18 +5,43 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from skyframe.functions.weather import dew_from_rh, ehi, scp, stp
+
 FIELDS = ("zagl", "p", "t", "td", "u", "v")
 
 
 def build_profiles(levels: DataFrame, key: str, least: int = 3) -> DataFrame:
-    """Levels (p, z above ground, t, td, u, v) under the surface pressure dropped, at least 3 left, as one array per profile."""
+    """Levels (p, zagl, t, td, u, v) that lie above ground already, `least` of them at least, as one array per profile."""
     s = F.struct(*(F.col(c).cast("double").alias(c) for c in FIELDS))
-    surface = F.max("p").over(Window.partitionBy(key))
-    kept = levels.withColumn("_ps", surface).filter(F.col("p") <= F.col("_ps")).groupBy(key).agg(F.array_sort(F.collect_list(s)).alias("levels"))
-    return kept.filter(F.size("levels") >= least)
+    return levels.groupBy(key).agg(F.array_sort(F.collect_list(s)).alias("levels")).filter(F.size("levels") >= least)
+
+
+def build_surface_profiles(levels: DataFrame, surface: DataFrame, key: str, least: int = 3) -> DataFrame:
+    """Profiles on a surface: levels (key, p hPa, z, t C, rh, u, v) and a row (key, psfc hPa, zsfc, t, td, rh, u, v) per profile.
+
+    Levels at or under the surface pressure are dropped, and those without a height or a temperature; the surface is the lowest level, at
+    its pressure or else that of the lowest level given. Dew points come from humidity where there is none, are at most the
+    temperature, and 30 degrees under it if unknown; unknown wind is calm. Heights are above the surface (0 if unknown).
+    Profiles under `least` levels are left out. (key, psfc, zsfc, levels).
+    """
+    dew = lambda t, rh: dew_from_rh(t, f"least(100, greatest(1, {rh}))")
+    base = surface.select(
+        key, "psfc", F.coalesce("zsfc", F.lit(0.0)).alias("zsfc"), F.struct(F.col("t").cast("double").alias("t"), F.coalesce("td", F.when(F.col("rh").isNotNull(), dew("t", "rh"))).cast("double").alias("td"), F.col("u").cast("double").alias("u"), F.col("v").cast("double").alias("v")).alias("s")
+    )
+    level = F.struct(F.col("p").cast("double").alias("p"), F.col("z").cast("double").alias("z"), F.col("t").cast("double").alias("t"), F.when(F.col("rh").isNotNull(), dew("t", "rh")).cast("double").alias("td"), F.col("u").cast("double").alias("u"), F.col("v").cast("double").alias("v"))
+    held = levels.groupBy(key).agg(F.collect_list(level).alias("held"))
+    met = held.join(base.hint("merge"), key)
+    above = F.filter("held", lambda x: (F.col("psfc").isNull() | (x["p"] < F.col("psfc"))) & x["z"].isNotNull() & x["t"].isNotNull())
+    lowest = F.coalesce("psfc", F.array_max(F.transform("held", lambda x: x["p"])))
+    ground = F.array(F.struct(lowest.cast("double").alias("p"), F.col("zsfc").cast("double").alias("z"), F.col("s.t").alias("t"), F.col("s.td").alias("td"), F.col("s.u").alias("u"), F.col("s.v").alias("v")))
+    ordered = F.array_sort(F.concat(F.when(F.col("s.t").isNotNull(), ground).otherwise(F.slice(ground, 1, 0)), above), lambda a, b: F.when(a["p"] > b["p"], -1).when(a["p"] < b["p"], 1).otherwise(0))
+    finished = F.transform(ordered, lambda x: F.struct(
+        (x["z"] - F.col("zsfc")).alias("zagl"), x["p"].alias("p"), x["t"].alias("t"), F.least(x["t"], F.coalesce(x["td"], x["t"] - 30)).alias("td"), F.coalesce(x["u"], F.lit(0.0)).alias("u"), F.coalesce(x["v"], F.lit(0.0)).alias("v")
+    ))
+    return met.select(key, "psfc", "zsfc", finished.alias("levels")).filter(F.size("levels") >= least)
 
 
 def wind_at(h: Column, levels: str = "levels") -> Column:
@@ -111,8 +136,17 @@ def parcel_buoyancy(profiles: DataFrame, key: str) -> DataFrame:
     return x.withColumn("t_env", env).select(key, F.col("q.p").alias("p"), F.col("q.t").alias("t_parcel"), "t_env", F.signum(F.col("q.t") - F.col("t_env")).cast("int").alias("sign"))
 
 
-def profile_params(profiles: DataFrame, key: str) -> DataFrame:
-    """Helicity, shear, lapse rate, LCL, precipitable water and motions of each profile."""
-    b = with_bunkers(profiles)
-    s = F.element_at(F.col("levels"), 1)
-    return b.select(key, srh(1000.0, "right").alias("srh1"), srh(3000.0, "right").alias("srh3"), bulk_shear_kt(1000.0).alias("shr1"), bulk_shear_kt(6000.0).alias("shr6"), lapse_700_500().alias("lapse"), (125 * (s["t"] - s["td"])).alias("lcl"), pwat().alias("pwat"), F.col("right.u").alias("rm_u"), F.col("right.v").alias("rm_v"))
+def profile_params(profiles: DataFrame, key: str, cape: Column | None = None, cin: Column | None = None) -> DataFrame:
+    """Helicity, shear, lapse rate, LCL, precipitable water and motions of each profile, and with its CAPE (and CIN as a positive
+    magnitude) the energy-helicity indices, the supercell and the significant tornado parameter; these are null without."""
+    b, s = with_bunkers(profiles), F.element_at(F.col("levels"), 1)
+    given = lambda c: (F.lit(None) if c is None else c).cast("double")
+    out = b.select(
+        key, srh(1000.0, "right").alias("srh1"), srh(3000.0, "right").alias("srh3"), bulk_shear_kt(1000.0).alias("shr1"), bulk_shear_kt(6000.0).alias("shr6"), lapse_700_500().alias("lapse"),
+        F.greatest(F.lit(0.0), 125 * (s["t"] - s["td"])).alias("lcl"), pwat().alias("pwat"), F.col("right.u").alias("rm_u"), F.col("right.v").alias("rm_v"), given(cape).alias("_cape"), given(cin).alias("_cin"),
+    )
+    known = lambda e: F.when(F.col("_cape").isNotNull(), e)
+    return out.withColumns({
+        "ehi1": known(ehi("_cape", "srh1")), "ehi3": known(ehi("_cape", "srh3")), "scp": known(scp("_cape", "srh3", "shr6 / 1.943844")),
+        "stp": F.when(F.col("_cin").isNotNull(), known(stp("_cape", "lcl", "srh1", "shr6 / 1.943844", "-_cin"))),
+    }).drop("_cape", "_cin")

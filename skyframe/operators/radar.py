@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from skyframe.functions import geo
 from skyframe.functions.weather import encode_gate, gate_value
+from skyframe.operators.joins import dimension
 
 
 def explode_gates(radials: DataFrame, moment: str) -> DataFrame:
@@ -26,7 +27,7 @@ def explode_gates(radials: DataFrame, moment: str) -> DataFrame:
 def with_site(df: DataFrame, sites: DataFrame) -> DataFrame:
     """P5: missing site positions from the catalogue, by header id, else by key id."""
     by = lambda k: sites.select(F.col("site").alias(k), F.struct("lat", "lon").alias(f"_{k}"))
-    out = df.join(by("icao").hint("merge"), "icao", "left").join(by("key_id").hint("merge"), "key_id", "left")
+    out = df.join(dimension(by("icao")), "icao", "left").join(dimension(by("key_id")), "key_id", "left")
     place = F.coalesce(F.col("_icao"), F.col("_key_id"))
     return out.withColumns({"lat": F.coalesce("lat", place["lat"]), "lon": F.coalesce("lon", place["lon"])}).drop("_icao", "_key_id")
 
@@ -159,19 +160,18 @@ def despoke_median(v: np.ndarray, nyquist: np.ndarray, passes: int = 2, reach: i
 
 
 def revert_runs(v: np.ndarray, raw: np.ndarray, least: int = 18, fast: float = 44.0, share: float = 0.35, support: float = 22.0) -> np.ndarray:
-    """Runs of 18 or more folded gates of 44 m/s or more that under 35 % of neighbours back (same sign, 22 m/s) go back to native values."""
+    """W5, in place, beam after beam (azimuth wraps; under 3 beams a beam is its own neighbour): runs of 18 or more folded gates of 44 m/s or more that under 35 % of neighbours back (same sign, 22 m/s) go back to native values."""
     n = len(v)
-    out = v.copy()
     for r in range(n):
         odd = (np.abs(v[r]) >= fast) & (np.abs(v[r] - raw[r]) > 1e-6)
         edges = np.flatnonzero(np.diff(np.concatenate([[0], odd.astype(int), [0]])))
         for a, b in zip(edges[::2], edges[1::2], strict=True):
             if b - a >= least:
                 seg = v[r, a:b]
-                backed = sum(((np.sign(v[k, a:b]) == np.sign(seg)) & (np.abs(v[k, a:b]) >= support)).astype(int) for k in (r - 1, (r + 1) % n)) > 0
+                backed = sum(((np.sign(v[k, a:b]) == np.sign(seg)) & (np.abs(v[k, a:b]) >= support)).astype(int) for k in ((r - 1, (r + 1) % n) if n >= 3 else (r,))) > 0
                 if backed.mean() < share:
-                    out[r, a:b] = raw[r, a:b]
-    return out
+                    v[r, a:b] = raw[r, a:b]
+    return v
 
 
 def dealias(gates: DataFrame, by: Sequence[str], nyquist: Column) -> DataFrame:
@@ -247,23 +247,31 @@ def regrid_azimuth(radials: DataFrame, by: Sequence[str], bins: int = 1440, max_
     return b.select(*by, "bin", near.alias("azimuth"))
 
 
-def sample_radar(points: DataFrame, gates: DataFrame, by: Sequence[str], site_lat: float, site_lon: float, first_m: float, gate_m: float, bins: int = 720) -> DataFrame:
+def _from_site(site_lat: Column | float, site_lon: Column | float) -> tuple[Column, Column]:
+    """Metres east and north of a site to (lat, lon), on a flat earth; the site's place is a number or a column."""
+    la, lo = (F.lit(c) if isinstance(c, float | int) else c for c in (site_lat, site_lon))
+    return (F.col("lon") - lo) * geo.M_PER_DEG * F.cos(F.radians(la)), (F.col("lat") - la) * geo.M_PER_DEG
+
+
+def sample_radar(points: DataFrame, gates: DataFrame, by: Sequence[str], site_lat: Column | float, site_lon: Column | float, first_m: float, gate_m: float, bins: int = 720, site: Sequence[str] = ()) -> DataFrame:
     """The gate under each point (lat, lon) on a flat earth: nearest beam by azimuth, then nearest gate; null out of range.
 
-    Beams are first put on `bins` azimuth bins, so points meet them in an equi-join.
+    With `site`, some of `by` that points have too, points meet the gates of their own site, whose place is in columns. Beams are first put on `bins` azimuth bins, so points meet them in an equi-join.
     """
-    east, north = (F.col("lon") - site_lon) * geo.M_PER_DEG * np.cos(np.radians(site_lat)), (F.col("lat") - site_lat) * geo.M_PER_DEG
+    east, north = _from_site(site_lat, site_lon)
     az = F.pmod(F.degrees(F.atan2(east, north)), F.lit(360.0))
     p = points.withColumns({"_bin": F.floor(az * bins / 360).cast("int"), "_gate": F.floor((F.sqrt(east * east + north * north) - first_m) / gate_m + 0.5).cast("long")})
     beams = regrid_azimuth(gates, by, bins, 360.0)
-    g = gates.join(beams.hint("merge"), [*by, "azimuth"]).select(*by, F.col("bin").alias("_b"), F.col("gate").cast("long").alias("_g"), "azimuth", "value")
-    return p.join(g.hint("merge"), (F.col("_bin") == F.col("_b")) & (F.col("_gate") == F.col("_g"))).drop("_bin", "_gate", "_b", "_g")
+    g = gates.join(beams.hint("merge"), [*by, "azimuth"]).select(*by, F.col("bin").alias("_b"), F.col("gate").cast("long").alias("_g"), "azimuth", "value").withColumnsRenamed({k: f"_{k}_of" for k in site})
+    same = [F.col("_bin") == F.col("_b"), F.col("_gate") == F.col("_g"), *(F.col(k) == F.col(f"_{k}_of") for k in site)]
+    return p.join(g.hint("merge"), same).drop("_bin", "_gate", "_b", "_g", *(f"_{k}_of" for k in site))
 
 
-def gates_to_cells(gates: DataFrame, site_lat: float, site_lon: float, lon1: float, lat1: float, step: float) -> DataFrame:
-    """I, j of the guidance cell under each gate, on a flat earth."""
-    lat = F.lit(site_lat) + F.col("range_m") * F.cos(F.radians("azimuth")) / geo.M_PER_DEG
-    lon = F.lit(site_lon) + F.col("range_m") * F.sin(F.radians("azimuth")) / (geo.M_PER_DEG * np.cos(np.radians(site_lat)))
+def gates_to_cells(gates: DataFrame, site_lat: Column | float, site_lon: Column | float, lon1: float, lat1: float, step: float) -> DataFrame:
+    """I, j of the guidance cell under each gate, on a flat earth; the site's place is a number or a column of gates."""
+    site_lat, site_lon = (F.lit(c) if isinstance(c, float | int) else c for c in (site_lat, site_lon))
+    lat = site_lat + F.col("range_m") * F.cos(F.radians("azimuth")) / geo.M_PER_DEG
+    lon = site_lon + F.col("range_m") * F.sin(F.radians("azimuth")) / (geo.M_PER_DEG * F.cos(F.radians(site_lat)))
     return gates.withColumns({"i": F.floor((lon - lon1) / step + 0.5), "j": F.floor((F.lit(lat1) - lat) / step + 0.5)})
 
 
@@ -274,12 +282,12 @@ def gate_exceedance(gates: DataFrame, guidance: DataFrame, least: float = 0.25)
     return out.withColumn("exceed", F.when(over >= least, F.floor(over * 10 + 0.5) / 10)).filter("exceed IS NOT NULL")
 
 
-def cross_section(gates: DataFrame, columns: DataFrame, by: Sequence[str], site_lat: float, site_lon: float, first_m: float, gate_m: float, elevation: Column, bins: int = 720) -> DataFrame:
-    """Per column point (col, lat, lon) and tilt with a beam within 1.6 degrees: value and beam height of the gate over it."""
-    east, north = (F.col("lon") - site_lon) * geo.M_PER_DEG * np.cos(np.radians(site_lat)), (F.col("lat") - site_lat) * geo.M_PER_DEG
+def cross_section(gates: DataFrame, columns: DataFrame, by: Sequence[str], site_lat: Column | float, site_lon: Column | float, first_m: float, gate_m: float, elevation: Column, bins: int = 720, site: Sequence[str] = ()) -> DataFrame:
+    """Per column point (col, lat, lon) and tilt of its site (`site`, some of `by`) with a beam within 1.6 degrees: value and beam height of the gate over it."""
+    east, north = _from_site(site_lat, site_lon)
     c = columns.withColumns({"dist_m": F.greatest(F.sqrt(east * east + north * north), F.lit(2.0)), "_bin": F.floor(F.pmod(F.degrees(F.atan2(east, north)), F.lit(360.0)) * bins / 360).cast("int")})
     beams = regrid_azimuth(gates, by, bins, 1.6).filter("azimuth IS NOT NULL").withColumnRenamed("bin", "_bin").withColumn("elevation", elevation)
-    at = c.join(beams.hint("merge"), "_bin").withColumn("slant_m", geo.slant_range("dist_m", "elevation"))
+    at = c.join(beams.hint("merge"), ["_bin", *site]).withColumn("slant_m", geo.slant_range("dist_m", "elevation"))
     at = at.withColumns({"_gate": F.floor((F.col("slant_m") - first_m) / gate_m + 0.5).cast("long"), "height_m": geo.beam_height("slant_m", "elevation")})
     g = gates.select(*by, F.col("azimuth").cast("double").alias("azimuth"), F.col("gate").cast("long").alias("_gate"), "value")
     return at.join(g.hint("merge"), [*by, "azimuth", "_gate"], "left").drop("_bin", "_gate")

@@ -69,16 +69,17 @@ def recent_flashes(flashes: DataFrame, scenes: DataFrame, minutes: int = 5) -> D
     return f.join(s.hint("merge"), (F.col("_b") == F.col("_b2")) & (F.col("_us") >= F.col("_at") - span) & (F.col("_us") < F.col("_at"))).select("scene", "row", "col")
 
 
-def sample_scene(points: DataFrame, pixels: DataFrame, row: Column, col: Column) -> DataFrame:
-    """The pixel under each point by its navigated row and column; null off the disk."""
+def sample_scene(points: DataFrame, pixels: DataFrame, row: Column, col: Column, by: Sequence[str] = ()) -> DataFrame:
+    """The pixel under each point by its navigated row and column, of the point's own scene (`by`); null off the disk."""
     p = points.withColumns({"_r": F.floor(row + 0.5).cast("long"), "_c": F.floor(col + 0.5).cast("long")})
-    x = pixels.withColumnsRenamed({"row": "_row", "col": "_col"})
-    return p.join(x.hint("merge"), (F.col("_r") == F.col("_row")) & (F.col("_c") == F.col("_col")), "left").drop("_r", "_c", "_row", "_col")
+    x = pixels.withColumnsRenamed({"row": "_row", "col": "_col", **{k: f"_{k}_of" for k in by}})
+    same = [(F.col("_r") == F.col("_row")) & (F.col("_c") == F.col("_col")), *(F.col(k) == F.col(f"_{k}_of") for k in by)]
+    return p.join(x.hint("merge"), same, "left").drop("_r", "_c", "_row", "_col", *(f"_{k}_of" for k in by))
 
 
-def pair_fields(cells: DataFrame, pixels: DataFrame, row: Column, col: Column) -> DataFrame:
-    """Radar cells (radar) with the satellite value (sat) over them; both present, radar not negative."""
-    return sample_scene(cells, pixels, row, col).filter(F.col("sat").isNotNull() & (F.col("radar") >= 0))
+def pair_fields(cells: DataFrame, pixels: DataFrame, row: Column, col: Column, by: Sequence[str] = ()) -> DataFrame:
+    """Radar cells (radar) with the satellite value (sat) over them in their scene (`by`); both present, radar not negative."""
+    return sample_scene(cells, pixels, row, col, by).filter(F.col("sat").isNotNull() & (F.col("radar") >= 0))
 
 
 def verify_precip(pairs: DataFrame, frame: str, thresholds: Sequence[float] = (0.5, 2.5, 10)) -> DataFrame:
@@ -89,6 +90,32 @@ def verify_precip(pairs: DataFrame, frame: str, thresholds: Sequence[float] = (0
     return c.join(k.hint("merge"), F.col(frame).eqNullSafe(F.col("_f"))).drop("_f")
 
 
+# The box that radar rain covers (west, south, east, north).
+RADAR_BOX = (-125.0, 25.0, -66.5, 49.0)
+
+
+def box_share(west: str, south: str, east: str, north: str, box: tuple[float, float, float, float] = RADAR_BOX) -> Column:
+    """The share of a scene's bounds that lies inside a box."""
+    w, s, e, n = box
+    across, up = F.least(F.col(east), F.lit(e)) - F.greatest(F.col(west), F.lit(w)), F.least(F.col(north), F.lit(n)) - F.greatest(F.col(south), F.lit(s))
+    return F.when((across > 0) & (up > 0), across * up / ((F.col(east) - F.col(west)) * (F.col(north) - F.col(south)))).otherwise(0.0)
+
+
+def verification_pairs(scenes: DataFrame, pixels: DataFrame, frames: DataFrame, cells: DataFrame, row: Column, col: Column, least_share: float = 0.25, tolerance_s: int = 720) -> DataFrame:
+    """(scene, frame, ..., sat, radar) of all scenes that radar can verify.
+
+    scenes (scene, time, west, south, east, north) with a quarter of their bounds in the radar's box meet the radar frame (frame, time)
+    nearest in time, within 12 minutes; its cells (frame, lat, lon, radar) inside the scene and the box take the pixel
+    (scene, row, col, sat) that they are navigated to: `row` and `col` are expressions over lat, lon and the scene's bounds.
+    """
+    seen = scenes.filter(box_share("west", "south", "east", "north") >= least_share).withColumn("_all", F.lit(0))
+    near = series.nearest_join(seen, frames.withColumn("_all", F.lit(0)), "_all", "time", "scene", "frame", tolerance_s).select(F.col("left_key").alias("scene"), F.col("right_key").alias("frame"))
+    w, s, e, n = RADAR_BOX
+    met = cells.join(near.hint("merge"), "frame").join(seen.drop("time", "_all").hint("merge"), "scene")
+    inside = F.col("lon").between(F.greatest(F.col("west"), F.lit(w)), F.least(F.col("east"), F.lit(e))) & F.col("lat").between(F.greatest(F.col("south"), F.lit(s)), F.least(F.col("north"), F.lit(n)))
+    return pair_fields(met.filter(inside), pixels, row, col, ["scene"])
+
+
 def scene_window(x0: float, y0: float, x1: float, y1: float, width: int, height: int, pad: int = 8) -> tuple[int, int, int, int] | None:
     """Rows and columns of a box's navigated bounds, padded; None if that is over 80 % of the grid."""
     c0, c1, r0, r1 = max(0, int(min(x0, x1)) - pad), min(width, int(max(x0, x1)) + pad + 1), max(0, int(min(y0, y1)) - pad), min(height, int(max(y0, y1)) + pad + 1)
@@ -100,12 +127,14 @@ def segments_for(row: Column, n_rows: int, n: int = 10) -> Column:
     return F.least(F.lit(n), F.floor(row * n / n_rows) + 1)
 
 
-def resample_fixed(pixels: DataFrame, row_scale: float, row_offset: float, col_scale: float, col_offset: float, n_rows: int, n_cols: int) -> DataFrame:
-    """Nearest source pixel of each pixel of another fixed grid: source = target x scale + offset."""
-    target = pixels.sparkSession.range(n_rows * n_cols).select(F.floor(F.col("id") / n_cols).alias("row"), (F.col("id") % n_cols).alias("col"))
+def resample_fixed(pixels: DataFrame, row_scale: float, row_offset: float, col_scale: float, col_offset: float, n_rows: int, n_cols: int, by: Sequence[str] = ()) -> DataFrame:
+    """Nearest source pixel of each pixel of another fixed grid, in every scene (`by`): source = target x scale + offset."""
+    target = (pixels.select(*by).distinct() if by else pixels.sparkSession.range(1)).select(*by, F.explode(F.sequence(F.lit(0), F.lit(n_rows - 1))).alias("row"))
+    target = target.select(*by, F.col("row").cast("long").alias("row"), F.explode(F.sequence(F.lit(0), F.lit(n_cols - 1))).alias("col")).withColumn("col", F.col("col").cast("long"))
     at = target.withColumns({"_r": F.floor(F.col("row") * row_scale + row_offset + 0.5), "_c": F.floor(F.col("col") * col_scale + col_offset + 0.5)})
-    src = pixels.withColumnsRenamed({"row": "_row", "col": "_col"})
-    return at.join(src.hint("merge"), (F.col("_r") == F.col("_row")) & (F.col("_c") == F.col("_col"))).drop("_r", "_c", "_row", "_col")
+    src = pixels.withColumnsRenamed({"row": "_row", "col": "_col", **{k: f"_{k}_of" for k in by}})
+    same = [(F.col("_r") == F.col("_row")) & (F.col("_c") == F.col("_col")), *(F.col(k) == F.col(f"_{k}_of") for k in by)]
+    return at.join(src.hint("merge"), same).drop("_r", "_c", "_row", "_col", *(f"_{k}_of" for k in by))
 
 
 def decimate(pixels: DataFrame, n: int) -> DataFrame:
@@ -135,11 +164,11 @@ def colorize(df: DataFrame, value: str, stops: Sequence[tuple[float, tuple[int,
     return df.withColumns(out)
 
 
-def swath_to_grid(footprints: DataFrame, step: float = 0.1) -> DataFrame:
-    """Gaussian splat of footprints (scan, fov, lat, lon, value) on a grid: weight exp(-2.3 d2 / r2), r = 0.72 x the wider gap
-    to a neighbour of 1 to 9 cells, cells kept from a total weight of 0.10: (i, j, value)."""
+def swath_to_grid(footprints: DataFrame, step: float = 0.1, by: Sequence[str] = ()) -> DataFrame:
+    """Gaussian splat of the footprints (scan, fov, lat, lon, value) of every granule (`by`) on a grid: weight exp(-2.3 d2 / r2), r = 0.72 x the wider gap
+    to a neighbour of 1 to 9 cells, cells kept from a total weight of 0.10: (by..., i, j, value)."""
     gap = lambda w: F.greatest(*(F.coalesce(F.sqrt(F.pow(F.col("lat") - f("lat").over(w), 2) + F.pow((F.col("lon") - f("lon").over(w)) * F.cos(F.radians("lat")), 2)), F.lit(0.0)) for f in (F.lag, F.lead)))
-    across, along = Window.partitionBy("scan").orderBy("fov"), Window.partitionBy("fov").orderBy("scan")
+    across, along = Window.partitionBy(*by, "scan").orderBy("fov"), Window.partitionBy(*by, "fov").orderBy("scan")
     f = footprints.filter("value IS NOT NULL").withColumn("_r", F.least(F.lit(9.0), F.greatest(F.lit(1.0), 0.72 * F.greatest(gap(across), gap(along)) / step)))
     f = f.withColumns({"_x": F.col("lon") / step, "_y": F.col("lat") / step, "_k": F.cos(F.radians("lat"))})
     span = lambda c, r: F.sequence(F.ceil(F.col(c) - r).cast("int"), F.floor(F.col(c) + r).cast("int"))
@@ -147,11 +176,13 @@ def swath_to_grid(footprints: DataFrame, step: float = 0.1) -> DataFrame:
     d2 = F.pow((F.col("i") - F.col("_x")) * F.col("_k"), 2) + F.pow(F.col("j") - F.col("_y"), 2)
     w = F.exp(-2.3 * d2 / (F.col("_r") * F.col("_r")))
     near = cells.filter(d2 <= F.col("_r") * F.col("_r"))
-    return near.groupBy("i", "j").agg((F.sum(w * F.col("value")) / F.sum(w)).alias("value"), F.sum(w).alias("weight")).filter("weight >= 0.10").drop("weight")
+    return near.groupBy(*by, "i", "j").agg((F.sum(w * F.col("value")) / F.sum(w)).alias("value"), F.sum(w).alias("weight")).filter("weight >= 0.10").drop("weight")
 
 
-def scene_bbox(lon: Formula, lat: Formula, spark, x0: float, y0: float, dx: float, dy: float, n: int = 25) -> DataFrame:
-    """Bounds of navigated points of an n x n sample of a scene."""
-    pts = spark.range(n * n).select((x0 + (F.col("id") % n) * dx).alias("x"), (y0 + F.floor(F.col("id") / n) * dy).alias("y"))
-    at = pts.select(lon("x", "y").alias("lon"), lat("x", "y").alias("lat"))
-    return at.agg(F.min("lon").alias("west"), F.min("lat").alias("south"), F.max("lon").alias("east"), F.max("lat").alias("north"))
+def scene_bbox(scenes: DataFrame, lon: Formula, lat: Formula, n: int = 25) -> DataFrame:
+    """(scene, west, south, east, north) of scenes (scene, x0, y0, x1, y1 in scan angles) from an n x n sample of navigated points; null off the disk."""
+    step = F.sequence(F.lit(0), F.lit(n - 1))
+    pts = scenes.withColumn("_a", F.explode(step)).withColumn("_b", F.explode(step))
+    pts = pts.select("scene", (F.col("x0") + (F.col("x1") - F.col("x0")) * F.col("_a") / (n - 1)).alias("x"), (F.col("y0") + (F.col("y1") - F.col("y0")) * F.col("_b") / (n - 1)).alias("y"))
+    at = pts.select("scene", lon("x", "y").alias("lon"), lat("x", "y").alias("lat"))
+    return at.groupBy("scene").agg(F.min("lon").alias("west"), F.min("lat").alias("south"), F.max("lon").alias("east"), F.max("lat").alias("north"))

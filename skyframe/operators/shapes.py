@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from skyframe.functions import geo
 from skyframe.functions.reports import MAP_EVENTS, alert_rank
+from skyframe.operators.joins import dimension
 
 
 def ring_bounds(ring: Column) -> Column:
@@ -171,10 +172,42 @@ def outlook_legend(areas: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     return top.withColumn("intensity", F.when(level != "", level).cast("int")).orderBy(*by, "sort")
 
 
+# Fire weather and rainfall outlooks: (code, label, fill).
+FIRE_CATEGORIES = ((5, "Elevated", "rgb(230,152,0)"), (8, "Critical", "rgb(255,0,0)"), (10, "Extremely Critical", "rgb(230,0,169)"))
+DRY_STORMS = ((4, "Isolated Dry T-storm", "rgb(115,38,0)"), (5, "Isolated Dry T-storm", "rgb(115,38,0)"), (8, "Scattered Dry T-storm", "rgb(255,0,0)"))
+RAIN_RISKS = ((1, "Marginal", "rgb(56,168,0)"), (2, "Slight", "rgb(255,254,0)"), (3, "Moderate", "rgb(245,0,0)"), (4, "High", "rgb(255,105,197)"))
+UNKNOWN_FILL = "rgb(150,150,150)"
+
+
+def code_style(code: Column, table: Sequence[tuple[int, str, str]], otherwise: Column) -> Column:
+    """struct<label, fill, sort> of an outlook area by its code; codes that the table lacks are grey and named by `otherwise`."""
+    n, out = code.cast("int"), None
+    for value, label, fill in table:
+        style = F.struct(F.lit(label).alias("label"), F.lit(fill).alias("fill"), F.lit(value).alias("sort"))
+        out = F.when(n == value, style) if out is None else out.when(n == value, style)
+    return out.otherwise(F.struct(otherwise.alias("label"), F.lit(UNKNOWN_FILL).alias("fill"), F.coalesce(n, F.lit(0)).alias("sort")))
+
+
+def fire_style(code: Column, dry: bool = False) -> Column:
+    """fire weather by `dn`: categories, or dry thunderstorms."""
+    return code_style(code, DRY_STORMS if dry else FIRE_CATEGORIES, F.concat(F.lit("dn "), code.cast("string")))
+
+
+def rain_style(code: Column, outlook: Column) -> Column:
+    """excessive rainfall by risk level; another level goes by the outlook's own name, else Level n."""
+    return code_style(code, RAIN_RISKS, F.coalesce(F.nullif(outlook, F.lit("")), F.concat(F.lit("Level "), code.cast("string"))))
+
+
+def chance_label(category: Column, prob: Column) -> Column:
+    """struct<label, sort> of temperature and precipitation outlooks: above or below by probability, all else near normal."""
+    side = F.when(category == "Above", 1).when(category == "Below", -1).otherwise(0)
+    return F.struct(F.when(side != 0, F.concat(category, F.lit(" "), prob.cast("string"), F.lit("%"))).otherwise("Near Normal").alias("label"), F.when(side != 0, side * prob).otherwise(0).alias("sort"))
+
+
 def step_style(df: DataFrame, style: DataFrame, key: str, value: Column) -> DataFrame:
     """the deepest class (category, floor, style) whose floor a value reaches; the style table is a dimension."""
     classes = style.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("floor", "style"))).alias("_c"))
-    out = df.join(classes.hint("merge"), key, "left")
+    out = df.join(dimension(classes), key, "left")
     return out.withColumn("style", F.try_element_at(F.filter("_c", lambda c: c["floor"] <= value), F.lit(-1))["style"]).drop("_c")
 
 

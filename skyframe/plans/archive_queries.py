@@ -8,7 +8,7 @@ from skyframe.functions import geo as G
 from skyframe.functions import weather as M
 from skyframe.operators import products as K
 from skyframe.operators import profiles as V
-from skyframe.plans.base import query
+from skyframe.plans.base import derivation, query
 from skyframe.sources import catalog as C
 
 LV = "SELECT profile, p::DOUBLE AS p, t, td, u, v, zagl::DOUBLE AS zagl FROM [profile]"
@@ -41,10 +41,49 @@ def _(x):
     return _profiles(x).select("profile", F.round(V.pwat(), 4).alias("pwat"), F.round(V.lapse_700_500(), 5).alias("lapse"))
 
 
-@query("w21_w22_m26_m29_profile_params")
+_DEW = lambda t, rh: f"(243.5 * (ln(least(100, greatest(1, {rh})) / 100) + 17.67 * {t} / ({t} + 243.5)) / (17.67 - (ln(least(100, greatest(1, {rh})) / 100) + 17.67 * {t} / ({t} + 243.5))))"
+# Levels in pressure coordinates and a surface per profile, with gaps in both.
+_RAW = "SELECT profile, p, 200 + zagl::DOUBLE AS z, CASE WHEN p % 11 > 0 THEN t END AS t, CASE WHEN p % 3 > 0 THEN 60 + td END AS rh, CASE WHEN p % 7 > 0 THEN u END AS u, v FROM [profile]"
+_SFC = "SELECT profile, CASE WHEN profile % 4 > 0 THEN 930 - profile % 50 END AS psfc, CASE WHEN profile % 5 > 0 THEN 300 + profile % 40 END AS zsfc, CASE WHEN profile % 9 > 0 THEN 25 + profile % 10 END AS t, CASE WHEN profile % 3 = 0 THEN 28 END AS td, CASE WHEN profile % 3 = 1 THEN 55 END AS rh, 3 AS u, CASE WHEN profile % 2 = 0 THEN 4 END AS v FROM (SELECT DISTINCT profile FROM [profile])"
+
+
+def _surface_profiles(x):
+    table = lambda: f"({derivation('profile', lambda t: '{' + t + '}')})"
+    one = lambda text: x.spark.sql(text.replace("[profile]", table()), lineitem=x.t("lineitem"))
+    return V.build_surface_profiles(one(_RAW.replace("zagl::DOUBLE", "CAST(zagl AS DOUBLE)")), one(_SFC), "profile")
+
+
+@query("m28_surface_profiles", f"""WITH raw AS ({_RAW}), sfc AS ({_SFC}), low AS (SELECT profile, max(p) AS pmax FROM raw GROUP BY 1), every AS (
+SELECT r.profile, r.p::DOUBLE AS p, r.z - coalesce(s.zsfc, 0) AS zagl, r.t, CASE WHEN r.rh IS NULL THEN r.t - 30 ELSE least(r.t, {_DEW('r.t', 'r.rh')}) END AS td, coalesce(r.u, 0) AS u, coalesce(r.v, 0) AS v FROM raw r JOIN sfc s USING (profile) WHERE r.t IS NOT NULL AND (s.psfc IS NULL OR r.p < s.psfc)
+UNION ALL SELECT s.profile, coalesce(s.psfc, l.pmax)::DOUBLE, 0, s.t, least(s.t, coalesce(s.td, CASE WHEN s.rh IS NOT NULL THEN {_DEW('s.t', 's.rh')} END, s.t - 30)), 3, coalesce(s.v, 0) FROM sfc s JOIN low l USING (profile) WHERE s.t IS NOT NULL)
+SELECT profile, p, round(zagl, 4) AS zagl, round(t, 5) AS t, round(td, 5) AS td, round(u, 5) AS u, round(v, 5) AS v FROM every WHERE profile IN (SELECT profile FROM every GROUP BY 1 HAVING count(*) >= 3)""")
+def _(x):
+    out = _surface_profiles(x).select("profile", F.explode("levels").alias("x")).select("profile", "x.*")
+    return out.select("profile", "p", F.round("zagl", 4).alias("zagl"), *(F.round(c, 5).alias(c) for c in ("t", "td", "u", "v")))
+
+
+# Wind at heights, and what follows from it, from the levels as rows.
+_WIND = f"""WITH l AS ({LV}), l2 AS (SELECT *, row_number() OVER (PARTITION BY profile ORDER BY zagl) AS k, count(*) OVER (PARTITION BY profile) AS n FROM l), f AS (SELECT * FROM l2 WHERE n >= 3),
+hs AS (SELECT profile, h::DOUBLE AS h FROM (SELECT DISTINCT profile FROM f), (SELECT unnest(range(0, 6001, 100)) AS h)),
+wb AS (SELECT hs.profile, hs.h, b.zagl AS bz, b.u AS bu, b.v AS bv FROM hs ASOF LEFT JOIN f b ON b.profile = hs.profile AND b.zagl < hs.h),
+w AS (SELECT wb.*, a.zagl AS az, a.u AS au, a.v AS av FROM wb ASOF LEFT JOIN f a ON a.profile = wb.profile AND a.zagl >= wb.h),
+winds AS (SELECT profile, h, CASE WHEN bz IS NULL THEN au WHEN az IS NULL THEN bu ELSE bu + (au - bu) * (h - bz) / (az - bz) END AS u, CASE WHEN bz IS NULL THEN av WHEN az IS NULL THEN bv ELSE bv + (av - bv) * (h - bz) / (az - bz) END AS v FROM w),
+m AS (SELECT profile, avg(u) AS mu, avg(v) AS mv, avg(u) FILTER (WHERE h >= 5500) - avg(u) FILTER (WHERE h <= 500) AS su, avg(v) FILTER (WHERE h >= 5500) - avg(v) FILTER (WHERE h <= 500) AS sv FROM winds GROUP BY 1),
+r AS (SELECT profile, CASE WHEN sqrt(su * su + sv * sv) < 0.1 THEN mu ELSE mu + 7.5 * sv / sqrt(su * su + sv * sv) END AS ru, CASE WHEN sqrt(su * su + sv * sv) < 0.1 THEN mv ELSE mv - 7.5 * su / sqrt(su * su + sv * sv) END AS rv FROM m),
+pts AS (SELECT top, f.profile, f.zagl AS z, 0 AS last, f.u, f.v FROM f, (VALUES (1000::DOUBLE), (3000)) t(top) WHERE f.zagl BETWEEN -10 AND top UNION ALL SELECT h, profile, h, 1, u, v FROM winds WHERE h IN (1000, 3000)),
+pairs AS (SELECT p.top, p.profile, u - ru AS u, v - rv AS v, lag(u) OVER o - ru AS pu, lag(v) OVER o - rv AS pv FROM pts p JOIN r USING (profile) WINDOW o AS (PARTITION BY p.profile, p.top ORDER BY z, last)),
+h AS (SELECT profile, sum(u * pv - pu * v) FILTER (WHERE top = 1000) AS srh1, sum(u * pv - pu * v) FILTER (WHERE top = 3000) AS srh3 FROM pairs WHERE pu IS NOT NULL GROUP BY 1),
+sh AS (SELECT a.profile, max(sqrt(pow(a.u - s.u, 2) + pow(a.v - s.v, 2))) FILTER (WHERE a.h = 1000) AS ms1, max(sqrt(pow(a.u - s.u, 2) + pow(a.v - s.v, 2))) FILTER (WHERE a.h = 6000) AS ms6, any_value(greatest(0, 125 * (s.t - s.td))) AS lcl FROM winds a JOIN f s ON s.profile = a.profile AND s.k = 1 GROUP BY 1)"""
+
+
+@query("w21_w22_m26_m29_profile_params", f"""{_WIND}, e AS (SELECT profile, coalesce(srh1, 0) AS srh1, coalesce(srh3, 0) AS srh3, ms1, ms6, lcl, ru, rv, 500 + profile * 7 % 3000 AS cape, profile % 250 AS cin FROM h RIGHT JOIN r USING (profile) JOIN sh USING (profile))
+SELECT profile, round(srh1, 4) AS srh1, round(srh3, 4) AS srh3, round(ms1 * 1.943844, 4) AS shr1, round(ms6 * 1.943844, 4) AS shr6, round(lcl, 4) AS lcl, round(ru, 4) AS rm_u, round(rv, 4) AS rm_v, round(cape * srh1 / 160000, 4) AS ehi1, round(cape * srh3 / 160000, 4) AS ehi3,
+round(CASE WHEN ms6 < 10 THEN 0 ELSE greatest(0, cape / 1000 * srh3 / 50 * least(20, ms6) / 20) END, 4) AS scp,
+round(greatest(0, cape / 1500 * (CASE WHEN lcl <= 1000 THEN 1 WHEN lcl >= 2000 THEN 0 ELSE (2000 - lcl) / 1000 END) * srh1 / 150 * (CASE WHEN ms6 < 12.5 THEN 0 WHEN ms6 > 30 THEN 1.5 ELSE ms6 / 20 END) * (CASE WHEN cin <= 50 THEN 1 WHEN cin > 200 THEN 0 ELSE (200 - cin) / 150 END)), 4) AS stp FROM e""")
 def _(x):
-    out = V.profile_params(_profiles(x), "profile")
-    return out.select("profile", *(F.round(c, 4).alias(c) for c in out.columns[1:]))
+    p = _profiles(x)
+    out = V.profile_params(p, "profile", 500 + F.col("profile") * 7 % 3000, F.col("profile") % 250)
+    return out.select("profile", *(F.round(c, 4).alias(c) for c in out.columns[1:] if c not in ("lapse", "pwat")))
 
 
 @query("w24_w25_parcel_buoyancy")

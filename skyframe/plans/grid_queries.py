@@ -103,6 +103,18 @@ def _(x):
     return A.pressure_centers(x.d("cell"), N, N, 2, 20, 380)
 
 
+@query("j3_j4_grids_of_runs", """WITH c AS (SELECT run, i, j, value FROM [run_cell]), b AS (SELECT run, i // 2 AS i, j // 2 AS j, max(value) AS value FROM c GROUP BY 1, 2, 3), p AS (SELECT place, place % 20 + 1 AS run, lon, lat FROM [place])
+SELECT 'J3' AS op, a.run, NULL AS place, a.i, a.j, a.value AS a, b.value AS b FROM c a JOIN b ON a.run = b.run AND a.i // 2 = b.i AND a.j // 2 = b.j
+UNION ALL SELECT 'J4', p.run, place, NULL, NULL, c.value, NULL FROM p LEFT JOIN c ON c.run = p.run AND c.i = floor((p.lon + 126) / 5 + 0.5) AND c.j = floor((60 - p.lat) / 3 + 0.5) AND floor((p.lon + 126) / 5 + 0.5) BETWEEN 0 AND 11 AND floor((60 - p.lat) / 3 + 0.5) BETWEEN 0 AND 11""")
+def _(x):
+    """Cells meet cells, and points their cells, run by run."""
+    c = x.d("run_cell")
+    both = A.align_grids(c, A.pool_grid(c, 2, by=["run"]), 2, by=["run"]).select(F.lit("J3").alias("op"), "run", F.lit(None).cast("long").alias("place"), "i", "j", "a", "b")
+    points = A.sample_grid(x.d("place").withColumn("run", F.col("place") % 20 + 1), c, by=["run"], lon1=-126.0, lat1=60.0, di=5.0, dj=3.0, ni=12, nj=12)
+    none = F.lit(None).cast("long")
+    return both.unionAll(points.select(F.lit("J4"), "run", "place", none, none, "value", F.lit(None).cast("double")))
+
+
 @query("w12_suppress_nearby_centers")
 def _(x):
     c = A.pressure_centers(x.d("cell"), N, N, 2, 20, 380)

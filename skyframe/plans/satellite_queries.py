@@ -60,6 +60,45 @@ def _(x):
     return out.select("frame", "threshold", "n", F.round("bias", 5).alias("bias"), F.round("corr", 5).alias("corr"), "hits", F.round("csi", 5).alias("csi"))
 
 
+_BOX = "least(east, -66.5) - greatest(west, -125)", "least(north, 49) - greatest(south, 25)"
+
+
+@query("r10_verification_run", f"""WITH s AS (SELECT * FROM [scene] WHERE greatest(0, {_BOX[0]}) * greatest(0, {_BOX[1]}) / ((east - west) * (north - south)) >= 0.25),
+p AS (SELECT s.*, f.frame, row_number() OVER (PARTITION BY s.scene ORDER BY abs(epoch_us(f.time) - epoch_us(s.time)), f.time, f.frame) AS k FROM s JOIN [mosaic] f ON abs(epoch_us(f.time) - epoch_us(s.time)) < 720000000),
+c AS (SELECT p.*, fw + 1.2 * i AS lon, 24 + 1.5 * j AS lat, (frame * 7 + i * 3 + j * 5) % 60 / 4.0::DOUBLE - 1 AS radar FROM (SELECT scene, frame, -130 + frame % 40 AS fw, west, south, east, north FROM p WHERE k = 1) p, (SELECT unnest(range(10)) AS i), (SELECT unnest(range(20)) AS j)),
+c2 AS (SELECT * FROM c WHERE radar >= 0), n AS (SELECT *, floor((north - lat) / 1.0 + 0.5) AS row, floor((lon - west) / 1.25 + 0.5) AS col FROM c2 WHERE lon BETWEEN greatest(west, -125) AND least(east, -66.5) AND lat BETWEEN greatest(south, 25) AND least(north, 49)),
+v AS (SELECT scene, radar, (scene * 3 + row * 7 + col * 2) % 50 / 5 AS sat FROM n WHERE row BETWEEN 0 AND 7 AND col BETWEEN 0 AND 7), b AS (SELECT scene::VARCHAR AS scene, sat, radar FROM v UNION ALL SELECT NULL, sat, radar FROM v)
+SELECT scene, threshold, count(*) AS n, round(avg(sat) / avg(radar), 5) AS bias, count(*) FILTER (WHERE sat >= threshold AND radar >= threshold) AS hits,
+round((count(*) FILTER (WHERE sat >= threshold AND radar >= threshold)) / nullif(count(*) FILTER (WHERE sat >= threshold OR radar >= threshold), 0), 5) AS csi FROM b, (VALUES (0.5::DOUBLE), (2.5), (10)) t(threshold) GROUP BY 1, 2""")
+def _(x):
+    scenes = x.d("scene")
+    grid = lambda n, name: F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias(name)
+    frames = x.d("mosaic")
+    cells = frames.select("frame", grid(10, "i")).select("frame", "i", grid(20, "j"))
+    cells = cells.select("frame", (-130 + F.col("frame") % 40 + 1.2 * F.col("i")).alias("lon"), (24 + 1.5 * F.col("j")).alias("lat"), ((F.col("frame") * 7 + F.col("i") * 3 + F.col("j") * 5) % 60 / 4.0 - 1).alias("radar"))
+    pixels = scenes.select("scene", grid(8, "row")).select("scene", "row", grid(8, "col")).withColumn("sat", (F.col("scene") * 3 + F.col("row") * 7 + F.col("col") * 2) % 50 / 5)
+    pairs = S.verification_pairs(scenes, pixels, frames, cells, (F.col("north") - F.col("lat")) / 1.0, (F.col("lon") - F.col("west")) / 1.25)
+    out = S.verify_precip(pairs, "scene")
+    return out.select("scene", "threshold", "n", F.round("bias", 5).alias("bias"), "hits", F.round("csi", 5).alias("csi"))
+
+
+@query("j6_g16_scenes", """WITH g AS (SELECT s.scene, a.row, c.col FROM [scene] s, (SELECT unnest(range(5)) AS row) a, (SELECT unnest(range(5)) AS col) c) SELECT scene, row, col, (scene + row * 3 + floor(col * 1.5 + 0.5) * 2)::BIGINT AS value FROM g WHERE floor(row * 1.0 + 0.5) < 6 AND floor(col * 1.5 + 0.5) < 6""")
+def _(x):
+    """G16 over many scenes: every scene's own pixels on another fixed grid."""
+    grid = lambda n, name: F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias(name)
+    pixels = x.d("scene").select("scene", grid(6, "row")).select("scene", "row", grid(6, "col")).withColumn("value", F.col("scene") + F.col("row") * 3 + F.col("col") * 2)
+    return S.resample_fixed(pixels, 1.0, 0.0, 1.5, 0.0, 5, 5, ["scene"]).select("scene", "row", "col", "value")
+
+
+@query("a16_scene_boxes", f"""WITH g AS (SELECT scene, -0.05 + (scene % 7) * 0.01 AS x0, -0.04 + (scene % 5) * 0.01 AS y0 FROM [scene]), p AS (SELECT scene, x0 + 0.02 * a / 24.0 AS x, y0 + 0.03 * b / 24.0 AS y FROM g, (SELECT unnest(range(25)) AS a), (SELECT unnest(range(25)) AS b)),
+q AS (SELECT scene, {_SCAN['lon'].sql('x', 'y')} AS lon, {_SCAN['lat'].sql('x', 'y')} AS lat FROM p) SELECT scene, round(min(lon), 5) AS west, round(min(lat), 5) AS south, round(max(lon), 5) AS east, round(max(lat), 5) AS north FROM q GROUP BY 1""")
+def _(x):
+    s = F.col("scene")
+    scenes = x.d("scene").select(s, (-0.05 + (s % 7) * 0.01).alias("x0"), (-0.04 + (s % 5) * 0.01).alias("y0")).withColumns({"x1": F.col("x0") + 0.02, "y1": F.col("y0") + 0.03})
+    out = S.scene_bbox(scenes, _SCAN["lon"], _SCAN["lat"])
+    return out.select("scene", *(F.round(c, 5).alias(c) for c in ("west", "south", "east", "north")))
+
+
 @query("r12_decimate", "SELECT row, col FROM [pixel] WHERE row % 4 = 0 AND col % 4 = 0")
 def _(x):
     return S.decimate(x.d("pixel"), 4).select("row", "col")
@@ -93,10 +132,15 @@ def _(x):
     return S.resample_fixed(x.d("pixel"), 1.5, 0.25, 1.5, 1.0, 40, 40).select("row", "col", "t13")
 
 
-@query("a14_swath_rasterisation")
+@query("a14_swath_rasterisation", """WITH f AS (SELECT run, j AS scan, i AS fov, 20 + run % 5 + j * 0.3::DOUBLE AS lat, -100 + run % 7 + i * 0.3::DOUBLE AS lon, value FROM [run_cell]),
+g AS (SELECT *, sqrt(pow(lat - lag(lat) OVER a, 2) + pow((lon - lag(lon) OVER a) * cos(radians(lat)), 2)) AS g1, sqrt(pow(lat - lead(lat) OVER a, 2) + pow((lon - lead(lon) OVER a) * cos(radians(lat)), 2)) AS g2,
+sqrt(pow(lat - lag(lat) OVER b, 2) + pow((lon - lag(lon) OVER b) * cos(radians(lat)), 2)) AS g3, sqrt(pow(lat - lead(lat) OVER b, 2) + pow((lon - lead(lon) OVER b) * cos(radians(lat)), 2)) AS g4 FROM f WINDOW a AS (PARTITION BY run, scan ORDER BY fov), b AS (PARTITION BY run, fov ORDER BY scan)),
+r AS (SELECT *, least(9, greatest(1, 0.72 * greatest(coalesce(g1, 0), coalesce(g2, 0), coalesce(g3, 0), coalesce(g4, 0)) / 0.1)) AS r, lon / 0.1 AS x, lat / 0.1 AS y, cos(radians(lat)) AS k FROM g),
+c AS (SELECT run, value, r, x, y, k, i, unnest(range(ceil(y - r)::INT, floor(y + r)::INT + 1)) AS j FROM (SELECT *, unnest(range(ceil(x - r / k)::INT, floor(x + r / k)::INT + 1)) AS i FROM (SELECT run, value, r, x, y, k FROM r))),
+w AS (SELECT *, pow((i - x) * k, 2) + pow(j - y, 2) AS d2 FROM c) SELECT run, i::INT AS i, j::INT AS j, round(sum(exp(-2.3 * d2 / (r * r)) * value) / sum(exp(-2.3 * d2 / (r * r))), 4) AS value FROM w WHERE d2 <= r * r GROUP BY 1, 2, 3 HAVING sum(exp(-2.3 * d2 / (r * r))) >= 0.10""")
 def _(x):
-    f = x.d("pixel").select(F.col("row").alias("scan"), F.col("col").alias("fov"), (20 + F.col("row") * 0.3).cast("double").alias("lat"), (-100 + F.col("col") * 0.3).cast("double").alias("lon"), F.col("t13").alias("value"))
-    return S.swath_to_grid(f).withColumn("value", F.round("value", 4))
+    f = x.d("run_cell").select("run", F.col("j").alias("scan"), F.col("i").alias("fov"), (20 + F.col("run") % 5 + F.col("j") * 0.3).cast("double").alias("lat"), (-100 + F.col("run") % 7 + F.col("i") * 0.3).cast("double").alias("lon"), "value")
+    return S.swath_to_grid(f, by=["run"]).withColumn("value", F.round("value", 4))
 
 
 @query("r13_product_series_per_frame", "SELECT event_type AS frame, user_id % 16 AS row, max(value) AS value FROM events GROUP BY 1, 2")

@@ -126,6 +126,17 @@ def _(x):
     return P.step_style(x.d("place").withColumn("category", F.lit("temp")), style, "category", F.col("place") % 100).select("place", "style")
 
 
+@query("f13_outlook_styles", """SELECT place, CASE place % 12 WHEN 5 THEN 'Elevated' WHEN 8 THEN 'Critical' WHEN 10 THEN 'Extremely Critical' ELSE 'dn ' || (place % 12) END AS fire, CASE place % 12 WHEN 5 THEN 'rgb(230,152,0)' WHEN 8 THEN 'rgb(255,0,0)' WHEN 10 THEN 'rgb(230,0,169)' ELSE 'rgb(150,150,150)' END AS fill,
+CASE WHEN place % 12 IN (4, 5) THEN 'Isolated Dry T-storm' WHEN place % 12 = 8 THEN 'Scattered Dry T-storm' ELSE 'dn ' || (place % 12) END AS dry, CASE place % 6 WHEN 1 THEN 'Marginal' WHEN 2 THEN 'Slight' WHEN 3 THEN 'Moderate' WHEN 4 THEN 'High' WHEN 5 THEN 'Own name' ELSE 'Level 0' END AS rain,
+CASE place % 3 WHEN 0 THEN 'Above 40%' WHEN 1 THEN 'Below 40%' ELSE 'Near Normal' END AS chance, (CASE place % 3 WHEN 0 THEN 40 WHEN 1 THEN -40 ELSE 0 END)::INT AS chance_sort FROM [place]""")
+def _(x):
+    n = F.col("place")
+    fire, dry = P.fire_style(n % 12), P.fire_style(n % 12, dry=True)
+    rain = P.rain_style(n % 6, F.when(n % 6 == 5, "Own name"))
+    chance = P.chance_label(F.when(n % 3 == 0, "Above").when(n % 3 == 1, "Below").otherwise("Normal"), F.lit(40))
+    return x.d("place").select("place", fire["label"].alias("fire"), fire["fill"].alias("fill"), dry["label"].alias("dry"), rain["label"].alias("rain"), chance["label"].alias("chance"), chance["sort"].alias("chance_sort"))
+
+
 @query("u1_union_of_agencies", "SELECT place AS id, 'A' AS agency FROM [place] WHERE place % 2 = 0 UNION ALL SELECT place, 'B' FROM [place] WHERE place % 2 = 1 AND place % 3 <> 0")
 def _(x):
     p = x.d("place").select(F.col("place").alias("id"), F.when(F.col("place") % 3 == 0, "AL").otherwise("WP").alias("basin"))
