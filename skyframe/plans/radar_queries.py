@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from skyframe.functions import geo as G
 from skyframe.functions.weather import encode_gate
 from skyframe.operators import radar as R
 from skyframe.plans.base import query
@@ -100,13 +101,24 @@ def _(x):
     return R.pick_sweep(_sweeps(x), ["site"], 2.4, 0.1001).select("site", F.round("elevation", 4).alias("elevation"), F.date_format("time", "yyyy-MM-dd").alias("day"))
 
 
-@query("w13_w15_a17_tilt_sets")
+@query("w13_w15_a17_tilt_sets", """WITH RECURSIVE s AS (SELECT o_custkey % 20 AS site, o_orderkey AS volume, (o_orderkey % 97) * 0.05::DOUBLE + 0.5::DOUBLE AS e, o_orderdate AS time FROM orders),
+f AS (SELECT site, e, time, row_number() OVER (PARTITION BY site ORDER BY e) AS k FROM (SELECT site, e, max(time) AS time FROM s GROUP BY 1, 2)),
+t AS (SELECT site, k, e, time, 1 AS n, e AS head FROM f WHERE k = 1 UNION ALL SELECT f.site, f.k, CASE WHEN f.e - t.e <= 0.1::DOUBLE AND f.time <= t.time THEN t.e ELSE f.e END, CASE WHEN f.e - t.e <= 0.1::DOUBLE THEN greatest(f.time, t.time) ELSE f.time END,
+ CASE WHEN f.e - t.e <= 0.1::DOUBLE THEN t.n ELSE t.n + 1 END, CASE WHEN f.e - t.head > 0.15::DOUBLE THEN f.e ELSE t.head END FROM t JOIN f ON f.site = t.site AND f.k = t.k + 1),
+c AS (SELECT s.site, t.head, s.time FROM s JOIN f USING (site, e) JOIN t ON t.site = f.site AND t.k = f.k), ct AS (SELECT site, min(newest) AS cut FROM (SELECT site, head, max(time) AS newest FROM c GROUP BY 1, 2) GROUP BY 1),
+co AS (SELECT c.site, count(DISTINCT head) AS n_coherent, max(time) AS cut FROM c JOIN ct ON c.site = ct.site AND c.time <= ct.cut GROUP BY 1),
+vf AS (SELECT site, v, e, row_number() OVER (PARTITION BY site, v ORDER BY e) AS k FROM (SELECT DISTINCT site, volume % 9 AS v, e FROM s)),
+vt AS (SELECT site, v, k, e AS last, 1 AS n FROM vf WHERE k = 1 UNION ALL SELECT vf.site, vf.v, vf.k, CASE WHEN vf.e - vt.last > 0.1::DOUBLE THEN vf.e ELSE vt.last END, CASE WHEN vf.e - vt.last > 0.1::DOUBLE THEN vt.n + 1 ELSE vt.n END FROM vt JOIN vf ON vf.site = vt.site AND vf.v = vt.v AND vf.k = vt.k + 1),
+sc AS (SELECT site, v, max(n) * 100 + (SELECT max(e) FROM vf WHERE vf.site = vt.site AND vf.v = vt.v) AS score, row_number() OVER (PARTITION BY site ORDER BY v DESC) AS r FROM vt GROUP BY site, v),
+full_ AS (SELECT site, arg_max(v, (score, v)) AS volume, max(score) AS score FROM sc WHERE r <= 6 GROUP BY 1)
+SELECT site, max(n)::BIGINT AS n_tilts, any_value(n_coherent) AS n_coherent, strftime(any_value(co.cut), '%Y-%m-%d') AS cut, any_value(volume) AS volume, round(any_value(score), 4) AS score FROM t JOIN co USING (site) JOIN full_ USING (site) GROUP BY 1""")
 def _(x):
     s = _sweeps(x)
     kept = R.dedupe_tilts(s, ["site"]).groupBy("site").agg(F.count("*").alias("n_tilts"))
     coherent = R.coherent_tilts(s, ["site"]).groupBy("site").agg(F.count("*").alias("n_coherent"), F.max("time").alias("cut"))
     full = R.fullest_volume(s.withColumn("volume", F.col("volume") % 9), "site", "volume")
-    return kept.join(coherent.hint("merge"), "site").join(full.hint("merge"), "site")
+    both = kept.join(coherent.hint("merge"), "site").join(full.hint("merge"), "site")
+    return both.select("site", "n_tilts", "n_coherent", F.date_format("cut", "yyyy-MM-dd").alias("cut"), "volume", F.round("score", 4).alias("score"))
 
 
 @query("w16_regrid_azimuth", """WITH b AS (SELECT DISTINCT sweep, azimuth FROM [gate] WHERE azimuth % 3 < 1), r AS (SELECT sweep, azimuth, azimuth + o AS at FROM b, (VALUES (-360), (0), (360)) t(o)), k AS (SELECT s.sweep, n AS bin, (n + 0.5) * 0.25 AS c FROM (SELECT DISTINCT sweep FROM b) s, (SELECT unnest(range(1440)) AS n) t),
@@ -116,7 +128,15 @@ def _(x):
     return R.regrid_azimuth(x.d("gate").filter("azimuth % 3 < 1"), ["sweep"])
 
 
-@query("j5_sample_radar")
+# Beams of half-degree azimuth bins, and points by bin, distance and gate from a site.
+_BEAMS = """b AS (SELECT DISTINCT sweep, azimuth FROM [gate]), r AS (SELECT sweep, azimuth, azimuth + o AS at FROM b, (VALUES (-360), (0), (360)) t(o)), k AS (SELECT s.sweep, n AS bin, (n + 0.5::DOUBLE) * 0.5::DOUBLE AS c FROM (SELECT DISTINCT sweep FROM b) s, (SELECT unnest(range(720)) AS n) t),
+lo AS (SELECT k.sweep, bin, c, r.at, r.azimuth FROM k ASOF LEFT JOIN r ON k.sweep = r.sweep AND k.c >= r.at), hi AS (SELECT k.sweep, bin, r.at, r.azimuth FROM k ASOF LEFT JOIN r ON k.sweep = r.sweep AND k.c <= r.at),
+beams AS (SELECT lo.sweep, lo.bin, CASE WHEN c - lo.at <= hi.at - c AND c - lo.at <= GAP THEN lo.azimuth WHEN hi.at - c < c - lo.at AND hi.at - c <= GAP THEN hi.azimuth END AS azimuth FROM lo JOIN hi USING (sweep, bin)),
+p0 AS (SELECT place, (lon / 500.0::DOUBLE - 97 + 97.15) * 111320 * cos(radians(38.05)) AS east, (lat / 500.0::DOUBLE + 38 - 38.05) * 111320 AS north FROM [place]),
+p AS (SELECT place, sqrt(east * east + north * north) AS dist, floor(CASE WHEN degrees(atan2(east, north)) < 0 THEN degrees(atan2(east, north)) + 360 ELSE degrees(atan2(east, north)) END * 2) AS bin FROM p0)"""
+
+
+@query("j5_sample_radar", f"""WITH {_BEAMS.replace('GAP', '360')} SELECT place, g.sweep, g.azimuth, g.value FROM p JOIN beams USING (bin) JOIN [gate] g ON g.sweep = beams.sweep AND g.azimuth = beams.azimuth AND g.gate = floor((dist - 2000) / 250 + 0.5)""")
 def _(x):
     p = x.d("place").select("place", (F.col("lon") / 500 - 97).alias("lon"), (F.col("lat") / 500 + 38).alias("lat"))
     return R.sample_radar(p, x.d("gate"), ["sweep"], 38.05, -97.15, 2000.0, 250.0).select("place", "sweep", "azimuth", "value")
@@ -129,7 +149,8 @@ def _(x):
     return R.gate_exceedance(at, x.d("cell").withColumn("value", F.col("value") / 100)).select("sweep", "azimuth", "gate", "i", "j", "exceed")
 
 
-@query("r11_cross_section")
+@query("r11_cross_section", f"""WITH {_BEAMS.replace('GAP', '1.6')}, q AS (SELECT place AS col, beams.sweep, beams.azimuth, greatest(dist, 2) AS dist_m, {G.slant_range.sql('greatest(dist, 2)', '0.5 + beams.sweep')} AS slant FROM p JOIN beams USING (bin) WHERE azimuth IS NOT NULL)
+SELECT col, q.sweep, round(dist_m, 3) AS dist_m, round({G.beam_height.sql('slant', '0.5 + q.sweep')}, 3) AS height_m, g.value FROM q LEFT JOIN [gate] g ON g.sweep = q.sweep AND g.azimuth = q.azimuth AND g.gate = floor((slant - 2000) / 250 + 0.5)""")
 def _(x):
     cols = x.d("place").select(F.col("place").alias("col"), (F.col("lon") / 500 - 97).alias("lon"), (F.col("lat") / 500 + 38).alias("lat"))
     out = R.cross_section(x.d("gate"), cols, ["sweep"], 38.05, -97.15, 2000.0, 250.0, (0.5 + F.col("sweep")).cast("double"))
