@@ -95,10 +95,17 @@ def build_bits(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, int]:
 
 
 class LogFilter:
-    """Stretches of bits, one per hash block, and their probes. Blocks that are not held have a negative place."""
+    """Stretches of bits, one per hash block, and their probes. Blocks that are not held have a negative place.
 
-    def __init__(self, bits: np.ndarray, first: np.ndarray, n_bits: np.ndarray):
-        self.bits, self.first, self.n_bits = bits, first, n_bits
+    The bits travel as bytes, which a worker reads where they lie.
+    """
+
+    def __init__(self, bits: bytes | bytearray, first: np.ndarray, n_bits: np.ndarray):
+        self.data, self.first, self.n_bits = bits, first, n_bits
+
+    @property
+    def bits(self) -> np.ndarray:
+        return np.frombuffer(self.data, np.uint8)
 
     def block(self, keys: np.ndarray) -> np.ndarray:
         return (keys % np.uint64(len(self.first))).astype(np.int64)
@@ -107,7 +114,7 @@ class LogFilter:
         """The levels at which these keys are read; their blocks must be held."""
         block = self.block(keys)
         first, n_bits, q = self.first[block], self.n_bits[block].astype(np.uint64), np.zeros(len(keys), dtype=np.int64)
-        left = np.arange(len(keys))
+        left, bits = np.arange(len(keys)), self.bits
         for lv in range(1, LEVELS):
             held = left
             for i in range(FIRST_PROBES if lv == 1 else MORE_PROBES):
@@ -117,7 +124,7 @@ class LogFilter:
                     a = _mix(keys[held] + np.uint64(lv * 0xA0761D6478BD642F % 2**64))
                     low, step, f, n = a & np.uint64(0xFFFFFFFF), (a >> np.uint64(32)) | np.uint64(1), first[held], n_bits[held]
                 at = ((low + np.uint64(i) * step) % n).astype(np.int64)
-                hit = (self.bits[f + (at >> 3)] >> (at & 7).astype(np.uint8) & 1).astype(bool)
+                hit = (bits[f + (at >> 3)] >> (at & 7).astype(np.uint8) & 1).astype(bool)
                 if not hit.all():
                     held, low, step, f, n = held[hit], low[hit], step[hit], f[hit], n[hit]
             q[held] = lv
@@ -134,10 +141,11 @@ def _count(blocks: int):
     """Rows (block, kind, keys, counts): words (kind 0) and pairs (1) of a slice, counted and dealt by hash block."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _SCORERS.clear()  # a worker may still hold the filter of another pass
         known: dict[bytes, int] = {}
-        for _, texts in slices(batches, size=4_000_000):
+        for _, texts in slices(batches, size=2_000_000):
             ids = []
-            if len(known) > 500_000:
+            if len(known) > 200_000:
                 known.clear()
             for t in texts:
                 words = (t or b"").translate(LOWER).split()
@@ -344,7 +352,7 @@ def _score(shared):
         from pyspark import TaskContext
 
         row = TaskContext.get().partitionId() << 40
-        for batch, texts in slices(batches, size=3_000_000):
+        for batch, texts in slices(batches, size=1_500_000):
             n, base, known, score, rest = _scorer(shared.value)(texts)
             yield pa.RecordBatch.from_arrays([
                 pa.array(np.arange(row, row + len(n))), batch.column(0), pa.array(n, pa.int64()), pa.array(base), pa.array(known, pa.int64()), pa.array(score), pa.array([text_key(t) for t in texts], pa.int64()),
@@ -359,7 +367,7 @@ def _score_more(shared):
     """A further pass: its part of the score, by text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, texts in slices(batches, size=3_000_000):
+        for _, texts in slices(batches, size=1_500_000):
             score = _scorer(shared.value)(texts)[3]
             yield pa.RecordBatch.from_arrays([pa.array([text_key(t) for t in texts], pa.int64()), pa.array(score)], ["text_key", "part"])
 
@@ -375,10 +383,10 @@ def _stretch(built: DataFrame, blocks: int, kind: str, some: list[int] | None =
     n_bits[at] = held.column(f"n_{kind}_bits").to_numpy()
     sizes = n_bits[at] // 8
     first[at] = 8 + np.cumsum(sizes) - sizes  # eight empty bytes stand for blocks without an n-gram
-    bits = np.zeros(8 + int(sizes.sum()), dtype=np.uint8)
+    bits = bytearray(8 + int(sizes.sum()))
     for chunk in held.to_batches():
         for b, data in zip(chunk.column(0).to_pylist(), chunk.column(1), strict=True):
-            bits[first[b] : first[b] + n_bits[b] // 8] = np.frombuffer(data.as_buffer(), np.uint8)
+            bits[first[b] : first[b] + n_bits[b] // 8] = data.as_buffer()
     return LogFilter(bits, first, n_bits)
 
 

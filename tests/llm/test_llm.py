@@ -250,7 +250,7 @@ def test_quotes_link_and_leave(spark):
     assert got[1, 1]["text"] == "my answer" and got[1, 1]["parent_turn"] == 0
     assert got[1, 2]["text"] == "thanks" and got[1, 2]["parent_turn"] == 1 and got[1, 2]["n_linked"] == 2 and got[1, 2]["max_depth"] == 2
     assert got[1, 3]["parent_turn"] is None and got[1, 3]["n_passages"] == 1 and got[2, 0]["text"] == ""
-    chat = quotes.chats(out.filter("conv_id = 1")).first()["messages"]
+    chat = quotes.chats(quotes.reply_order(out.filter("conv_id = 1"))).first()["messages"]
     assert [m["content"] for m in chat] == ["Hello   there\nsecond line", "my answer", "thanks", "ok"]
     assert quotes.link_quotes(spark.createDataFrame([], "conv_id long, turn long, role string, text string")).count() == 0
 
@@ -341,7 +341,7 @@ def test_log_frequency_filter():
     keys, counts = np.unique(rng.integers(0, 2**63, 20_000).astype(np.uint64)), None
     counts = np.minimum(10**6, (1 / rng.random(len(keys))).astype(np.int64) + 1)
     bits, n = ngram_lm.build_bits(keys, counts)
-    f = ngram_lm.LogFilter(bits, np.zeros(1, np.int64), np.array([n]))
+    f = ngram_lm.LogFilter(bits.tobytes(), np.zeros(1, np.int64), np.array([n]))
     got, true = f.levels(keys), ngram_lm.level(counts)
     assert (got >= true).all() and (got == true).mean() > 0.9
     assert (f.levels(rng.integers(0, 2**63, 100_000).astype(np.uint64)) > 0).mean() < 4 * ngram_lm.FALSE_FIRST

@@ -110,7 +110,7 @@ def _local(texts):
             n[r["block"]], first[r["block"]] = r[f"n_{kind}_bits"], at
             bits.append(np.frombuffer(r[f"{kind}_bits"], np.uint8))
             at += len(bits[-1])
-        return lm.LogFilter(np.concatenate(bits), first, n)
+        return lm.LogFilter(np.concatenate(bits).tobytes(), first, n)
 
     w, c = (np.concatenate([np.frombuffer(r[k], np.int64) for r in built]) for k in ("words", "counts"))
     order = np.argsort(w)
