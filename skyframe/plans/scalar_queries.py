@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from skyframe.functions import geo as G
@@ -9,6 +11,8 @@ from skyframe.functions import reports as R
 from skyframe.functions import weather as M
 
 from skyframe.plans.base import ORACLES, QUERIES, Inputs, query, sql
+from skyframe.sources.catalog import write_lake
+from skyframe.sources.shared import shared_dir
 
 
 def scalar(name: str, source: str, keys: str, digits: int = 6, **columns: str):
@@ -166,12 +170,7 @@ def _(x):
 @query("c22_lake_round_trip", "SELECT kind AS source, count(*) AS n, count(DISTINCT station) AS stations FROM [obs] GROUP BY 1")
 def _(x):
     """Writes the observations as a lake table in the shared folder and reads it back."""
-    import tempfile
-    import uuid
-
-    from skyframe.sources.catalog import write_lake
-
-    root = f"{(x.spark.conf.get('spark.checkpoint.dir', None) or tempfile.mkdtemp(prefix='skyframe-')).rstrip('/')}/lake-{uuid.uuid4().hex}"
+    root = f"{shared_dir(x.spark)}/lake-{uuid.uuid4().hex}"
     obs = x.d("obs").withColumnRenamed("kind", "source").withColumn("day", F.to_date("time"))
     write_lake(obs, root, "obs", sort=("station", "time"))
     return x.spark.read.parquet(f"{root}/obs").groupBy("source").agg(F.count("*").alias("n"), F.count_distinct("station").alias("stations"))

@@ -55,6 +55,13 @@ def _(x):
     return out.groupBy("user_id").agg(F.max("last_us").alias("last_us"))
 
 
+@query("x7_silence", "WITH l AS (SELECT user_id, max(ts) AS last FROM events GROUP BY 1) SELECT user_id, epoch_us(last) AS last_us, last + INTERVAL 60 MINUTE <= (SELECT max(ts) FROM events) - INTERVAL 1 HOUR AS silent FROM l")
+def _(x):
+    """Sites that the watermark, an hour behind the newest scan of all, has left behind by an hour are told silent after the last batch."""
+    out = X.drain(X.silent_sites(_events(x).withWatermark("ts", "1 hour"), "user_id", "ts"), "update")
+    return out.groupBy("user_id").agg(F.max("last_us").alias("last_us"), F.max("silent").alias("silent"))
+
+
 @query("x8_latest_frame", "SELECT user_id, arg_max(event_id, (ts, event_id)) AS frame FROM events WHERE event_type = 'view' GROUP BY 1")
 def _(x):
     return X.drain(X.latest_frame(_events(x).filter("event_type = 'view'"), "user_id", "ts", "event_id"), "complete")

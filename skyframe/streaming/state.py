@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Iterator, Sequence
 
@@ -10,6 +9,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.types import IntegerType, StructField, StructType
+
+from skyframe.sources.shared import shared_dir
 
 
 def read_stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,20 +21,18 @@ def read_stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def drain(stream: DataFrame, mode: str) -> DataFrame:
-    """Run a stream over all that is there now and give what it wrote: complete mode the last result, others all batches with their number."""
-    spark = stream.sparkSession
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        if not spark.sparkContext.master.startswith("local["):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        root = tempfile.mkdtemp(prefix="skyframe-")
-    path = f"{root.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    """Run a stream over all that is there now and give what it wrote: complete mode the last result, others all batches with their number.
+
+    A batch has a folder of its own, so a batch that is run again after a failure replaces what it wrote.
+    """
+    path = f"{shared_dir(stream.sparkSession)}/stream-{uuid.uuid4().hex}"
 
     def put(batch: DataFrame, number: int) -> None:
-        batch.withColumn("_batch", F.lit(number)).write.mode("overwrite" if mode == "complete" else "append").parquet(f"{path}/out")
+        batch.write.mode("overwrite").parquet(f"{path}/out/_batch={0 if mode == 'complete' else number}")
 
     stream.writeStream.outputMode(mode).option("checkpointLocation", f"{path}/log").foreachBatch(put).trigger(availableNow=True).start().awaitTermination()
-    out = spark.read.parquet(f"{path}/out")
+    schema = StructType([*stream.schema.fields, StructField("_batch", IntegerType())])
+    out = stream.sparkSession.read.schema(schema).option("basePath", f"{path}/out").parquet(f"{path}/out/_batch=*")
     return out.drop("_batch") if mode == "complete" else out
 
 
