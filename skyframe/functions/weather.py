@@ -47,7 +47,7 @@ exceedance = Formula("M21: rain above guidance from QPE and QPE / guidance.", "C
 guidance = Formula("M20: guidance from QPE and QPE / guidance.", "CASE WHEN {0} > 0 AND {1} > 0 THEN {0} / {1} END")
 calibrate = Formula("R1: count {0} by scale {1} and offset {2}; fill {3} is missing.", "CASE WHEN {0} <> {3} THEN {0} * {1} + {2} END")
 planck_temperature = Formula("R2: brightness temperature of radiance {0} by fk1 {1}, fk2 {2}, bc1 {3}, bc2 {4}; radiance <= 0 is missing.", "CASE WHEN {0} > 0 THEN ({2} / ln({1} / {0} + 1) - {3}) / {4} END")
-ir_gray = Formula("R4: infrared grey 0..255, 313 K black, 183 K white.", "CAST(floor(255 * least(1, greatest(0, (313 - {0}) / 130)) + 0.5) AS INT)")
-visible_gray = Formula("R4: visible grey 0..255 of reflectance, square root.", "CAST(floor(255 * sqrt(least(1, greatest(0, {0}))) + 0.5) AS INT)")
-stretch = Formula("R5: {0} from {1} .. {2} to 0..255 with gamma {3}.", "CAST(floor(255 * pow(least(1, greatest(0, ({0} - {1}) / ({2} - {1}))), 1.0 / {3}) + 0.5) AS INT)")
+ir_gray = Formula("R4: infrared grey 0..255, 313 K black, 183 K white.", "CAST(floor(255 * least(1, greatest(0, (313 - {0}) / 130))) AS INT)")
+visible_gray = Formula("R4: visible grey 0..255 of reflectance, square root.", "CAST(floor(255 * sqrt(least(1, greatest(0, {0})))) AS INT)")
+stretch = Formula("R5: {0} from {1} .. {2} to 0..255 with gamma {3}.", "CAST(floor(255 * pow(least(1, greatest(0, ({0} - {1}) / ({2} - {1}))), 1.0 / {3})) AS INT)")
 synthetic_green = Formula("R5: green from red, blue and near infrared.", "0.45 * {0} + 0.45 * {1} + 0.1 * {2}")

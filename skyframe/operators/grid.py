@@ -13,6 +13,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from skyframe.operators.joins import dimension
+
 
 def ensemble_mean(cells: DataFrame, by: Sequence[str], members: int) -> DataFrame:
     """Mean over the members present; null where fewer than half of the members are."""
@@ -78,6 +80,21 @@ def align_grids(a: DataFrame, b: DataFrame, ratio: int = 1, by: Sequence[str] =
     return l.join(r.hint("merge"), [F.col("_i") == F.col("bi"), F.col("_j") == F.col("bj"), *(F.col(k) == F.col(f"_{k}_of") for k in by)]).select(*by, "i", "j", "a", "b")
 
 
+def crop_grid(cells: DataFrame, west: float, south: float, east: float, north: float, lon1: float, lat1: float, di: float, dj: float) -> DataFrame:
+    """Cells whose centres lie in a box; west over east crosses the date line. Rows run from north to south."""
+    lon, lat = F.pmod(lon1 + F.col("i") * di + 180, F.lit(360.0)) - 180, lat1 - F.col("j") * dj
+    across = lon.between(west, east) if west <= east else (lon >= west) | (lon <= east)
+    return cells.filter(across & lat.between(south, north))
+
+
+def normalize_rows(cells: DataFrame, grids: DataFrame, by: Sequence[str]) -> DataFrame:
+    """Rows of grids (by..., nj, lat1, dj, scan_mode) that run from south to north are turned round: (cells, lat1 of the north edge)."""
+    g = grids.select(*(F.col(k).alias(f"_{k}_of") for k in by), "nj", F.col("lat1").alias("_lat1"), "dj", (F.col("scan_mode").bitwiseAND(64) != 0).alias("_turn"))
+    met = cells.join(dimension(g), [F.col(k) == F.col(f"_{k}_of") for k in by])
+    out = met.withColumn("j", F.when(F.col("_turn"), F.col("nj") - 1 - F.col("j")).otherwise(F.col("j"))).withColumn("lat1", F.when(F.col("_turn"), F.col("_lat1") + (F.col("nj") - 1) * F.col("dj")).otherwise(F.col("_lat1")))
+    return out.drop(*(f"_{k}_of" for k in by), "nj", "_lat1", "dj", "_turn")
+
+
 def dense(cells: DataFrame, ni: int, nj: int, by: Sequence[str] = ()) -> DataFrame:
     """All ni x nj cells of every grid; value is null where there was none."""
     grids = cells.select(*by).distinct() if by else cells.sparkSession.range(1).select()

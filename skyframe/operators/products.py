@@ -125,6 +125,25 @@ def product(cells: DataFrame, id: str, by: Sequence[str] = ("run", "hour", "i",
     return products(cells, [id], catalogue, by, model=model, overrides=overrides).drop("id")
 
 
+#: Heights between height contours by level (hPa), and pressure (Pa) between isobars.
+MSLP_STEP = 400
+MSLP_SOURCES = tuple((v, level) for level in ("mean sea level", "surface") for v in ("PRMSL", "MSLMA", "MSLET", "PRES"))
+
+
+def height_step(level_hpa: int) -> int:
+    """Interval of height contours (m) on a pressure level."""
+    return 120 if level_hpa <= 300 else 60 if level_hpa <= 500 else 30
+
+
+def overlay_fields(cells: DataFrame, level_hpa: int, by: Sequence[str] = ("run", "hour", "i", "j")) -> DataFrame:
+    """(by..., u, v, speed, hgt, mslp_hpa) that lie over a product: wind and height of a level, and pressure from the first field that has it."""
+    level = f"{level_hpa} mb"
+    one = lambda var, lv: F.max(F.when((F.col("var") == var) & (F.col("level") == lv), F.col("value")))
+    wanted = F.struct("var", "level").isin(*(F.struct(F.lit(v), F.lit(lv)) for v, lv in (*((v, level) for v in ("UGRD", "VGRD", "HGT")), *MSLP_SOURCES)))
+    wide = cells.filter(wanted).groupBy(*by).agg(one("UGRD", level).alias("u"), one("VGRD", level).alias("v"), one("HGT", level).alias("hgt"), *(one(*s).alias(f"_p{k}") for k, s in enumerate(MSLP_SOURCES)))
+    return wide.select(*by, "u", "v", geo.wind_speed("u", "v").alias("speed"), "hgt", (first_available(*(f"_p{k}" for k in range(len(MSLP_SOURCES)))) / 100).alias("mslp_hpa"))
+
+
 def first_available(*sources: str | Column) -> Column:
     """The first source that has a value."""
     return F.coalesce(*sources)

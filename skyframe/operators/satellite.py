@@ -153,6 +153,77 @@ def geocolor(pixels: DataFrame, weight: Column) -> DataFrame:
     return pixels.withColumns({c: mix(c) for c in ("red", "green", "blue")})
 
 
+# The composites as (band or two bands, low, high, gamma) of red, green and blue; the green of true colour is synthetic.
+COMPOSITES = {
+    "truecolor": (((2,), 0, 1, 2.2), ((3,), 0, 1, 2.2), ((1,), 0, 1, 2.2)),
+    "natural": (((5,), 0, 1, 1), ((3,), 0, 1, 1), ((2,), 0, 1, 1)),
+    "daycloud": (((13,), 280.65, 219.65, 1), ((2,), 0, 0.78, 1), ((5,), 0.01, 0.59, 1)),
+    "airmass": (((8, 10), -26.2, 0.6, 1), ((12, 13), -43.2, 6.7, 1), ((8,), 243.9, 208.5, 1)),
+    "nightmicro": (((15, 13), -6.7, 2.6, 1), ((13, 7), -3.1, 5.2, 1), ((13,), 243.6, 292.6, 1)),
+}
+# Enhancements of infrared and water-vapour channels as (degrees C, red, green, blue), warmest first.
+IR_RAMP = (
+    (50, 0, 0, 0), (30, 105, 105, 105), (20, 160, 160, 160), (0, 225, 225, 225), (-20, 0, 230, 240), (-25, 0, 150, 230), (-32, 0, 40, 200), (-40, 10, 10, 120), (-42, 0, 90, 40), (-50, 0, 210, 0), (-55, 180, 230, 0),
+    (-60, 240, 240, 0), (-63, 250, 150, 0), (-68, 240, 0, 0), (-72, 120, 0, 0), (-75, 10, 10, 10), (-78, 90, 90, 90), (-83, 180, 180, 180), (-87, 240, 240, 240), (-90, 255, 0, 255), (-95, 150, 0, 180),
+)
+WV_RAMP = (
+    (0, 120, 0, 0), (-10, 230, 0, 0), (-14, 255, 120, 0), (-18, 255, 200, 0), (-20, 255, 255, 0), (-24, 150, 140, 0), (-28, 40, 40, 180), (-34, 0, 60, 200), (-40, 10, 10, 90), (-44, 120, 90, 180), (-48, 220, 210, 235),
+    (-52, 255, 255, 255), (-58, 200, 235, 200), (-62, 80, 200, 90), (-70, 0, 160, 70), (-78, 0, 120, 60), (-82, 0, 180, 160), (-88, 0, 230, 220), (-95, 0, 255, 255),
+)
+LAST_VISIBLE, VAPOUR_BANDS, RAMP_STEPS = 6, (8, 9, 10), 4096
+
+
+def _unit(bands: tuple[int, ...], lo: float, hi: float, gamma: float) -> Column:
+    """A band or the difference of two, stretched to 0..1 (low above high inverts), with gamma; null where a band is missing."""
+    x = F.col(f"b{bands[0]}") - F.col(f"b{bands[1]}") if len(bands) == 2 else F.col(f"b{bands[0]}")
+    t = F.when(x.isNotNull(), F.least(F.lit(1.0), F.greatest(F.lit(0.0), (x - lo) / (hi - lo))))
+    return t if gamma == 1 else F.pow(t, F.lit(1 / gamma))
+
+
+def _byte(x: Column) -> Column:
+    return F.when(x.isNotNull(), F.floor(F.least(F.lit(1.0), F.greatest(F.lit(0.0), x)) * 255).cast("int"))
+
+
+def rgb_composite(pixels: DataFrame, product: str) -> DataFrame:
+    """Red, green, blue (0..255) of a composite from bands b1 .. b16; all null where a band that it reads is missing."""
+    r, g, b = (_unit(*c) for c in COMPOSITES[product])
+    if product == "truecolor":
+        g = 0.45 * r + 0.45 * b + 0.1 * g
+    whole = r.isNotNull() & g.isNotNull() & b.isNotNull()
+    return pixels.withColumns({name: F.when(whole, _byte(c)) for name, c in (("red", r), ("green", g), ("blue", b))})
+
+
+def geocolor_rgb(pixels: DataFrame, weight: Column) -> DataFrame:
+    """True colour by day and infrared clouds over a navy earth by night, blended by the weight of day, per pixel."""
+    r, veg, b = (_unit(*c) for c in COMPOSITES["truecolor"])
+    day = (r, 0.45 * r + 0.45 * b + 0.1 * veg, b)
+    cloud = F.when(F.col("b13").isNotNull(), F.least(F.lit(1.0), F.greatest(F.lit(0.0), (290 - F.col("b13")) / 70)))
+    night = tuple((base + cloud * span) / 255 for base, span in ((6, 224), (14, 226), (38, 200)))
+    w = F.when(F.col("b13").isNull(), 1.0).when(r.isNull(), 0.0).otherwise(F.coalesce(weight, F.lit(1.0)))
+    seen = r.isNotNull() | b.isNotNull() | F.col("b13").isNotNull()
+    mix = lambda d, n: _byte(F.coalesce(d, F.lit(0.0)) * w + F.coalesce(n, F.lit(0.0)) * (1 - w))
+    return pixels.withColumns({name: F.when(seen, mix(F.when(r.isNotNull(), d), n)) for name, d, n in zip(("red", "green", "blue"), day, night, strict=True)})
+
+
+def channel_rgb(pixels: DataFrame, band: int, enhance: bool = False) -> DataFrame:
+    """Red, green, blue of one channel b<band>: reflectance as its square root in grey; temperature in grey, cold white, or by the
+    enhancement of its kind, in 4096 steps."""
+    v = F.col(f"b{band}")
+    if band <= LAST_VISIBLE or not enhance:
+        t = F.sqrt(F.least(F.lit(1.0), F.greatest(F.lit(0.0), v))) if band <= LAST_VISIBLE else (313 - v) / 130
+        return pixels.withColumns(dict.fromkeys(("red", "green", "blue"), F.when(v.isNotNull(), _byte(t))))
+    ramp = [(c + 273.15, rgb) for c, *rgb in (WV_RAMP if band in VAPOUR_BANDS else IR_RAMP)]
+    warm, cold = ramp[0][0], ramp[-1][0]
+    step = F.least(F.lit(RAMP_STEPS - 1), F.greatest(F.lit(0), F.floor((warm - v) * ((RAMP_STEPS - 1) / (warm - cold)))))
+    k, out = warm - step / (RAMP_STEPS - 1) * (warm - cold), {}
+    for at, name in enumerate(("red", "green", "blue")):
+        e = F.when(k >= warm, F.lit(float(ramp[0][1][at])))
+        for (a, ca), (b, cb) in zip(ramp, ramp[1:], strict=False):
+            e = e.when(k >= b, ca[at] + (cb[at] - ca[at]) * (a - k) / (a - b))
+        out[name] = F.when(v.isNotNull(), F.floor(e.otherwise(float(ramp[-1][1][at]))).cast("int"))
+    return pixels.withColumns(out)
+
+
 def colorize(df: DataFrame, value: str, stops: Sequence[tuple[float, tuple[int, int, int]]]) -> DataFrame:
     """Red, green, blue by linear interpolation between a palette's stops, flat beyond them."""
     v, out = F.col(value), {}

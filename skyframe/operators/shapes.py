@@ -148,10 +148,27 @@ def storm_cone(lat: Column, lon: Column, brg: Column, total_m: Column, samples:
     return F.concat(left, F.reverse(side(90)), F.slice(left, 1, 1))
 
 
+def corridor_ring(path: Column, half_width_m: Column | float) -> Column:
+    """Ring of constant half-width around a path, array<struct<lat, lon>>: left side out, right side back; a vertex looks from the one before to the one after."""
+    last = F.size(path) - 1
+    rad = lambda c: F.radians(c)
+
+    def heading(k: Column) -> Column:
+        a, b = F.get(path, F.greatest(k - 1, F.lit(0))), F.get(path, F.least(k + 1, last))
+        d = rad(b["lon"] - a["lon"])
+        return F.degrees(F.atan2(F.sin(d) * F.cos(rad(b["lat"])), F.cos(rad(a["lat"])) * F.sin(rad(b["lat"])) - F.sin(rad(a["lat"])) * F.cos(rad(b["lat"])) * F.cos(d)))
+
+    width = F.lit(half_width_m) if isinstance(half_width_m, float | int) else half_width_m
+    side = lambda turn: F.transform(path, lambda p, k: _move(p["lat"], p["lon"], heading(k) + turn, width))
+    left = side(-90)
+    return F.concat(left, F.reverse(side(90)), F.slice(left, 1, 1))
+
+
 def swept_footprint(path: Column, brg: Column, dist: Column) -> Column:
     """A path joined to its copy moved along the bearing."""
     moved = F.transform(path, lambda p: _move(p["lat"], p["lon"], brg, dist))
-    return F.concat(path, F.reverse(moved), F.slice(path, 1, 1))
+    own = F.transform(path, lambda p: F.struct(p["lon"].cast("double").alias("lon"), p["lat"].cast("double").alias("lat")))
+    return F.concat(own, F.reverse(moved), F.slice(own, 1, 1))
 
 
 def storm_track(storms: DataFrame, places: DataFrame, n: int = 20) -> DataFrame:

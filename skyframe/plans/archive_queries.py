@@ -221,6 +221,19 @@ def _(x):
     return _values(K.products(cells(_SURFACE), list(K.ANALYSIS), K.ANALYSIS).unionAll(K.products(cells(_SOUNDER), list(K.MICROWAVE), K.MICROWAVE)))
 
 
+@query("m18_m35_overlay_fields", """SELECT run, hour, i, j, round(q - 20, 5) AS u, round(x + 2, 5) AS v, round(sqrt(pow(q - 20, 2) + pow(x + 2, 2)), 5) AS speed, round(5000 + q * 3, 5) AS hgt, round(CASE WHEN run % 3 = 0 THEN 100000 + q WHEN run % 3 = 1 THEN 99000 + x END / 100, 5) AS mslp_hpa
+FROM (SELECT run, hour, i, j, q::DOUBLE AS q, x::DOUBLE AS x FROM [grid])""")
+def _(x):
+    pick = lambda var, level, c: F.struct(F.lit(var).alias("var"), F.lit(level).alias("level"), F.expr(c).cast("double").alias("value"))
+    held = F.array(
+        pick("UGRD", "500 mb", "q - 20"), pick("VGRD", "500 mb", "x + 2"), pick("HGT", "500 mb", "5000 + q * 3"), pick("UGRD", "700 mb", "q"), pick("MSLMA", "mean sea level", "CASE WHEN run % 3 = 0 THEN 100000 + q END"),
+        pick("PRES", "surface", "CASE WHEN run % 3 < 2 THEN 99000 + x END"),
+    )
+    cells = x.d("grid").select("run", "hour", "i", "j", F.explode(held).alias("x")).select("run", "hour", "i", "j", "x.*")
+    out = K.overlay_fields(cells, 500)
+    return out.select("run", "hour", "i", "j", *(F.round(c, 5).alias(c) for c in ("u", "v", "speed", "hgt", "mslp_hpa")))
+
+
 _KEYS = "SELECT event_id, ts, user_id FROM events"
 
 

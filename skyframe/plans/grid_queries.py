@@ -115,6 +115,16 @@ def _(x):
     return both.unionAll(points.select(F.lit("J4"), "run", "place", none, none, "value", F.lit(None).cast("double")))
 
 
+@query("p11_p12_crop_and_turn", """SELECT 'crop' AS op, run, i, j, NULL AS lat1, value FROM [run_cell] WHERE -126 + i * 5 BETWEEN -110 AND -85 AND 60 - j * 3 BETWEEN 35 AND 50
+UNION ALL SELECT 'turn', run, i, CASE WHEN run % 2 = 0 THEN 11 - j ELSE j END, CASE WHEN run % 2 = 0 THEN 27 + 33 ELSE 27 END, value FROM [run_cell]""")
+def _(x):
+    c = x.d("run_cell")
+    crop = A.crop_grid(c, -110, 35, -85, 50, -126.0, 60.0, 5.0, 3.0).select(F.lit("crop").alias("op"), "run", "i", "j", F.lit(None).cast("int").alias("lat1"), "value")
+    grids = c.select("run").distinct().select("run", F.lit(12).alias("nj"), F.lit(27).alias("lat1"), F.lit(3).alias("dj"), F.when(F.col("run") % 2 == 0, 64 + 3).otherwise(3).alias("scan_mode"))
+    turned = A.normalize_rows(c, grids, ["run"]).select(F.lit("turn"), "run", "i", "j", "lat1", "value")
+    return crop.unionAll(turned)
+
+
 @query("w12_suppress_nearby_centers")
 def _(x):
     c = A.pressure_centers(x.d("cell"), N, N, 2, 20, 380)

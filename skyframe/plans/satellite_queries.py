@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from skyframe.functions import geo as G
 from skyframe.functions.weather import ir_gray, stretch
 from skyframe.operators import satellite as S
-from skyframe.plans.base import query
+from skyframe.plans.base import derivation, query
 
 MEAN = "SELECT a.row, a.col, avg(b.t13) FILTER (WHERE b.t13 < 265) AS mean FROM [pixel] a JOIN [pixel] b ON abs(a.row - b.row) <= 3 AND abs(a.col - b.col) <= 3 GROUP BY 1, 2"
 DENSITY = "SELECT a.row, a.col, coalesce(sum(n), 0) / 5.0::DOUBLE AS density FROM (SELECT r.row, c.col FROM (SELECT unnest(range(64)) AS row) r, (SELECT unnest(range(64)) AS col) c) a LEFT JOIN (SELECT row, col, count(*) AS n FROM [flash] GROUP BY 1, 2) f ON abs(a.row - f.row) <= 2 AND abs(a.col - f.col) <= 2 GROUP BY 1, 2"
@@ -148,3 +148,52 @@ def _(x):
     """The frame key is a column, so one call makes the product of every frame of a period."""
     e = x.t("events").select(F.col("event_type").alias("frame"), (F.col("user_id") % 16).alias("row"), "value")
     return e.groupBy("frame", "row").agg(F.max("value").alias("value"))
+
+
+# Bands derived from the pixels, with gaps, and composites by hand.
+_BANDS = "SELECT row, col, CASE WHEN row % 5 > 0 THEN (t13 - 190) / 90e0 END AS b1, (t15 - 180) / 100e0 AS b2, (t13 - 200) / 80e0 AS b3, (t15 - 190) / 120e0 AS b5, t13 + 20e0 AS b7, t8 + 5e0 AS b8, t8 + 12e0 AS b10, t15 + 1e0 AS b12, CASE WHEN col % 7 > 0 THEN t13 + 10e0 END AS b13, t15 + 8e0 AS b15 FROM [pixel]"
+_U = lambda x, lo, hi, g="1": f"pow(CASE WHEN {x} <= least({lo}, {hi}) AND {lo} < {hi} OR {x} >= greatest({lo}, {hi}) AND {lo} > {hi} THEN 0 WHEN {x} >= greatest({lo}, {hi}) OR {x} <= least({lo}, {hi}) THEN 1 ELSE ({x} - {lo}::DOUBLE) / ({hi}::DOUBLE - {lo}::DOUBLE) END, 1 / {g}::DOUBLE)"
+_BYTES = lambda e: f"floor(({e}) * 255)::INT"
+_DAY = (_U("b2", 0, 1, 2.2), f"0.45 * {_U('b2', 0, 1, 2.2)} + 0.45 * {_U('b1', 0, 1, 2.2)} + 0.1 * {_U('b3', 0, 1, 2.2)}", _U("b1", 0, 1, 2.2))
+_RGB = {
+    "truecolor": ("b1 IS NOT NULL", *_DAY), "natural": ("true", _U("b5", 0, 1), _U("b3", 0, 1), _U("b2", 0, 1)), "daycloud": ("b13 IS NOT NULL", _U("b13", 280.65, 219.65), _U("b2", 0, 0.78), _U("b5", 0.01, 0.59)),
+    "airmass": ("b13 IS NOT NULL", _U("(b8 - b10)", -26.2, 0.6), _U("(b12 - b13)", -43.2, 6.7), _U("b8", 243.9, 208.5)), "nightmicro": ("b13 IS NOT NULL", _U("(b15 - b13)", -6.7, 2.6), _U("(b13 - b7)", -3.1, 5.2), _U("b13", 243.6, 292.6)),
+}
+
+
+def _bands(x):
+    return x.spark.sql(_BANDS.replace("[pixel]", f"({derivation('pixel', lambda t: '{' + t + '}')})"), lineitem=x.t("lineitem"))
+
+
+@query("r5_all_composites", f"WITH p AS ({_BANDS}) " + " UNION ALL ".join(f"SELECT '{k}' AS product, row, col, {', '.join(f'CASE WHEN {c[0]} THEN {_BYTES(e)} END AS {n}' for n, e in zip(('red', 'green', 'blue'), c[1:], strict=True))} FROM p" for k, c in _RGB.items()))
+def _(x):
+    p, out = _bands(x), None
+    for k in _RGB:
+        one = S.rgb_composite(p, k).select(F.lit(k).alias("product"), "row", "col", "red", "green", "blue")
+        out = one if out is None else out.unionAll(one)
+    return out
+
+
+_NIGHT = "least(1, greatest(0, (290 - b13) / 70))"
+_W = "(CASE WHEN b13 IS NULL THEN 1 ELSE (row % 11) / 10e0 END)"
+_BLEND = lambda day, base, span: f"floor(least(1, coalesce({day}, 0) * {_W} + coalesce(CASE WHEN b13 IS NOT NULL THEN ({base} + {_NIGHT} * {span}) / 255 END, 0) * (1 - {_W})) * 255)::INT"
+
+
+@query("r6_geocolor_blend", f"WITH p AS ({_BANDS}) SELECT row, col, {_BLEND(_DAY[0], 6, 224)} AS red, {_BLEND(_DAY[1], 14, 226)} AS green, {_BLEND(_DAY[2], 38, 200)} AS blue FROM p")
+def _(x):
+    return S.geocolor_rgb(_bands(x), (F.col("row") % 11) / 10).select("row", "col", "red", "green", "blue")
+
+
+_KNOTS = lambda ramp: ", ".join(f"({k}, {c} + 273.15::DOUBLE, {r}, {g}, {b})" for k, (c, r, g, b) in enumerate(ramp))
+_RAMPED = lambda band, ramp, n: f"""SELECT {n} AS band, row, col, floor(a.r + (b.r - a.r) * (a.c - k) / (a.c - b.c))::INT AS red, floor(a.g + (b.g - a.g) * (a.c - k) / (a.c - b.c))::INT AS green, floor(a.b + (b.b - a.b) * (a.c - k) / (a.c - b.c))::INT AS blue
+FROM (SELECT row, col, w - least(4095, greatest(0, floor((w - v) * (4095 / (w - e))))) / 4095 * (w - e) AS k FROM (SELECT row, col, {band} AS v, {ramp[0][0]} + 273.15::DOUBLE AS w, {ramp[-1][0]} + 273.15::DOUBLE AS e FROM p WHERE {band} IS NOT NULL)) q
+JOIN (VALUES {_KNOTS(ramp)}) a(n, c, r, g, b) ON a.n = (SELECT min(n) FROM (VALUES {_KNOTS(ramp)}) z(n, c, r, g, b) WHERE k >= c OR n = {len(ramp) - 1}) - (CASE WHEN k >= {ramp[0][0]} + 273.15::DOUBLE THEN 0 ELSE 1 END) JOIN (VALUES {_KNOTS(ramp)}) b(n, c, r, g, b) ON b.n = a.n + 1"""
+
+
+@query("r4_channel_rendering", f"WITH p AS ({_BANDS}) SELECT 2 AS band, row, col, floor(sqrt(least(1, greatest(0, b2))) * 255)::INT AS red, floor(sqrt(least(1, greatest(0, b2))) * 255)::INT AS green, floor(sqrt(least(1, greatest(0, b2))) * 255)::INT AS blue FROM p UNION ALL {_RAMPED('b13', S.IR_RAMP, 13)} UNION ALL {_RAMPED('b8', S.WV_RAMP, 8)}")
+def _(x):
+    p, out = _bands(x), None
+    for band in (2, 13, 8):
+        one = S.channel_rgb(p, band, enhance=True).filter(F.col("red").isNotNull()).select(F.lit(band).alias("band"), "row", "col", "red", "green", "blue")
+        out = one if out is None else out.unionAll(one)
+    return out

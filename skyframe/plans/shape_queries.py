@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from skyframe.functions import geo as G
 from skyframe.functions.reports import MAP_EVENTS, PRIORITY
+from skyframe.operators import series as S
 from skyframe.operators import shapes as P
 from skyframe.plans.base import query
 
@@ -137,6 +138,42 @@ def _(x):
     return x.d("place").select("place", fire["label"].alias("fire"), fire["fill"].alias("fill"), dry["label"].alias("dry"), rain["label"].alias("rain"), chance["label"].alias("chance"), chance["sort"].alias("chance_sort"))
 
 
+_TO = lambda lat, lon, brg, d: (  # noqa: E731  latitude and longitude after d metres along a bearing
+    f"degrees(asin(sin(radians({lat})) * cos({d} / 6371008.8) + cos(radians({lat})) * sin({d} / 6371008.8) * cos(radians({brg}))))",
+    f"{lon} + degrees(atan2(sin(radians({brg})) * sin({d} / 6371008.8) * cos(radians({lat})), cos({d} / 6371008.8) - sin(radians({lat})) * (sin(radians({lat})) * cos({d} / 6371008.8) + cos(radians({lat})) * sin({d} / 6371008.8) * cos(radians({brg})))))",
+)
+_HEAD = "degrees(atan2(sin(radians(lon2 - lon1)) * cos(radians(lat2)), cos(radians(lat1)) * sin(radians(lat2)) - sin(radians(lat1)) * cos(radians(lat2)) * cos(radians(lon2 - lon1))))"
+_SIDE = lambda turn: ", ".join(f"{e} AS {c}" for c, e in zip(("lat", "lon"), _TO("lat", "lon", f"(head + {turn})", "20000.0"), strict=True))
+
+
+@query("g4_g5_rings", f"""WITH p AS (SELECT poly, k, cy + k * 0.5 + (k % 2) * 0.2 AS lat, cx + k * 0.7 AS lon FROM [polygon], (SELECT unnest(range(5)) AS k)),
+h AS (SELECT poly, k, lat, lon, coalesce(lag(lat) OVER w, lat) AS lat1, coalesce(lag(lon) OVER w, lon) AS lon1, coalesce(lead(lat) OVER w, lat) AS lat2, coalesce(lead(lon) OVER w, lon) AS lon2 FROM p WINDOW w AS (PARTITION BY poly ORDER BY k)), c AS (SELECT *, {_HEAD} AS head FROM h),
+corridor AS (SELECT poly, k AS pos, {_SIDE(-90)} FROM c UNION ALL SELECT poly, 9 - k, {_SIDE(90)} FROM c UNION ALL SELECT poly, 10, {_SIDE(-90)} FROM c WHERE k = 0),
+swept AS (SELECT poly, k AS pos, lat, lon FROM p UNION ALL SELECT poly, 9 - k, {', '.join(f'{e} AS {c}' for c, e in zip(('lat', 'lon'), _TO('lat', 'lon', '(poly * 14.0)', '90000.0'), strict=True))} FROM p UNION ALL SELECT poly, 10, lat, lon FROM p WHERE k = 0),
+axis AS (SELECT poly, k, 3000.0 * k AS d, {', '.join(f'{e} AS {c}' for c, e in zip(('lat', 'lon'), _TO('cy', 'cx', '(poly * 14.0)', '(3000.0 * k)'), strict=True))} FROM [polygon], (SELECT unnest(range(25)) AS k)),
+cone AS (SELECT poly, k AS pos, {', '.join(f'{e} AS {c}' for c, e in zip(('lat', 'lon'), _TO('lat', 'lon', '(poly * 14.0 - 90)', '(4000 + 0.28 * d)'), strict=True))} FROM axis UNION ALL SELECT poly, 49 - k, {', '.join(f'{e} AS {c}' for c, e in zip(('lat', 'lon'), _TO('lat', 'lon', '(poly * 14.0 + 90)', '(4000 + 0.28 * d)'), strict=True))} FROM axis
+UNION ALL SELECT poly, 50, {', '.join(f'{e} AS {c}' for c, e in zip(('lat', 'lon'), _TO('lat', 'lon', '(poly * 14.0 - 90)', '(4000 + 0.28 * d)'), strict=True))} FROM axis WHERE k = 0)
+SELECT 'corridor' AS ring, poly, pos::INT AS pos, round(lat, 6) AS lat, round(lon, 6) AS lon FROM corridor UNION ALL SELECT 'swept', poly, pos::INT, round(lat, 6), round(lon, 6) FROM swept UNION ALL SELECT 'cone', poly, pos::INT, round(lat, 6), round(lon, 6) FROM cone""")
+def _(x):
+    poly = x.d("polygon").withColumns({"cx": F.col("cx").cast("double"), "cy": F.col("cy").cast("double")})
+    path = F.transform(F.sequence(F.lit(0), F.lit(4)), lambda k: F.struct((F.col("cy") + k * 0.5 + (k % 2) * 0.2).alias("lat"), (F.col("cx") + k * 0.7).alias("lon")))
+    brg = F.col("poly") * 14.0
+    rings = {"corridor": P.corridor_ring(path, 20_000.0), "swept": P.swept_footprint(path, brg, F.lit(90_000.0)), "cone": P.storm_cone(F.col("cy"), F.col("cx"), brg, F.lit(72_000.0))}
+    out = None
+    for name, ring in rings.items():
+        one = poly.select(F.lit(name).alias("ring"), "poly", F.posexplode(F.transform(ring, lambda v: F.struct(v["lat"].alias("lat"), v["lon"].alias("lon")))).alias("pos", "v"))
+        one = one.select("ring", "poly", "pos", F.round("v.lat", 6).alias("lat"), F.round("v.lon", 6).alias("lon"))
+        out = one if out is None else out.unionAll(one)
+    return out
+
+
+@query("w19_motion_between", """WITH l AS (SELECT user_id, event_id, value, epoch_us(ts) AS us, lag(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY ts) AS before FROM events)
+SELECT user_id, event_id, round(CASE WHEN us > before THEN least(250, greatest(1, value * 500 / 1609.344 / ((us - before) / 3600000000))) END, 5) AS mph FROM l WHERE us > before""")
+def _(x):
+    e = x.t("events").select("user_id", "event_id", F.col("ts").alias("time"), "value")
+    return S.motion_between(e, "user_id", "time", F.col("value") * 500).filter(F.col("mph").isNotNull()).select("user_id", "event_id", F.round("mph", 5).alias("mph"))
+
+
 @query("u1_union_of_agencies", "SELECT place AS id, 'A' AS agency FROM [place] WHERE place % 2 = 0 UNION ALL SELECT place, 'B' FROM [place] WHERE place % 2 = 1 AND place % 3 <> 0")
 def _(x):
     p = x.d("place").select(F.col("place").alias("id"), F.when(F.col("place") % 3 == 0, "AL").otherwise("WP").alias("basin"))
