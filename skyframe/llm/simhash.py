@@ -360,14 +360,17 @@ def _verify(ngram: int):
     return run
 
 
-def verified(rows: DataFrame, group: DataFrame, ngram: int, block: int = 1024, block_chars: int = 16_000_000) -> DataFrame:
+def verified(rows: DataFrame, group: DataFrame, ngram: int, block: int = 1024, block_chars: int = 16_000_000, most_hot: int = 50_000) -> DataFrame:
     """Links (a, b) that connect the pairs of rows (id, text) of one group (id, root) whose shingle sets have a Jaccard similarity of 4/5 or more.
 
-    Texts move once, to their group. A group above `block` rows or `block_chars` is cut into pairs of blocks, each a group of its own.
+    Texts move once, to their group. A group above `block` rows or `block_chars` is cut into pairs of blocks, each a group of its own;
+    the list of such groups is broadcast up to `most_hot` of them and joined beyond that.
     """
     held = staged(rows.join(group.hint("merge"), "id").select("root", "id", "text"), "candidates")
     size = held.groupBy("root").agg(F.ceil(F.greatest(F.count("*") / block, F.sum(F.length("text")) / block_chars)).cast("int").alias("blocks"))
-    met = held.join(size.withColumn("blocks", F.greatest("blocks", F.lit(1))).hint("merge"), "root")
+    hot = staged(size.filter("blocks > 1"), "hot-groups")
+    few = hot.limit(most_hot + 1).count() <= most_hot
+    met = held.join(F.broadcast(hot) if few else hot.hint("merge"), "root", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
     met = met.withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     met = met.select("root", F.least("own", "other").alias("b1"), F.greatest("own", "other").alias("b2"), "id", "text")
     return met.repartition("root", "b1", "b2").sortWithinPartitions("root", "b1", "b2").mapInArrow(_verify(ngram), "a long, b long").distinct()

@@ -20,17 +20,18 @@ LINE = "This notice is part of every page of the archive."
 def corpus(spark, tmp_path_factory):
     """Some given documents; exact and near copies, a shared line, benchmark passages; null, empty and long texts; repeated ids; a null id."""
     root = str(tmp_path_factory.mktemp("corpus"))
-    given = [(r["doc_id"], r["text"]) for r in table(spark, SF, "documents").filter("doc_id < 140").orderBy("doc_id").collect()]
+    given = [(r["doc_id"], r["text"]) for r in table(spark, SF, "documents").orderBy("doc_id").limit(170).collect()]
     items = [(r["item_id"], r["text"]) for r in table(spark, SF, "benchmark").orderBy("item_id").limit(8).collect()]
     plain = [t for _, t in given if t and len(t) > 900][:6]
     swap = lambda t, k: " ".join("changed" if n == k else w for n, w in enumerate(t.split(" ")))
-    more = [(2000 + k, plain[0]) for k in range(3)] + [(2010 + k, swap(plain[1], 9 * k + 4)) for k in range(3)] + [(2020 + k, f"{plain[2 + k % 2][:40]} {k}\n{LINE}\nwords of page {k}") for k in range(6)]
-    more += [(2030 + k, f"{plain[4][: 300 + k]} {k}\n{t[: len(t) // 2].upper()}{t[len(t) // 2 :]}\nthe end of {k}") for k, (_, t) in enumerate(items[:3])]
-    more += [(2040, None), (2041, ""), (2042, "far " * 30_000 + "end"), (2043, "one page twice"), (2043, "one page twice"), (None, plain[5] + " without an id"), (None, plain[5] + " without an id")]
+    last = max(i for i, _ in given)
+    more = [(1_000_000 + k, plain[0]) for k in range(3)] + [(1_000_010 + k, swap(plain[1], 9 * k + 4)) for k in range(3)] + [(1_000_020 + k, f"{plain[2 + k % 2][:40]} {k}\n{LINE}\nwords of page {k}") for k in range(6)]
+    more += [(1_000_030 + k, f"{plain[4][: 300 + k]} {k}\n{t[: len(t) // 2].upper()}{t[len(t) // 2 :]}\nthe end of {k}") for k, (_, t) in enumerate(items[:3])]
+    more += [(1_000_040, None), (1_000_041, ""), (1_000_042, "far " * 30_000 + "end"), (1_000_043, "one page twice"), (1_000_043, "one page twice"), (None, plain[5] + " without an id"), (None, plain[5] + " without an id")]
     docs = spark.createDataFrame([(i, t, None, "s", len(t or "")) for i, t in given + more], "doc_id long, text string, lang string, source string, n_chars long")
     docs.withColumn("gone", F.lit("x")).withColumn("id", F.lit("y")).coalesce(2).write.parquet(f"{root}/documents.parquet")
     spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{root}/benchmark.parquet")
-    table(spark, SF, "labels").filter("doc_id < 140").write.parquet(f"{root}/labels.parquet")
+    table(spark, SF, "labels").filter(F.col("doc_id") <= last).write.parquet(f"{root}/labels.parquet")
     return root
 
 
@@ -116,7 +117,7 @@ def test_run_equals_plain_python(spark, corpus):
         assert at.columns == columns, name
         assert sorted(str((r["doc_id"], r["text"] or "")) for r in at.collect()) == sorted(str((i, t or "")) for i, t in want), name
     sizes = [len(docs), *map(len, stages)]
-    assert sizes[0] > sizes[1] == sizes[2] > sizes[3] > sizes[4] and {2001, 2002, 2011} & {i for i, _ in stages[2]} == set() and not {2030, 2031, 2032} & {i for i, _ in stages[3]}
+    assert sizes[0] > sizes[1] == sizes[2] > sizes[3] > sizes[4] and not {1_000_030, 1_000_031, 1_000_032} & {i for i, _ in stages[3]}
     out = corpus_pipeline.run(spark, corpus).collect()
     assert sorted((str(r["doc_id"]), r["piece"], r["start"], r["length"], r["ids_crc32"]) for r in out) == sorted(pieces(stages[3]))
     bins = defaultdict(list)
