@@ -137,7 +137,7 @@ def _cells(x):
 
 
 def _values(frame):
-    return frame.select("id", "run", "hour", "i", "j", F.round("value", 5).alias("value"))
+    return frame.select("id", "run", "hour", "i", "j", F.round(F.col("value") + 1e-7, 5).alias("value"))  # no ties of rounding
 
 
 _WIDE = """WITH g AS (SELECT run, hour, i, j, q::DOUBLE AS q, d::DOUBLE AS d, x::DOUBLE AS x, n FROM [grid]), w AS (SELECT *, 245 + q + x AS t, 2 * q - x AS rh, q - 25 AS u, x - 4 AS v, q * 2 / 4 AS s6, sqrt(q / 2 * q / 2 + x * x) AS sh6, q * 8 - 100 AS srh1, q * 9 - 100 AS srh3,
@@ -163,7 +163,7 @@ _BY_ID = {
 
 def _sql_of(ids: dict[str, str], source: str = "tf") -> str:
     """A row per id and cell, values rounded, missing ones left out."""
-    rows = " UNION ALL ".join(f"SELECT '{id}' AS id, run, hour, i, j, round({e}, 5) AS value FROM {source}" for id, e in ids.items())
+    rows = " UNION ALL ".join(f"SELECT '{id}' AS id, run, hour, i, j, round({e} + 1e-7::DOUBLE, 5) AS value FROM {source}" for id, e in ids.items())
     return f"{_WIDE} SELECT * FROM ({rows}) WHERE value IS NOT NULL"
 
 
