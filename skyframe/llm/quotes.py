@@ -54,7 +54,8 @@ def link_quotes(messages: DataFrame, conv: str = "conv_id", turn: str = "turn",
     asked = passages.select("conv", "turn", "key", "depth", "island", F.explode("norms").alias("n")).select("conv", "turn", "key", "depth", "island", "n.kind", "n.norm").filter("norm != ''")
 
     both = said.select("conv", "turn", F.md5("norm").alias("hash"), F.col("turn").alias("said_turn")).unionByName(asked.select("conv", "turn", F.md5("norm").alias("hash"), "key", "depth", "island", "kind"), allowMissingColumns=True)
-    hits = _last_said(both).filter(F.col("kind").isNotNull())
+    far = messages.filter(F.floor(F.col(turn).cast("long") / SPAN) != 0).limit(1).count() > 0
+    hits = _last_said(both, far).filter(F.col("kind").isNotNull())
     links = hits.groupBy("conv", "turn", "key", "depth", "island").agg(F.max(F.when(F.col("kind") == 0, F.col("origin"))).alias("whole"), F.max("origin").alias("part"))
     linked = links.withColumn("origin", F.coalesce("whole", "part")).groupBy("conv", "turn", "key").agg(
         F.count("origin").alias("n_linked"), F.max(F.when(F.col("depth") == 1, F.col("origin"))).alias("parent_turn")
@@ -65,7 +66,8 @@ def link_quotes(messages: DataFrame, conv: str = "conv_id", turn: str = "turn",
         s = side.withColumnsRenamed({"conv": "c2", "turn": "t2", "key": "k2"}).hint("merge")
         out = out.join(s, F.col("conv").eqNullSafe(F.col("c2")) & F.col("turn").eqNullSafe(F.col("t2")) & (F.col("key") == F.col("k2")), "left").drop("c2", "t2", "k2")
     out = out.withColumn("stretch", F.floor(F.col("turn") / SPAN))
-    before = sums_before(out.groupBy("conv", "stretch").agg(F.count("*").alias("n")), ["conv"], "stretch", "n").toDF("c2", "s2", "before")
+    sizes = m.groupBy("conv", F.floor(F.col("turn") / SPAN).alias("stretch")).agg(F.count("*").alias("n"))
+    before = sums_before(sizes, ["conv"], "stretch", "n").toDF("c2", "s2", "before")
     out = out.withColumn("nth", F.row_number().over(Window.partitionBy("conv", "stretch").orderBy("turn", "body", "key")))
     out = out.join(before.hint("merge"), F.col("conv").eqNullSafe(F.col("c2")) & F.col("stretch").eqNullSafe(F.col("s2")))
     return out.select(
@@ -75,10 +77,15 @@ def link_quotes(messages: DataFrame, conv: str = "conv_id", turn: str = "turn",
     )
 
 
-def _last_said(both: DataFrame, span: int = SPAN) -> DataFrame:
-    """both with `origin`, the latest turn before its own in which its conversation said its hash; only stretches of turns meet in one task."""
-    cut = both.withColumn("stretch", F.floor(F.col("turn") / span))
+def _last_said(both: DataFrame, far: bool) -> DataFrame:
+    """both with `origin`, the latest turn before its own in which its conversation said its hash; only stretches of turns meet in one task.
+
+    `far`: there are turns beyond the first stretch, so one stretch may have to take over what those before it said.
+    """
+    cut = both.withColumn("stretch", F.floor(F.col("turn") / SPAN))
     near = Window.partitionBy("conv", "hash", "stretch").orderBy("turn").rangeBetween(Window.unboundedPreceding, -1)
+    if not far:
+        return cut.withColumn("origin", F.max("said_turn").over(near))
     ahead = Window.partitionBy("conv", "hash").orderBy("stretch").rowsBetween(Window.unboundedPreceding, -1)
     carried = cut.filter("said_turn IS NOT NULL AND stretch IS NOT NULL").groupBy("conv", "hash", "stretch").agg(F.max("said_turn").alias("last"))
     # A stretch that only asks has no row of its own: its carry comes from all stretches that either say or ask.
