@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from skyframe.llm import decontaminate, langid, line_dedup, ngram_lm, packing, quality, quotes, simhash, topk, toxicity
+from skyframe.llm import decontaminate, langid, line_dedup, ngram_lm, packing, quality, quotes, simhash, topk, toxicity, url_filter
 from skyframe.llm.common import table
 
 PIECE_BPE = public_tokenizers.path("piece_bpe_32k.model")
@@ -179,5 +179,34 @@ def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFram
     return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_toxicity, op3_quotation_linking, op4_lm_scoring, op5_quality_classifier, op6_line_dedup, op7_language_id, op8_simhash_near_dedup, op9_exact_top_k, op10_benchmark_decontamination, quoted_mail_chats)}
-ORACLES = {"op3_quotation_linking": OP3_SQL, "op6_line_dedup": OP6_SQL, "op9_exact_top_k": OP9_SQL, "quoted_mail_chats": CHATS_SQL}
+URL_RULES = "VALUES ('net', '/', 'block'), ('example.net', '/en/', 'allow'), ('example.com', '/de/', 'block'), ('org', '/fr/', 'allow')"
+
+
+def op13_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rules = spark.sql(f"SELECT * FROM ({URL_RULES}) AS r(host, path, verdict)")
+    return url_filter.judge(table(spark, sf_dir, "pages"), rules)
+
+
+OP13_SQL = f"""
+WITH cut AS (
+  SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages
+), parts AS (
+  SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+         regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path, row_number() OVER () AS place FROM cut
+), fits AS (
+  SELECT place, arg_max(struct_pack(rule := r.host || r.path, verdict), (length(r.host || r.path), length(r.host))) AS best
+  FROM parts p JOIN ({URL_RULES}) AS r(host, path, verdict)
+    ON (p.host = r.host OR ends_with(p.host, '.' || r.host)) AND starts_with(p.path, r.path) GROUP BY place
+)
+SELECT page_id, host, path, best.rule AS rule, coalesce(best.verdict, 'allow') AS verdict FROM parts LEFT JOIN fits USING (place)
+"""
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_best_fit_packing, op2_toxicity, op3_quotation_linking, op4_lm_scoring, op5_quality_classifier, op6_line_dedup, op7_language_id,
+        op8_simhash_near_dedup, op9_exact_top_k, op10_benchmark_decontamination, op13_url_filters, quoted_mail_chats,
+    )
+}
+ORACLES = {"op3_quotation_linking": OP3_SQL, "op6_line_dedup": OP6_SQL, "op9_exact_top_k": OP9_SQL, "op13_url_filters": OP13_SQL, "quoted_mail_chats": CHATS_SQL}
