@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from skyframe.llm import decontaminate, langid, line_dedup, ngram_lm, packing, quality, quotes, simhash, topk, toxicity, url_filter
+from skyframe.llm import decontaminate, langid, line_dedup, ngram_lm, packing, quality, quotes, simhash, topk, toxicity, url_filter, whitening
 from skyframe.llm.common import table
 
 PIECE_BPE = public_tokenizers.path("piece_bpe_32k.model")
@@ -179,6 +179,10 @@ def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFram
     return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op12_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
 URL_RULES = "VALUES ('net', '/', 'block'), ('example.net', '/en/', 'allow'), ('example.com', '/de/', 'block'), ('org', '/fr/', 'allow')"
 
 
@@ -206,7 +210,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         op1_best_fit_packing, op2_toxicity, op3_quotation_linking, op4_lm_scoring, op5_quality_classifier, op6_line_dedup, op7_language_id,
-        op8_simhash_near_dedup, op9_exact_top_k, op10_benchmark_decontamination, op13_url_filters, quoted_mail_chats,
+        op8_simhash_near_dedup, op9_exact_top_k, op10_benchmark_decontamination, op12_embedding_whitening, op13_url_filters, quoted_mail_chats,
     )
 }
 ORACLES = {"op3_quotation_linking": OP3_SQL, "op6_line_dedup": OP6_SQL, "op9_exact_top_k": OP9_SQL, "op13_url_filters": OP13_SQL, "quoted_mail_chats": CHATS_SQL}
