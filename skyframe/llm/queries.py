@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from skyframe.llm import decontaminate, langid, line_dedup, ngram_lm, packing, quality, quotes, simhash, topk, toxicity, url_filter, whitening
+from skyframe.llm import decontaminate, langid, line_dedup, ngram_lm, packing, quality, quotes, repair, simhash, topk, toxicity, url_filter, whitening
 from skyframe.llm.common import table
 
 PIECE_BPE = public_tokenizers.path("piece_bpe_32k.model")
@@ -179,6 +179,69 @@ def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFram
     return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair.repair_damaged(table(spark, sf_dir, "conversations"))
+
+
+#: crc32 bit by bit; then the least (cost, audit) per state of the pattern, row by row. One insertion in a gap is as many as pay.
+OP11_SQL = r"""
+WITH RECURSIVE keyed AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+         coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS key FROM conversations
+), hashed AS (
+  SELECT *, xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(key, ''), lambda x: ascii(x)::BIGINT)),
+           lambda c, b: list_reduce(list_prepend(xor(c, b), range(8)),
+             lambda v, i: CASE WHEN v & 1 = 1 THEN xor(v >> 1, 3988292384) ELSE v >> 1 END))) % 20 AS kind FROM keyed
+), damaged AS (
+  SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role,
+         CASE kind WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+         unnest(range(CASE WHEN kind = 3 THEN 2 ELSE 1 END)) AS again FROM hashed WHERE kind <> 0
+), ordered AS (
+  SELECT *, left(role, 1) AS initial, rtrim(text, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS kept,
+         row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, again) AS pos FROM damaged
+), faulty AS (
+  SELECT *, CASE WHEN kept = '' THEN 'blank' WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY pos) > 1 THEN 'duplicate'
+              WHEN right(kept, 1) NOT IN ('.', '!', '?') THEN 'truncated' ELSE '' END AS fault,
+         lag(initial) OVER (PARTITION BY conv_id ORDER BY pos) || initial AS pair FROM ordered
+), steps(p, x, q) AS (
+  VALUES ('', 's', 's'), ('', 'u', 'u'), ('s', 'u', 'u'), ('a', 'u', 'u'), ('u', 'a', 'a')
+), starts(p, q, cost, audit, line) AS (
+  SELECT p, p, 0, '', '' FROM (VALUES (''), ('s'), ('u'), ('a')) AS t(p)
+  UNION ALL SELECT p, q, 2, 'I', chr(10) || CASE x WHEN 'u' THEN 'user:' ELSE 'assistant:' END FROM steps WHERE x <> 's'
+), edits(p, q, x, edit, cost) AS (
+  SELECT p, q, x, 'K', 0 FROM steps UNION ALL SELECT p, q, x, 'R', 2 FROM steps WHERE x <> 's'
+  UNION ALL SELECT p, p, '', 'D', 3 FROM (VALUES (''), ('s'), ('u'), ('a')) AS t(p)
+), best AS (
+  SELECT conv_id, 0::BIGINT AS pos, '' AS state, struct_pack(cost := 0::BIGINT, audit := '', lines := '') AS v
+  FROM (SELECT DISTINCT conv_id FROM conversations)
+  UNION ALL
+  SELECT b.conv_id, b.pos + 1, e.q, min(struct_pack(
+           cost := (b.v.cost + s.cost + e.cost + CASE WHEN r.fault = 'truncated' AND e.edit <> 'D' THEN 1 ELSE 0 END)::BIGINT,
+           audit := b.v.audit || s.audit || e.edit,
+           lines := b.v.lines || s.line || CASE e.edit WHEN 'D' THEN '' WHEN 'K' THEN chr(10) || r.role || ':' || r.text
+                    ELSE chr(10) || CASE e.x WHEN 'u' THEN 'user:' ELSE 'assistant:' END || r.text END))
+  FROM best b JOIN faulty r ON r.conv_id IS NOT DISTINCT FROM b.conv_id AND r.pos = b.pos + 1
+  JOIN starts s ON s.p = b.state
+  JOIN edits e ON e.p = s.q AND (e.edit = 'D' OR r.fault NOT IN ('blank', 'duplicate') AND (e.edit = 'R' OR e.x = r.initial))
+  GROUP BY ALL
+), ended AS (
+  SELECT conv_id, min(struct_pack(cost := v.cost + CASE state WHEN 'u' THEN 2 ELSE 0 END, audit := v.audit || CASE state WHEN 'u' THEN 'I' ELSE '' END,
+                      lines := v.lines || CASE state WHEN 'u' THEN chr(10) || 'assistant:' ELSE '' END)) AS v
+  FROM best b JOIN (SELECT conv_id AS c, count(*) AS n FROM faulty GROUP BY 1) ON c IS NOT DISTINCT FROM conv_id AND n = pos
+  WHERE state <> 's' GROUP BY 1
+), counted AS (
+  SELECT conv_id AS c, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (WHERE fault = 'blank') AS blank,
+         count(*) FILTER (WHERE fault = 'duplicate') AS duplicate, count(*) FILTER (WHERE fault = 'truncated') AS truncated,
+         count(*) FILTER (WHERE pair NOT IN ('su', 'ua', 'au')) AS illegal FROM faulty GROUP BY 1
+)
+SELECT o.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0)::BIGINT AS blank, coalesce(duplicate, 0)::BIGINT AS duplicate,
+       coalesce(truncated, 0)::BIGINT AS truncated, coalesce(illegal, 0)::BIGINT AS illegal, coalesce(v.cost, 0)::BIGINT AS cost,
+       coalesce(v.audit, '') AS audit, sha256(coalesce(substr(v.lines, 2), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) o LEFT JOIN counted ON c IS NOT DISTINCT FROM o.conv_id
+LEFT JOIN ended e ON e.conv_id IS NOT DISTINCT FROM o.conv_id
+"""
+
+
 def op12_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whiten(table(spark, sf_dir, "embeddings"))
 
@@ -210,7 +273,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         op1_best_fit_packing, op2_toxicity, op3_quotation_linking, op4_lm_scoring, op5_quality_classifier, op6_line_dedup, op7_language_id,
-        op8_simhash_near_dedup, op9_exact_top_k, op10_benchmark_decontamination, op12_embedding_whitening, op13_url_filters, quoted_mail_chats,
+        op8_simhash_near_dedup, op9_exact_top_k, op10_benchmark_decontamination, op11_conversation_repair, op12_embedding_whitening, op13_url_filters, quoted_mail_chats,
     )
 }
-ORACLES = {"op3_quotation_linking": OP3_SQL, "op6_line_dedup": OP6_SQL, "op9_exact_top_k": OP9_SQL, "op13_url_filters": OP13_SQL, "quoted_mail_chats": CHATS_SQL}
+ORACLES = {"op3_quotation_linking": OP3_SQL, "op6_line_dedup": OP6_SQL, "op9_exact_top_k": OP9_SQL, "op11_conversation_repair": OP11_SQL, "op13_url_filters": OP13_SQL, "quoted_mail_chats": CHATS_SQL}
