@@ -67,6 +67,36 @@ def _(x):
     return X.drain(X.latest_frame(_events(x).filter("event_type = 'view'"), "user_id", "ts", "event_id"), "complete")
 
 
+_LIFE = """WITH m AS (SELECT id, sent, sent + to_days(days::INT) AS ends, cancel, ref FROM [alert]), t AS (SELECT max(sent) - INTERVAL 2 DAY AS now FROM m),
+r AS (SELECT ref AS id, arg_min(m.id::VARCHAR, (m.sent, m.id::VARCHAR)) AS newer FROM m, t WHERE ref IS NOT NULL AND m.sent <= now GROUP BY 1)
+SELECT m.id, CASE WHEN newer IS NOT NULL THEN 'superseded' WHEN cancel THEN 'cancelled' WHEN now < sent THEN 'pending' WHEN now >= ends THEN 'expired' ELSE 'active' END AS state,
+newer AS superseded_by FROM m CROSS JOIN t LEFT JOIN r USING (id)"""
+
+
+@query("x5_alert_life", _LIFE)
+def _(x):
+    """Alerts that name the ones they replace, as of the watermark after all have arrived, two days behind the newest."""
+    o = X.read_stream(x.spark, x.dir, "orders")
+    ref = F.when(F.col("o_orderkey") % 7 == 0, F.array(F.col("o_orderkey") - 1))
+    a = o.select(
+        F.col("o_orderkey").alias("id"), F.col("o_orderdate").cast("timestamp").alias("sent"), (F.col("o_orderkey") % 5 + 1).alias("days"), ref.alias("refs"), (F.col("o_orderstatus") == "P").alias("cancel")
+    ).withColumns({"ends": F.col("sent") + F.make_dt_interval(F.col("days").cast("int")), "onset": F.col("sent"), "arrived": F.col("sent")})
+    out = X.drain(X.alert_life(a, "id", "sent", "onset", "ends", "cancel", "refs", "arrived", "2 days"), "update")
+    last = out.groupBy("id").agg(F.max(F.struct("_batch", "state", "superseded_by")).alias("s"))
+    return last.select("id", "s.state", "s.superseded_by")
+
+
+@query("x9_catalog_versions", """WITH v AS (SELECT s_suppkey AS user_id, s_name || '/' || k AS name, TIMESTAMP '2024-01-01' + to_days((k * 6)::INT) AS version, k FROM supplier, (SELECT unnest(range(0, 6)) AS k) WHERE (s_suppkey + k) % 5 <> 0),
+e AS (SELECT event_id, user_id, ts, (SELECT max(version) FROM v WHERE version <= ts) AS version FROM events)
+SELECT event_id, name, name IS NOT NULL AS listed FROM e LEFT JOIN v USING (user_id, version)""")
+def _(x):
+    """A catalogue refreshed every six days, each time without a fifth of the stations."""
+    s = x.t("supplier").withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(5)))).filter((F.col("s_suppkey") + F.col("k")) % 5 != 0)
+    version = F.lit("2024-01-01").cast("timestamp") + F.make_dt_interval(F.col("k") * 6)
+    catalog = s.select(F.col("s_suppkey").alias("user_id"), F.concat("s_name", F.lit("/"), F.col("k")).alias("name"), version.alias("version"))
+    return X.enrich_stream(_events(x), lambda: catalog, "user_id", "ts", "version").select("event_id", "name", "listed")
+
+
 @query("x9_enrich", "SELECT event_id, s_name AS name FROM events LEFT JOIN supplier ON user_id = s_suppkey")
 def _(x):
     catalog = x.t("supplier").select(F.col("s_suppkey").alias("user_id"), F.col("s_name").alias("name"))

@@ -3,14 +3,16 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.types import IntegerType, StructField, StructType
 
+from skyframe.operators.joins import dimension
+from skyframe.operators.series import asof_join
 from skyframe.sources.shared import shared_dir
 
 
@@ -20,46 +22,102 @@ def read_stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.readStream.schema(schema).parquet(f"{sf_dir}/{name}.parque[t]")
 
 
-def drain(stream: DataFrame, mode: str) -> DataFrame:
+def drain(stream: DataFrame, mode: str, each: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """Run a stream over all that is there now and give what it wrote: complete mode the last result, others all batches with their number.
+    each: what is made of a batch before it is written.
 
     A batch has a folder of its own, so a batch that is run again after a failure replaces what it wrote.
     """
     path = f"{shared_dir(stream.sparkSession)}/stream-{uuid.uuid4().hex}"
 
     def put(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{path}/out/_batch={0 if mode == 'complete' else number}")
+        out = each(batch) if each else batch
+        kinds.setdefault("out", out.schema)
+        out.write.mode("overwrite").parquet(f"{path}/out/_batch={0 if mode == 'complete' else number}")
 
+    kinds = {} if each else {"out": stream.schema}
     stream.writeStream.outputMode(mode).option("checkpointLocation", f"{path}/log").foreachBatch(put).trigger(availableNow=True).start().awaitTermination()
-    schema = StructType([*stream.schema.fields, StructField("_batch", IntegerType())])
+    if "out" not in kinds:  # no batch at all
+        kinds["out"] = each(stream.sparkSession.createDataFrame([], stream.schema)).schema
+        stream.sparkSession.createDataFrame([], kinds["out"]).write.parquet(f"{path}/out/_batch=0")
+    schema = StructType([*kinds["out"].fields, StructField("_batch", IntegerType())])
     out = stream.sparkSession.read.schema(schema).option("basePath", f"{path}/out").parquet(f"{path}/out/_batch=*")
     return out.drop("_batch") if mode == "complete" else out
 
 
-def _by_key(stream: DataFrame, by: str, columns: str, state: str, step, output: str, mode: str = "update"):
-    return stream.groupBy(by).applyInPandasWithState(step, output, state, mode, GroupStateTimeout.EventTimeTimeout)
+def _ms(us: int) -> int:
+    """The first millisecond at or after a time in microseconds."""
+    return -(-us // 1000)
 
 
-def latest_state(stream: DataFrame, by: str, time: str, value: str, ttl_minutes: int = 180) -> DataFrame:
-    """The newest observation per station as it changes (time in microseconds); a station is forgotten ttl minutes after its last one.
-    `time` needs a watermark."""
+def _us(times: pd.Series) -> list[int]:
+    return times.astype("datetime64[us]").astype("int64").tolist()
+
+
+def _by_key(stream: DataFrame, by: str, processor: StatefulProcessor, output: str, clock: str = "event") -> DataFrame:
+    """State per value of `by` with timers on the watermark (clock="event") or on the wall clock (clock="processing").
+    Such state needs the RocksDB store, which is set in the session for streams that start from now on. A stream on the wall
+    clock runs until it is stopped, so `drain` takes streams on the watermark only."""
+    stream.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    mode = {"event": "EventTime", "processing": "ProcessingTime"}[clock]
     kind = stream.schema[by].dataType.simpleString()
+    return stream.groupBy(by).transformWithStateInPandas(processor, f"{by} {kind}, {output}", "Update", mode)
+
+
+class _Timed(StatefulProcessor):
+    """What the processors below share: the names of columns, and one timer that moves."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.timer = handle.getValueState("timer", "at long")
+
+    def move_timer(self, at: int) -> None:
+        if self.timer.exists():
+            if (old := self.timer.get()[0]) == at:
+                return
+            self.handle.deleteTimer(old)
+        self.handle.registerTimer(at)
+        self.timer.update((at,))
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self.timer.clear()
+        yield from self.expired(key)
+
+    def close(self) -> None:
+        pass
+
 
-    def step(key: tuple, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        held = state.get if state.exists else (-(1 << 62), 0.0)
-        for pdf in pdfs:
-            us = pdf[time].astype("datetime64[us]").astype("int64")
-            for t, v in sorted(zip(us, pdf[value], strict=True)):
-                if t >= held[0]:
-                    held = (int(t), float(v))
-        state.update(held)
-        state.setTimeoutTimestamp(max(held[0] // 1000 + ttl_minutes * 60_000, state.getCurrentWatermarkMs() + 1))
-        yield pd.DataFrame({by: [key[0]], "time_us": [held[0]], "value": [held[1]]})
+class _Latest(_Timed):
+    def __init__(self, by: str, time: str, value: str, ttl_ms: int, clock: str):
+        self.by, self.time, self.value, self.ttl_ms, self.clock = by, time, value, ttl_ms, clock
 
-    return _by_key(stream, by, "", "time_us long, value double", step, f"{by} {kind}, time_us long, value double")
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        super().init(handle)
+        self.held = handle.getValueState("held", "time_us long, value double", self.ttl_ms if self.clock == "processing" else None)
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        held = tuple(self.held.get()) if self.held.exists() else None
+        for pdf in rows:
+            for t, v in sorted(zip(_us(pdf[self.time]), pdf[self.value], strict=True)):
+                if held is None or t >= held[0]:
+                    held = (t, float(v))
+        self.held.update(held)
+        if self.clock == "event":
+            self.move_timer(max(_ms(held[0]) + self.ttl_ms, timerValues.getCurrentWatermarkInMs() + 1))
+        yield pd.DataFrame({self.by: [key[0]], "time_us": [held[0]], "value": [held[1]]})
+
+    def expired(self, key) -> Iterator[pd.DataFrame]:
+        self.held.clear()
+        yield from ()
+
+
+def latest_state(stream: DataFrame, by: str, time: str, value: str, ttl_minutes: float = 180, clock: str = "event") -> DataFrame:
+    """The newest observation per station as it changes (time in microseconds).
+
+    clock="event": a station is forgotten once the watermark on `time` is ttl minutes past its newest observation, by a
+    timer that moves with it. clock="processing": the state itself lives for ttl minutes of wall clock after its last change.
+    """
+    return _by_key(stream, by, _Latest(by, time, value, round(ttl_minutes * 60_000), clock), "time_us long, value double", clock)
 
 
 def admit(stream: DataFrame, time: str, now: Column, max_age: str, max_future: str = "30 minutes") -> DataFrame:
@@ -79,30 +137,117 @@ def flash_window(stream: DataFrame, time: str, keys: Sequence[str], length: str
     return w.select(F.col("window.end").alias("scene_time"), *keys, "n")
 
 
+class _Chain(_Timed):
+    def __init__(self, chain: str, time: str, until: str):
+        self.chain, self.time, self.until = chain, time, until
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        super().init(handle)
+        self.last = handle.getValueState("last", "time_us long, end_us long, n long, cancelled boolean")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        new = [r for pdf in rows for r in zip(_us(pdf[self.time]), _us(pdf[self.until]), pdf["cancel"], strict=True)]
+        last = tuple(self.last.get()) if self.last.exists() else (-(1 << 62), 0, 0, False)
+        for t, end, cancel in sorted(new):
+            last = (t, end, last[2] + 1, bool(cancel)) if t >= last[0] else (last[0], last[1], last[2] + 1, last[3])
+        name = "cancelled" if last[3] else "updated" if last[2] > 1 else "issued"
+        self.last.update(last)
+        self.move_timer(max(last[1] // 1000, timerValues.getCurrentWatermarkInMs() + 1))
+        yield pd.DataFrame({self.chain: [key[0]], "time_us": [last[0]], "state": [name], "n": [last[2]]})
+
+    def expired(self, key) -> Iterator[pd.DataFrame]:
+        last = self.last.get()
+        self.last.clear()
+        yield pd.DataFrame({self.chain: [key[0]], "time_us": [last[0]], "state": ["expired"], "n": [last[2]]})
+
+
 def alert_state(stream: DataFrame, chain: str, time: str, until: str) -> DataFrame:
-    """The state of each alert chain after a batch: issued, updated, cancelled or expired (by the watermark).
+    """X5, where a feed names the chain of a message: its state after a batch: issued, updated, cancelled or expired (by the
+    watermark).
 
     Rows have chain, time, until (end) and cancel. Late updates are applied in order of time within a batch; an
-    older row never takes a newer state back. Batch twin: drop_superseded and active.
+    older row never takes a newer state back. Feeds whose messages name the ones they replace: `alert_life`.
     """
-    kind = stream.schema[chain].dataType.simpleString()
-
-    def step(key: tuple, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            last = state.get
-            state.remove()
-            yield pd.DataFrame({chain: [key[0]], "time_us": [last[0]], "state": ["expired"], "n": [last[2]]})
-            return
-        rows = [r for pdf in pdfs for r in zip(pdf[time].astype("datetime64[us]").astype("int64"), pdf[until].astype("datetime64[us]").astype("int64"), pdf["cancel"], strict=True)]
-        last = state.get if state.exists else (-(1 << 62), 0, 0, False)
-        for t, end, cancel in sorted(rows):
-            last = (int(t), int(end), last[2] + 1, bool(cancel)) if t >= last[0] else (last[0], last[1], last[2] + 1, last[3])
-        name = "cancelled" if last[3] else "updated" if last[2] > 1 else "issued"
-        state.update(last)
-        state.setTimeoutTimestamp(max(last[1] // 1000, state.getCurrentWatermarkMs() + 1))
-        yield pd.DataFrame({chain: [key[0]], "time_us": [last[0]], "state": [name], "n": [last[2]]})
-
-    return _by_key(stream, chain, "", "time_us long, end_us long, n long, cancelled boolean", step, f"{chain} {kind}, time_us long, state string, n long")
+    return _by_key(stream, chain, _Chain(chain, time, until), "time_us long, state string, n long")
+
+
+class _Life(StatefulProcessor):
+    def __init__(self, id: str):
+        self.id = id
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.own = handle.getValueState("own", "start_us long, end_us long, cancel boolean, arrived_us long")
+        self.by = handle.getMapState("by", "id string", "sent_us long")
+        self.told = handle.getValueState("told", "state string, by string")
+
+    def _now(self, now: int) -> tuple[str, str | None] | None:
+        """The alert's state at a time in ms; None: not seen itself yet."""
+        if not self.own.exists():
+            return None
+        start, end, cancel, _ = self.own.get()
+        replaced = sorted((sent[0], name[0]) for name, sent in self.by.iterator() if sent[0] <= now * 1000)
+        if replaced:
+            return "superseded", replaced[0][1]
+        if cancel:
+            return "cancelled", None
+        return ("pending" if now * 1000 < start else "expired" if end is not None and now * 1000 >= end else "active"), None
+
+    def _tell(self, key, now: int) -> Iterator[pd.DataFrame]:
+        state = self._now(now)
+        if state and (not self.told.exists() or tuple(self.told.get()) != state):
+            self.told.update(state)
+            yield pd.DataFrame({self.id: [key[0]], "state": [state[0]], "superseded_by": [state[1]], "as_of_ms": [now]})
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        now, timers = timerValues.getCurrentWatermarkInMs(), set()
+        for pdf in rows:
+            for r in pdf.itertuples(index=False):
+                if r.msg_kind == 0:
+                    end = None if pd.isna(r.msg_end_us) else int(r.msg_end_us)
+                    if not self.own.exists() or int(r.msg_arrived_us) >= self.own.get()[3]:
+                        self.own.update((int(r.msg_start_us), end, bool(r.msg_cancel), int(r.msg_arrived_us)))
+                        timers |= {_ms(int(r.msg_start_us))} | ({_ms(end)} if end is not None else set())
+                else:
+                    sent = int(r.msg_sent_us)
+                    if not self.by.containsKey((r.msg_other,)) or sent < self.by.getValue((r.msg_other,))[0]:
+                        self.by.updateValue((r.msg_other,), (sent,))
+                        timers.add(_ms(sent))
+        for at in timers:
+            if at > now:  # one timer for the start, one for the end and one for each message that replaces it
+                self.handle.registerTimer(at - 1)
+        yield from self._tell(key, now)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        now, due = timerValues.getCurrentWatermarkInMs(), expiredTimerInfo.getExpiryTimeInMs() + 1
+        if due > now:  # the change itself is still a millisecond away
+            self.handle.registerTimer(due)
+        yield from self._tell(key, now)
+
+    def close(self) -> None:
+        pass
+
+
+def alert_life(stream: DataFrame, id: str, sent: str, start: str, until: str, cancel: str, refs: str, arrived: str, delay: str = "0 seconds") -> DataFrame:
+    """X5 by reference ids: each alert's state whenever it changes: pending, active, superseded (and by which alert),
+    cancelled or expired, as of the watermark on `arrived`, `delay` behind the newest arrival.
+
+    An alert is superseded from the time on that the first alert naming it in `refs` (an array of ids) was sent, whichever
+    of the two arrives first and however late; it is active from the later of `sent` and `start` on, until before `until`
+    (null: open). Of an id that arrives again the last arrival counts. After each batch the alerts told active are those of
+    the batch twin (drop_superseded, active) over the rows that have arrived, at that watermark. What an alert does to
+    others goes to these by id, so a key holds one alert with the ids that replace it.
+    """
+    us = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
+    began = F.coalesce(F.greatest(us(sent), us(start)), us(sent))
+    rows = stream.withWatermark(arrived, delay).filter(F.col(sent).isNotNull() & F.col(arrived).isNotNull())
+    own = F.struct(F.col(id).alias("of"), F.lit(0).alias("kind"), F.lit(None).cast("string").alias("other"))
+    others = F.transform(F.coalesce(F.col(refs), F.array().cast(stream.schema[refs].dataType)), lambda r: F.struct(r.alias("of"), F.lit(1).alias("kind"), F.col(id).cast("string").alias("other")))
+    told = rows.select(
+        F.explode(F.concat(F.array(own), others)).alias("x"), us(sent).alias("msg_sent_us"), began.alias("msg_start_us"), us(until).alias("msg_end_us"), F.col(cancel).alias("msg_cancel"),
+        us(arrived).alias("msg_arrived_us"), F.col(arrived),
+    ).select(F.col("x.of").alias(id), F.col("x.kind").alias("msg_kind"), F.col("x.other").alias("msg_other"), "msg_sent_us", "msg_start_us", "msg_end_us", "msg_cancel", "msg_arrived_us", arrived)
+    return _by_key(told.filter(F.col(id).isNotNull()), id, _Life(id), "state string, superseded_by string, as_of_ms long")
 
 
 def report_counts(stream: DataFrame, time: str, category: str, hours: int, slide: str = "1 hour") -> DataFrame:
@@ -111,23 +256,33 @@ def report_counts(stream: DataFrame, time: str, category: str, hours: int, slide
     return w.select(F.col("window.end").alias("until"), category, "n")
 
 
-def silent_sites(stream: DataFrame, by: str, time: str, minutes: int = 60) -> DataFrame:
-    """Per site its last scan and, once the watermark is `minutes` past it, a row that says so."""
-    kind = stream.schema[by].dataType.simpleString()
+class _Silent(_Timed):
+    def __init__(self, by: str, time: str, wait_ms: int, clock: str):
+        self.by, self.time, self.wait_ms, self.clock = by, time, wait_ms, clock
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        super().init(handle)
+        self.last = handle.getValueState("last", "last_us long")
 
-    def step(key: tuple, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        silent = state.hasTimedOut
-        last = state.get[0] if state.exists else -(1 << 62)
-        if silent:
-            state.remove()
-        else:
-            for pdf in pdfs:
-                last = max(last, int(pdf[time].astype("datetime64[us]").astype("int64").max()))
-            state.update((last,))
-            state.setTimeoutTimestamp(max(last // 1000 + minutes * 60_000, state.getCurrentWatermarkMs() + 1))
-        yield pd.DataFrame({by: [key[0]], "last_us": [last], "silent": [silent]})
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        last = self.last.get()[0] if self.last.exists() else -(1 << 62)
+        for pdf in rows:
+            last = max(last, *_us(pdf[self.time]))
+        self.last.update((last,))
+        now = timerValues.getCurrentWatermarkInMs() if self.clock == "event" else timerValues.getCurrentProcessingTimeInMs()
+        self.move_timer(max(last // 1000 + self.wait_ms, now + 1) if self.clock == "event" else now + self.wait_ms)
+        yield pd.DataFrame({self.by: [key[0]], "last_us": [last], "silent": [False]})
 
-    return _by_key(stream, by, "", "last_us long", step, f"{by} {kind}, last_us long, silent boolean")
+    def expired(self, key) -> Iterator[pd.DataFrame]:
+        last = self.last.get()[0]
+        self.last.clear()
+        yield pd.DataFrame({self.by: [key[0]], "last_us": [last], "silent": [True]})
+
+
+def silent_sites(stream: DataFrame, by: str, time: str, minutes: float = 60, clock: str = "event") -> DataFrame:
+    """Per site its last scan and, once nothing came for `minutes`, a row that says so: by the watermark on `time`
+    (clock="event") or by the wall clock, counted from the batch that brought the last scan (clock="processing")."""
+    return _by_key(stream, by, _Silent(by, time, round(minutes * 60_000), clock), "last_us long, silent boolean", clock)
 
 
 def latest_frame(stream: DataFrame, by: str, time: str, key: str) -> DataFrame:
@@ -136,5 +291,32 @@ def latest_frame(stream: DataFrame, by: str, time: str, key: str) -> DataFrame:
 
 
 def enrich(stream: DataFrame, catalog: DataFrame, key: str) -> DataFrame:
-    """Observations with what a slowly changing catalogue says of their station."""
+    """X9 with a catalogue that does not change: observations with what it says of their station."""
     return stream.join(catalog, key, "left")
+
+
+def catalog_spans(catalog: DataFrame, key: str, version: str) -> DataFrame:
+    """Rows of catalogue versions with `_until`, the time of the next version of the catalogue as a whole: a station that
+    the next version does not list is retired by then (null: the newest version)."""
+    versions = catalog.select(version).distinct()  # as many as refreshes: a small table, whatever the catalogue's size
+    spans = versions.select(F.col(version).alias("_version"), F.lead(version).over(Window.orderBy(version)).alias("_until"))
+    return catalog.join(dimension(spans), F.col(version) == F.col("_version")).drop("_version")
+
+
+def enrich_as_of(rows: DataFrame, catalog: DataFrame, key: str, time: str, version: str) -> DataFrame:
+    """Rows with the catalogue's columns as of their time: those of the newest version at or before it, null where that
+    version does not list the station (`listed` false) or none is old enough. catalog has a row per version and station."""
+    spans = catalog_spans(catalog, key, version)
+    more = [c for c in catalog.columns if c not in (key, version)]
+    right = spans.select(F.col(key), F.col(version).alias(time), F.struct(F.col("_until").alias("until"), *more).alias("_entry"))
+    paired = asof_join(rows, right, key, time, "_entry")
+    valid = F.col("right_time").isNotNull() & F.coalesce(F.col(time) < F.col("right_key.until"), F.lit(True))
+    out = paired.withColumn("listed", valid).withColumns({c: F.when(F.col("listed"), F.col(f"right_key.{c}")) for c in more})
+    return out.drop("right_time", "right_key")
+
+
+def enrich_stream(stream: DataFrame, catalog: Callable[[], DataFrame], key: str, time: str, version: str) -> DataFrame:
+    """X9 with a catalogue that is refreshed while the stream runs: catalog() is asked for all versions anew in each
+    micro-batch, which is enriched as of its rows' times; drained. A version may come late, up to the batch of the first
+    row it applies to; the result then equals enrich_as_of over all rows and versions."""
+    return drain(stream, "append", lambda batch: enrich_as_of(batch, catalog(), key, time, version))
