@@ -40,23 +40,41 @@ def site_status(frames: DataFrame, sites: DataFrame, by: str, time: str, now: Co
     return sites.join(recent.hint("merge"), by, "left").withColumn("down", down)
 
 
-def asof_join(left: DataFrame, right: DataFrame, by: str, time: str, key: str, fallback: str | None = None) -> DataFrame:
+def stretch_of(df: DataFrame, order: str, width: float) -> Column:
+    """The stretch of a series that a row falls in: `width` seconds of a time or date, else `width` units of a number.
+
+    Operators that walk along a series in order walk along its stretches one by one, and take what the stretches before
+    have left from a table with a row per series and stretch. So a series that holds most rows is spread over tasks.
+    """
+    if df.schema[order].dataType.typeName() in ("timestamp", "timestamp_ntz", "date"):
+        return F.floor(micros(order) / (width * 1_000_000))
+    return F.floor(F.col(order) / width)
+
+
+def asof_join(left: DataFrame, right: DataFrame, by: str, time: str, key: str, fallback: str | None = None, stretch_s: float = 86_400) -> DataFrame:
     """To each left row the newest right row of its series at or before it, as right_time and right_key.
 
     With fallback='day' only the left row's UTC day and the one before count; if neither has such a frame, the first
-    frame of the left row's day is taken. One shuffle on `by` and no join: both sides pass one ordered window.
+    frame of the left row's day is taken. No join: both sides pass one ordered window per series and stretch of
+    `stretch_s` seconds, whose first row is the newest right row of the stretches before.
     """
-    both = left.withColumn("_side", F.lit(1)).unionByName(right.select(by, time, F.col(key).alias("_key"), F.lit(0).alias("_side")), allowMissingColumns=True)
-    w = Window.partitionBy(by).orderBy(time, "_side", F.col("_key").asc_nulls_last()).rowsBetween(Window.unboundedPreceding, 0)
-    newest = F.last(F.when(F.col("_side") == 0, F.struct(F.col(time).alias("t"), F.col("_key").alias("k"))), ignorenulls=True).over(w)
+    entry = F.struct(F.col(time).alias("t"), F.col("_key").alias("k"))
+    rows = left.withColumns({"_side": F.lit(1), "_stretch": stretch_of(left, time, stretch_s)})
+    frames = right.select(by, time, F.col(key).alias("_key"), F.lit(0).alias("_side"), stretch_of(right, time, stretch_s).alias("_stretch"))
+    newest = F.max(F.struct(F.col(time).alias("t"), F.col("_key").isNull().alias("no"), F.col("_key").alias("k")))
+    ends = frames.groupBy(by, "_stretch").agg(newest.alias("_end")).unionByName(rows.select(by, "_stretch").distinct(), allowMissingColumns=True)
+    ends = ends.groupBy(by, "_stretch").agg(F.first("_end", ignorenulls=True).alias("_end"))
+    before = F.last("_end", ignorenulls=True).over(Window.partitionBy(by).orderBy("_stretch").rowsBetween(Window.unboundedPreceding, -1))
+    carried = ends.select(by, "_stretch", before.alias("_end")).filter("_end IS NOT NULL")
+    carried = carried.select(by, F.col("_end.t").alias(time), F.col("_end.k").alias("_key"), F.lit(0).alias("_side"), "_stretch")
+    both = rows.unionByName(frames, allowMissingColumns=True).unionByName(carried, allowMissingColumns=True)
+    w = Window.partitionBy(by, "_stretch").orderBy(time, "_side", F.col("_key").asc_nulls_last()).rowsBetween(Window.unboundedPreceding, 0)
+    out = both.withColumn("_near", F.last(F.when(F.col("_side") == 0, entry), ignorenulls=True).over(w))
     if fallback == "day":
-        day = Window.partitionBy(by, F.to_date(time))
-        first = F.min(F.when(F.col("_side") == 0, F.struct(F.col(time).alias("t"), F.col("_key").alias("k")))).over(day)
+        first = F.min(F.when(F.col("_side") == 0, entry)).over(Window.partitionBy(by, F.to_date(time)))
         held = F.when(F.to_date(F.col("_near.t")) >= F.date_sub(F.to_date(time), 1), F.col("_near"))
-        out = both.withColumn("_near", newest).withColumn("_first", first).withColumn("_near", F.coalesce(held, "_first"))
-    else:
-        out = both.withColumn("_near", newest)
-    return out.filter("_side = 1").withColumns({"right_time": F.col("_near.t"), "right_key": F.col("_near.k")}).drop("_side", "_key", "_near", "_first")
+        out = out.withColumn("_first", first).withColumn("_near", F.coalesce(held, "_first")).drop("_first")
+    return out.filter("_side = 1").withColumns({"right_time": F.col("_near.t"), "right_key": F.col("_near.k")}).drop("_side", "_key", "_near", "_stretch")
 
 
 def nearest_join(left: DataFrame, right: DataFrame, by: str, time: str, left_key: str, right_key: str, tolerance_s: int = 720) -> DataFrame:
@@ -138,12 +156,26 @@ def first_of(df: DataFrame, by: Sequence[str | Column], order: Sequence[str | Co
     return df.withColumn("_rank", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).filter("_rank = 1").drop("_rank")
 
 
-def merge_intervals(df: DataFrame, by: str, start: str, end: str, gap: int) -> DataFrame:
-    """C14: runs of intervals at most `gap` apart, as (by, start, end, n)."""
-    w = Window.partitionBy(by).orderBy(start, end)
-    reach = F.max(end).over(w.rowsBetween(Window.unboundedPreceding, -1))
-    marked = df.withColumn("_new", F.when(reach.isNull() | (F.col(start) > reach + gap), 1).otherwise(0))
-    return marked.withColumn("_run", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0))).groupBy(by, "_run").agg(F.min(start).alias("start"), F.max(end).alias("end"), F.count("*").alias("n")).drop("_run")
+def merge_intervals(df: DataFrame, by: str, start: str, end: str, gap: int, span: int = 1 << 20) -> DataFrame:
+    """C14: runs of intervals at most `gap` apart, as (by, start, end, n).
+
+    A series is walked in stretches of `span` positions: how far the stretches before reach comes as the first row of each;
+    the rows of a stretch before its first new run belong to the last run begun before it.
+    """
+    rows = df.select(by, F.col(start).alias("_s"), F.col(end).alias("_e"), stretch_of(df, start, span).alias("_stretch"))
+    along = Window.partitionBy(by).orderBy("_stretch").rowsBetween(Window.unboundedPreceding, -1)
+    reach = rows.groupBy(by, "_stretch").agg(F.max("_e").alias("_e")).withColumn("_e", F.max("_e").over(along)).filter("_e IS NOT NULL")
+    both = rows.withColumn("_own", F.lit(1)).unionByName(reach.withColumns({"_s": F.lit(None).cast(rows.schema["_s"].dataType), "_own": F.lit(0)}))
+    w = Window.partitionBy(by, "_stretch").orderBy("_own", "_s", "_e")
+    reached = F.max("_e").over(w.rowsBetween(Window.unboundedPreceding, -1))
+    marked = both.withColumn("_new", F.when(F.col("_own") == 0, 0).when(reached.isNull() | (F.col("_s") > reached + gap), 1).otherwise(0))
+    marked = marked.withColumn("_run", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0))).filter("_own = 1")
+    parts = marked.groupBy(by, "_stretch", "_run").agg(F.min("_s").alias("_s"), F.max("_e").alias("_e"), F.count("*").alias("_n"))
+    begun = F.max(F.when(F.col("_run") > 0, F.struct("_stretch", "_run")))
+    per = parts.groupBy(by, "_stretch").agg(begun.alias("_last"), F.max(F.when(F.col("_run") == 0, F.struct("_s", "_e", "_n"))).alias("_more"))
+    carried = per.withColumn("_last", F.last("_last", ignorenulls=True).over(along)).filter("_more IS NOT NULL").select(by, "_last.*", "_more.*")
+    whole = parts.filter("_run > 0").unionByName(carried).groupBy(by, "_stretch", "_run")
+    return whole.agg(F.min("_s").alias("start"), F.max("_e").alias("end"), F.sum("_n").alias("n")).drop("_stretch", "_run")
 
 
 def retire_missing(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
@@ -170,9 +202,19 @@ def motion_between(fixes: DataFrame, by: str, time: str, meters: Column) -> Data
     return fixes.withColumn("mph", F.when(speed.isNotNull(), F.least(F.lit(250.0), F.greatest(F.lit(1.0), speed))))
 
 
-def unwrap_lon(points: DataFrame, by: str, order: str, lon: str) -> DataFrame:
-    """Longitudes of a track moved by whole turns so that no step is over 180 degrees."""
-    w = Window.partitionBy(by).orderBy(order)
-    step = F.col(lon) - F.lag(lon).over(w)
-    turn = F.when(step > 180, -360).when(step < -180, 360).otherwise(0)
-    return points.withColumn("_turn", turn).withColumn("lon_unwrapped", F.col(lon) + F.sum("_turn").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("_turn")
+def unwrap_lon(points: DataFrame, by: str, order: str, lon: str, width: float = 86_400) -> DataFrame:
+    """Longitudes of a track moved by whole turns so that no step is over 180 degrees.
+
+    A track is walked in stretches of `width` seconds (or units of `order`); each is moved by the turns of those before.
+    """
+    turn = lambda step: F.when(step > 180, -360).when(step < -180, 360).otherwise(0)
+    rows = points.withColumn("_stretch", stretch_of(points, order, width))
+    w = Window.partitionBy(by, "_stretch").orderBy(order)
+    rows = rows.withColumn("_turn", turn(F.col(lon) - F.lag(lon).over(w)))
+    rows = rows.withColumn("_turned", F.sum("_turn").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    ends = rows.groupBy(by, "_stretch").agg(F.min_by(lon, order).alias("_first"), F.max_by(lon, order).alias("_last"), F.sum("_turn").alias("_turns"))
+    along = Window.partitionBy(by).orderBy("_stretch")
+    ends = ends.withColumn("_moved", turn(F.col("_first") - F.lag("_last").over(along)) + F.coalesce(F.lag("_turns").over(along), F.lit(0)))
+    ends = ends.select(F.col(by).alias("_by"), F.col("_stretch").alias("_at"), F.sum("_moved").over(along.rowsBetween(Window.unboundedPreceding, 0)).alias("_moved"))
+    out = rows.join(ends.hint("merge"), F.col(by).eqNullSafe(F.col("_by")) & F.col("_stretch").eqNullSafe(F.col("_at")))
+    return out.withColumn("lon_unwrapped", F.col(lon) + F.col("_turned") + F.col("_moved")).drop("_stretch", "_turn", "_turned", "_by", "_at", "_moved")
