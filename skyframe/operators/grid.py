@@ -6,6 +6,7 @@ and contours need dense grids, so they first join a skeleton of all cells (W7 is
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 import numpy as np
@@ -13,6 +14,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from skyframe.functions import geo
 from skyframe.operators.joins import dimension
 
 
@@ -80,6 +82,33 @@ def align_grids(a: DataFrame, b: DataFrame, ratio: int = 1, by: Sequence[str] =
     return l.join(r.hint("merge"), [F.col("_i") == F.col("bi"), F.col("_j") == F.col("bj"), *(F.col(k) == F.col(f"_{k}_of") for k in by)]).select(*by, "i", "j", "a", "b")
 
 
+def align_unlike(a: DataFrame, b: DataFrame, grids_a: DataFrame, grids_b: DataFrame, by: Sequence[str] = (), tolerance: float = 1e-4) -> DataFrame:
+    """J3 for grids of any geometry: (by..., i, j, a, b), every cell of a with the value of b over it, null where b has none.
+
+    grids_a, grids_b: a row per grid, (by..., lon1, lat1, di, dj, ni, nj), lon1 and lat1 the centre of cell (0, 0), rows
+    from north to south. Grids of equal size whose origins agree within the tolerance meet cell by cell; else each cell of a
+    takes the cell of b whose centre is nearest to its own, none outside of b.
+    """
+    shape = ("lon1", "lat1", "di", "dj", "ni", "nj")
+    ga = grids_a.select(*(F.col(k).alias(f"_{k}_a") for k in by), *(F.col(c).alias(f"_a_{c}") for c in shape))
+    gb = grids_b.select(*(F.col(k).alias(f"_{k}_b") for k in by), *(F.col(c).alias(f"_b_{c}") for c in shape))
+    if by:
+        both = ga.join(gb.hint("merge"), [F.col(f"_{k}_a") == F.col(f"_{k}_b") for k in by])
+        cells = a.join(dimension(both), [F.col(k) == F.col(f"_{k}_a") for k in by], "left")
+    else:
+        cells = a.crossJoin(F.broadcast(ga.limit(1))).crossJoin(F.broadcast(gb.limit(1)))
+    close = lambda c: F.abs(F.col(f"_a_{c}") - F.col(f"_b_{c}")) < tolerance
+    same = (F.col("_a_ni") == F.col("_b_ni")) & (F.col("_a_nj") == F.col("_b_nj")) & close("lon1") & close("lat1")
+    lon, lat = F.col("_a_lon1") + F.col("i") * F.col("_a_di"), F.col("_a_lat1") - F.col("j") * F.col("_a_dj")
+    i = F.when(same, F.col("i")).otherwise(F.floor((lon - F.col("_b_lon1")) / F.col("_b_di") + 0.5))
+    j = F.when(same, F.col("j")).otherwise(F.floor((F.col("_b_lat1") - lat) / F.col("_b_dj") + 0.5))
+    inside = i.between(0, F.col("_b_ni") - 1) & j.between(0, F.col("_b_nj") - 1)
+    at = cells.select(*by, "i", "j", F.col("value").alias("a"), F.when(inside, i).alias("_i"), F.when(inside, j).alias("_j"))
+    r = b.select(F.col("i").alias("_bi"), F.col("j").alias("_bj"), F.col("value").alias("b"), *(F.col(k).alias(f"_{k}_of") for k in by))
+    met = [F.col("_i") == F.col("_bi"), F.col("_j") == F.col("_bj"), *(F.col(k) == F.col(f"_{k}_of") for k in by)]
+    return at.join(r.hint("merge"), met, "left").select(*by, "i", "j", "a", "b")
+
+
 def crop_grid(cells: DataFrame, west: float, south: float, east: float, north: float, lon1: float, lat1: float, di: float, dj: float) -> DataFrame:
     """Cells whose centres lie in a box; west over east crosses the date line. Rows run from north to south."""
     lon, lat = F.pmod(lon1 + F.col("i") * di + 180, F.lit(360.0)) - 180, lat1 - F.col("j") * dj
@@ -134,15 +163,21 @@ def snow(cells: DataFrame, by: Sequence[str], hours: int, ratio: Column | float
     return accumulation(cells, by, hours).withColumn("snow", F.col("total") * ratio)
 
 
-def gaussian_smooth(cells: DataFrame, ni: int, nj: int, sigma: float = 1.2, lo: float = 0.0, hi: float = 1.0, radius: int = 3) -> DataFrame:
-    """Gaussian mean over 7 x 7 cells of the normalised value; missing cells of the grid count as -0.6, cells outside not at all."""
-    offsets = F.explode(F.sequence(F.lit(-radius), F.lit(radius)))
-    d = dense(cells, ni, nj).select("i", "j", F.coalesce((F.col("value") - lo) / (hi - lo), F.lit(-0.6)).alias("_x"))
-    moved = d.select("i", "j", "_x", offsets.alias("_a")).select("i", "j", "_x", "_a", offsets.alias("_b"))
-    w = F.exp(-(F.col("_a") * F.col("_a") + F.col("_b") * F.col("_b")) / (2 * sigma * sigma))
-    at = moved.select((F.col("i") + F.col("_a")).alias("i"), (F.col("j") + F.col("_b")).alias("j"), w.alias("_w"), (w * F.col("_x")).alias("_wx"))
-    inside = at.filter(F.col("i").between(0, ni - 1) & F.col("j").between(0, nj - 1))
-    return inside.groupBy("i", "j").agg((F.sum("_wx") / F.sum("_w")).alias("smooth"))
+def gaussian_smooth(cells: DataFrame, ni: int, nj: int, sigma: float = 1.2, lo: float = 0.0, hi: float = 1.0, radius: int = 3, by: Sequence[str] = ()) -> DataFrame:
+    """Gaussian mean over 7 x 7 cells of the normalised value, grid by grid; missing cells of the grid count as -0.6,
+    cells outside not at all. The weights are products of one for each axis: two passes over seven neighbours in a row."""
+    weights = {k: math.exp(-k * k / (2 * sigma * sigma)) for k in range(-radius, radius + 1)}
+
+    def along(x: str, at: str, n: int, w) -> Column:
+        near = lambda k: F.lead(x, k).over(w) if k > 0 else F.lag(x, -k).over(w) if k else F.col(x)
+        total = sum((F.coalesce(near(k), F.lit(0.0)) * g for k, g in weights.items()), F.lit(0.0))
+        inside = sum((F.when((F.col(at) + k).between(0, n - 1), g).otherwise(0.0) for k, g in weights.items()), F.lit(0.0))
+        return total / inside
+
+    across, down = Window.partitionBy(*by, "j").orderBy("i"), Window.partitionBy(*by, "i").orderBy("j")
+    d = dense(cells, ni, nj, by).select(*by, "i", "j", F.coalesce((F.col("value") - lo) / (hi - lo), F.lit(-0.6)).alias("_x"))
+    d = d.withColumn("_x", along("_x", "i", ni, across))
+    return d.select(*by, "i", "j", along("_x", "j", nj, down).alias("smooth"))
 
 
 def pressure_centers(cells: DataFrame, ni: int, nj: int, r: int, prominence: float, split: float, by: Sequence[str] = ()) -> DataFrame:
@@ -257,3 +292,41 @@ def regrid_lambert(cells: DataFrame, bbox: tuple[float, float, float, float], st
     at = target.withColumns({"_i": F.floor((x - x0) / dx + 0.5), "_j": F.floor((y - y0) / dy + 0.5)})
     c = cells.select(F.col("i").alias("_ci"), F.col("j").alias("_cj"), "value")
     return at.join(c.hint("merge"), (F.col("_i") == F.col("_ci")) & (F.col("_j") == F.col("_cj")), "left").select("ti", "tj", "value")
+
+
+def resample_lambert(cells: DataFrame, grids: DataFrame, step: float = 0.025, by: Sequence[str] = (), pad: float = 0.05) -> DataFrame:
+    """G11 on a box of its own: (by..., ti, tj, lon, lat, value), the nearest sample of each Lambert grid on a lat/lon grid of
+    `step` degrees over the box of its border cells, padded; rows run from north to south, null outside of the source grid.
+
+    grids: a row per grid, (by..., ni, nj, dx, dy, lo1, la1, latin1, latin2, lov, lad), lo1 and la1 the south-west corner.
+    """
+    rad, col = (lambda c: F.radians(F.col(c))), F.col
+    tan = lambda p: F.tan(F.lit(math.pi / 4) + p / 2)
+    p1, p2 = rad("latin1"), rad("latin2")
+    g = grids.withColumn("_n", F.when(F.abs(p1 - p2) < 1e-9, F.sin(p1)).otherwise(F.log(F.cos(p1) / F.cos(p2)) / F.log(tan(p2) / tan(p1))))
+    g = g.withColumn("_rf", geo.R_LAMBERT * F.cos(p1) * F.pow(tan(p1), "_n") / col("_n")).withColumn("_r0", col("_rf") / F.pow(tan(rad("lad")), "_n"))
+
+    def forward(lon: Column, lat: Column) -> tuple[Column, Column]:
+        turn, r = col("_n") * F.radians(lon - col("lov")), col("_rf") / F.pow(tan(F.radians(lat)), "_n")
+        return r * F.sin(turn), col("_r0") - r * F.cos(turn)
+
+    x0, y0 = forward(col("lo1"), col("la1"))
+    g = g.withColumns({"_x0": x0, "_y0": y0})
+    every = lambda n: F.sequence(F.lit(0), col(n) - 1, F.lit(8))
+    ends = lambda n: F.array(F.lit(0), col(n) - 1)
+    pairs = lambda outer, inner, swap: F.flatten(F.transform(outer, lambda u: F.transform(inner, lambda v: F.struct((v if swap else u).alias("i"), (u if swap else v).alias("j")))))
+    border = g.withColumn("_b", F.explode(F.concat(pairs(every("ni"), ends("nj"), False), pairs(every("nj"), ends("ni"), True))))
+    x, y = col("_x0") + col("_b.i") * col("dx"), col("_r0") - (col("_y0") + col("_b.j") * col("dy"))
+    lon = col("lov") + F.degrees(F.atan2(x, y) / col("_n"))
+    lat = F.degrees(2 * F.atan(F.pow(col("_rf") / (F.signum("_n") * F.sqrt(x * x + y * y)), 1 / col("_n")))) - 90
+    keep = [c for c in g.columns if c not in by]
+    box = border.withColumns({"_lon": lon, "_lat": lat}).groupBy(*by, *keep).agg(F.min("_lon").alias("_w"), F.max("_lon").alias("_e"), F.min("_lat").alias("_s"), F.max("_lat").alias("_t"))
+    size = lambda lo, hi: F.ceil((col(hi) - col(lo) + 2 * pad) / step).cast("int")
+    rows = box.withColumn("tj", F.explode(F.sequence(F.lit(0), size("_s", "_t") - 1))).repartition(*by, "tj")
+    at = rows.withColumn("ti", F.explode(F.sequence(F.lit(0), size("_w", "_e") - 1)))
+    at = at.withColumns({"lon": col("_w") - pad + col("ti") * step, "lat": col("_t") + pad - col("tj") * step})
+    x, y = forward(col("lon"), col("lat"))
+    at = at.withColumns({"_i": F.floor((x - col("_x0")) / col("dx") + 0.5), "_j": F.floor((y - col("_y0")) / col("dy") + 0.5)}).select(*by, "ti", "tj", "lon", "lat", "_i", "_j")
+    c = cells.select(col("i").alias("_ci"), col("j").alias("_cj"), "value", *(col(k).alias(f"_{k}_of") for k in by))
+    met = [col("_i") == col("_ci"), col("_j") == col("_cj"), *(col(k) == col(f"_{k}_of") for k in by)]
+    return at.join(c.hint("merge"), met, "left").select(*by, "ti", "tj", "lon", "lat", "value")

@@ -209,10 +209,13 @@ def dedupe_tilts(sweeps: DataFrame, by: Sequence[str], tolerance: float = 0.1) -
 
 
 def pick_sweep(sweeps: DataFrame, by: Sequence[str], elevation: float, slack: float = 0.1) -> DataFrame:
-    """Of the tilts within 0.1 degrees of the best fit, the freshest."""
+    """Of the tilts within 0.1 degrees of the best fit, the freshest. Two groupings, so no volume or site is sorted in one task."""
     d = F.abs(F.col("elevation") - elevation)
-    near = sweeps.withColumn("_d", d).withColumn("_best", F.min("_d").over(Window.partitionBy(*by))).filter(F.col("_d") <= F.col("_best") + slack)
-    return near.withColumn("_r", F.row_number().over(Window.partitionBy(*by).orderBy(F.desc("time"), "_d", "elevation"))).filter("_r = 1").drop("_d", "_best", "_r")
+    best = sweeps.groupBy(*by).agg(F.min(d).alias("_best")).select(*(F.col(k).alias(f"_{k}_of") for k in by), "_best")
+    near = sweeps.join(best.hint("merge"), [F.col(k).eqNullSafe(F.col(f"_{k}_of")) for k in by]).filter(d <= F.col("_best") + slack)
+    rest = [c for c in sweeps.columns if c not in by]
+    first = F.max_by(F.struct(*rest), F.struct("time", -d, -F.col("elevation"))).alias("_x")
+    return near.groupBy(*by).agg(first).select(*by, "_x.*").select(*sweeps.columns)
 
 
 def coherent_tilts(sweeps: DataFrame, by: Sequence[str], tolerance: float = 0.15) -> DataFrame:
@@ -220,8 +223,8 @@ def coherent_tilts(sweeps: DataFrame, by: Sequence[str], tolerance: float = 0.15
     a = sweeps.groupBy(*by).agg(F.array_sort(F.collect_set(F.col("elevation").cast("double"))).alias("_e"))
     heads = F.aggregate("_e", F.array().cast("array<double>"), lambda acc, e: F.when((F.size(acc) == 0) | (e - F.element_at(acc, -1) > tolerance), F.concat(acc, F.array(e))).otherwise(acc))
     g = sweeps.join(a.select(*by, heads.alias("_h")).hint("merge"), list(by)).withColumn("tilt", F.array_max(F.filter("_h", lambda h: h <= F.col("elevation"))))
-    newest = F.max("time").over(Window.partitionBy(*by, "tilt"))
-    cut = g.withColumn("_new", newest).withColumn("_cut", F.min("_new").over(Window.partitionBy(*by))).filter(F.col("time") <= F.col("_cut"))
+    newest = g.groupBy(*by, "tilt").agg(F.max("time").alias("_new")).groupBy(*by).agg(F.min("_new").alias("_cut"))
+    cut = g.join(newest.hint("merge"), list(by)).filter(F.col("time") <= F.col("_cut"))
     return cut.groupBy(*by, "tilt").agg(F.max(F.struct("time", "elevation")).alias("x")).select(*by, "tilt", "x.time", "x.elevation")
 
 
@@ -275,9 +278,10 @@ def gates_to_cells(gates: DataFrame, site_lat: Column | float, site_lon: Column
     return gates.withColumns({"i": F.floor((lon - lon1) / step + 0.5), "j": F.floor((F.lit(lat1) - lat) / step + 0.5)})
 
 
-def gate_exceedance(gates: DataFrame, guidance: DataFrame, least: float = 0.25) -> DataFrame:
-    """Rain at a gate over the guidance of its cell, kept from 0.25 mm up, in steps of 0.1."""
-    out = gates.join(guidance.select("i", "j", F.col("value").alias("ffg")).hint("merge"), ["i", "j"])
+def gate_exceedance(gates: DataFrame, guidance: DataFrame, least: float = 0.25, by: Sequence[str] = ()) -> DataFrame:
+    """Rain at a gate over the guidance of its cell, kept from 0.25 mm up, in steps of 0.1; `by`: the run and whatever
+    else gates and guidance have in common."""
+    out = gates.join(guidance.select(*by, "i", "j", F.col("value").alias("ffg")).hint("merge"), [*by, "i", "j"])
     over = F.col("value") - F.col("ffg")
     return out.withColumn("exceed", F.when(over >= least, F.floor(over * 10 + 0.5) / 10)).filter("exceed IS NOT NULL")
 

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from skyframe.operators.joins import dimension
+
 # The time in the object keys of each source: pattern, format, seconds a frame adds.
 GRAMMARS = {
     "volume": (r"(\d{8}_\d{6})", "yyyyMMdd_HHmmss"), "mosaic": (r"_(\d{8}-\d{6})\.", "yyyyMMdd-HHmmss"), "level3": (r"_(\d{4}_\d{2}_\d{2}_\d{2}_\d{2}_\d{2})", "yyyy_MM_dd_HH_mm_ss"),
@@ -99,17 +101,12 @@ def translate_fields(df: DataFrame, param: str = "param", value: str = "value")
     return df.withColumns({"var": F.coalesce(F.try_element_at(names, F.col(param)), F.col(param)), value: F.col(value) * F.coalesce(F.try_element_at(scale, F.col(param)), F.lit(1.0))})
 
 
-MOST_MODELS = 1000
-
-
 def run_calendar(models: DataFrame, days: DataFrame, now: Column) -> DataFrame:
-    """Runs of models (model, step_h, latency_h, hourly_to, max_hour, coarse_h) on days that are out by now, with their forecast hours."""
-    # The catalogue of models is a short list of settings: as an array literal every day row holds it, without a join.
-    rows = models.select("model", "step_h", "latency_h", "hourly_to", "max_hour", "coarse_h").limit(MOST_MODELS + 1).collect()
-    if len(rows) > MOST_MODELS:
-        raise ValueError(f"more than {MOST_MODELS} models: give them in several calls")
-    held = F.array(*(F.struct(*(F.lit(r[c]).alias(c) for c in r.asDict())) for r in rows))
-    r = days.withColumn("_m", F.explode(held)).select(*days.columns, "_m.*")
+    """Runs of models (model, step_h, latency_h, hourly_to, max_hour, coarse_h) on days that are out by now, with their forecast hours.
+
+    Every model has runs on every day, so models and days meet without a key: the calendar is as long as both together.
+    """
+    r = days.join(dimension(models.select("model", "step_h", "latency_h", "hourly_to", "max_hour", "coarse_h")))
     r = r.withColumn("cycle", F.explode(F.sequence(F.lit(0), F.lit(23), F.col("step_h"))))
     r = r.withColumn("run", F.col("day").cast("timestamp_ntz") + F.make_dt_interval(F.lit(0), F.col("cycle")))
     out = r.filter(F.col("run") + F.make_dt_interval(F.lit(0), F.col("latency_h")) <= now)
