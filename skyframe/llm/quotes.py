@@ -41,7 +41,7 @@ def link_quotes(messages: DataFrame, conv: str = "conv_id", turn: str = "turn",
     m = m.withColumn("lines", _lines(F.col("raw"))).withColumn("key", F.xxhash64("conv", "turn", "raw"))
     own = F.filter("lines", lambda x: x["depth"] == 0)
     m = m.withColumn("body", F.array_join(F.transform(own, lambda x: x["line"]), "\n"))
-    said = m.select("conv", "turn", F.explode(F.array_distinct(F.transform(F.concat(F.array("body"), F.split("body", "\n")), normalised))).alias("norm")).filter(F.col("norm") != "")
+    said = m.filter(F.col("conv").isNotNull() & F.col("turn").isNotNull()).select("conv", "turn", F.explode(F.array_distinct(F.transform(F.concat(F.array("body"), F.split("body", "\n")), normalised))).alias("norm")).filter(F.col("norm") != "")
 
     quoted = m.filter(F.exists("lines", lambda x: x["depth"] > 0)).select("conv", "turn", "key", F.posexplode("lines").alias("pos", "x")).select("conv", "turn", "key", "pos", "x.*").filter("depth > 0")
     island = F.col("pos") - F.row_number().over(Window.partitionBy("conv", "turn", "key", "depth").orderBy("pos"))
@@ -99,7 +99,8 @@ def reply_order(linked: DataFrame, conv: str = "conv_id", turn: str = "turn", te
     """The messages of link_quotes() with `thread`, the turn of the first message that they answer, directly or not, and `place`.
 
     place counts a conversation's messages from 1: threads by their first turn, and in a thread by turn and text, so a message follows
-    what it answers and no other thread comes between. Messages with a null conversation or turn are left out. Threads are
+    what it answers and no other thread comes between. Answers name a turn, so messages that share one share its thread: the
+    one begun by the latest turn that any of them quotes. Messages with a null conversation or turn are left out. Threads are
     found by doubling: a chain of n answers takes about log2(n) rounds, each written to the shared folder.
     """
     rows = linked.filter(F.col(conv).isNotNull() & F.col(turn).isNotNull()).withColumnsRenamed({conv: "conv", turn: "turn"})

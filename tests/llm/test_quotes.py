@@ -64,6 +64,14 @@ def test_links_equal_brute_force(spark):
         assert [p for p, _ in rows] == list(range(1, len(rows) + 1)) and [t for _, t in rows] == sorted(t for _, t in rows)
 
 
+def test_null_conversations_and_turns_link_to_nothing(spark):
+    """Messages that quote what was said, in a null conversation, at a null turn, and in a conversation with both."""
+    rows = [(None, 0, "a", "hello there"), (None, 1, "b", "> hello there\nyes"), (1, None, "a", "hello there"), (1, 3, "b", "> hello there\nno"), (1, None, "b", "> hello there\n> no\nwhy"), (1, 4, "c", "> no\n>> hello there\nso")]
+    out = quotes.link_quotes(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()
+    got = {(r["conv_id"], r["turn"], r["text"]): (r["n_passages"], r["n_linked"], r["max_depth"], r["parent_turn"]) for r in out}
+    assert got == brute(rows) and got[None, 1, "yes"] == (1, 0, 1, None) and got[1, 4, "so"] == (2, 1, 2, 3)
+
+
 def test_reply_order_keeps_threads_together(spark):
     linked = quotes.link_quotes(spark.createDataFrame(ROWS, SCHEMA))
     ordered = quotes.reply_order(linked).collect()
