@@ -280,13 +280,17 @@ def near_duplicates(prints: DataFrame, guarantee: int = 3, radius: int | None =
     """(id, fp, component_id) per row of prints (id long, fp binary).
 
     component_id is the least id reachable over links, itself included; without other documents it is the own
-    id. Rows that repeat an id are one document if their fingerprints are equal, else both link under it. A null id is
-    linked to nothing and keeps a null component. An empty table stays empty.
+    id. Rows that repeat an id are one document if their fingerprints are equal, else both link under it: what either is near
+    to is reachable from it. A null id is linked to nothing and keeps a null component. An empty table stays empty.
     """
     prints = staged(prints, "fingerprints")
-    nodes = staged(prints.filter(F.col("id").isNotNull()).groupBy("fp").agg(F.min("id").alias("id")), "nodes")
+    known = prints.filter(F.col("id").isNotNull())
+    nodes = staged(known.groupBy("fp").agg(F.min("id").alias("id")), "nodes")
     found = links(nodes, guarantee, guarantee if radius is None else radius, sizes)
-    roots = components(found)
+    several = known.groupBy("id").agg(F.min("fp").alias("one"), F.max("fp").alias("other")).filter("one != other").select(F.col("id").alias("a"))
+    under = known.select(F.col("id").alias("a"), "fp").distinct().join(several.hint("merge"), "a", "left_semi")
+    under = under.join(nodes.select("fp", F.col("id").alias("b")).hint("merge"), "fp").select("a", "b")
+    roots = components(found.union(under))
     by_print = nodes.join(roots.hint("merge"), "id", "left").select(F.col("fp"), F.coalesce("root", "id").alias("component_id"))
     out = prints.join(by_print.hint("merge"), "fp", "left")
     return out.select("id", "fp", F.when(F.col("id").isNotNull(), F.col("component_id")).alias("component_id"))

@@ -33,6 +33,27 @@ def test_hubs_change_nothing(spark):
     assert components.components(df.limit(0)).count() == 0
 
 
+def test_fingerprints_that_repeat_ids(spark):
+    """An id with several fingerprints joins all that either of them is near to."""
+    rng = np.random.default_rng(8)
+    near = lambda fp: fp ^ (1 << int(rng.integers(64))) ^ (1 << int(rng.integers(64)))
+    base = [int(x) for x in rng.integers(0, 1 << 63, 40)]
+    rows = [(3, base[0]), (5, base[0]), (5, base[1]), (9, base[1]), (9, None), (None, base[2])]
+    rows += [(int(rng.integers(10, 90)), near(base[int(rng.integers(40))])) for _ in range(60)]
+    rows = [(k, (base[3] if fp is None else fp)) for k, fp in rows]
+    df = spark.createDataFrame([(k, fp.to_bytes(8, "little")) for k, fp in rows], "id long, fp binary")
+    links = [(a, b) for a, x in rows for b, y in rows if a is not None and b is not None and (x ^ y).bit_count() <= 3]
+    prints = {}
+    for k, fp in rows:
+        prints.setdefault(k, []).append(fp)
+    roots = brute_components(links)
+    got = simhash.near_duplicates(df).collect()
+    assert len(got) == len(rows)
+    for r in got:
+        assert r["component_id"] == (None if r["id"] is None else roots.get(r["id"], r["id"])), r["id"]
+    assert roots[9] == 3 and sum(len(v) > 1 for v in prints.values()) > 5
+
+
 def edit_distance(item, text):
     row = [0] * (len(text) + 1)
     for i, c in enumerate(item, 1):
