@@ -27,6 +27,30 @@ class Field:
     back: int = 0
 
 
+@dataclass(frozen=True)
+class ByHour:
+    """K1: a source that depends on the forecast hour: (first hour, last hour or None for no end, field), ranges apart from each other."""
+
+    ranges: tuple[tuple[int, int | None, Field], ...]
+
+
+Source = Field | ByHour
+
+
+def by_hour(*ranges: tuple[int, int | None, tuple | Field]) -> ByHour:
+    """K1: by_hour((0, 36, ("APCP", "surface")), (37, None, ("TP", "surface")))."""
+    return ByHour(tuple((lo, hi, f if isinstance(f, Field) else Field(*f)) for lo, hi, f in ranges))
+
+
+def _ranges(source: Source) -> tuple[tuple[int, int | None, Field], ...]:
+    return source.ranges if isinstance(source, ByHour) else ((0, None, source),)
+
+
+def _changed(source: Source, change: Callable[[Field], Field]) -> Source:
+    """The source with each of its fields changed."""
+    return ByHour(tuple((lo, hi, change(f)) for lo, hi, f in source.ranges)) if isinstance(source, ByHour) else change(source)
+
+
 @dataclass(frozen=True)
 class Product:
     """The rule gets the names of the fields' columns, in order; there is a value where the `needed` fields (all, or these places)
@@ -34,7 +58,7 @@ class Product:
     fell in the last `window` hours, or since the run began. Before `min_hour` there are no values."""
 
     id: str
-    fields: tuple[Field, ...]
+    fields: tuple[Source, ...]
     rule: Callable[..., Column]
     scale: float = 1.0
     window: int = 0
@@ -49,12 +73,12 @@ def _first(column: str, *_: str) -> Column:
     return F.col(column)
 
 
-def make_product(id: str, fields: Sequence[tuple | Field], rule: Callable[..., Column] = _first, **how) -> Product:
+def make_product(id: str, fields: Sequence[tuple | Source], rule: Callable[..., Column] = _first, **how) -> Product:
     """K1: a product of the user's own; without a rule it is the first field (M1)."""
-    return Product(id, tuple(f if isinstance(f, Field) else Field(*f) for f in fields), rule, **how)
+    return Product(id, tuple(f if isinstance(f, Source) else Field(*f) for f in fields), rule, **how)
 
 
-def with_product(catalogue: Catalogue, id: str, fields: Sequence[tuple | Field], rule: Callable[..., Column] = _first, **how) -> Catalogue:
+def with_product(catalogue: Catalogue, id: str, fields: Sequence[tuple | Source], rule: Callable[..., Column] = _first, **how) -> Catalogue:
     """K1: the catalogue and one more product; the catalogue given stays as it is."""
     return {**catalogue, id: make_product(id, fields, rule, **how)}
 
@@ -64,7 +88,7 @@ def product_for_model(model: str | None, id: str, catalogue: Catalogue, override
     held = OVERRIDES if overrides is None else overrides
     p = replace(catalogue[id], **held.get((model, id), {}))
     names = LEVEL_NAMES.get(model, {})
-    return replace(p, fields=tuple(replace(f, level=names.get(f.var, f.level)) for f in p.fields))
+    return replace(p, fields=tuple(_changed(s, lambda f: replace(f, level=names.get(f.var, f.level))) for s in p.fields))
 
 
 def model_products(model: str, order: Sequence[str] | None = None) -> list[str]:
@@ -82,33 +106,40 @@ def default_product(model: str) -> str:
 def products(cells: DataFrame, ids: Sequence[str], catalogue: Catalogue | None = None, by: Sequence[str] = ("run", "hour", "i", "j"), hour: str = "hour", model: str | None = None, overrides: Mapping[tuple[str, str], dict] | None = None) -> DataFrame:
     """(id, by..., value) of products from cells (by..., var, level, value and, for totals, acc). Missing values are left out.
 
-    One grouping for all products. `hour`, one of `by`, is the forecast hour; tables without it can have no windows.
-    Cells without a column acc are taken to match every accumulation.
+    One grouping for all products: a cell is looked up in a table of the fields that some product reads, by its variable and
+    level, and goes to the places that ask for it at its hour. `hour`, one of `by`, is the forecast hour; tables without it
+    can have no windows and take sources that depend on the hour at hour 0. Cells without a column acc are taken to match
+    every accumulation.
     """
     wanted = [product_for_model(model, i, MODEL if catalogue is None else catalogue, overrides) for i in ids]
-    fields = list(dict.fromkeys(f for p in wanted for f in (*p.fields, *((replace(p.fields[-1], back=p.window),) if p.window else ()))))
+    earlier = lambda p: _changed(p.fields[-1], lambda f: replace(f, back=p.window))
+    fields = list(dict.fromkeys(f for p in wanted for f in (*p.fields, *((earlier(p),) if p.window else ()))))
     timed, acc = hour in cells.columns, "acc" in cells.columns
 
-    def holds(f: Field) -> Column:
-        hit = (F.col("var") == f.var) & (F.col("level") == f.level)
-        if acc and f.total:
-            hit &= F.col("acc").startswith("0-")
-        if acc and f.bucket:
-            h = F.col(hour).cast("int")
-            hit &= F.col("acc").startswith(F.concat((h - f.bucket).cast("string"), F.lit("-"), h.cast("string"), F.lit(" hour acc")))
-        return hit
-
-    hits = F.array(*(F.struct(F.when(holds(f), F.lit(k)).alias("k"), F.lit(f.back).alias("back")) for k, f in enumerate(fields)))
-    rows = cells.select(*by, "value", F.explode(F.filter(hits, lambda x: x["k"].isNotNull())).alias("hit"))
+    entries = [(f.var, f.level, k, f.back, f.total, f.bucket, lo, hi) for k, source in enumerate(fields) for lo, hi, f in _ranges(source)]
+    kind = "array<struct<var: string, level: string, k: int, back: int, total: boolean, bucket: int, lo: int, hi: int>>"
+    names = [n.split(":")[0] for n in kind[13:-2].split(", ")]
+    literal = F.array(*(F.struct(*(F.lit(v).alias(n) for n, v in zip(names, e, strict=True))) for e in entries)).cast(kind)
+    lookup = cells.sparkSession.range(1).select(F.explode(literal).alias("hit"))  # a row for each field of a catalogue
+    lookup = lookup.select("hit", F.col("hit.var").alias("_var"), F.col("hit.level").alias("_level"))
+    rows = cells.join(F.broadcast(lookup), (F.col("var") == F.col("_var")) & (F.col("level") == F.col("_level")))
+    if acc:
+        now = F.col(hour).cast("int") if timed else F.lit(0)
+        bucket = F.concat((now - F.col("hit.bucket")).cast("string"), F.lit("-"), now.cast("string"), F.lit(" hour acc"))
+        rows = rows.filter((~F.col("hit.total") | F.col("acc").startswith("0-")) & ((F.col("hit.bucket") == 0) | F.col("acc").startswith(bucket)))
+    asked = F.col(hour) + F.col("hit.back") if timed else F.lit(0)
+    if any(isinstance(f, ByHour) for f in fields):
+        rows = rows.filter((asked >= F.col("hit.lo")) & (F.col("hit.hi").isNull() | (asked <= F.col("hit.hi"))))
+    rows = rows.select(*by, "value", "hit")
     if timed:
-        rows = rows.withColumn(hour, F.col(hour) + F.col("hit.back"))
+        rows = rows.withColumn(hour, asked)
     wide = rows.groupBy(*by).agg(*(F.max(F.when(F.col("hit.k") == k, F.col("value"))).alias(f"_f{k}") for k in range(len(fields))))
     name = {f: f"_f{k}" for k, f in enumerate(fields)}
     out = []
     for k, p in enumerate(wanted):
         args = [name[f] for f in p.fields]
         if p.window:
-            now, then = F.col(args[-1]), F.col(name[replace(p.fields[-1], back=p.window)])
+            now, then = F.col(args[-1]), F.col(name[earlier(p)])
             fell = F.when(F.col(hour) <= p.window, now).when(now.isNotNull() & then.isNotNull(), F.greatest(now - then, F.lit(0.0)))
             wide, args[-1] = wide.withColumn(f"_w{k}", fell), f"_w{k}"
         value = p.rule(*args) * p.scale
@@ -149,10 +180,6 @@ def first_available(*sources: str | Column) -> Column:
     return F.coalesce(*sources)
 
 
-def _windowed(rule: Callable[..., Column], hours: int, *fields: Field) -> dict:
-    return {"fields": fields, "rule": rule, "window": hours}
-
-
 def snow_10_to_1(water: str) -> Column:
     """Snow (mm) at ten times its water."""
     return F.greatest(F.col(water), F.lit(0.0)) * 10

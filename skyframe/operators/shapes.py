@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from skyframe.functions import geo
 from skyframe.functions.reports import MAP_EVENTS, alert_rank
 from skyframe.operators.joins import dimension
+from skyframe.sources.shared import staged
 
 
 def ring_bounds(ring: Column) -> Column:
@@ -85,33 +86,47 @@ def active_at(alerts: DataFrame, times: DataFrame, bucket_days: int = 1) -> Data
     return t.join(a.hint("merge"), (F.col("_d2") == F.col("_d")) & (F.col("_b") <= F.col("time")) & (F.col("_e").isNull() | (F.col("time") < F.col("_e")))).drop("_d", "_d2", "_b", "_e", "_last", "_to")
 
 
-def nearest_site(points: DataFrame, sites: DataFrame, key: str) -> DataFrame:
+def nearest_site(points: DataFrame, sites: DataFrame, key: str, terminal: str | None = None) -> DataFrame:
     """Each point's nearest site by great circle (ties: least id); null where a point or all sites lack a place.
 
-    Equal places are one. Points meet the sites of their tile and its eight neighbours; a nearest one closer than any
-    site beyond these can be is settled, the other points go on with wider tiles, the last of which hold all sites.
+    Sites whose column `terminal` is true take no part. Equal places are one. Tiles of points and tiles of sites are halved
+    together, level by level; a pair of tiles is dropped once it is proven that another site tile holds a nearer site for
+    every point of the point tile. Points then meet the sites of the tiles left, wherever these are: no point meets all sites.
     """
     at = lambda c: F.col(c).cast("double")
     rad = lambda c: c * 0.017453292519943295
-    s = sites.select(at("lat").alias("_sa"), at("lon").alias("_so"), "site").dropna(subset=["_sa", "_so"]).groupBy("_sa", "_so").agg(F.min("site").alias("site"))
-    left = points.select(at("lat").alias("_a"), at("lon").alias("_o")).dropna().distinct()
-    h = F.pow(F.sin(rad(F.col("_sa") - F.col("_a")) / 2), 2) + F.cos(rad(F.col("_a"))) * F.cos(rad(F.col("_sa"))) * F.pow(F.sin(rad(F.col("_so") - F.col("_o")) / 2), 2)
-    dist = 2 * geo.R_EARTH * F.asin(F.least(F.lit(1.0), F.sqrt(h)))
-    finest = min(12, max(1, math.ceil(math.log2(s.count() + 1) / 2)))
-    found = None
-    for k in sorted({*range(finest, 1, -2), 1}, reverse=True):
-        size, around = 360 / 2**k, 2**k
-        tx, ty = (lambda c, z=size: F.floor((F.col(c) + 180) / z)), (lambda c, z=size: F.floor((F.col(c) + 90) / z))
-        p = left.withColumn("_x", F.explode(F.array_distinct(F.array(*(F.pmod(tx("_o") + d, F.lit(around)) for d in (-1, 0, 1)))))).withColumn("_y", F.explode(F.array(*(ty("_a") + d for d in (-1, 0, 1)))))
-        met = p.join(s.withColumns({"_x": F.pmod(tx("_so"), F.lit(around)), "_y": ty("_sa")}).hint("merge"), ["_x", "_y"])
-        best = met.groupBy("_a", "_o").agg(F.min(F.struct(dist.alias("d"), "site")).alias("_best"))
-        beyond = geo.R_EARTH * F.asin(F.cos(rad(F.col("_a"))) * math.sin(math.radians(min(size, 90)))) * (1 - 1e-9)
-        state = left.join(best.hint("merge"), ["_a", "_o"], "left").withColumn("_settled", F.lit(k == 1) | F.coalesce(F.col("_best.d") < beyond, F.lit(False))).persist()
-        settled = state.filter("_settled").select("_a", "_o", "_best")
-        found = settled if found is None else found.union(settled)
-        left = state.filter("NOT _settled").select("_a", "_o")
-        if k > 1 and left.isEmpty():
-            break
+
+    def distance(a: Column, o: Column, b: Column, q: Column) -> Column:
+        h = F.pow(F.sin(rad(b - a) / 2), 2) + F.cos(rad(a)) * F.cos(rad(b)) * F.pow(F.sin(rad(q - o) / 2), 2)
+        return 2 * geo.R_EARTH * F.asin(F.least(F.lit(1.0), F.sqrt(h)))
+
+    used = sites if terminal is None else sites.filter(~F.coalesce(F.col(terminal), F.lit(False)))
+    s = used.select(at("lat").alias("_sa"), at("lon").alias("_so"), "site").dropna(subset=["_sa", "_so"]).groupBy("_sa", "_so").agg(F.min("site").alias("site"))
+    p = points.select(at("lat").alias("_a"), at("lon").alias("_o")).dropna().distinct()
+    finest = min(14, max(1, math.ceil(math.log2(s.count() + 1) / 2) + 1))
+
+    def tiled(df: DataFrame, lat: str, lon: str, x: str, y: str) -> DataFrame:
+        size, n = 360 / 2**finest, 2**finest
+        across = F.least(F.floor(F.pmod(F.col(lon) + 180, F.lit(360.0)) / size), F.lit(n - 1)).cast("int")
+        return df.withColumns({x: across, y: F.greatest(F.lit(0), F.least(F.floor((F.col(lat) + 90) / size), F.lit(n // 2 - 1))).cast("int")})
+
+    s, p = staged(tiled(s, "_sa", "_so", "_sx", "_sy"), "sites"), staged(tiled(p, "_a", "_o", "_px", "_py"), "places")
+    s_tiles, p_tiles = staged(s.select("_sx", "_sy").distinct(), "site-tiles"), staged(p.select("_px", "_py").distinct(), "place-tiles")
+    pairs = p.sparkSession.range(1).select(*(F.lit(0).alias(c) for c in ("_px", "_py", "_sx", "_sy")))
+    for level in range(1, finest + 1):
+        size, up = 360 / 2**level, finest - level
+        children = lambda df, x, y, n: df.select(F.shiftright(x, n).alias(x), F.shiftright(y, n).alias(y)).distinct().select("*", F.shiftright(x, 1).alias(f"{x}0"), F.shiftright(y, 1).alias(f"{y}0"))
+        parents = pairs.withColumnsRenamed({c: f"{c}0" for c in ("_px", "_py", "_sx", "_sy")})
+        met = parents.join(children(p_tiles, "_px", "_py", up).hint("merge"), ["_px0", "_py0"]).join(children(s_tiles, "_sx", "_sy", up).hint("merge"), ["_sx0", "_sy0"])
+        lat, lon = (lambda y, z=size: (F.col(y) + 0.5) * z - 90), (lambda x, z=size: (F.col(x) + 0.5) * z - 180)
+        # a place is at most half a tile's height and then half its width along a parallel away from the centre
+        reach = lambda y, z=size, la=lat: geo.R_EARTH * math.radians(z / 2) * (1 + F.cos(rad(F.greatest(F.lit(0.0), F.abs(la(y)) - z / 2))))
+        apart, spread = distance(lat("_py"), lon("_px"), lat("_sy"), lon("_sx")), reach("_py") + reach("_sy")
+        met = met.select("_px", "_py", "_sx", "_sy", (apart - spread).alias("_low"), (apart + spread).alias("_high"))
+        best = met.groupBy("_px", "_py").agg((F.min("_high") * (1 + 1e-9) + 1e-3).alias("_best"))
+        pairs = staged(met.join(best.hint("merge"), ["_px", "_py"]).filter(F.col("_low") <= F.col("_best")).select("_px", "_py", "_sx", "_sy"), "tile-pairs")
+    near = p.join(pairs.hint("merge"), ["_px", "_py"]).join(s.hint("merge"), ["_sx", "_sy"])
+    found = near.groupBy("_a", "_o").agg(F.min(F.struct(distance(F.col("_a"), F.col("_o"), F.col("_sa"), F.col("_so")).alias("d"), "site")).alias("_best"))
     out = points.withColumns({"_a": at("lat"), "_o": at("lon")}).join(found.hint("merge"), ["_a", "_o"], "left")
     return out.withColumns({"site": F.col("_best.site"), "dist_m": F.col("_best.d")}).drop("_a", "_o", "_best")
 

@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
+from skyframe.operators import colours, playback, products, shapes
 from skyframe.operators import grid as A
 from skyframe.operators import radar as R
 from skyframe.plans.base import query
+from skyframe.sources import catalog as C
+from skyframe.sources.shared import shared_dir
 
 N = 12
 DENSE = """(SELECT r.run, i, j, value FROM (SELECT DISTINCT run FROM [run_cell]) r CROSS JOIN (SELECT unnest(range(12)) AS i) a
@@ -165,3 +170,70 @@ def _(x):
     at = R.gates_to_cells(g.withColumn("range_m", 2000 + F.col("gate") * 250), 38.0, -97.0, -97.12, 38.12, 0.02)
     out = R.gate_exceedance(at, x.d("run_cell").withColumn("value", F.col("value") / 10), by=["run"])
     return out.select("run", "azimuth", "gate", "i", "j", "exceed")
+
+
+@query("r13_product_series", f"""
+WITH d AS {DENSE} SELECT a.run, a.i, a.j, round(avg(b.value) FILTER (WHERE b.value < 60), 6) AS mean
+FROM d a JOIN d b ON a.run = b.run AND abs(a.i - b.i) <= 2 AND abs(a.j - b.j) <= 2 GROUP BY ALL""")
+def _(x):
+    """Every frame of a period; half of them have come, and been worked out, before."""
+    frames, path = x.d("run_cell"), f"{shared_dir(x.spark)}/series-{uuid.uuid4().hex}"
+    smooth = lambda df, by: A.box_mean(df, N, N, 2, 60, by).select(*by, "i", "j", F.round("mean", 6).alias("mean"))
+    playback.product_series(frames.filter("run % 2 = 0"), "run", smooth, path)
+    return playback.product_series(frames, "run", smooth, path)
+
+
+@query("m31_palette_tables", """
+WITH p AS (
+  SELECT n_nationkey AS palette, n_nationkey AS k, unnest([
+    struct_pack(v := k % 7::DOUBLE, w := (10 + k)::DOUBLE, c := [k, 20, 30, 100], e := [200, 210, 220, 250], first := true, last := false),
+    struct_pack(v := (10 + k)::DOUBLE, w := (25 + k)::DOUBLE, c := [255, k, 0, 255], e := [9, 2 * k, 99, 255], first := false, last := false),
+    struct_pack(v := (25 + k)::DOUBLE, w := (40 + k)::DOUBLE, c := [9, 2 * k, 99, 255], e := [9, 2 * k, 99, 255], first := false, last := true)]) AS s FROM nation
+), x AS (
+  SELECT c_custkey AS place, c_nationkey AS palette, k % 7::DOUBLE AS lo, (40 + k)::DOUBLE AS hi,
+         least(1023, greatest(0, floor((c_acctbal / 200 - lo) / (hi - lo) * 1023 + 0.5))) AS step, lo + (hi - lo) * step / 1023 AS v
+  FROM customer JOIN (SELECT n_nationkey AS c_nationkey, n_nationkey AS k FROM nation) USING (c_nationkey)
+), y AS (
+  SELECT x.place, s.c AS c, s.e AS e, (x.v - s.v) / (s.w - s.v) AS t FROM x JOIN p ON p.palette = x.palette AND (s.first OR x.v > s.v) AND (s.last OR x.v <= s.w)
+)
+SELECT place, floor(list_extract(c, 1) + (list_extract(e, 1) - list_extract(c, 1)) * t + 0.5)::INT AS red, floor(list_extract(c, 2) + (list_extract(e, 2) - list_extract(c, 2)) * t + 0.5)::INT AS green,
+       floor(list_extract(c, 3) + (list_extract(e, 3) - list_extract(c, 3)) * t + 0.5)::INT AS blue, floor(list_extract(c, 4) + (list_extract(e, 4) - list_extract(c, 4)) * t + 0.5)::INT AS alpha FROM y""")
+def _(x):
+    """Palettes read from their text, one for each nation, colour the balances of its customers."""
+    k = F.col("n_nationkey")
+    text = F.array(
+        F.format_string("Color4: %d %d 20 30 100 200 210 220 250", k % 7, k), F.format_string("SolidColor: %d 9 %d 99", k + 25, k * 2),
+        F.format_string("Color: %d 255 %d 0 ; in between", k + 10, k), F.format_string("Color: %d 1 2 3", k + 40),
+    )
+    tables = colours.color_tables(C.palettes(x.t("nation").select(k.alias("palette"), F.posexplode(text).alias("pos", "value"))))
+    values = x.t("customer").select(F.col("c_custkey").alias("place"), F.col("c_nationkey").alias("product"), (F.col("c_acctbal") / 200).alias("value"))
+    return colours.colour_by_table(values, "value", "product", tables).select("place", *colours.CHANNELS)
+
+
+@query("k1_sources_by_hour", """
+SELECT run, hour, i, j, round(CASE WHEN hour <= 18 THEN q WHEN hour <= 36 THEN d ELSE n END + x, 6) AS value FROM [grid]
+UNION ALL
+SELECT run + 1000000, hour, i, j, round(CASE WHEN hour <= 12 THEN t ELSE greatest(t - b, 0) END, 6) FROM (
+  SELECT a.*, CASE WHEN a.hour <= 24 THEN a.q ELSE a.d END AS t, CASE WHEN a.hour <= 24 THEN p.q ELSE p.d END AS b
+  FROM [grid] a LEFT JOIN [grid] p ON p.run = a.run AND p.i = a.i AND p.j = a.j AND p.hour = a.hour - 12) WHERE hour <= 12 OR b IS NOT NULL""")
+def _(x):
+    """A field that comes from three sources by forecast hour, and a window over a total whose source changes after a day."""
+    pairs = F.explode(F.array(*(F.struct(F.lit(v.upper()).alias("var"), F.col(v).cast("double").alias("value")) for v in "qdnx"))).alias("f")
+    cells = x.d("grid").select("run", "hour", "i", "j", pairs).select("run", "hour", "i", "j", "f.var", F.lit("surface").alias("level"), "f.value")
+    first = products.by_hour((0, 18, ("Q", "surface")), (19, 36, ("D", "surface")), (37, None, ("N", "surface")))
+    mine = products.with_product({}, "SUM", [first, ("X", "surface")], lambda a, b: F.col(a) + F.col(b))
+    total = products.by_hour((0, 24, ("Q", "surface")), (25, None, ("D", "surface")))
+    mine = products.with_product(mine, "FELL", [total], window=12)
+    out = products.products(cells, ["SUM", "FELL"], mine)
+    return out.select((F.col("run") + F.when(F.col("id") == "FELL", 1_000_000).otherwise(0)).alias("run"), "hour", "i", "j", F.round("value", 6).alias("value"))
+
+
+@query("j12_nearest_main_site", """
+WITH d AS (SELECT p.place, s.site, acos(least(1, greatest(-1, sin(radians(p.lat)) * sin(radians(s.lat)) + cos(radians(p.lat)) * cos(radians(s.lat)) * cos(radians(p.lon - s.lon))))) AS a
+  FROM (SELECT place, lon * 1.37 AS lon, lat * 0.83 + 3 AS lat FROM [place]) p, [site] s WHERE s.site % 7 <> 0)
+SELECT place, round(6371.0088 * min(a), 1) AS km FROM d GROUP BY 1""")
+def _(x):
+    """Terminal radars are left out; distances by another formula."""
+    p = x.d("place").select("place", (F.col("lon") * 1.37).alias("lon"), (F.col("lat") * 0.83 + 3).alias("lat"))
+    out = shapes.nearest_site(p, x.d("site").withColumn("terminal", F.col("site") % 7 == 0), "place", "terminal")
+    return out.select("place", F.round(F.col("dist_m") / 1000, 1).alias("km"))
