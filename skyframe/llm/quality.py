@@ -3,7 +3,7 @@
 Texts are read as bytes in chunks that overlap by 64 bytes and cover all of them. Filters of 8 bytes at every
 place look up learned responses per byte, each filter keeps its greatest response in a chunk, and the
 greatest and the mean of these over all chunks make one probability. For training, workers cut the sampled texts,
-whatever their length, and send at most `CHUNKS` chunks of each, drawn from all of it.
+whatever their length, and send a bounded number of chunks of each, drawn from all of it.
 """
 
 from __future__ import annotations
@@ -19,8 +19,6 @@ from pyspark.sql import functions as F
 from skyframe.llm.common import fold_of, labelled_sample, slices
 
 CHUNK, OVERLAP, WIDTH, STEP, FILTERS, EMBED = 512, 64, 8, 1, 16, 6
-CHUNKS = 48
-
 
 def chunks(text: bytes) -> list[np.ndarray]:
     """Overlapping chunks that cover the text; a text shorter than a filter is padded with zero bytes."""
@@ -54,7 +52,7 @@ def _features(best: np.ndarray, owner_first: np.ndarray):
     return np.concatenate([np.maximum.reduceat(held, owner_first, axis=0), np.add.reduceat(held, owner_first, axis=0) / n[:, None]], axis=1)
 
 
-def drawn_chunks(text: bytes, most: int = CHUNKS) -> list[np.ndarray]:
+def drawn_chunks(text: bytes, most: int = 48) -> list[np.ndarray]:
     """All chunks of a text, or `most` of them drawn from the whole of it, the same ones on every run."""
     cut = chunks(text)
     if len(cut) <= most:
@@ -62,10 +60,13 @@ def drawn_chunks(text: bytes, most: int = CHUNKS) -> list[np.ndarray]:
     return [cut[k] for k in sorted(np.random.default_rng(crc32(text)).choice(len(cut), most, replace=False))]
 
 
-def _draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch, texts in slices(batches):
-        cut = [[c.tobytes() for c in drawn_chunks(t or b"")] for t in texts]
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(cut, pa.list_(pa.binary())), batch.column(2)], ["place", "chunks", "y"])
+def _draw(most: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, texts in slices(batches):
+            cut = [[c.tobytes() for c in drawn_chunks(t or b"", most)] for t in texts]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(cut, pa.list_(pa.binary())), batch.column(2)], ["place", "chunks", "y"])
+
+    return run
 
 
 def fit(rows: list[tuple[list[np.ndarray], int]], epochs: int = 12, seed: int = 11, sample: int = 4) -> dict:
@@ -152,15 +153,17 @@ def _score(shared):
     return run
 
 
-def quality(docs: DataFrame, labels: DataFrame, rows: int = 4000, threshold: float = 0.3) -> DataFrame:
+def quality(docs: DataFrame, labels: DataFrame, rows: int = 4000, threshold: float = 0.3, text_chunks: int = 48, epoch_chunks: int = 4) -> DataFrame:
     """(doc_id, held_out, score, predicted) per row of docs (doc_id, text), learned from labels (doc_id, quality).
 
-    `rows` bounds the labelled sample, not the length of its texts; fold 0 of 5 by crc32 of the id is held out. Null and empty texts are
+    The fit is on a bounded sample: at most `rows` labelled texts, of each at most `text_chunks` chunks of 512 bytes drawn from
+    all of it (a text of up to 21 kB has no more), and `epoch_chunks` of these, drawn anew, in each epoch. Every text is scored
+    whole. Fold 0 of 5 by crc32 of the id is held out. Null and empty texts are
     scored as zero bytes. Rows that repeat an id are scored each, a null id stays null. Only the text enters a score.
     """
-    drawn = labelled_sample(docs, labels, "quality", rows=rows).mapInArrow(_draw, "place long, chunks array<binary>, y int").collect()
+    drawn = labelled_sample(docs, labels, "quality", rows=rows).mapInArrow(_draw(text_chunks), "place long, chunks array<binary>, y int").collect()
     drawn.sort(key=lambda r: (r["place"], r["chunks"]))
-    shared = docs.sparkSession.sparkContext.broadcast(fit([([np.frombuffer(c, np.uint8) for c in r["chunks"]], r["y"]) for r in drawn]))
+    shared = docs.sparkSession.sparkContext.broadcast(fit([([np.frombuffer(c, np.uint8) for c in r["chunks"]], r["y"]) for r in drawn], sample=epoch_chunks))
     kind = docs.schema["doc_id"].dataType.simpleString()
     scored = docs.select(F.col("doc_id").alias("id"), F.col("text").cast("string").alias("text")).mapInArrow(_score(shared), f"id {kind}, score double")
     return scored.select(F.col("id").alias("doc_id"), (fold_of("id", 5) == 0).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))

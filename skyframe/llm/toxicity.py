@@ -4,7 +4,7 @@ A step reads one word as two inputs: the word itself and its character 3- to 5-g
 that hold smoothed log-odds learned from labelled rows (out of fold while the network is trained on them).
 The network reads windows of 32 words, each overlapping the next by 8, that cover the whole text; a text scores as its
 worst window. It is trained on the windows that matter: the worst of each toxic text, the worst few of each clean one.
-Workers read the sampled texts, whatever their length: first they count buckets, then they pick three windows of each.
+Workers read the sampled texts, whatever their length: first they count buckets, then they pick a few windows of each.
 """
 
 from __future__ import annotations
@@ -204,8 +204,8 @@ class Counts:
         return _odds(self.words.sum(axis=0), self.totals.sum(axis=0)), _odds(self.grams.sum(axis=0), self.totals.sum(axis=0))
 
 
-def training_windows(text: bytes, word_odds: np.ndarray, gram_odds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Inputs (n, STEPS, INPUTS) and mask of up to three windows: the two with the strongest words and one drawn from all."""
+def training_windows(text: bytes, word_odds: np.ndarray, gram_odds: np.ndarray, most: int = 3) -> tuple[np.ndarray, np.ndarray]:
+    """Inputs (n, STEPS, INPUTS) and mask of up to `most` windows: those with the strongest words, a third of them drawn from all."""
     words = text.translate(LOWER).split()
     vocab = sorted(set(words))
     place = {w: i for i, w in enumerate(vocab)}
@@ -215,8 +215,10 @@ def training_windows(text: bytes, word_odds: np.ndarray, gram_odds: np.ndarray)
     at = np.array(window_starts(len(words)))
     value = table[:, :2].sum(axis=1)
     strength = np.concatenate([np.sort(value[doc[at[k : k + 4096, None] + np.arange(STEPS)]], axis=1)[:, -4:].sum(axis=1) for k in range(0, len(at), 4096)])
-    best = np.argsort(-strength, kind="stable")[:2]
-    pick = np.unique(np.append(best, np.random.default_rng(crc32(text)).integers(len(at))))
+    any_of = max(1, most // 3)
+    best = np.argsort(-strength, kind="stable")[: most - any_of]
+    drawn = np.random.default_rng(crc32(text)).integers(len(at), size=any_of)
+    pick = np.unique(np.append(best, drawn))
     cut = doc[at[pick, None] + np.arange(STEPS)]
     mask = cut < len(vocab)
     mask[:, 0] |= ~mask.any(axis=1)  # an empty text is one blank step
@@ -299,18 +301,18 @@ def _count_buckets(folds: int):
     return run
 
 
-def _pick_windows(shared, folds: int):
+def _pick_windows(shared, folds: int, most: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in slices(batches):
-            found = [training_windows(t or b"", *shared.value[fold_of_text(t or b"", folds)]) for t in texts]
+            found = [training_windows(t or b"", *shared.value[fold_of_text(t or b"", folds)], most) for t in texts]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x.tobytes() for x, _ in found], pa.binary()), pa.array([m.tobytes() for _, m in found], pa.binary()), batch.column(2)], ["place", "x", "mask", "y"])
 
     return run
 
 
-def learn(docs: DataFrame, labels: DataFrame, rows: int = 4000, folds: int = 4, parts: int = 8) -> dict:
-    """fit() of a labelled sample that stays with the workers: `parts` tasks read it. What reaches the driver is bounded by `rows` and
-    `parts`, not by the texts: bucket counts of every task, and three windows of every text."""
+def learn(docs: DataFrame, labels: DataFrame, rows: int = 4000, text_windows: int = 3, folds: int = 4, parts: int = 8) -> dict:
+    """fit() of a labelled sample that stays with the workers: `parts` tasks read it. What reaches the driver is bounded by `rows`,
+    `text_windows` and `parts`, not by the texts: bucket counts of every task, and so many windows of every text."""
     sample = staged(labelled_sample(docs, labels, "toxic", rows=rows).repartition(parts), "toxic-sample")
     counts = Counts(folds)
     for r in sample.mapInArrow(_count_buckets(folds), "fold int, y int, n double, words binary, grams binary").collect():
@@ -320,7 +322,7 @@ def learn(docs: DataFrame, labels: DataFrame, rows: int = 4000, folds: int = 4,
     if not counts.totals.sum(axis=0).all():
         return fit_network(counts, [(None, None, y) for y in (0, 1) for _ in range(int(counts.totals[:, y].sum()))])
     odds = docs.sparkSession.sparkContext.broadcast([counts.odds(f) for f in range(folds)])
-    held = sample.mapInArrow(_pick_windows(odds, folds), "place long, x binary, mask binary, y int").collect()
+    held = sample.mapInArrow(_pick_windows(odds, folds, text_windows), "place long, x binary, mask binary, y int").collect()
     held.sort(key=lambda r: (r["place"], r["x"]))
     shape = (-1, STEPS, INPUTS)
     return fit_network(counts, [(np.frombuffer(r["x"], np.float32).reshape(shape), np.frombuffer(r["mask"], bool).reshape(-1, STEPS), r["y"]) for r in held])
@@ -400,15 +402,16 @@ def _score(shared):
     return run
 
 
-def toxicity(docs: DataFrame, labels: DataFrame, rows: int = 4000) -> DataFrame:
+def toxicity(docs: DataFrame, labels: DataFrame, rows: int = 4000, text_windows: int = 3) -> DataFrame:
     """(doc_id, held_out, score, predicted) per row of docs (doc_id, text), learned from labels (doc_id, toxic).
 
-    `rows` bounds the labelled sample, not the length of its texts; fold 0 of 5 by crc32 of the id is held out. Null and empty
+    The fit is on a bounded sample: at most `rows` labelled texts; all words of them count for the log-odds, `text_windows`
+    windows of each (the strongest, and some drawn from all) train the network. Every text is scored by all its windows. Fold 0 of 5 by crc32 of the id is held out. Null and empty
     texts are scored as the share of toxic rows, under 0.5; if the sample has one label only, so is every text (as 0 or 1;
     without any label as 0). Rows that repeat an id are scored each, a null id stays null. Only the text enters a score.
     """
     spark = docs.sparkSession
-    model = learn(docs, labels, rows)
+    model = learn(docs, labels, rows, text_windows)
     kind = docs.schema["doc_id"].dataType.simpleString()
     scored = docs.select(F.col("doc_id").alias("id"), F.col("text").cast("string").alias("text")).mapInArrow(_score(spark.sparkContext.broadcast(model)), f"id {kind}, score double")
     return scored.select(F.col("id").alias("doc_id"), (fold_of("id", 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
@@ -426,7 +429,7 @@ def _keep(shared, threshold: float):
     return run
 
 
-def without_toxic(docs: DataFrame, labels: DataFrame, rows: int = 4000, threshold: float = 0.5) -> DataFrame:
+def without_toxic(docs: DataFrame, labels: DataFrame, rows: int = 4000, threshold: float = 0.5, text_windows: int = 3) -> DataFrame:
     """The rows of docs (doc_id, text, ...) whose score is under the threshold, with all their columns."""
-    shared = docs.sparkSession.sparkContext.broadcast(learn(docs, labels, rows))
+    shared = docs.sparkSession.sparkContext.broadcast(learn(docs, labels, rows, text_windows))
     return docs.mapInArrow(_keep(shared, threshold), docs.schema)
