@@ -19,6 +19,8 @@ from pyspark.sql import functions as F
 from skyframe.llm.common import fold_of, labelled_sample, slices
 
 CHUNK, OVERLAP, WIDTH, STEP, FILTERS, EMBED = 512, 64, 8, 1, 16, 6
+#: Default number of chunks of a text that may take part in training.
+CHUNKS = 48
 
 def chunks(text: bytes) -> list[np.ndarray]:
     """Overlapping chunks that cover the text; a text shorter than a filter is padded with zero bytes."""
@@ -52,7 +54,7 @@ def _features(best: np.ndarray, owner_first: np.ndarray):
     return np.concatenate([np.maximum.reduceat(held, owner_first, axis=0), np.add.reduceat(held, owner_first, axis=0) / n[:, None]], axis=1)
 
 
-def drawn_chunks(text: bytes, most: int = 48) -> list[np.ndarray]:
+def drawn_chunks(text: bytes, most: int = CHUNKS) -> list[np.ndarray]:
     """All chunks of a text, or `most` of them drawn from the whole of it, the same ones on every run."""
     cut = chunks(text)
     if len(cut) <= most:
@@ -153,7 +155,7 @@ def _score(shared):
     return run
 
 
-def quality(docs: DataFrame, labels: DataFrame, rows: int = 4000, threshold: float = 0.3, text_chunks: int = 48, epoch_chunks: int = 4) -> DataFrame:
+def quality(docs: DataFrame, labels: DataFrame, rows: int = 4000, threshold: float = 0.3, text_chunks: int = CHUNKS, epoch_chunks: int = 4) -> DataFrame:
     """(doc_id, held_out, score, predicted) per row of docs (doc_id, text), learned from labels (doc_id, quality).
 
     The fit is on a bounded sample: at most `rows` labelled texts, of each at most `text_chunks` chunks of 512 bytes drawn from
