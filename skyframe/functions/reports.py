@@ -149,7 +149,7 @@ def parse_discussion(text: Column) -> Column:
     return F.struct(
         one(r"(?i)Mesoscale Discussion\s+(\d+)").cast("int").alias("number"), one(r"(?i)\n\s*(\d{3,4}\s+(?:AM|PM)\s+\w{2,4}\s+\w{3}\s+\w{3}\s+\d{1,2}\s+\d{4})").alias("issued"),
         one(r"(?is)Areas affected\.\.\.(.*?)\n\s*\n").alias("areas"), concerning.alias("concerning"), F.coalesce(F.try_element_at(parts, F.lit(1)), concerning).alias("category"),
-        F.nullif(F.array_join(F.slice(parts, 2, 100), " · "), F.lit("")).alias("watch_status"), one(r"(?i)Valid\s+([0-9]{6}Z\s*-\s*[0-9]{6}Z)").alias("valid"),
+        F.nullif(F.array_join(F.slice(parts, F.lit(2), F.greatest(F.size(parts), F.lit(1))), " · "), F.lit("")).alias("watch_status"), one(r"(?i)Valid\s+([0-9]{6}Z\s*-\s*[0-9]{6}Z)").alias("valid"),
         one(r"(?i)Probability of Watch Issuance\.\.\.\s*(\d+)\s*percent").cast("int").alias("watch_probability"), one(r"(?i)MOST PROBABLE PEAK TORNADO INTENSITY\.\.\.\s*([^\n]+)").alias("peak_tornado"),
         one(r"(?i)MOST PROBABLE PEAK WIND GUST\.\.\.\s*([^\n]+)").alias("peak_wind"), one(r"(?i)MOST PROBABLE PEAK HAIL SIZE\.\.\.\s*([^\n]+)").alias("peak_hail"), F.nullif(trim(body), F.lit("")).alias("body"),
     )

@@ -103,6 +103,16 @@ def default_product(model: str) -> str:
     return "REFC" if "REFC" in offered or not offered else offered[0]
 
 
+def offered(runs: DataFrame, model: str) -> DataFrame:
+    """Runs with a row for each product of their model: product, its position in display order from 1, and the model's first choice."""
+    models = [m for m in SUPPORT]
+    lists = F.create_map(*(c for m in models for c in (F.lit(m), F.array(*map(F.lit, model_products(m))))))
+    firsts = F.create_map(*(c for m in models for c in (F.lit(m), F.lit(default_product(m)))))
+    every = F.array(*map(F.lit, model_products("")))
+    held = runs.withColumn("_p", F.coalesce(F.try_element_at(lists, F.col(model)), every)).withColumn("first", F.coalesce(F.try_element_at(firsts, F.col(model)), F.lit(default_product(""))))
+    return held.select(*runs.columns, F.posexplode("_p").alias("_at", "product"), "first").withColumn("position", F.col("_at") + 1).drop("_at")
+
+
 def products(cells: DataFrame, ids: Sequence[str], catalogue: Catalogue | None = None, by: Sequence[str] = ("run", "hour", "i", "j"), hour: str = "hour", model: str | None = None, overrides: Mapping[tuple[str, str], dict] | None = None) -> DataFrame:
     """(id, by..., value) of products from cells (by..., var, level, value and, for totals, acc). Missing values are left out.
 

@@ -86,7 +86,30 @@ def _(x):
     return out.select("profile", *(F.round(c, 4).alias(c) for c in out.columns[1:] if c not in ("lapse", "pwat")))
 
 
-@query("w24_w25_parcel_buoyancy")
+_FALL_RATE = f"(287 * (t + 273.15) / p + 2.501e6 * {_W.replace('td', 't')} / p) / (1004 + 2.501e6 * 2.501e6 * 0.622 / 287 * {_W.replace('td', 't')} / pow(t + 273.15, 2))"
+
+
+@query("w24_w25_parcel_buoyancy", f"""
+WITH RECURSIVE f AS (
+  SELECT *, row_number() OVER (PARTITION BY profile ORDER BY zagl) AS k, count(*) OVER (PARTITION BY profile) AS n FROM ({LV})
+), s AS (
+  SELECT profile, p AS p0, (t + 273.15) * pow(1000 / p, 0.2854) AS th, {_W} AS w0 FROM f WHERE k = 1 AND n >= 3
+), tries AS (
+  SELECT *, p0 - 2 * unnest(range(floor((p0 - 100) / 2)::INT + 1)) AS p FROM s
+), dews AS (
+  SELECT *, ln(w0 * p / (0.622 + w0) / 6.112) AS x FROM tries
+), base AS (
+  SELECT profile, p0, th, coalesce(max(p) FILTER (WHERE 243.5 * x / (17.67 - x) >= th * pow(p / 1000, 0.2854) - 273.15), 100) AS lcl FROM dews GROUP BY ALL
+), dry AS (
+  SELECT profile, p, th * pow(p / 1000, 0.2854) - 273.15 AS t FROM (SELECT *, p0 - 10 * unnest(range(floor((p0 - 100) / 10)::INT + 1)) AS p FROM base) WHERE p > lcl
+), moist AS (
+  SELECT profile, lcl::DOUBLE AS p, (th * pow(lcl / 1000, 0.2854) - 273.15)::DOUBLE AS t, floor((lcl - 100) / 10)::INT AS left_ FROM base
+  UNION ALL SELECT profile, p - 10, t - 10 * {_FALL_RATE}, left_ - 1 FROM moist WHERE left_ > 0
+), q AS (SELECT profile, p, t FROM dry UNION ALL SELECT profile, p, t FROM moist
+), b AS (SELECT q.*, e.p AS bp, e.t AS bt FROM q ASOF LEFT JOIN f e ON e.profile = q.profile AND e.p >= q.p
+), a AS (SELECT b.*, e.p AS ap, e.t AS t_up FROM b ASOF LEFT JOIN f e ON e.profile = b.profile AND e.p < b.p
+), o AS (SELECT a.*, CASE WHEN ap IS NULL THEN top.t ELSE bt + (t_up - bt) * (ln(bp) - ln(a.p)) / (ln(bp) - ln(ap)) END AS env FROM a JOIN f top ON top.profile = a.profile AND top.k = top.n)
+SELECT profile, round(p, 3) AS p, round(t, 4) AS t_parcel, round(env, 4) AS t_env, sign(t - env)::INT AS sign FROM o""")
 def _(x):
     out = V.parcel_buoyancy(_profiles(x), "profile")
     return out.select("profile", F.round("p", 3).alias("p"), F.round("t_parcel", 4).alias("t_parcel"), F.round("t_env", 4).alias("t_env"), "sign")

@@ -237,3 +237,19 @@ def _(x):
     p = x.d("place").select("place", (F.col("lon") * 1.37).alias("lon"), (F.col("lat") * 0.83 + 3).alias("lat"))
     out = shapes.nearest_site(p, x.d("site").withColumn("terminal", F.col("site") % 7 == 0), "place", "terminal")
     return out.select("place", F.round(F.col("dist_m") / 1000, 1).alias("km"))
+
+
+@query("u2_offered_products", """
+WITH m AS (SELECT DISTINCT l_suppkey AS run, l_suppkey % 4 AS k FROM lineitem),
+o AS (SELECT run, (CASE k WHEN 0 THEN ['W200', 'W300', 'W500', 'W700', 'W850', 'W925', 'TMP925', 'TMP850', 'TMP700', 'TMP500']
+  WHEN 1 THEN ['TMP', 'FEELS', 'WIND', 'DPT', 'TCDC', 'QPF6', 'QPF24', 'QPF', 'W200', 'W300', 'W500', 'W700', 'W850', 'W925', 'TMP925', 'TMP850', 'TMP700', 'TMP500',
+               'SNOW6', 'SNOW12', 'SNOW24', 'SNOWT', 'KUCH6', 'KUCH12', 'KUCH24', 'KUCHT']
+  WHEN 2 THEN ['REFC', 'TMP', 'FEELS', 'WIND', 'GUST', 'RH', 'DPT', 'TCDC', 'W200', 'W300', 'W500', 'W700', 'W850', 'W925', 'TMP925', 'TMP850', 'TMP700', 'TMP500',
+               'SBCAPE', 'SBCIN', 'LAPSE', 'SRH1', 'SRH3', 'STORM'] END) AS l, k FROM m),
+n AS (SELECT *, unnest(range(1, len(l) + 1)) AS i FROM o)
+SELECT run, list_extract(l, i) AS product, i::INT AS position, CASE WHEN k = 0 THEN 'W200' WHEN k = 1 THEN 'TMP' ELSE 'REFC' END AS first FROM n""")
+def _(x):
+    """The products of the model behind each run, in display order, and the one shown first."""
+    models = {0: "aigfs", 1: "aifs", 2: "hrrrcast"}
+    runs = x.t("lineitem").select(F.col("l_suppkey").alias("run")).distinct().withColumn("model", F.element_at(F.create_map(*(F.lit(v) for kv in models.items() for v in kv)), F.col("run") % 4))
+    return products.offered(runs.filter("model IS NOT NULL"), "model").select("run", "product", "position", "first")

@@ -121,11 +121,13 @@ def _(x):
     return both.select("site", "n_tilts", "n_coherent", F.date_format("cut", "yyyy-MM-dd").alias("cut"), "volume", F.round("score", 4).alias("score"))
 
 
-@query("w16_regrid_azimuth", """WITH b AS (SELECT DISTINCT sweep, azimuth FROM [gate] WHERE azimuth % 3 < 1), r AS (SELECT sweep, azimuth, azimuth + o AS at FROM b, (VALUES (-360), (0), (360)) t(o)), k AS (SELECT s.sweep, n AS bin, (n + 0.5) * 0.25 AS c FROM (SELECT DISTINCT sweep FROM b) s, (SELECT unnest(range(1440)) AS n) t),
+@query("w16_regrid_azimuth", """WITH b AS (SELECT DISTINCT sweep, floor(azimuth / 3) * 3 + azimuth % 3 / 3 AS azimuth FROM [gate]), r AS (SELECT sweep, azimuth, azimuth + o AS at FROM b, (VALUES (-360), (0), (360)) t(o)), k AS (SELECT s.sweep, n AS bin, (n + 0.5) * 0.25 AS c FROM (SELECT DISTINCT sweep FROM b) s, (SELECT unnest(range(1440)) AS n) t),
 lo AS (SELECT k.sweep, bin, c, r.at, r.azimuth FROM k ASOF LEFT JOIN r ON k.sweep = r.sweep AND k.c >= r.at), hi AS (SELECT k.sweep, bin, r.at, r.azimuth FROM k ASOF LEFT JOIN r ON k.sweep = r.sweep AND k.c <= r.at)
 SELECT lo.sweep, lo.bin::INT AS bin, CASE WHEN c - lo.at <= hi.at - c AND c - lo.at <= 1.5 THEN lo.azimuth WHEN hi.at - c < c - lo.at AND hi.at - c <= 1.5 THEN hi.azimuth END AS azimuth FROM lo JOIN hi USING (sweep, bin)""")
 def _(x):
-    return R.regrid_azimuth(x.d("gate").filter("azimuth % 3 < 1"), ["sweep"])
+    """All beams, drawn together to a third of the circle, so that bins between them are nearer and farther than the limit."""
+    a = F.col("azimuth")
+    return R.regrid_azimuth(x.d("gate").withColumn("azimuth", F.floor(a / 3) * 3 + a % 3 / 3), ["sweep"])
 
 
 # Beams of half-degree azimuth bins, and points by bin, distance and gate from a site.

@@ -73,10 +73,10 @@ def _(x):
     return _alerts(x).filter(P.active(_mid(x))).select("id")
 
 
-@query("j10_active_at_times", "SELECT e.event_id, a.id FROM (SELECT event_id, (SELECT min(o_orderdate) FROM orders) + to_days((event_id % 900)::INT) AS time FROM events WHERE event_id % 50 = 0) e JOIN [alert] a ON NOT a.cancel AND a.sent <= e.time AND e.time < a.sent + to_days(a.days::INT)")
+@query("j10_active_at_times", "SELECT e.event_id, a.id FROM (SELECT event_id, (SELECT min(o_orderdate) FROM orders) + to_days((event_id % 900)::INT) AS time FROM events) e JOIN [alert] a ON NOT a.cancel AND a.sent <= e.time AND e.time < a.sent + to_days(a.days::INT)")
 def _(x):
     lo = x.t("orders").agg(F.min("o_orderdate")).first()[0]
-    t = x.t("events").filter("event_id % 50 = 0").select("event_id", (F.lit(lo).cast("timestamp_ntz") + F.make_dt_interval((F.col("event_id") % 900).cast("int"))).alias("time"))
+    t = x.t("events").select("event_id", (F.lit(lo).cast("timestamp_ntz") + F.make_dt_interval((F.col("event_id") % 900).cast("int"))).alias("time"))
     return P.active_at(_alerts(x), t).select("event_id", "id")
 
 
@@ -109,7 +109,31 @@ def _(x):
     return x.d("place").select("place", (F.size(path) <= 12).alias("whole"), F.size(s).cast("long").alias("n"), F.get(s, 1).alias("second"))
 
 
-@query("g4_g5_g7_storm_track_towns")
+def _moved(lat: str, lon: str, bearing: str, metres: str) -> tuple[str, str]:
+    """SQL of the latitude and longitude at a bearing (degrees) and distance from a place."""
+    d = f"({metres} / 6371008.8)"
+    s = f"(sin(radians({lat})) * cos({d}) + cos(radians({lat})) * sin({d}) * cos(radians({bearing})))"
+    return f"degrees(asin({s}))", f"{lon} + degrees(atan2(sin(radians({bearing})) * sin({d}) * cos(radians({lat})), cos({d}) - sin(radians({lat})) * {s}))"
+
+
+_AXIS, _SIDE = _moved("cy", "cx", "brg", "288000 * k / 24.0::DOUBLE"), _moved("la", "lo", "(brg + turn)", "(4000 + 0.28 * 288000 * k / 24.0::DOUBLE)")
+
+
+@query("g4_g5_g7_storm_track_towns", f"""
+WITH s AS (SELECT poly AS storm, cy::DOUBLE AS cy, cx::DOUBLE AS cx, poly * 14.0::DOUBLE AS brg FROM [polygon]),
+axis AS (SELECT *, {_AXIS[0]} AS la, {_AXIS[1]} AS lo FROM s, (SELECT unnest(range(25)) AS k)),
+ring AS (SELECT storm, CASE WHEN turn < 0 THEN k ELSE 49 - k END AS n, {_SIDE[0]} AS la, {_SIDE[1]} AS lo FROM axis, (VALUES (-90), (90)) AS t(turn)),
+edge AS (SELECT a.storm, a.la AS la, a.lo AS lo, b.la AS lb, b.lo AS lp FROM ring a JOIN ring b ON a.storm = b.storm AND b.n = (a.n + 1) % 50),
+hit AS (
+  SELECT storm, place, any_value(p.lat) AS lat, any_value(p.lon) AS lon FROM [place] p JOIN edge e ON (la > p.lat) <> (lb > p.lat)
+  WHERE p.lon < (lp - lo) * (p.lat - la) / (lb - la) + lo GROUP BY storm, place HAVING count(*) % 2 = 1
+), along AS (
+  SELECT storm, place, 111320 * ((lon - cx) * cos(radians(cy)) * sin(radians(brg)) + (lat - cy) * cos(radians(brg))) AS m FROM hit JOIN s USING (storm)
+), eta AS (
+  SELECT storm, place, greatest(0, m) / 20 / 60 AS eta_min FROM along WHERE m >= -2000 AND m <= 288000
+), r AS (
+  SELECT *, (row_number() OVER (PARTITION BY storm ORDER BY eta_min, place))::INT AS position, count(*) OVER (PARTITION BY storm) AS n_towns FROM eta
+) SELECT storm, place, round(eta_min, 4) AS eta_min, position, n_towns FROM r WHERE position <= 20""")
 def _(x):
     s = x.d("polygon").select(F.col("poly").alias("storm"), F.col("cy").cast("double").alias("lat"), F.col("cx").cast("double").alias("lon"), (F.col("poly") * 14.0).alias("bearing"), F.lit(20.0).alias("mps"), F.lit(240.0).alias("minutes"))
     return P.storm_track(s, x.d("place")).withColumn("eta_min", F.round("eta_min", 4))
