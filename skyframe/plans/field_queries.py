@@ -253,3 +253,32 @@ def _(x):
     models = {0: "aigfs", 1: "aifs", 2: "hrrrcast"}
     runs = x.t("lineitem").select(F.col("l_suppkey").alias("run")).distinct().withColumn("model", F.element_at(F.create_map(*(F.lit(v) for kv in models.items() for v in kv)), F.col("run") % 4))
     return products.offered(runs.filter("model IS NOT NULL"), "model").select("run", "product", "position", "first")
+
+
+@query("g9_ring_vertices", """
+WITH s AS (SELECT site, lat, lon, unnest(range(1, 5)) AS k FROM [site]), v AS (SELECT *, unnest(range(73)) AS n FROM s),
+u AS (SELECT *, k * 100000 / 6371008.8 AS d, radians(n * 5.0::DOUBLE) AS b, radians(lat) AS la FROM v),
+w AS (SELECT *, sin(la) * cos(d) + cos(la) * sin(d) * cos(b) AS z FROM u)
+SELECT site, k * 100000.0::DOUBLE AS ring_m, n::INT AS vertex, round(degrees(asin(z)), 5) AS lat, round(lon + degrees(atan2(sin(b) * sin(d) * cos(la), cos(d) - sin(la) * z)), 5) AS lon FROM w""")
+def _(x):
+    """Every vertex of every ring."""
+    out = R.range_rings(x.d("site"), 460_000.0).select("site", "ring_m", F.posexplode("ring").alias("vertex", "p"))
+    return out.select("site", "ring_m", "vertex", F.round("p.lat", 5).alias("lat"), F.round("p.lon", 5).alias("lon"))
+
+
+@query("j7_u4_zone_vertices", """
+WITH z AS (SELECT poly AS zone, unnest([0, 1, 2, 3]) AS n, cx, cy FROM [polygon]),
+v AS (SELECT zone, n, cx + CASE WHEN n IN (1, 2) THEN 1 ELSE 0 END + zone / 8.0::DOUBLE AS lon, cy + CASE WHEN n >= 2 THEN 1.5::DOUBLE ELSE 0 END AS lat FROM z),
+a AS (SELECT o_orderkey AS id, unnest(CASE WHEN o_orderkey % 3 = 0 THEN [] ELSE list_distinct([o_orderkey % 25, (o_orderkey + 7) % 25]) END) AS zone FROM orders)
+SELECT id, round(lon, 6) AS lon, round(lat, 6) AS lat FROM a JOIN v USING (zone)
+UNION ALL SELECT o_orderkey, 0.5::DOUBLE, o_orderkey % 90 FROM orders WHERE o_orderkey % 3 = 0""")
+def _(x):
+    """Every vertex of the rings that an alert has of its own, or takes from its zones."""
+    p = F.col("poly")
+    at = lambda dx, dy: F.struct((F.col("cx") + dx + p / 8.0).cast("double").alias("lon"), (F.col("cy") + dy).cast("double").alias("lat"))
+    zones = x.d("polygon").select(p.cast("long").alias("zone"), F.array(F.array(at(0, 0), at(1, 0), at(1, 1.5), at(0, 1.5))).alias("rings"))
+    key = F.col("o_orderkey")
+    own = F.array(F.array(F.struct(F.lit(0.5).alias("lon"), (key % 90).cast("double").alias("lat"))))
+    alerts = x.t("orders").select(key.alias("id"), F.array_distinct(F.array(key % 25, (key + 7) % 25)).alias("zones"), F.when(key % 3 == 0, own).alias("rings"))
+    out = shapes.resolve_geometry(alerts, zones).select("id", F.explode("rings").alias("ring")).select("id", F.explode("ring").alias("v"))
+    return out.select("id", F.round("v.lon", 6).alias("lon"), F.round("v.lat", 6).alias("lat"))
