@@ -174,8 +174,11 @@ def revert_runs(v: np.ndarray, raw: np.ndarray, least: int = 18, fast: float = 4
     return v
 
 
-def dealias(gates: DataFrame, by: Sequence[str], nyquist: Column) -> DataFrame:
-    """Unfolded velocity of every gate (null stays null). A sweep is one group: each gate depends on the ones before it."""
+def dealias(gates: DataFrame, by: Sequence[str], nyquist: Column, steps: bool = False, runs: dict | None = None) -> DataFrame:
+    """Unfolded velocity of every gate (null stays null). A sweep is one group: each gate depends on the ones before it.
+
+    steps: also what W2, W3 and W4 gave, as columns of these names. runs: other limits of W5 (arguments of revert_runs).
+    """
     rows = gates.select(*by, F.col("azimuth").cast("double").alias("azimuth"), F.col("gate").cast("long").alias("gate"), F.col("value").cast("double").alias("value"), nyquist.cast("double").alias("nyquist"))
 
     def sweep(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -184,12 +187,16 @@ def dealias(gates: DataFrame, by: Sequence[str], nyquist: Column) -> DataFrame:
         grid[row, pdf["gate"]] = pdf["value"]
         vn = np.zeros(len(az))
         vn[row] = pdf["nyquist"]
-        v = despoke_median(despoke_pairs(unfold(grid, vn), vn), vn)
-        done = revert_runs(v, grid)[row, pdf["gate"]]
-        return pdf.assign(unfolded=pd.Series(done, index=pdf.index).where(pdf["value"].notna(), None).astype("float64"))
-
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema) + ", unfolded double"
-    return rows.groupBy(*by).applyInPandas(sweep, schema).withColumn("unfolded", F.when(~F.isnan("unfolded"), F.col("unfolded")))
+        held = {"w2": unfold(grid, vn)}
+        held["w3"] = despoke_pairs(held["w2"].copy(), vn)
+        held["w4"] = despoke_median(held["w3"].copy(), vn)
+        held["unfolded"] = revert_runs(held["w4"].copy(), grid, **(runs or {}))
+        at = lambda v: pd.Series(v[row, pdf["gate"]], index=pdf.index).where(pdf["value"].notna(), None).astype("float64")
+        return pdf.assign(**{c: at(held[c]) for c in made})
+
+    made = ["w2", "w3", "w4", "unfolded"] if steps else ["unfolded"]
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema) + "".join(f", {c} double" for c in made)
+    return rows.groupBy(*by).applyInPandas(sweep, schema).withColumns({c: F.when(~F.isnan(c), F.col(c)) for c in made})
 
 
 def find_runs(gates: DataFrame, by: Sequence[str], flag: Column) -> DataFrame:

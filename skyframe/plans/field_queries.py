@@ -282,3 +282,72 @@ def _(x):
     alerts = x.t("orders").select(key.alias("id"), F.array_distinct(F.array(key % 25, (key + 7) % 25)).alias("zones"), F.when(key % 3 == 0, own).alias("rings"))
     out = shapes.resolve_geometry(alerts, zones).select("id", F.explode("rings").alias("ring")).select("id", F.explode("ring").alias("v"))
     return out.select("id", F.round("v.lon", 6).alias("lon"), F.round("v.lat", 6).alias("lat"))
+
+
+# Unfolding walks beams in order, so each step is a recursion over the beams of all runs; `held` are the beams, lists of 12 gates.
+_AT = "list_extract(list_extract({h}, {r}::BIGINT), g)"
+_V, _PREV, _NEXT = (_AT.format(h="held", r=r) for r in ("(r + 1)", "((r + n - 1) % n + 1)", "((r + 1) % n + 1)"))
+_PUT = "list_transform(range(1, n + 1), lambda q: CASE WHEN q = r + 1 THEN list_transform(range(1, 13), lambda g: {new}) ELSE list_extract(held, q) END)"
+_REF = "CASE WHEN len(acc.last) >= 3 THEN list_aggregate(acc.last, 'median') ELSE x.p END"
+_UNFOLDED = f"CASE WHEN ({_REF}) IS NULL THEN x.v ELSE x.v + floor((({_REF}) - x.v) / two + 0.5) * two END"
+_NEAR = f"""list_filter(list_transform(list_filter([-4, -3, -2, -1, 1, 2, 3, 4], lambda k: (r + k + 4 * n) % n <> r),
+              lambda k: {_AT.format(h="held", r="((r + k + 4 * n) % n + 1)")}), lambda y: y IS NOT NULL)"""
+_MEDIAN = f"list_aggregate({_NEAR}, 'median')"
+_FOLD = f"(floor(({_MEDIAN} - {_V}) / two + 0.5) * two)"
+
+
+def _passes(name: str, source: str, new: str, passes: int, least: int) -> str:
+    return f"""{name}_steps AS (
+  SELECT run, n, two, raw, held, 0::BIGINT AS s, 0::BIGINT AS r FROM {source}
+  UNION ALL
+  SELECT run, n, two, raw, {_PUT.format(new=new)}, s + 1, (s + 1) % n FROM {name}_steps WHERE n >= {least} AND s < {passes} * n
+), {name} AS (SELECT run, any_value(n) AS n, any_value(two) AS two, any_value(raw) AS raw, arg_max(held, s) AS held FROM {name}_steps GROUP BY run)"""
+
+
+@query("w2_w3_w4_w5_dealias_of_runs", f"""
+WITH RECURSIVE g AS (
+  SELECT run, i, j, ((value * 7) % 61 - 30)::DOUBLE AS v FROM [run_cell]
+), beams AS (
+  SELECT run, i, row_number() OVER (PARTITION BY run ORDER BY i) AS r FROM (SELECT DISTINCT run, i FROM g)
+), rows_ AS (
+  SELECT b.run, b.r, list(g.v ORDER BY t.j) AS beam FROM beams b CROSS JOIN (SELECT unnest(range(12)) AS j) t LEFT JOIN g ON g.run = b.run AND g.i = b.i AND g.j = t.j GROUP BY ALL
+), w1 AS (
+  SELECT run, count(*) AS n, (2 * (15 + run % 3))::DOUBLE AS two, list(beam ORDER BY r) AS raw FROM rows_ GROUP BY run
+), w2_steps AS (
+  SELECT run, n, two, raw, []::DOUBLE[][] AS held, 0::BIGINT AS s FROM w1
+  UNION ALL
+  SELECT run, n, two, raw, list_append(held, list_reduce(list_prepend(struct_pack(o := []::DOUBLE[], last := []::DOUBLE[], v := NULL::DOUBLE, p := NULL::DOUBLE),
+      list_transform(range(1, 13), lambda g: struct_pack(o := []::DOUBLE[], last := []::DOUBLE[], v := list_extract(list_extract(raw, s + 1), g),
+        p := CASE WHEN s > 0 THEN list_extract(list_extract(held, s), g) END))),
+      lambda acc, x: struct_pack(o := list_append(acc.o, {_UNFOLDED}),
+        last := CASE WHEN x.v IS NULL THEN []::DOUBLE[] ELSE list_append(list_slice(acc.last, greatest(1, len(acc.last) - 3), len(acc.last)), {_UNFOLDED}) END,
+        v := NULL::DOUBLE, p := NULL::DOUBLE)).o), s + 1
+  FROM w2_steps WHERE s < n
+), w2 AS (SELECT run, any_value(n) AS n, any_value(two) AS two, any_value(raw) AS raw, arg_max(held, s) AS held FROM w2_steps GROUP BY run),
+{_passes("w3", "w2", f"CASE WHEN floor(({_PREV} - {_V}) / two + 0.5) = floor(({_NEXT} - {_V}) / two + 0.5) THEN {_V} + floor(({_PREV} - {_V}) / two + 0.5) * two ELSE {_V} END", 3, 3)},
+{_passes("w4", "w3", f"CASE WHEN len({_NEAR}) >= 4 AND abs({_V} - {_MEDIAN}) - abs({_V} + {_FOLD} - {_MEDIAN}) >= 0.35 * two THEN {_V} + {_FOLD} ELSE {_V} END", 2, 5)},
+w5_steps AS (
+  SELECT run, n, two, raw, held, 0::BIGINT AS s FROM w4
+  UNION ALL
+  SELECT run, n, two, raw, list_transform(range(1, n + 1), lambda q: CASE WHEN q = s + 1 THEN list_transform(range(1, 13), lambda g:
+      CASE WHEN list_extract(odd, g) AND list_extract(ends, g) - list_extract(begins, g) >= 1 AND list_avg(list_transform(range(list_extract(begins, g), list_extract(ends, g) + 1),
+             lambda y: CASE WHEN coalesce(sign(list_extract(up, y)) = sign(list_extract(own, y)) AND abs(list_extract(up, y)) >= 25, false)
+               OR coalesce(sign(list_extract(down, y)) = sign(list_extract(own, y)) AND abs(list_extract(down, y)) >= 25, false) THEN 1 ELSE 0 END)) < 0.35
+           THEN list_extract(list_extract(raw, q), g) ELSE list_extract(own, g) END) ELSE list_extract(held, q) END), s + 1
+  FROM (SELECT *, list_transform(range(1, 13), lambda g: coalesce(list_max(list_filter(range(1, g), lambda y: NOT list_extract(odd, y))), 0) + 1) AS begins,
+               list_transform(range(1, 13), lambda g: coalesce(list_min(list_filter(range(g + 1, 13), lambda y: NOT list_extract(odd, y))), 13) - 1) AS ends
+        FROM (SELECT *, list_extract(held, s + 1) AS own,
+                     CASE WHEN n >= 3 THEN list_extract(held, (s + n - 1) % n + 1) ELSE list_extract(held, s + 1) END AS up,
+                     CASE WHEN n >= 3 THEN list_extract(held, (s + 1) % n + 1) ELSE list_extract(held, s + 1) END AS down,
+                     list_transform(range(1, 13), lambda g: coalesce(abs(list_extract(list_extract(held, s + 1), g)) >= 12
+                       AND abs(list_extract(list_extract(held, s + 1), g) - list_extract(list_extract(raw, s + 1), g)) > 1e-6, false)) AS odd
+              FROM w5_steps WHERE s < n))
+), w5 AS (SELECT run, arg_max(held, s) AS held FROM w5_steps GROUP BY run)
+SELECT g.run, g.i * 30.0::DOUBLE AS azimuth, g.j AS gate, list_extract(list_extract(w2.held, b.r), g.j + 1) AS w2, list_extract(list_extract(w3.held, b.r), g.j + 1) AS w3,
+       list_extract(list_extract(w4.held, b.r), g.j + 1) AS w4, list_extract(list_extract(w5.held, b.r), g.j + 1) AS unfolded
+FROM g JOIN beams b ON b.run = g.run AND b.i = g.i JOIN w2 ON w2.run = g.run JOIN w3 ON w3.run = g.run JOIN w4 ON w4.run = g.run JOIN w5 ON w5.run = g.run""")
+def _(x):
+    """What each step of unfolding gives for a sweep of 12 beams per run, with limits of reverting that fit short beams."""
+    v = x.d("run_cell").select("run", (F.col("i") * 30.0).alias("azimuth"), F.col("j").alias("gate"), ((F.col("value") * 7) % 61 - 30).alias("value"), (15 + F.col("run") % 3).alias("limit"))
+    out = R.dealias(v, ["run"], F.col("limit"), steps=True, runs={"least": 2, "fast": 12.0, "support": 25.0})
+    return out.select("run", "azimuth", "gate", "w2", "w3", "w4", "unfolded")
