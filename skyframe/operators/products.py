@@ -310,23 +310,32 @@ OVERRIDES: Mapping[tuple[str | None, str], dict] = {
 MOSAIC_LEVEL = "0 m above mean sea level"
 # Mosaic products and the archive folders that hold them, in display order.
 MOSAIC_FOLDERS = {
-    "REFC": "MergedReflectivityQCComposite_00.50", "LLREF": "LowLevelCompositeReflectivity_00.50", "RALA": "MergedReflectivityAtLowestAltitude_00.50", "REF0C": "Reflectivity_0C_00.50", "REFM20C": "Reflectivity_-20C_00.50",
-    "AZSHEAR": "MergedAzShear_0-2kmAGL_00.50", "AZSHEAR36": "MergedAzShear_3-6kmAGL_00.50",
-    **{f"ROT{tag}{h}H": f"RotationTrack{tag}{60 * h}min_00.50" for tag in ("", "ML") for h in (1, 6, 24)},
-    "MESH": "MESH_00.50", **{f"MESH{h}H": f"MESH_Max_{60 * h}min_00.50" for h in (1, 6, 24)}, "POSH": "POSH_00.50", "SHI": "SHI_00.50",
-    **{f"LTG{m}": f"LightningProbabilityNext{m}minGrid_scale_1" for m in (30, 60)}, **{f"CGD{m}": f"NLDN_CG_{m:03}min_AvgDensity_00.00" for m in (1, 5, 15, 30)},
-    "PRATE": "PrecipRate_00.00", **{f"QPE{h}H": f"MultiSensor_QPE_{h:02}H_Pass2_00.00" for h in (1, 3, 6, 12, 24, 48, 72)}, "QPEST": "RadarOnly_QPE_Since12Z_00.00",
-    **{f"ARI{h}H": f"FLASH_QPE_ARI{h:02}H_00.00" for h in (1, 3, 6, 24)}, "ARIMAX": "FLASH_QPE_ARIMAX_00.00", **{f"FFG{h}H": f"FLASH_QPE_FFG{h:02}H_00.00" for h in (1, 3, 6)}, "FFGMAX": "FLASH_QPE_FFGMAX_00.00",
-    **{f"ET{z}": f"EchoTop_{z}_00.50" for z in (18, 30, 50, 60)}, "VIL": "VIL_00.50", "VILD": "VIL_Density_00.50", "VIL2H": "VIL_Max_120min_00.50", "VIL24H": "VIL_Max_1440min_00.50", "VII": "VII_00.50",
+    "REFC": "MergedReflectivityQCComposite_00.50", "LLREF": "LowLevelCompositeReflectivity_00.50",
+    "RALA": "MergedReflectivityAtLowestAltitude_00.50", "REF0C": "Reflectivity_0C_00.50", "REFM20C": "Reflectivity_-20C_00.50",
+    "AZSHEAR": "MergedAzShear_0-2kmAGL_00.50", "AZSHEAR36": "MergedAzShear_3-6kmAGL_00.50", "ROT1H": "RotationTrack60min_00.50",
+    "ROT6H": "RotationTrack360min_00.50", "ROT24H": "RotationTrack1440min_00.50", "ROTML1H": "RotationTrackML60min_00.50",
+    "ROTML6H": "RotationTrackML360min_00.50", "ROTML24H": "RotationTrackML1440min_00.50", "MESH": "MESH_00.50",
+    "MESH1H": "MESH_Max_60min_00.50", "MESH6H": "MESH_Max_360min_00.50", "MESH24H": "MESH_Max_1440min_00.50", "POSH": "POSH_00.50",
+    "SHI": "SHI_00.50", "LTG30": "LightningProbabilityNext30minGrid_scale_1", "LTG60": "LightningProbabilityNext60minGrid_scale_1",
+    "CGD1": "NLDN_CG_001min_AvgDensity_00.00", "CGD5": "NLDN_CG_005min_AvgDensity_00.00", "CGD15": "NLDN_CG_015min_AvgDensity_00.00",
+    "CGD30": "NLDN_CG_030min_AvgDensity_00.00", "PRATE": "PrecipRate_00.00", "QPE1H": "MultiSensor_QPE_01H_Pass2_00.00",
+    "QPE3H": "MultiSensor_QPE_03H_Pass2_00.00", "QPE6H": "MultiSensor_QPE_06H_Pass2_00.00", "QPE12H": "MultiSensor_QPE_12H_Pass2_00.00",
+    "QPE24H": "MultiSensor_QPE_24H_Pass2_00.00", "QPE48H": "MultiSensor_QPE_48H_Pass2_00.00", "QPE72H": "MultiSensor_QPE_72H_Pass2_00.00",
+    "QPEST": "RadarOnly_QPE_Since12Z_00.00", "ARI1H": "FLASH_QPE_ARI01H_00.00", "ARI3H": "FLASH_QPE_ARI03H_00.00",
+    "ARI6H": "FLASH_QPE_ARI06H_00.00", "ARI24H": "FLASH_QPE_ARI24H_00.00", "ARIMAX": "FLASH_QPE_ARIMAX_00.00",
+    "FFG1H": "FLASH_QPE_FFG01H_00.00", "FFG3H": "FLASH_QPE_FFG03H_00.00", "FFG6H": "FLASH_QPE_FFG06H_00.00",
+    "FFGMAX": "FLASH_QPE_FFGMAX_00.00", "ET18": "EchoTop_18_00.50", "ET30": "EchoTop_30_00.50", "ET50": "EchoTop_50_00.50",
+    "ET60": "EchoTop_60_00.50", "VIL": "VIL_00.50", "VILD": "VIL_Density_00.50", "VIL2H": "VIL_Max_120min_00.50",
+    "VIL24H": "VIL_Max_1440min_00.50", "VII": "VII_00.50",
 }
 #: Mosaic products; ratios of rain to guidance are stored in hundredths, exceedance is worked out from rain and its ratio.
-MOSAIC: Catalogue = {
-    **{id: make_product(id, [(folder, MOSAIC_LEVEL)], scale=0.01 if id.startswith("FFG") else 1.0) for id, folder in MOSAIC_FOLDERS.items()},
-    **{
-        f"FFGX{h}": make_product(f"FFGX{h}", [(f"RadarOnly_QPE_{h:02}H_00.00", MOSAIC_LEVEL), (f"FLASH_QPE_FFG{h:02}H_00.00", MOSAIC_LEVEL)], lambda rain, ratio: weather.exceedance(rain, f"{ratio} * 0.01"))
-        for h in (1, 3, 6)
-    },
-}
+_EXCEEDANCE = {
+    f"FFGX{h}": make_product(f"FFGX{h}", [(f"RadarOnly_QPE_{h:02}H_00.00", MOSAIC_LEVEL), (f"FLASH_QPE_FFG{h:02}H_00.00", MOSAIC_LEVEL)], lambda rain, ratio: weather.exceedance(rain, f"{ratio} * 0.01"))
+    for h in (1, 3, 6)
+}
+_STORED = {id: make_product(id, [(folder, MOSAIC_LEVEL)], scale=0.01 if id.startswith("FFG") else 1.0) for id, folder in MOSAIC_FOLDERS.items()}
+#: Exceedance stands between the sums of rain and what else tells of floods.
+MOSAIC: Catalogue = {key: product for id, own in _STORED.items() for key, product in ({**_EXCEEDANCE, id: own} if id == "ARI1H" else {id: own}).items()}
 #: Surface analysis.
 ANALYSIS: Catalogue = {p.id: p for p in (
     make_product("TMP", [("TMP", _2M)]), make_product("DPT", [("DPT", _2M)]), make_product("RH", [("TMP", _2M), ("DPT", _2M)], weather.relative_humidity), make_product("TCDC", [("TCDC", _ALL)]),
