@@ -111,3 +111,32 @@ def test_workers_learn_what_one_process_learns(spark, rows):
     assert a["word_odds"] == pytest.approx(b["word_odds"]) and a["gram_odds"] == pytest.approx(b["gram_odds"])
     texts = [t for t, _ in rows[:60]]
     assert toxicity.Scorer(a)(texts) == pytest.approx(toxicity.Scorer(b)(texts), abs=0.02)
+
+
+def test_chunks_of_a_long_text_come_from_all_of_it():
+    text = b"".join(b"%08d" % k for k in range(40_000))
+    chunk = [bytes(c) for c in quality.drawn_chunks(text, 40)]
+    places = [int(c[:8]) for c in chunk]
+    assert len(set(places)) == 40 and places == sorted(places) and min(places) < 8_000 and max(places) > 32_000
+    assert [bytes(c) for c in quality.drawn_chunks(text, 40)] == chunk  # the same on every run
+    assert len(quality.drawn_chunks(text, 10**6)) == len(quality.chunks(text))
+
+
+def test_more_windows_hold_the_fewer(rows):
+    counts = toxicity.Counts(4)
+    for text, y in rows:
+        counts.add(text, y)
+    words, grams = counts.all_odds()
+    long = max((t for t, _ in rows), key=len)
+    shapes = [len(toxicity.training_windows(long, words, grams, most)[0]) for most in (1, 3, 6, 12)]
+    assert shapes[0] == 1 and shapes[1] <= 3 and shapes[3] <= 12 and shapes == sorted(shapes)
+
+
+def test_rows_that_stay_keep_all_their_columns(spark):
+    """Columns named like those that the operator works with."""
+    docs = table(spark, SF, "documents").limit(300).selectExpr("doc_id", "text", "doc_id + 1 AS id", "'s' AS score", "doc_id % 7 AS place", "0.5D AS y", "array(doc_id) AS gone")
+    labels = table(spark, SF, "labels")
+    kept = toxicity.without_toxic(docs, labels, rows=250)
+    assert kept.schema == docs.schema
+    bad = {r["doc_id"] for r in toxicity.toxicity(docs.select("doc_id", "text"), labels, rows=250).filter("score >= 0.5").collect()}
+    assert sorted(map(str, kept.collect())) == sorted(str(r) for r in docs.collect() if r["doc_id"] not in bad)
