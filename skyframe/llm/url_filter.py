@@ -84,7 +84,8 @@ def judge(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", url_col:
     known = known.select(F.translate("host", _CAPITALS, _SMALL).alias("rule_host"), F.coalesce("path", F.lit("")).alias("rule_path"), "verdict")
     known = known.groupBy("rule_host", "rule_path").agg(F.max("verdict").alias("verdict")).withColumn("site", host_key(F.col("rule_host")))
 
-    hosts = known.select(F.lit("").alias("site"), F.col("site").alias("key")).distinct().withColumn("about", F.lit(None).cast("string"))
+    # the hosts that hold another share its last label, so that label is the site of the first sweep
+    hosts = known.select(F.substring_index("site", ".", 1).alias("site"), F.col("site").alias("key")).distinct().withColumn("about", F.lit(None).cast("string"))
     in_hosts = _swept(rows, _with_stacks(hosts), "hosts").filter(F.size("stack") > 0).select("uid", F.explode("stack.key").alias("site"))
 
     # `#` is in no host, so the prefixes of two sites never hold each other
