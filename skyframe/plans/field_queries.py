@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from skyframe.operators import colours, playback, products, shapes
 from skyframe.operators import grid as A
 from skyframe.operators import radar as R
+from skyframe.operators import satellite as S
 from skyframe.plans.base import query
 from skyframe.sources import catalog as C
 from skyframe.sources.shared import shared_dir
@@ -351,3 +352,25 @@ def _(x):
     v = x.d("run_cell").select("run", (F.col("i") * 30.0).alias("azimuth"), F.col("j").alias("gate"), ((F.col("value") * 7) % 61 - 30).alias("value"), (15 + F.col("run") % 3).alias("limit"))
     out = R.dealias(v, ["run"], F.col("limit"), steps=True, runs={"least": 2, "fast": 12.0, "support": 25.0})
     return out.select("run", "azimuth", "gate", "w2", "w3", "w4", "unfolded")
+
+
+_T13 = "190 + value * 3 % 90"
+
+
+@query("r8_w9_precip_of_runs", f"""
+WITH p AS (SELECT run, i AS row, j AS col, {_T13} AS t13, {_T13} - value % 5 AS t15, {_T13} - 10 + value % 13 AS t8 FROM [run_cell]),
+m AS (SELECT a.run, a.row, a.col, avg(b.t13) FILTER (WHERE b.t13 < 265) AS mean FROM p a JOIN p b ON a.run = b.run AND abs(a.row - b.row) <= 2 AND abs(a.col - b.col) <= 2 GROUP BY ALL),
+f AS (SELECT user_id % 10 + 1 AS run, user_id % 12 AS row, event_id % 12 AS col, count(*) AS n FROM events WHERE event_type = 'error' GROUP BY ALL),
+c AS (SELECT run, row, col FROM (SELECT DISTINCT run FROM f), (SELECT unnest(range(12)) AS row), (SELECT unnest(range(12)) AS col)),
+d AS (SELECT c.run, c.row, c.col, coalesce(sum(n), 0) / 5.0::DOUBLE AS density FROM c LEFT JOIN f ON f.run = c.run AND abs(f.row - c.row) <= 1 AND abs(f.col - c.col) <= 1 GROUP BY ALL)
+SELECT p.run, p.row, p.col, round(density, 6) AS density, round({S.rate_formula().sql('t13', 't15', 't8', 'mean', 'density')}, 5) AS rate
+FROM p JOIN m USING (run, row, col) LEFT JOIN d USING (run, row, col)""")
+def _(x):
+    """Rain of a scene for each run, some of them with lightning."""
+    t13, v = F.expr(_T13), F.col("value")
+    pixels = x.d("run_cell").select("run", F.col("i").alias("row"), F.col("j").alias("col"), t13.alias("t13"), (t13 - v % 5).alias("t15"), (t13 - 10 + v % 13).alias("t8"))
+    e = x.t("events").filter("event_type = 'error'")
+    flashes = e.select((F.col("user_id") % 10 + 1).alias("run"), (F.col("user_id") % N).cast("int").alias("row"), (F.col("event_id") % N).cast("int").alias("col"))
+    density = S.flash_density(flashes, N, N, 1, by=["run"])
+    out = S.satellite_precip(pixels, N, N, 2, density, ["run"])
+    return out.select("run", "row", "col", F.round("density", 6).alias("density"), F.round("rate", 5).alias("rate"))
