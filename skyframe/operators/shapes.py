@@ -89,8 +89,8 @@ def active_at(alerts: DataFrame, times: DataFrame, bucket_days: int = 1) -> Data
 def nearest_site(points: DataFrame, sites: DataFrame, key: str, terminal: str | None = None) -> DataFrame:
     """Each point's nearest site by great circle (ties: least id); null where a point or all sites lack a place.
 
-    Sites whose column `terminal` is true take no part. Equal places are one. Tiles of points and tiles of sites are halved
-    together, level by level; a pair of tiles is dropped once it is proven that another site tile holds a nearer site for
+    Sites whose column `terminal` is true take no part. Equal places are one. Tiles of points and tiles of sites are cut into
+    16 together, level by level; a pair of tiles is dropped once it is proven that another site tile holds a nearer site for
     every point of the point tile. Points then meet the sites of the tiles left, wherever these are: no point meets all sites.
     """
     at = lambda c: F.col(c).cast("double")
@@ -113,9 +113,10 @@ def nearest_site(points: DataFrame, sites: DataFrame, key: str, terminal: str |
     s, p = staged(tiled(s, "_sa", "_so", "_sx", "_sy"), "sites"), staged(tiled(p, "_a", "_o", "_px", "_py"), "places")
     s_tiles, p_tiles = staged(s.select("_sx", "_sy").distinct(), "site-tiles"), staged(p.select("_px", "_py").distinct(), "place-tiles")
     pairs = p.sparkSession.range(1).select(*(F.lit(0).alias(c) for c in ("_px", "_py", "_sx", "_sy")))
-    for level in range(1, finest + 1):
-        size, up = 360 / 2**level, finest - level
-        children = lambda df, x, y, n: df.select(F.shiftright(x, n).alias(x), F.shiftright(y, n).alias(y)).distinct().select("*", F.shiftright(x, 1).alias(f"{x}0"), F.shiftright(y, 1).alias(f"{y}0"))
+    done = 0
+    for level in sorted(range(finest, 0, -2)):
+        size, up, step, done = 360 / 2**level, finest - level, level - done, level
+        children = lambda df, x, y, n, k=step: df.select(F.shiftright(x, n).alias(x), F.shiftright(y, n).alias(y)).distinct().select("*", F.shiftright(x, k).alias(f"{x}0"), F.shiftright(y, k).alias(f"{y}0"))
         parents = pairs.withColumnsRenamed({c: f"{c}0" for c in ("_px", "_py", "_sx", "_sy")})
         met = parents.join(children(p_tiles, "_px", "_py", up).hint("merge"), ["_px0", "_py0"]).join(children(s_tiles, "_sx", "_sy", up).hint("merge"), ["_sx0", "_sy0"])
         lat, lon = (lambda y, z=size: (F.col(y) + 0.5) * z - 90), (lambda x, z=size: (F.col(x) + 0.5) * z - 180)
