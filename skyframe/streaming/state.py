@@ -246,7 +246,11 @@ def alert_life(stream: DataFrame, id: str, sent: str, start: str, until: str, ca
     told = rows.select(
         F.explode(F.concat(F.array(own), others)).alias("x"), us(sent).alias("msg_sent_us"), began.alias("msg_start_us"), us(until).alias("msg_end_us"), F.col(cancel).alias("msg_cancel"),
         us(arrived).alias("msg_arrived_us"), F.col(arrived),
-    ).select(F.col("x.of").alias(id), F.col("x.kind").alias("msg_kind"), F.col("x.other").alias("msg_other"), "msg_sent_us", "msg_start_us", "msg_end_us", "msg_cancel", "msg_arrived_us", arrived)
+    )
+    told = told.select(
+        F.col("x.of").alias(id), F.col("x.kind").alias("msg_kind"), F.col("x.other").alias("msg_other"), "msg_sent_us", "msg_start_us", "msg_end_us",
+        "msg_cancel", "msg_arrived_us", arrived,
+    )
     return _by_key(told.filter(F.col(id).isNotNull()), id, _Life(id), "state string, superseded_by string, as_of_ms long")
 
 
