@@ -43,8 +43,8 @@ def product_series(frames: DataFrame, frame: str, product: FrameProduct, path: s
     made = product(todo, [frame, *by])
     new = todo.select(frame).distinct()
     if new.limit(1).count():
-        parts = made.repartition(frame, F.pmod(F.xxhash64(*(c for c in made.columns if c != frame)), F.lit(16)))  # a frame's rows in several files
-        parts.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(frame).parquet(f"{path}/frames")
+        # rows of a frame come together, and a frame with very many of them is split
+        made.hint("rebalance", frame).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(frame).parquet(f"{path}/frames")
         new.coalesce(1).write.mode("append").parquet(f"{path}/ledger")
     rest = [f for f in made.schema if f.name != frame]
     return _read(spark, f"{path}/frames", StructType([*rest, frames.schema[frame]]))
