@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from skyframe.functions.formula import Formula
 from skyframe.functions.weather import auto_estimator_rate, stretch
 from skyframe.operators import grid, series
+from skyframe.operators.joins import dimension
+from skyframe.sources.shared import staged
 
 # The retrieval's constants.
 PRECIP = {
@@ -251,9 +253,15 @@ def swath_to_grid(footprints: DataFrame, step: float = 0.1, by: Sequence[str] =
 
 
 def scene_bbox(scenes: DataFrame, lon: Formula, lat: Formula, n: int = 25) -> DataFrame:
-    """(scene, west, south, east, north) of scenes (scene, x0, y0, x1, y1 in scan angles) from an n x n sample of navigated points; null off the disk."""
-    step = F.sequence(F.lit(0), F.lit(n - 1))
-    pts = scenes.withColumn("_a", F.explode(step)).withColumn("_b", F.explode(step))
-    pts = pts.select("scene", (F.col("x0") + (F.col("x1") - F.col("x0")) * F.col("_a") / (n - 1)).alias("x"), (F.col("y0") + (F.col("y1") - F.col("y0")) * F.col("_b") / (n - 1)).alias("y"))
-    at = pts.select("scene", lon("x", "y").alias("lon"), lat("x", "y").alias("lat"))
-    return at.groupBy("scene").agg(F.min("lon").alias("west"), F.min("lat").alias("south"), F.max("lon").alias("east"), F.max("lat").alias("north"))
+    """(scene, west, south, east, north) of scenes (scene, x0, y0, x1, y1 in scan angles) from an n x n sample of navigated points; null off the disk.
+
+    A scanner repeats its sectors, so each extent is navigated once, for all scenes that have it.
+    """
+    step, extent = F.sequence(F.lit(0), F.lit(n - 1)), ["x0", "y0", "x1", "y1"]
+    pts = scenes.select(*extent).distinct().withColumn("_a", F.explode(step)).withColumn("_b", F.explode(step))
+    pts = pts.select(*extent, (F.col("x0") + (F.col("x1") - F.col("x0")) * F.col("_a") / (n - 1)).alias("x"), (F.col("y0") + (F.col("y1") - F.col("y0")) * F.col("_b") / (n - 1)).alias("y"))
+    at = pts.select(*extent, lon("x", "y").alias("lon"), lat("x", "y").alias("lat"))
+    boxes = at.groupBy(*extent).agg(F.min("lon").alias("west"), F.min("lat").alias("south"), F.max("lon").alias("east"), F.max("lat").alias("north"))
+    boxes = dimension(staged(boxes.withColumnsRenamed({c: f"_{c}" for c in extent}), "scene-extents"))
+    same = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in extent]
+    return scenes.join(boxes, same).groupBy("scene").agg(F.min("west").alias("west"), F.min("south").alias("south"), F.max("east").alias("east"), F.max("north").alias("north"))
