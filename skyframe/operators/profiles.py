@@ -128,12 +128,12 @@ def lift_parcel(profiles: DataFrame, top: float = 100.0) -> DataFrame:
 
 
 def parcel_buoyancy(profiles: DataFrame, key: str) -> DataFrame:
-    """(key, p, t_parcel, t_env, sign) of each parcel level, the environment interpolated in ln p."""
+    """(key, p, t_parcel, t_env, sign) of each parcel level, the environment interpolated in ln p; under 5e-10 K apart they are equal, as at the surface."""
     x = lift_parcel(profiles).select(key, "levels", F.explode_outer("parcel").alias("q"))
     x = x.withColumns({"_b": F.try_element_at(F.filter("levels", lambda lv: lv["p"] >= F.col("q.p")), F.lit(-1)), "_a": F.try_element_at(F.filter("levels", lambda lv: lv["p"] < F.col("q.p")), F.lit(1))})
     f = F.try_divide(F.log("_b.p") - F.log("q.p"), F.log("_b.p") - F.log("_a.p"))
     env = F.when(F.col("_a").isNull(), F.element_at(F.col("levels"), -1)["t"]).otherwise(F.col("_b.t") + (F.col("_a.t") - F.col("_b.t")) * f)
-    return x.withColumn("t_env", env).select(key, F.col("q.p").alias("p"), F.col("q.t").alias("t_parcel"), "t_env", F.signum(F.col("q.t") - F.col("t_env")).cast("int").alias("sign"))
+    return x.withColumn("t_env", env).select(key, F.col("q.p").alias("p"), F.col("q.t").alias("t_parcel"), "t_env", F.signum(F.round(F.col("q.t") - F.col("t_env"), 9)).cast("int").alias("sign"))
 
 
 def profile_params(profiles: DataFrame, key: str, cape: Column | None = None, cin: Column | None = None) -> DataFrame:
