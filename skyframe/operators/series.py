@@ -7,6 +7,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from skyframe.operators.joins import dealt
+from skyframe.sources.shared import staged
+
 
 def micros(time: str | Column) -> Column:
     """Microseconds since 1970 of a time as it reads, whatever the session's zone."""
@@ -166,15 +169,17 @@ def merge_intervals(df: DataFrame, by: str, start: str, end: str, gap: int, span
     along = Window.partitionBy(by).orderBy("_stretch").rowsBetween(Window.unboundedPreceding, -1)
     reach = rows.groupBy(by, "_stretch").agg(F.max("_e").alias("_e")).withColumn("_e", F.max("_e").over(along)).filter("_e IS NOT NULL")
     both = rows.withColumn("_own", F.lit(1)).unionByName(reach.withColumns({"_s": F.lit(None).cast(rows.schema["_s"].dataType), "_own": F.lit(0)}))
+    count = df.count()
+    both = dealt(both, count, by, "_stretch")
     w = Window.partitionBy(by, "_stretch").orderBy("_own", "_s", "_e")
     reached = F.max("_e").over(w.rowsBetween(Window.unboundedPreceding, -1))
     marked = both.withColumn("_new", F.when(F.col("_own") == 0, 0).when(reached.isNull() | (F.col("_s") > reached + gap), 1).otherwise(0))
     marked = marked.withColumn("_run", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0))).filter("_own = 1")
-    parts = marked.groupBy(by, "_stretch", "_run").agg(F.min("_s").alias("_s"), F.max("_e").alias("_e"), F.count("*").alias("_n"))
+    parts = staged(marked.groupBy(by, "_stretch", "_run").agg(F.min("_s").alias("_s"), F.max("_e").alias("_e"), F.count("*").alias("_n")), "runs")
     begun = F.max(F.when(F.col("_run") > 0, F.struct("_stretch", "_run")))
     per = parts.groupBy(by, "_stretch").agg(begun.alias("_last"), F.max(F.when(F.col("_run") == 0, F.struct("_s", "_e", "_n"))).alias("_more"))
     carried = per.withColumn("_last", F.last("_last", ignorenulls=True).over(along)).filter("_more IS NOT NULL").select(by, "_last.*", "_more.*")
-    whole = parts.filter("_run > 0").unionByName(carried).groupBy(by, "_stretch", "_run")
+    whole = dealt(parts.filter("_run > 0").unionByName(carried), count, by, "_stretch").groupBy(by, "_stretch", "_run")
     return whole.agg(F.min("_s").alias("start"), F.max("_e").alias("end"), F.sum("_n").alias("n")).drop("_stretch", "_run")
 
 
