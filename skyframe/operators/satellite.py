@@ -71,6 +71,19 @@ def recent_flashes(flashes: DataFrame, scenes: DataFrame, minutes: int = 5) -> D
     return f.join(s.hint("merge"), (F.col("_b") == F.col("_b2")) & (F.col("_us") >= F.col("_at") - span) & (F.col("_us") < F.col("_at"))).select("scene", "row", "col")
 
 
+def recent_flash_counts(flashes: DataFrame, scenes: DataFrame, minutes: int = 5) -> DataFrame:
+    """Flashes per pixel of the `minutes` before each scene's time, a row of `scenes` each: (scene, row, col, n).
+
+    A scene has one bucket of time, a flash its own and the next. Pairs are counted where they meet: only flashes and scenes are shuffled.
+    """
+    span = minutes * 60_000_000
+    own = F.floor(F.col("_us") / span)
+    f = flashes.select(series.micros("time").alias("_us"), "row", "col").withColumn("_b", F.explode(F.array(own, own + 1)))
+    s = scenes.select("scene", series.micros("time").alias("_at")).withColumn("_b2", F.floor(F.col("_at") / span))
+    met = f.join(s.hint("merge"), (F.col("_b") == F.col("_b2")) & (F.col("_us") >= F.col("_at") - span) & (F.col("_us") < F.col("_at")))
+    return flash_counts(met, ["_b2", "scene"]).drop("_b2")
+
+
 def sample_scene(points: DataFrame, pixels: DataFrame, row: Column, col: Column, by: Sequence[str] = ()) -> DataFrame:
     """The pixel under each point by its navigated row and column, of the point's own scene (`by`); null off the disk."""
     p = points.withColumns({"_r": F.floor(row + 0.5).cast("long"), "_c": F.floor(col + 0.5).cast("long")})
