@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from skyframe.functions.formula import Formula
 from skyframe.functions.weather import auto_estimator_rate, stretch
 from skyframe.operators import grid, series
-from skyframe.operators.joins import dimension
+from skyframe.operators.joins import dealt, dimension
 from skyframe.sources.shared import staged
 
 # The retrieval's constants.
@@ -255,7 +255,12 @@ def swath_to_grid(footprints: DataFrame, step: float = 0.1, by: Sequence[str] =
     to a neighbour of 1 to 9 cells, cells kept from a total weight of 0.10: (by..., i, j, value)."""
     gap = lambda w: F.greatest(*(F.coalesce(F.sqrt(F.pow(F.col("lat") - f("lat").over(w), 2) + F.pow((F.col("lon") - f("lon").over(w)) * F.cos(F.radians("lat")), 2)), F.lit(0.0)) for f in (F.lag, F.lead)))
     across, along = Window.partitionBy(*by, "scan").orderBy("fov"), Window.partitionBy(*by, "fov").orderBy("scan")
-    f = footprints.filter("value IS NOT NULL").withColumn("_r", F.least(F.lit(9.0), F.greatest(F.lit(1.0), 0.72 * F.greatest(gap(across), gap(along)) / step)))
+    f = staged(footprints.filter("value IS NOT NULL"), "footprints")
+    rows, widest = (f.groupBy(*by).count() if by else f.agg(F.count("*").alias("count"))).agg(F.coalesce(F.sum("count"), F.lit(0)), F.max("count")).first()
+    # a footprint makes dozens of rows; where no granule holds more than a task's, granules stay whole and only footprints are shuffled
+    whole, most = bool(by) and (widest or 0) <= 50_000, 50_000
+    f = dealt(f, rows, *by, *(() if whole else ("scan",)), per_task=most).withColumn("_gap", gap(across))
+    f = (f if whole else dealt(f, rows, *by, "fov", per_task=most)).withColumn("_r", F.least(F.lit(9.0), F.greatest(F.lit(1.0), 0.72 * F.greatest("_gap", gap(along)) / step)))
     f = f.withColumns({"_x": F.col("lon") / step, "_y": F.col("lat") / step, "_k": F.cos(F.radians("lat"))})
     span = lambda c, r: F.sequence(F.ceil(F.col(c) - r).cast("int"), F.floor(F.col(c) + r).cast("int"))
     cells = f.withColumn("i", F.explode(span("_x", F.col("_r") / F.col("_k")))).withColumn("j", F.explode(span("_y", F.col("_r"))))
