@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from skyframe.sources.shared import staged
+
 #: A product of frames: gets the rows of the frames and the columns that tell frames apart, gives rows with these columns.
 FrameProduct = Callable[[DataFrame, Sequence[str]], DataFrame]
 
@@ -40,6 +42,7 @@ def product_series(frames: DataFrame, frame: str, product: FrameProduct, path: s
     ledger = _read(spark, f"{path}/ledger", frames.select(frame).schema)
     known = frames.filter(F.col(frame).isNotNull())
     todo = known.join(ledger.withColumnRenamed(frame, "_done").distinct().hint("merge"), F.col(frame) == F.col("_done"), "left_anti")
+    todo = staged(todo, "frames-to-do")
     made = product(todo, [frame, *by])
     new = todo.select(frame).distinct()
     if new.limit(1).count():
