@@ -8,6 +8,9 @@ under its bits of each partition and probes all values within the threshold. Wha
 
 Equal fingerprints are one node before that, buckets give a spanning forest of their links instead of all
 pairs, and a bucket above `block` rows is cut into pairs of blocks, each a bucket of its own.
+
+Texts alike by their sets of shingles differ in a share of the bits, not in a few: `one_of_each` takes wide fingerprints, whose
+partitions and thresholds are chosen by the chance that such a pair is missed (`plan_share`).
 """
 
 from __future__ import annotations
@@ -51,11 +54,6 @@ def _lane(hashes: np.ndarray, j: int) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def _lanes(hashes: np.ndarray, lanes: int) -> np.ndarray:
-    """The hash and its further mixes: (n, lanes)."""
-    return np.stack([_lane(hashes, j) for j in range(lanes)], axis=1)
-
-
 def simhashes(hashes: list[np.ndarray], bits: int = 64) -> np.ndarray:
     """Majority fingerprints of the documents' shingle hashes, (documents, bits / 64) of uint64."""
     lanes = bits // 64
@@ -64,18 +62,19 @@ def simhashes(hashes: list[np.ndarray], bits: int = 64) -> np.ndarray:
     full = np.flatnonzero(sizes)
     if not len(full):
         return out
-    x, sizes = _lanes(np.concatenate([hashes[i] for i in full]), lanes), sizes[full]
+    x, sizes = np.concatenate([hashes[i] for i in full]), sizes[full]
     # Sums of up to 255 rows fit in the eight byte lanes of a uint64, for one bit of every byte at a time.
     begins = np.concatenate([[0], np.cumsum(sizes)[:-1]])
     blocks = [np.arange(b, b + n, 255) for b, n in zip(begins, sizes, strict=True)]
     first_block = np.concatenate([[0], np.cumsum([len(b) for b in blocks])[:-1]])
     cuts = np.concatenate(blocks)
-    counts = np.empty((len(full), lanes, 8, 8), dtype=np.int64)  # [document, lane, byte, bit]
-    for bit in range(8):
-        part = np.add.reduceat((x >> np.uint64(bit)) & _ONES, cuts, axis=0)
-        counts[..., bit] = np.add.reduceat(part.view(np.uint8).reshape(len(cuts), lanes, 8).astype(np.int64), first_block, axis=0)
-    majority = counts * 2 > sizes[:, None, None, None]
-    out[full] = np.packbits(majority, axis=-1, bitorder="little").reshape(len(full), lanes * 8).view(np.uint64)
+    for j in range(lanes):  # one lane at a time: memory is that of one
+        lane, counts = _lane(x, j), np.empty((len(full), 8, 8), dtype=np.int64)  # [document, byte, bit]
+        for bit in range(8):
+            part = np.add.reduceat((lane >> np.uint64(bit)) & _ONES, cuts)
+            counts[..., bit] = np.add.reduceat(part.view(np.uint8).reshape(len(cuts), 8).astype(np.int64), first_block, axis=0)
+        majority = counts * 2 > sizes[:, None, None]
+        out[full, j] = np.packbits(majority, axis=-1, bitorder="little").reshape(len(full), 8).view(np.uint64)[:, 0]
     return out
 
 
@@ -162,8 +161,59 @@ def plan(sample: np.ndarray, n: int, radius: int, sizes: tuple[int, ...], row_co
     return min(options, key=lambda o: o[0])[1]
 
 
-def _sign(parts: list[tuple[list[int], int]]):
-    """Index rows (probe false) and probe rows of each partition."""
+def cover(costs: list[list[float]], gains: list[float], total: float, units: int = 2000) -> list[int] | None:
+    """Thresholds t_i >= -1 of least cost whose gains (0 at -1, gains[t] at t) sum to `total` at least; None: there are none."""
+    up = [0] + [int(g / total * units) for g in gains]
+    best = np.full(units + 1, np.inf)
+    best[0], taken = 0.0, []
+    at = np.arange(units + 1)
+    for cost in costs:
+        step, how = best.copy(), np.zeros(units + 1, dtype=np.int64)
+        for t in range(1, len(up)):
+            new = np.full(units + 1, np.inf)
+            np.minimum.at(new, np.minimum(at + up[t], units), best + cost[t])
+            how[new < step] = t
+            step = np.minimum(step, new)
+        taken.append((best, how))
+        best = step
+    if not np.isfinite(best[units]):
+        return None
+    left, out = units, []
+    for cost, (before, how) in zip(reversed(costs), reversed(taken), strict=True):
+        t = int(how[left])
+        out.append(t - 1)
+        if t:
+            ends = np.flatnonzero(np.minimum(at + up[t], units) == left)
+            left = int(ends[np.argmin(before[ends])])
+    return out[::-1]
+
+
+def plan_share(sample: np.ndarray, n: int, share: float, miss: float, widths: tuple[int, ...], row_cost: float = 400.0) -> list[tuple[list[int], int]]:
+    """(bits, threshold) per partition of n wide fingerprints, where near ones differ in a share of their bits and not in a few.
+
+    Pigeonholes for the worst case would probe a good part of all rows. So the thresholds, by dynamic programming, are the cheapest for which
+    a pair whose bits each differ with chance `share` is within the threshold of no partition with a chance of `miss` at most. The bits of a
+    wide fingerprint are of independent hashes, so partitions are runs of bits; costs are as in `plan`, for thresholds up to 1.
+    """
+    bits, options, pairs = _bits(sample), [], max(1, len(sample) * (len(sample) - 1))
+    for w in widths:
+        parts = [list(range(at, at + w)) for at in range(0, bits.shape[1] - w + 1, w)]
+        within = np.cumsum([comb(w, j) * share**j * (1 - share) ** (w - j) for j in range(2)])
+        costs = []
+        for places in parts:
+            values, counts = np.unique(_keys(bits, places), return_counts=True)
+            beside = values[:, None] ^ (np.uint64(1) << np.arange(w, dtype=np.uint64))
+            place = np.minimum(np.searchsorted(values, beside), len(values) - 1)
+            same = float((counts**2).sum() - len(sample))
+            close = same + float((np.where(values[place] == beside, counts[place], 0) * counts[:, None]).sum())
+            costs.append([0.0] + [n * n / 2 * max(seen / pairs, ball / 2**w) + row_cost * n * ball for seen, ball in ((same, 1), (close, 1 + w))])
+        if ts := cover(costs, [-float(np.log1p(-p)) for p in within], -float(np.log(miss))):
+            options.append((sum(c[t + 1] for c, t in zip(costs, ts, strict=True)), [(p, t) for p, t in zip(parts, ts, strict=True) if t >= 0]))
+    return min(options, key=lambda o: o[0])[1]
+
+
+def _sign(parts: list[tuple[list[int], int]], carried: int | None = None):
+    """Index rows (probe false) and probe rows of each partition; they carry the fingerprint, or its first `carried` bytes."""
     masks = [[sum(1 << b for b in c) for d in range(1, t + 1) for c in combinations(range(len(p)), d)] for p, t in parts]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -172,11 +222,12 @@ def _sign(parts: list[tuple[list[int], int]]):
                 continue
             prints = np.frombuffer(b"".join(batch.column(1).to_pylist()), dtype=np.uint64).reshape(batch.num_rows, -1)
             bits = _bits(prints)
+            fp = batch.column(1) if carried is None else pa.array([x.tobytes() for x in prints[:, : carried // 8]], pa.binary())
             for i, (places, _) in enumerate(parts):
                 key = _keys(bits, places).view(np.int64)
                 for mask in [0, *masks[i]]:
                     n = batch.num_rows
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(n, i, np.int32)), pa.array(key ^ np.int64(mask)), pa.array(np.full(n, bool(mask))), batch.column(0), batch.column(1)], ["part", "key", "probe", "id", "fp"])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(n, i, np.int32)), pa.array(key ^ np.int64(mask)), pa.array(np.full(n, bool(mask))), batch.column(0), fp], ["part", "key", "probe", "id", "fp"])
 
     return run
 
@@ -258,14 +309,33 @@ def links(nodes: DataFrame, guarantee: int, radius: int, sizes: tuple[int, ...],
     A bucket's links are given as a forest. The list of buckets above `block` rows is broadcast up to `most_hot`
     of them and joined beyond that. `sample` bounds what the thresholds are fitted on; all rows are indexed.
     """
+    drawn = _drawn(nodes, sample)
+    if len(drawn) < 2:
+        return nodes.select(F.col("id").alias("a"), F.col("id").alias("b")).limit(0)
+    return _met(_signed(nodes, plan(drawn, nodes.count(), guarantee, sizes)), radius, block, most_hot)
+
+
+def _drawn(nodes: DataFrame, sample: int) -> np.ndarray:
     held = nodes.orderBy(F.xxhash64("fp")).limit(sample).select("fp").collect()
-    if len(held) < 2:
+    return np.frombuffer(b"".join(bytes(r["fp"]) for r in held), dtype=np.uint64).reshape(len(held), -1 if held else 1)
+
+
+def _signed(nodes: DataFrame, parts: list[tuple[list[int], int]], carried: int | None = None) -> DataFrame:
+    signed = nodes.select("id", "fp").mapInArrow(_sign(parts, carried), "part int, key long, probe boolean, id long, fp binary")
+    return signed if any(t for _, t in parts) else signed.drop("probe").withColumn("probe", F.lit(False))
+
+
+def links_of_share(nodes: DataFrame, share: float, miss: float, radius: int, carried: int, widths: tuple[int, ...] = tuple(range(6, 15)), sample: int = 2048) -> DataFrame:
+    """Links (a, b) of distinct wide fingerprints (id, fp) that connect the pairs whose bits each differ with a chance of `share` or less,
+    but for a part `miss` of them at most.
+
+    Every row is indexed under its bits of each partition (`plan_share`) and probes what is within the threshold. What meets is
+    linked where the first `carried` bytes differ in at most `radius` bits.
+    """
+    drawn = _drawn(nodes, sample)
+    if len(drawn) < 2:
         return nodes.select(F.col("id").alias("a"), F.col("id").alias("b")).limit(0)
-    drawn = np.frombuffer(b"".join(bytes(r["fp"]) for r in held), dtype=np.uint64).reshape(len(held), -1)
-    parts = plan(drawn, nodes.count(), guarantee, sizes)
-    signed = nodes.select("id", "fp").mapInArrow(_sign(parts), "part int, key long, probe boolean, id long, fp binary")
-    signed = signed if any(t for _, t in parts) else signed.drop("probe").withColumn("probe", F.lit(False))
-    return _met(signed, radius, block, most_hot)
+    return _met(_signed(nodes, plan_share(drawn, nodes.count(), share, miss, widths), carried), radius)
 
 
 def _met(signed: DataFrame, radius: int, block: int = 1024, most_hot: int = 50_000) -> DataFrame:
@@ -300,30 +370,15 @@ def near_duplicates(prints: DataFrame, guarantee: int = 3, radius: int | None =
     return out.select("id", "fp", F.when(F.col("id").isNotNull(), F.col("component_id")).alias("component_id"))
 
 
-def band_keys(hashes: np.ndarray, begins: np.ndarray, bands: int, rows: int) -> np.ndarray:
-    """(sets, bands): a key of the first shingles in `rows` random orders for each band; sets lie one after the other in `hashes`."""
-    keys = np.zeros((len(begins), bands), dtype=np.uint64)
-    for j in range(bands * rows):  # one order at a time: memory is that of one
-        first = np.minimum.reduceat(_lane(hashes, j), begins)
-        keys[:, j // rows] = _lane(keys[:, j // rows] ^ first, 1)
-    return keys
-
-
-def _shingled(ngram: int, bits: int, bands: int, rows: int):
-    """Per document: digest of its set of shingles, fingerprint of the set, and a key per band of random orders."""
+def _shingled(ngram: int, bits: int):
+    """Per document: digest of its set of shingles, and fingerprint of the set (null: no shingles)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in slices(batches, size=1_000_000):
             sets = [np.unique(shingle_hashes(t, ngram)) for t in texts]
-            firsts: list[list[int]] = [[] for _ in sets]
-            if full := [k for k, x in enumerate(sets) if len(x)]:
-                begins = np.concatenate([[0], np.cumsum([len(sets[k]) for k in full])[:-1]])
-                keys = band_keys(np.concatenate([sets[k] for k in full]), begins, bands, rows)
-                for k, row in zip(full, keys.view(np.int64).tolist(), strict=True):
-                    firsts[k] = row
             digests = [xxhash.xxh3_128_digest(x.tobytes()) for x in sets]
-            prints = [x.tobytes() for x in simhashes(sets, bits)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(digests, pa.binary()), pa.array(prints, pa.binary()), pa.array(firsts, pa.list_(pa.int64()))], ["id", "digest", "fp", "firsts"])
+            prints = [fp.tobytes() if len(x) else None for x, fp in zip(sets, simhashes(sets, bits), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(digests, pa.binary()), pa.array(prints, pa.binary())], ["id", "digest", "fp"])
 
     return run
 
@@ -393,22 +448,21 @@ def verified(rows: DataFrame, group: DataFrame, ngram: int, block: int = 1024, b
     return met.repartition("root", "b1", "b2").sortWithinPartitions("root", "b1", "b2").mapInArrow(_verify(ngram), "a long, b long").distinct()
 
 
-def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ngram: int = 5, bits: int = 512, radius: int = 136, bands: int = 24, band_rows: int = 5) -> DataFrame:
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ngram: int = 5, bits: int = 2304, carried_bits: int = 256, radius: int = 72, share: float = 0.1875, miss: float = 1e-3) -> DataFrame:
     """The rows of docs without those that a near-duplicate of a smaller id stands for; all their columns.
 
     Near-duplicates are connected by pairs whose sets of five-word shingles have a Jaccard similarity of 0.8 or more.
-    Two such texts have the same first shingle in a random order of all with a chance of 0.8, and in the five orders of a
-    band with 0.33, so 24 bands miss 7 pairs in 100,000 at 0.8 (and fewer above), at any number of documents, while texts that
-    share a tenth of their shingles (a footer, a licence) meet in 2 of 10,000 cases. What meets there and differs in at most `radius` bits of the sets'
-    fingerprints is a candidate: at 0.8 about acos(2s / (1 + s)) / pi = 15 % of the bits differ, 19 % in sets of
-    five and four, and 136 bits are 27 %. The sets themselves then decide; equal sets are one node throughout.
+    Candidates come from partitions of the sets' SimHash fingerprints (`links_of_share`): at a similarity s about
+    acos(2s / (1 + s)) / pi of the bits differ, 15.2 % at 0.8, and 18.75 % (`share`) in the worst case, sets of five and four. Thresholds are
+    such that one pair in 1,000 is missed there, and 3 in 100,000 at 15.2 %, at any number of documents. Of the 256 bits carried,
+    some 39 differ at 0.8, 48 in the worst case; 72 are 28 %, which unlike texts (half) do not come near. The sets
+    themselves then decide; equal sets are one node throughout.
     Rows with a null id stay. Texts without words are copies of each other.
     """
     rows = docs.select(integral(docs, id_col).alias("id"), F.col(text_col).cast("string").alias("text")).filter("id IS NOT NULL")
-    prints = staged(rows.mapInArrow(_shingled(ngram, bits, bands, band_rows), "id long, digest binary, fp binary, firsts array<long>"), "shingles")
-    nodes = staged(prints.groupBy("digest").agg(F.min("id").alias("id"), F.first("fp").alias("fp"), F.first("firsts").alias("firsts")), "nodes")
-    signed = nodes.select(F.posexplode("firsts").alias("part", "key"), F.lit(False).alias("probe"), "id", "fp")
-    roots = components(_met(signed, radius))
+    prints = staged(rows.mapInArrow(_shingled(ngram, bits), "id long, digest binary, fp binary"), "shingles")
+    nodes = staged(prints.groupBy("digest").agg(F.min("id").alias("id"), F.first("fp").alias("fp")), "nodes")
+    roots = components(links_of_share(nodes.filter("fp IS NOT NULL"), share, miss, radius, carried_bits // 8))
     group = staged(roots.union(roots.select(F.col("root").alias("id"), "root").distinct()), "groups")
     same = components(verified(rows, group, ngram))
     by_set = nodes.join(same.hint("merge"), "id", "left").select("digest", F.coalesce("root", "id").alias("component_id"))

@@ -5,6 +5,7 @@ import re
 import zlib
 from array import array
 from collections import Counter, defaultdict
+from math import comb
 
 import numpy as np
 import public_tokenizers
@@ -191,6 +192,29 @@ def test_one_of_each_equals_brute_force(spark, none):
     assert {r["id"] for r in cut.collect()} == {k for k, t in zip(ids, texts, strict=True) if t and find(k) != k}
 
 
+def test_one_of_each_looks_in_partitions_of_fingerprints(spark, monkeypatch):
+    """Sets of five and four shingles at a similarity of 0.8 differ in the most bits; their thresholds come from `plan_share`."""
+    seen, sign = [], simhash._sign
+    monkeypatch.setattr(simhash, "_sign", lambda parts, *a: seen.append(parts) or sign(parts, *a))
+    rows = [(2 * n + k, " ".join(f"{n}w{i}" for i in range(9 - k))) for n in range(1500) for k in (0, 1)]
+    kept = {r["doc_id"] for r in simhash.one_of_each(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert len(seen) == 1 and len(seen[0]) > 10 and all(2 * n in kept for n in range(1500))
+    assert sum(2 * n + 1 in kept for n in range(1500)) <= 7
+
+
+def test_thresholds_keep_the_chance_to_miss():
+    rng = np.random.default_rng(3)
+    sample = rng.integers(0, 2**63, (600, 36), dtype=np.int64).view(np.uint64)
+    chance = lambda parts: np.prod([1 - sum(comb(len(p), j) * 0.1875**j * 0.8125 ** (len(p) - j) for j in range(t + 1)) for p, t in parts])
+    for n in (10**2, 10**5, 10**9):
+        assert 1e-5 < chance(simhash.plan_share(sample, n, 0.1875, 1e-3, tuple(range(6, 15)))) <= 1e-3
+    assert {t for _, t in simhash.plan_share(sample[:, :8], 10**4, 0.1875, 1e-3, (14,))} == {0, 1}  # too few bits for equality alone
+    crowded = sample.copy()
+    crowded[:, :10] = 0
+    parts = simhash.plan_share(crowded, 10**6, 0.1875, 1e-3, (10,))
+    assert min(b for p, _ in parts for b in p) >= 630 and chance(parts) <= 1e-3  # bits that all share are not looked at
+
+
 def test_components_of_a_path(spark):
     path = spark.range(1, 200).select(F.col("id").alias("a"), (F.col("id") - 1).alias("b"))
     assert {r["root"] for r in components.components(path).collect()} == {0}
