@@ -9,6 +9,7 @@ Workers read the sampled texts, whatever their length: first they count buckets,
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 from zlib import crc32
 
@@ -234,8 +235,20 @@ def fit(rows: list[tuple[bytes, int]], folds: int = 4) -> dict:
     return fit_network(counts, [(*training_windows(t, *odds[fold_of_text(t, folds)]), y) for t, y in rows])
 
 
-def fit_network(counts: Counts, windows: list[tuple[np.ndarray, np.ndarray, int]], epochs: int = 8, seed: int = 7) -> dict:
+def fit_network(counts: Counts, windows: list[tuple[np.ndarray, np.ndarray, int]]) -> dict:
     """The model of bucket counts and (inputs, mask, label) of every text's windows."""
+    return _with_odds(train(windows), counts)
+
+
+def _with_odds(trained: dict, counts: Counts) -> dict:
+    if "net" not in trained:
+        return trained
+    word_odds, gram_odds = counts.all_odds()
+    return trained | {"word_odds": word_odds, "gram_odds": gram_odds}
+
+
+def train(windows: list[tuple[np.ndarray, np.ndarray, int]], epochs: int = 8, seed: int = 7) -> dict:
+    """The network of (inputs, mask, label) of every text's windows, and the share of toxic texts."""
     y = np.array([v for *_, v in windows], dtype=np.int64)
     prior = float(y.mean()) if len(y) else 0.0
     if not 0 < y.sum() < len(y):
@@ -280,8 +293,7 @@ def fit_network(counts: Counts, windows: list[tuple[np.ndarray, np.ndarray, int]
     f1 = [2 * ((worst >= c) & (y == 1)).sum() / max(1, (worst >= c).sum() + y.sum()) for c in middle]
     top = np.flatnonzero(np.array(f1) >= max(f1) - 1e-9)
     p["bias"] = (p["bias"] - middle[top[len(top) // 2]]).astype(np.float32)
-    word_odds, gram_odds = counts.all_odds()
-    return {"prior": prior, "word_odds": word_odds, "gram_odds": gram_odds, "net": p}
+    return {"prior": prior, "net": p}
 
 
 def _count_buckets(folds: int):
@@ -301,31 +313,44 @@ def _count_buckets(folds: int):
     return run
 
 
+def _add_counts(table: pa.Table) -> pa.Table:
+    """The counts of all partitions for a fold and label as one row."""
+    added = [pa.array([sum(np.frombuffer(x, np.float32) for x in table.column(c).to_pylist()).tobytes()], pa.binary()) for c in ("words", "grams")]
+    return pa.Table.from_arrays([*(table.column(c).slice(0, 1) for c in ("fold", "y")), pa.array([sum(table.column("n").to_pylist())]), *added], table.column_names)
+
+
 def _pick_windows(shared, folds: int, most: int):
+    """A row per slice of texts: the windows of each (place, inputs, mask, label), pickled."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in slices(batches):
             found = [training_windows(t or b"", *shared.value[fold_of_text(t or b"", folds)], most) for t in texts]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x.tobytes() for x, _ in found], pa.binary()), pa.array([m.tobytes() for _, m in found], pa.binary()), batch.column(2)], ["place", "x", "mask", "y"])
+            held = [(place, x, mask, y) for place, (x, mask), y in zip(batch.column(0).to_pylist(), found, batch.column(2).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(held)], pa.binary())], ["held"])
 
     return run
 
 
+def _train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    held = [w for batch in batches for x in batch.column(0).to_pylist() for w in pickle.loads(x)]
+    held.sort(key=lambda w: (w[0], w[1].tobytes()))
+    yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(train([w[1:] for w in held]))], pa.binary())], ["model"])
+
+
 def learn(docs: DataFrame, labels: DataFrame, rows: int = 4000, text_windows: int = 3, folds: int = 4, parts: int = 8) -> dict:
-    """fit() of a labelled sample that stays with the workers: `parts` tasks read it. What reaches the driver is bounded by `rows`,
-    `text_windows` and `parts`, not by the texts: bucket counts of every task, and so many windows of every text."""
+    """fit() of a labelled sample that stays with the workers: `parts` tasks read it, one trains on so many windows of every text, bounded by `rows`
+    and `text_windows`. What reaches the driver are the bucket counts per fold and label, and the network."""
     sample = staged(labelled_sample(docs, labels, "toxic", rows=rows).repartition(parts), "toxic-sample")
-    counts = Counts(folds)
-    for r in sample.mapInArrow(_count_buckets(folds), "fold int, y int, n double, words binary, grams binary").collect():
-        counts.totals[r["fold"], r["y"]] += r["n"]
-        counts.words[r["fold"], r["y"]] += np.frombuffer(r["words"], np.float32)
-        counts.grams[r["fold"], r["y"]] += np.frombuffer(r["grams"], np.float32)
+    counts, schema = Counts(folds), "fold int, y int, n double, words binary, grams binary"
+    for r in sample.mapInArrow(_count_buckets(folds), schema).groupBy("fold", "y").applyInArrow(_add_counts, schema).collect():
+        counts.totals[r["fold"], r["y"]] = r["n"]
+        counts.words[r["fold"], r["y"]] = np.frombuffer(r["words"], np.float32)
+        counts.grams[r["fold"], r["y"]] = np.frombuffer(r["grams"], np.float32)
     if not counts.totals.sum(axis=0).all():
         return fit_network(counts, [(None, None, y) for y in (0, 1) for _ in range(int(counts.totals[:, y].sum()))])
     odds = docs.sparkSession.sparkContext.broadcast([counts.odds(f) for f in range(folds)])
-    held = sample.mapInArrow(_pick_windows(odds, folds, text_windows), "place long, x binary, mask binary, y int").collect()
-    held.sort(key=lambda r: (r["place"], r["x"]))
-    shape = (-1, STEPS, INPUTS)
-    return fit_network(counts, [(np.frombuffer(r["x"], np.float32).reshape(shape), np.frombuffer(r["mask"], bool).reshape(-1, STEPS), r["y"]) for r in held])
+    picked = sample.mapInArrow(_pick_windows(odds, folds, text_windows), "held binary").repartition(1)
+    return _with_odds(pickle.loads(picked.mapInArrow(_train, "model binary").first()["model"]), counts)
 
 
 class Scorer:
