@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -98,11 +98,10 @@ def pair_fields(cells: DataFrame, pixels: DataFrame, row: Column, col: Column, b
 
 
 def verify_precip(pairs: DataFrame, frame: str, thresholds: Sequence[float] = (0.5, 2.5, 10)) -> DataFrame:
-    """Scores of paired fields per frame and, with a null frame, pooled."""
+    """Scores of paired fields per frame and, with a null frame, pooled; all in one grouping."""
     both = pairs.select(F.explode(F.array(F.col(frame).cast("string"), F.lit(None).cast("string"))).alias(frame), "sat", "radar")
-    c = series.continuous_scores(both, [frame])
-    k = series.categorical_scores(both, thresholds, [frame]).withColumnRenamed(frame, "_f")
-    return c.join(k.hint("merge"), F.col(frame).eqNullSafe(F.col("_f"))).drop("_f")
+    scores = both.groupBy(frame).agg(*series.continuous_columns(), series.contingency(thresholds).alias("_k"))
+    return series.with_skill(scores.select(*(c for c in scores.columns if c != "_k"), F.inline("_k")))
 
 
 # The box that radar rain covers (west, south, east, north).
@@ -116,19 +115,35 @@ def box_share(west: str, south: str, east: str, north: str, box: tuple[float, fl
     return F.when((across > 0) & (up > 0), across * up / ((F.col(east) - F.col(west)) * (F.col(north) - F.col(south)))).otherwise(0.0)
 
 
-def verification_pairs(scenes: DataFrame, pixels: DataFrame, frames: DataFrame, cells: DataFrame, row: Column, col: Column, least_share: float = 0.25, tolerance_s: int = 720) -> DataFrame:
+Rows = Callable[[DataFrame], DataFrame]
+
+
+def verification_pairs(
+    scenes: DataFrame, pixels: DataFrame | Rows, frames: DataFrame, cells: DataFrame | Rows, row: Column, col: Column, least_share: float = 0.25, tolerance_s: int = 720, per_task: int = 2_000
+) -> DataFrame:
     """(scene, frame, ..., sat, radar) of all scenes that radar can verify.
 
     scenes (scene, time, west, south, east, north) with a quarter of their bounds in the radar's box meet the radar frame (frame, time)
     nearest in time, within 12 minutes; its cells (frame, lat, lon, radar) inside the scene and the box take the pixel
     (scene, row, col, sat) that they are navigated to: `row` and `col` are expressions over lat, lon and the scene's bounds.
+
+    pixels and cells are tables, or functions that give the pixels of a table's scenes and the cells of a table's frames, a row for
+    each and the table's columns beside. Of functions only scenes and frames that pair are asked for, in the tasks that `per_task` scenes
+    are dealt to, and nothing finer than a scene is shuffled: cells and pixels meet in a window over each place of a scene.
     """
     seen = scenes.filter(box_share("west", "south", "east", "north") >= least_share).withColumn("_all", F.lit(0))
     near = series.nearest_join(seen, frames.withColumn("_all", F.lit(0)), "_all", "time", "scene", "frame", tolerance_s).select(F.col("left_key").alias("scene"), F.col("right_key").alias("frame"))
+    paired = staged(near.join(seen.drop("time", "_all").hint("merge"), "scene"), "scenes-and-frames")
+    paired = dealt(paired, paired.count(), "scene", per_task=per_task)
+    met = cells(paired) if callable(cells) else cells.join(paired.hint("merge"), "frame")
     w, s, e, n = RADAR_BOX
-    met = cells.join(near.hint("merge"), "frame").join(seen.drop("time", "_all").hint("merge"), "scene")
     inside = F.col("lon").between(F.greatest(F.col("west"), F.lit(w)), F.least(F.col("east"), F.lit(e))) & F.col("lat").between(F.greatest(F.col("south"), F.lit(s)), F.least(F.col("north"), F.lit(n)))
-    return pair_fields(met.filter(inside), pixels, row, col, ["scene"])
+    met = met.filter(inside & (F.col("radar") >= 0)).withColumns({"_r": F.floor(row + 0.5).cast("long"), "_c": F.floor(col + 0.5).cast("long")}).filter("_r IS NOT NULL AND _c IS NOT NULL")
+    x = pixels(paired.select("scene").distinct()) if callable(pixels) else pixels
+    x = x.filter("sat IS NOT NULL").select("scene", F.col("row").cast("long").alias("_r"), F.col("col").cast("long").alias("_c"), F.col("sat").alias("_sat"))
+    sats = F.collect_list("_sat").over(Window.partitionBy("scene", "_r", "_c"))
+    both = met.unionByName(x, allowMissingColumns=True).withColumn("_sats", sats).filter("radar IS NOT NULL")
+    return both.withColumn("sat", F.explode("_sats")).drop("_r", "_c", "_sat", "_sats")
 
 
 def scene_window(x0: float, y0: float, x1: float, y1: float, width: int, height: int, pad: int = 8) -> tuple[int, int, int, int] | None:

@@ -82,13 +82,22 @@ def asof_join(left: DataFrame, right: DataFrame, by: str, time: str, key: str, f
 
 def nearest_join(left: DataFrame, right: DataFrame, by: str, time: str, left_key: str, right_key: str, tolerance_s: int = 720) -> DataFrame:
     """To each left row the right row of its series nearest in time, strictly within the tolerance; ties to the
-    earlier one, then the smaller key. Time buckets of the tolerance's width make it an equi-join."""
+    earlier one, then the smaller key. No join: both sides pass an ordered window forwards and one backwards per series and
+    bucket of ten tolerances; a right row less than a tolerance from another bucket passes there too. So times that lie close cost no pairs.
+    """
     us = micros(time)
     width = tolerance_s * 1_000_000
-    a = left.select(by, F.col(left_key).alias("left_key"), us.alias("lt"), F.explode(F.array(*(F.floor(us / width) + k for k in (-1, 0, 1)))).alias("_b"))
-    b = right.select(F.col(by).alias("_by"), F.col(right_key).alias("right_key"), us.alias("rt"), F.floor(us / width).alias("_b2"))
-    near = a.join(b.hint("merge"), (a[by] == b["_by"]) & (F.col("_b") == F.col("_b2"))).filter(F.abs(F.col("lt") - F.col("rt")) < width)
-    best = near.groupBy(by, "left_key").agg(F.min(F.struct(F.abs(F.col("lt") - F.col("rt")).alias("gap"), "rt", "right_key")).alias("x"))
+    bucket = lambda t: F.floor(t / (10 * width))
+    a = left.select(by, F.col(left_key).alias("left_key"), us.alias("_t"), bucket(us).alias("_b"), F.lit(1).alias("_side"))
+    b = right.select(by, F.col(right_key).alias("right_key"), us.alias("_t"), F.explode(F.sequence(bucket(us - width), bucket(us + width))).alias("_b"), F.lit(0).alias("_side"))
+    both = a.unionByName(b, allowMissingColumns=True).filter(F.col(by).isNotNull() & F.col("_t").isNotNull())
+    passed = Window.partitionBy(by, "_b").rowsBetween(Window.unboundedPreceding, 0)
+    entry = F.when(F.col("_side") == 0, F.struct(F.col("_t").alias("rt"), "right_key"))
+    seen = lambda order: F.last(entry, ignorenulls=True).over(passed.orderBy(order, "_side", F.desc("right_key")))
+    met = both.withColumns({"_before": seen(F.asc("_t")), "_after": seen(F.desc("_t"))}).filter("_side = 1")
+    gap = lambda c: F.abs(F.col("_t") - F.col(f"{c}.rt"))
+    near = F.least(*(F.when(gap(c) < width, F.struct(gap(c).alias("gap"), F.col(f"{c}.rt").alias("rt"), F.col(f"{c}.right_key").alias("right_key"))) for c in ("_before", "_after")))
+    best = met.select(by, "left_key", near.alias("x")).filter("x IS NOT NULL").groupBy(by, "left_key").agg(F.min("x").alias("x"))
     return best.select(by, "left_key", F.col("x.right_key").alias("right_key"), F.col("x.gap").alias("gap_us"))
 
 
@@ -136,22 +145,37 @@ def count_by_category(df: DataFrame, category: Column) -> DataFrame:
 
 def continuous_scores(pairs: DataFrame, by: Sequence[str], a: str = "sat", b: str = "radar", rain: float = 0.2) -> DataFrame:
     """Number, means, bias ratio, MAE, RMSE, correlation and rain-area fractions of paired values."""
+    return pairs.groupBy(*by).agg(*continuous_columns(a, b, rain))
+
+
+def continuous_columns(a: str = "sat", b: str = "radar", rain: float = 0.2) -> list[Column]:
+    """A20 as columns of a group."""
     d = F.col(a) - F.col(b)
-    return pairs.groupBy(*by).agg(
+    return [
         F.count("*").alias("n"), F.avg(a).alias("mean_a"), F.avg(b).alias("mean_b"), F.try_divide(F.avg(a), F.avg(b)).alias("bias"),
         F.avg(F.abs(d)).alias("mae"), F.sqrt(F.avg(d * d)).alias("rmse"), F.corr(a, b).alias("corr"),
         F.avg((F.col(a) >= rain).cast("double")).alias("area_a"), F.avg((F.col(b) >= rain).cast("double")).alias("area_b"),
-    )
+    ]
 
 
 def categorical_scores(pairs: DataFrame, thresholds: Sequence[float], by: Sequence[str], a: str = "sat", b: str = "radar") -> DataFrame:
     """Hits, misses, false alarms and POD, FAR, CSI per threshold."""
+    s = pairs.groupBy(*by).agg(contingency(thresholds, a, b).alias("_k"))
+    return with_skill(s.select(*by, F.inline("_k")))
+
+
+def contingency(thresholds: Sequence[float], a: str = "sat", b: str = "radar") -> Column:
+    """array<struct<threshold, hits, misses, false_alarms>> of a group."""
     hit = lambda x, y: F.count_if(x & y)
-    long = pairs.withColumn("threshold", F.explode(F.array(*map(F.lit, map(float, thresholds)))))
-    over_a, over_b = F.col(a) >= F.col("threshold"), F.col(b) >= F.col("threshold")
-    s = long.groupBy(*by, "threshold").agg(hit(over_a, over_b).alias("hits"), hit(~over_a, over_b).alias("misses"), hit(over_a, ~over_b).alias("false_alarms"))
+    over = lambda c, t: F.col(c) >= float(t)
+    counts = lambda t: (hit(over(a, t), over(b, t)).alias("hits"), hit(~over(a, t), over(b, t)).alias("misses"), hit(over(a, t), ~over(b, t)).alias("false_alarms"))
+    return F.array(*(F.struct(F.lit(float(t)).alias("threshold"), *counts(t)) for t in thresholds))
+
+
+def with_skill(counts: DataFrame) -> DataFrame:
+    """POD, FAR and CSI beside hits, misses and false alarms."""
     h, m, f = F.col("hits"), F.col("misses"), F.col("false_alarms")
-    return s.withColumns({"pod": F.try_divide(h, h + m), "far": F.try_divide(f, h + f), "csi": F.try_divide(h, h + m + f)})
+    return counts.withColumns({"pod": F.try_divide(h, h + m), "far": F.try_divide(f, h + f), "csi": F.try_divide(h, h + m + f)})
 
 
 def first_of(df: DataFrame, by: Sequence[str | Column], order: Sequence[str | Column]) -> DataFrame:
